@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quillspark.llm.licenses import op2_license_scan
+from quillspark.llm.secrets import op7_secret_scan
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
