@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from quillspark.llm.licenses import op2_license_scan
+from quillspark.llm.quality import op10_quality_classifier
 from quillspark.llm.secrets import op7_secret_scan
+from quillspark.llm.tokens import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op7_secret_scan": op7_secret_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
