@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.llm.licenses import op2_license_scan
+from quillspark.llm.packing import op3_best_fit_packing
 from quillspark.llm.quality import op10_quality_classifier
 from quillspark.llm.secrets import op7_secret_scan
 from quillspark.llm.tokens import op1_token_counts
@@ -10,6 +11,7 @@ from quillspark.llm.tokens import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
