@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.llm.licenses import op2_license_scan
+from quillspark.llm.near import op8_jaccard_join
 from quillspark.llm.packing import op3_best_fit_packing
 from quillspark.llm.quality import op10_quality_classifier
 from quillspark.llm.secrets import op7_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
