@@ -40,7 +40,7 @@ _A = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * MULTIPLIER)
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     h, _, _, row = words(data, offsets)
-    return shingles(h, row, len(offsets) - 1, n)
+    return shingles(h, row, len(offsets) - 1, n)[:2]
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.llm.decontaminate import op9_decontamination
 from quillspark.llm.licenses import op2_license_scan
 from quillspark.llm.near import op8_jaccard_join
 from quillspark.llm.packing import op3_best_fit_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
 

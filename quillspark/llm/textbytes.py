@@ -91,20 +91,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, start, end, row
 
 
-def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every run of ``n`` words of a row; a row of fewer words has the run of them all."""
+def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, index of its first word) of every run of ``n`` words of a row; a row of fewer words has the run of them all."""
     counts = np.bincount(row, minlength=n_rows)
     first = np.concatenate([[0], np.cumsum(counts)])
-    out = np.zeros(len(h), np.uint64)
-    for k in range(n):
-        out[: len(h) - k] += mixed(h[k:] + np.uint64(k + 1)) if k else mixed(h + np.uint64(1))
     at = np.arange(len(h))
-    keep = at + n <= first[row + 1] if len(h) else np.zeros(0, bool)
+    keep = at + n <= first[row + 1]
+    out = mixed(h + np.uint64(1))
+    for k in range(1, n):
+        out[: max(0, len(h) - k)] += mixed(h[k:] + np.uint64(k + 1))
+    value, rows, at = mixed(out[keep]), row[keep], at[keep]
     short = np.flatnonzero((counts > 0) & (counts < n))
-    value, rows = mixed(out[keep]), row[keep]
     if len(short):
-        each = np.array([mixed(sum((mixed(h[first[r] + k : first[r] + k + 1] + np.uint64(k + 1)) for k in range(counts[r])), np.zeros(1, np.uint64)))[0] for r in short], np.uint64)
-        value, rows = np.concatenate([value, each]), np.concatenate([rows, short])
+        each = np.zeros(len(short), np.uint64)
+        for k in range(n - 1):
+            has = counts[short] > k
+            each[has] += mixed(h[first[short[has]] + k] + np.uint64(k + 1))
+        value, rows, at = np.concatenate([value, mixed(each)]), np.concatenate([rows, short]), np.concatenate([at, first[short]])
         order = np.argsort(rows, kind="stable")
-        value, rows = value[order], rows[order]
-    return value, rows
+        value, rows, at = value[order], rows[order], at[order]
+    return value, rows, at
