@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.llm.ann import op4_ann_search
 from quillspark.llm.decontaminate import op9_decontamination
 from quillspark.llm.licenses import op2_license_scan
 from quillspark.llm.near import op8_jaccard_join
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ann_search": op4_ann_search,
     "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
