@@ -10,16 +10,20 @@ from quillspark.llm.packing import op3_best_fit_packing
 from quillspark.llm.quality import op10_quality_classifier
 from quillspark.llm.secrets import op7_secret_scan
 from quillspark.llm.tokens import op1_token_counts
+from quillspark.llm.toolcalls import OP5_SQL, op5_tool_calls
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ann_search": op4_ann_search,
+    "op5_tool_calls": op5_tool_calls,
     "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_tool_calls": OP5_SQL,
+}
