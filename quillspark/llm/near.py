@@ -243,24 +243,51 @@ def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK) ->
     return dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "k").mapInArrow(compare, "k binary, links long, root binary")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id that links reach), n_links (other texts at
-    ``similar`` or more), n_copies (documents of the same text, itself included)."""
+def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(table, classes): the sketches' (k, doc_id), and for each distinct text k, least (doc_id), n_copies,
+    n_links, class_id and stays (whether its least document is the one of its class that stays)."""
     table = sketches(docs, text)
     classes = written(table.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")))
     sets = classes.filter("sig is not null").select("k", "sig")
     candidates = components(candidate_edges(sets)).withColumnRenamed("node", "k")
     sizes = candidates.groupBy("label").agg(F.count("*").alias("members"))
-    wanted = candidates.join(sizes, "label").join(classes.select("k", "least"), "k").select("k", "label", "members", "least")
+    wanted = candidates.join(sizes, "label").join(classes.select("k", "least"), "k").select(F.col("k").alias("wk"), "label", "members", F.col("least").alias("wl"))
     keyed = docs.select(F.unhex(F.md5(text_of(text))).alias("k"), F.col("doc_id").alias("least"), text_of(text).alias("t"))
-    texts = keyed.join(wanted.withColumnRenamed("k", "wk").withColumnRenamed("least", "wl"), F.col("k").eqNullSafe(F.col("wk")) & F.col("least").eqNullSafe(F.col("wl")))
+    texts = keyed.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & F.col("least").eqNullSafe(F.col("wl")))
     found = written(verified(texts.select("k", "label", "members", "t"), similar))
     links = found.groupBy("k").agg(F.sum("links").alias("n_links"))
     linked = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "k")
-    least = linked.join(classes.select("k", "least"), "k").groupBy("label").agg(F.min("least").alias("class_id"))
-    of = classes.select("k", "least", "n_copies").join(links, "k", "left").join(linked.join(least, "label").select("k", "class_id"), "k", "left")
-    of = of.select("k", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "least").alias("class_id"))
-    return table.select("k", "doc_id").join(of, "k").select("doc_id", "class_id", "n_links", "n_copies")
+    # Nulls come last: a class has a null class_id only if no document of it has an id.
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "k")
+    first = linked.join(classes.select("k", "least"), "k").groupBy("label").agg(F.min(order).alias("first"))
+    of = linked.join(first, "label").select("k", F.col("first.least").alias("class_id"), (F.col("k") == F.col("first.k")).alias("stays"))
+    classes = classes.select("k", "least", "n_copies").join(links, "k", "left").join(of, "k", "left")
+    alone = F.col("stays").isNull()
+    classes = classes.select(
+        "k",
+        "least",
+        "n_copies",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(alone, F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("stays", F.lit(True)).alias("stays"),
+    )
+    return table.select("k", "doc_id"), written(classes)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """One row per document: doc_id, class_id (least doc_id that links reach), n_links (other texts at
+    ``similar`` or more), n_copies (documents of the same text, itself included)."""
+    table, classes = near_classes(docs, text, similar)
+    return table.join(classes.select("k", "class_id", "n_links", "n_copies"), "k").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def representatives(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The document of the least doc_id of each class, with all its columns."""
+    _, classes = near_classes(docs, text, similar)
+    keep = classes.filter("stays").select(F.col("k").alias("__wk"), F.col("least").alias("__wl"))
+    keyed = docs.withColumn("__k", F.unhex(F.md5(text_of(text))))
+    kept = keyed.join(keep, F.col("__k").eqNullSafe(F.col("__wk")) & F.col("doc_id").eqNullSafe(F.col("__wl")))
+    return kept.dropDuplicates(["__wk", "__wl"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

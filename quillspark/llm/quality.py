@@ -204,6 +204,19 @@ def score_quality(docs: DataFrame, model: Trees, text: str = "text", name: str =
     return docs.mapInArrow(score, schema)
 
 
+def accepted(docs: DataFrame, model: Trees, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in slices(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.scores(statistics(data, offsets)) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether it's held out, its score, and the class at 0.5."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
