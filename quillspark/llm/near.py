@@ -33,8 +33,8 @@ from quillspark.llm.textbytes import MULTIPLIER, mixed, shingles, slices, words
 
 COORDINATES, RUNS, LEVELS, LIMIT = 64, 6, 4, 64
 SIMILAR, CANDIDATE, WORDS = 0.8, 0.6, 5
-#: Texts of a block of exact comparisons.
-BLOCK = 256
+#: Texts of a block of exact comparisons, and of one in components of more than so many.
+BLOCK, WIDE_BLOCK, WIDE = 128, 1024, 1 << 14
 _A = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * MULTIPLIER)
 
 
@@ -199,7 +199,7 @@ def _linked(tokens: list[np.ndarray], similar: float) -> np.ndarray:
     return near
 
 
-def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK, wide_block: int = WIDE_BLOCK) -> DataFrame:
     """(k, links, root) of exact comparisons. texts: (k, label, members, t), each k once or in equal rows.
 
     A component of more than ``block`` texts is dealt into blocks by hash, and each pair of blocks is a
@@ -235,7 +235,7 @@ def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK) ->
                 ks, links, roots = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["k", "links", "root"])
 
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    blocks = F.ceil(F.col("members") / F.when(F.col("members") > WIDE, wide_block).otherwise(block)).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     made = texts.select("k", "label", "members", "t").mapInArrow(sets, "k binary, label binary, members long, tokens binary")
     dealt = made.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
