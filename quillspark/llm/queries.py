@@ -9,6 +9,7 @@ from quillspark.llm.near import op8_jaccard_join
 from quillspark.llm.packing import op3_best_fit_packing
 from quillspark.llm.quality import op10_quality_classifier
 from quillspark.llm.secrets import op7_secret_scan
+from quillspark.llm.suffixes import op6_suffix_dedup
 from quillspark.llm.tokens import op1_token_counts
 from quillspark.llm.toolcalls import OP5_SQL, op5_tool_calls
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ann_search": op4_ann_search,
     "op5_tool_calls": op5_tool_calls,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
