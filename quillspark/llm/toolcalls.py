@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to results, ordered, validated and serialised (DataFrame functions only).
 
 Calls and results are hash-joined by conversation and identifier. Calls are ordered topologically by
-the calls that they come after: a call's level is one more than the highest level before it, found in
-rounds over a written table, each of which shuffles only the edges of the last level. Arguments are
+the calls that they come after: a call's level is one more than the highest level before it, found by
+pointer jumping along chains and level by level where several meet. Arguments are
 parsed as variants, checked against the schema of their tool, and serialised as canonical JSON: keys
 sorted, no white space, numbers in their shortest form.
 
@@ -54,24 +54,56 @@ def embedded_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls (conv_id, call_id, after), each once; null on or behind a cycle."""
+    """(conv_id, call_id, level) of calls (conv_id, call_id, after), each once; null on or behind a cycle.
+
+    Calls after just one other hang in chains on those after none or several. Pointer jumping gives each
+    its chain's top and its distance from there, in rounds that grow with the logarithm of a chain's
+    length; only the tops after several are then taken level by level.
+    """
     keys = ["conv_id", "call_id"]
     edges = calls.select(*keys, F.explode("after").alias("parent")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("parent"))
     edges = written(edges.join(known, ["conv_id", "parent"], "left_semi"))
-    degree = edges.groupBy(*keys).agg(F.count("*").alias("open"))
-    state = written(calls.select(*keys).join(degree, keys, "left").select(*keys, F.coalesce("open", F.lit(0)).alias("open"), F.expr("case when open is null then 0L end").alias("level")))
-    level = 0
+    degree = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.min("parent").alias("up"))
+    nodes = written(calls.select(*keys).join(degree, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "up"))
+    total = nodes.count()
+
+    tops = nodes.filter("n != 1").select("conv_id", "call_id", F.col("call_id").alias("up"), F.lit(0).cast("long").alias("far"), F.lit(True).alias("done"))
+    state = tops.unionByName(nodes.filter("n = 1").select("conv_id", "call_id", "up", F.lit(1).cast("long").alias("far"), F.lit(False).alias("done")))
+    reach = 1
     while True:
-        front = state.filter(F.col("level") == level).select("conv_id", F.col("call_id").alias("parent"))
-        freed = edges.join(front, ["conv_id", "parent"]).groupBy(*keys).agg(F.count("*").alias("freed"))
-        left = F.col("open") - F.coalesce("freed", F.lit(0))
-        step = state.join(freed, keys, "left").select(*keys, left.alias("open"), F.when(F.col("level").isNull() & (left == 0), level + 1).otherwise(F.col("level")).alias("level"))
-        level += 1
-        step = written(step)
-        if step.filter(F.col("level") == level).isEmpty():
-            return state.select(*keys, "level")
-        state = step
+        state = written(state)
+        open_ = state.filter("not done")
+        if reach > 2 * total or open_.isEmpty():
+            break  # what is still open then goes round in a cycle
+        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("top"), F.col("far").alias("more"), F.col("done").alias("ends"))
+        jumped = open_.join(above, ["conv_id", "up"]).select("conv_id", "call_id", F.col("top").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.col("ends").alias("done"))
+        state = state.filter("done").unionByName(jumped)
+        reach *= 2
+
+    level = nodes.filter("n = 0").select(*keys, F.lit(0).cast("long").alias("level"))
+    merging = nodes.filter("n > 1").select(*keys, "n")
+    if not merging.isEmpty():
+        level = written(level)
+        # From the top of each parent's chain to the call that comes after several.
+        parents = state.filter("done").select("conv_id", F.col("call_id").alias("parent"), F.col("up").alias("top"), (F.col("far") + 1).alias("weight"))
+        links = written(edges.join(merging.select(*keys), keys, "left_semi").join(parents, ["conv_id", "parent"]).select(*keys, "top", "weight"))
+        front, pending = level, written(merging.select(*keys, F.col("n").alias("left"), F.lit(0).cast("long").alias("level")))
+        parts = [level]
+        while True:
+            freed = links.join(front.select("conv_id", F.col("call_id").alias("top"), F.col("level").alias("at")), ["conv_id", "top"])
+            freed = freed.groupBy(*keys).agg(F.count("*").alias("freed"), F.max(F.col("at") + F.col("weight")).alias("reached"))
+            left = F.col("left") - F.coalesce("freed", F.lit(0))
+            step = written(pending.join(freed, keys, "left").select(*keys, left.alias("left"), F.greatest("level", "reached").alias("level")))
+            front, pending = step.filter("left = 0").select(*keys, "level"), step.filter("left > 0")
+            if front.isEmpty():
+                break
+            parts.append(front)
+        level = parts[0]
+        for more in parts[1:]:
+            level = level.unionByName(more)
+    tops = level.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("base"))
+    return state.filter("done").join(tops, ["conv_id", "up"]).select("conv_id", "call_id", (F.col("base") + F.col("far")).alias("level"))
 
 
 def _errors(schemas: Schemas) -> str:
