@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import prepare, read, written
 from quillspark.llm.near import groups
 
-LIST_SIZE, MAX_LISTS, MAX_SAMPLE = 256, 16_384, 60_000
+LIST_SIZE, MAX_LISTS, MAX_SAMPLE = 1024, 16_384, 60_000
 REPLICAS, REPLICA_RATIO = 4, 1.2
 #: The share of the sample's own neighbours that the probe ratio must reach, on so many of its rows.
 RECALL, TRIALS = 0.975, 400
@@ -197,6 +197,36 @@ def _calibrated(c: Centroids, x: np.ndarray, k: int = 20, recall: float = RECALL
     return Centroids(c.points, c.graph, c.largest, ratio, min(len(c.points), max(8, probes)))
 
 
+def _top(q: np.ndarray, v: np.ndarray, first: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, ids, ends of the queries' parts): the k best ids of entries ``v`` for each row of ``q``.
+
+    Entry e has the ascending ``ids[first[e] : first[e + 1]]``; ties go to smaller ids.
+    """
+    least = ids[first[:-1]]
+    rough = q @ v.T
+    if len(v) <= k:
+        chosen = [np.arange(len(v))] * len(q)
+    else:
+        # What reaches the k-th best, give or take what another order of summation may change, ties included.
+        floor = -np.partition(-rough, k - 1, 1)[:, k - 1] - 1e-9 * (1 + np.abs(rough).max(1))
+        row, column = np.nonzero(rough >= floor[:, None])
+        chosen = np.split(column, np.searchsorted(row, np.arange(1, len(q))))
+    row = np.repeat(np.arange(len(q)), [len(c) for c in chosen])
+    entry = np.concatenate(chosen)
+    exact = (v[entry] * q[row]).sum(1)
+    order = np.lexsort((least[entry], -exact, row))
+    row, entry, exact = row[order], entry[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, entry, exact = (x[rank < k] for x in (row, entry, exact))
+    n = first[entry + 1] - first[entry]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[entry], n)
+    row, exact, out = np.repeat(row, n), np.repeat(exact, n), ids[at]
+    order = np.lexsort((out, -exact, row))
+    row, exact, out = row[order], exact[order], out[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return exact[keep], out[keep], np.cumsum(np.bincount(row[keep], minlength=len(q)))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, **index) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` of largest inner product found for each row of ``queries``.
 
@@ -247,34 +277,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
-            side = group.column("side").to_numpy()
-            n = int((side == 0).sum())
-            if not n or n == len(side):
+            n = int((group.column("side").to_numpy() == 0).sum())
+            if not n or n == group.num_rows:
                 continue
-            x = _matrix(group.column("embedding").combine_chunks())
-            q, v = x[:n], x[n:]
-            ids = group.column("ids").slice(n).to_pylist()
-            least = np.array([i[0] for i in ids])
-            out_q, out_s, out_i = [], [], []
+            embedding = group.column("embedding").combine_chunks()
+            x = _matrix(embedding)
+            own = group.column("ids").slice(n).combine_chunks()
+            first, flat = own.offsets.to_numpy().astype(np.int64), own.values.to_numpy()
             for lo in range(0, n, 256):
-                rough = q[lo : lo + 256] @ v.T
-                for r in range(len(rough)):
-                    s = rough[r]
-                    # entries that can be among the k + 1 best, ties included
-                    at = np.arange(len(s)) if len(s) <= k + 1 else np.flatnonzero(s >= np.partition(s, -k - 1)[-k - 1] - 1e-9 * (1 + np.abs(s).max()))
-                    exact = (v[at] * q[lo + r]).sum(1)
-                    order = np.lexsort((least[at], -exact))[: k + 1]
-                    pairs = sorted((-exact[o], i) for o in order for i in ids[at[o]])[: k + 1]
-                    out_q.append(lo + r)
-                    out_s.append([-p[0] for p in pairs])
-                    out_i.append([p[1] for p in pairs])
-            yield pa.RecordBatch.from_arrays([group.column("embedding").combine_chunks().take(pa.array(out_q)), pa.array(out_s, pa.list_(pa.float64())), pa.array(out_i, pa.list_(pa.int64()))], ["embedding", "scores", "ids"])
+                scores, ids, ends = _top(x[lo : min(lo + 256, n)], x[n:], first, flat, k + 1)
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                lists_of = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (scores, ids)]
+                yield pa.RecordBatch.from_arrays([embedding.slice(lo, len(ends)), *lists_of], ["embedding", "scores", "ids"])
 
     rows = left.unionByName(right).repartition("list", "vb", "qb").sortWithinPartitions("list", "vb", "qb", "side")
     found = rows.mapInArrow(score, "embedding array<double>, scores array<double>, ids array<long>")
     # A query has a row for each block that it read: bounded by its probes.
-    best = found.groupBy("embedding").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("ids").alias("i")))).alias("all"))
-    best = best.select("embedding", F.slice(F.array_sort(F.array_distinct("all")), 1, k + 1).alias("best"))
+    pairs = F.arrays_zip(F.transform("scores", lambda v: -v).alias("s"), F.col("ids").alias("i"))
+    best = found.groupBy("embedding").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("all"))
+    # copies of an entry in several lists come side by side, with equal scores
+    best = best.select("embedding", F.expr("filter(all, (x, j) -> j = 0 or x != all[j - 1])").alias("all"))
+    best = best.select("embedding", F.slice("all", 1, k + 1).alias("best"))
     top = usable.join(best, "embedding").select("query_id", F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k).alias("best"))
     return top.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
