@@ -1,6 +1,6 @@
 """Every operator, by module of its subject. Importing the package collects them in OPERATORS."""
 
-from quillspark.operators import curriculum, practice, relational
+from quillspark.operators import curriculum, practice, relational, text
 from quillspark.operators.base import OPERATORS, Operator, operator
 
-__all__ = ["OPERATORS", "Operator", "operator", "curriculum", "practice", "relational"]
+__all__ = ["OPERATORS", "Operator", "operator", "curriculum", "practice", "relational", "text"]

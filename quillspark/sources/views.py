@@ -45,19 +45,31 @@ VIEWS = {
 }
 #: A page is an order, a box a line item: places and sizes follow from keys.
 _BOXES = """
-SELECT l_orderkey AS page, CAST(l_linenumber AS INT) AS idx, x1, y1, x1 + 20 + CAST(l_quantity AS INT) * 3 AS x2, y1 + 12 + CAST(l_suppkey % 9 AS INT) AS y2,
+SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS idx, x1, y1, x1 + 20 + CAST(l_quantity AS INT) * 3 AS x2, y1 + 12 + CAST(l_suppkey % 9 AS INT) AS y2,
        CAST(l_partkey % 100 AS INT) AS conf, concat('w', {text}) AS word
 FROM (SELECT *, CAST((l_partkey * 13) % 760 AS INT) AS x1, CAST((l_suppkey * 17) % 240 AS INT) AS y1 FROM {lineitem})
 """
 VIEWS["boxes"] = View(("lineitem",), _BOXES.format(text="cast(l_partkey % 50 AS string)", lineitem="{lineitem}"), _BOXES.format(text="CAST(l_partkey % 50 AS VARCHAR)", lineitem="lineitem"))
 #: A stroke is an order, a point a line item; t is in milliseconds.
 _POINTS = """
-SELECT l_orderkey AS stroke, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS i,
-       CAST(l_partkey % 101 AS DOUBLE) AS x, CAST(l_suppkey % 101 AS DOUBLE) AS y, CAST(l_linenumber * 40 + l_quantity AS DOUBLE) AS t
+SELECT l_orderkey AS stroke, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS i,
+       CAST(l_partkey % 101 AS DOUBLE) AS x, CAST(l_suppkey % 101 AS DOUBLE) AS y, CAST(l_linenumber * 400 + l_quantity AS DOUBLE) AS t
 FROM {lineitem}
 """
 VIEWS["points"] = View(("lineitem",), _POINTS, _POINTS)
 
+#: Lines of clinical notes: a page is an order, a line a line item; what it says follows from keys.
+_NOTES = """
+SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_number, CAST(l_partkey % 100 AS INT) AS conf,
+       CASE CAST((l_partkey + l_linenumber) % 10 AS INT)
+         WHEN 0 THEN concat('Tab. ', drug, ' ', q, '0 mg 1-0-1 x ', n, ' days after food') WHEN 1 THEN concat('Syp. ', drug, ' 5 ml BD for ', n, ' weeks')
+         WHEN 2 THEN concat('1-0-', n, ' x ', q, ' days') WHEN 3 THEN concat('Haemoglobin ', n, '.', q, ' g/dL 11.0 - 15.0') WHEN 4 THEN concat('Patient Name: Ann ', word, '  Age: ', q)
+         WHEN 5 THEN concat('[x] ', word, ' smoker') WHEN 6 THEN concat('BP: ', q, '5/80 HR ', q, ' SPO2: 9', n, '%') WHEN 7 THEN 'DIAGNOSIS:' WHEN 8 THEN concat(word, ' fever for ', n, ' days, and no') ELSE concat('cough. Review after ', n, ' days') END AS line
+FROM (SELECT *, {q} AS q, {n} AS n, concat('w', {w}) AS word, CASE l_suppkey % 3 WHEN 0 THEN 'Paracetamol' WHEN 1 THEN 'Amoxicilin' ELSE 'Cetirizne' END AS drug FROM {lineitem})
+"""
+_cast = lambda kind: {"q": f"CAST(CAST(l_quantity AS INT) AS {kind})", "n": f"CAST(l_suppkey % 9 AS {kind})", "w": f"CAST(l_partkey % 50 AS {kind})"}
+VIEWS["notes"] = View(("lineitem",), _NOTES.format(lineitem="{lineitem}", **_cast("string")), _NOTES.format(lineitem="lineitem", **_cast("VARCHAR")))
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view or plain table as a DataFrame."""
