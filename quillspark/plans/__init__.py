@@ -16,3 +16,5 @@ def _register(op: Operator) -> None:
 for _op in OPERATORS.values():
     if _op.name not in REGISTRY:
         _register(_op)
+
+from quillspark.plans import grouped, streams  # noqa: E402, F401

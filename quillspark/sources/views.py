@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.runtime import prepare
+
 #: The instant that stands for "now" in every query that is compared.
 AS_OF = "2024-01-31 00:00:00"
 
@@ -73,6 +75,7 @@ VIEWS["notes"] = View(("lineitem",), _NOTES.format(lineitem="{lineitem}", **_cas
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view or plain table as a DataFrame."""
+    prepare(spark)
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     v = VIEWS[name]
