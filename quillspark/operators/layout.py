@@ -46,10 +46,10 @@ def standalone_icons(d: Spark, boxes: str) -> str:
 @operator("boxes")
 def uncovered_boxes(d: Spark, boxes: str) -> str:
     """New boxes (even idx) that no old one (odd idx) lies within 20 by 15 of: a range anti join on cells of that size."""
-    near = ", ".join(f"({i}, {j})" for i in (-1, 0, 1) for j in (-1, 0, 1))
     return f"""
     WITH b AS (SELECT *, CAST(floor(x1 / 20.0) AS BIGINT) AS cx, CAST(floor(y1 / 15.0) AS BIGINT) AS cy FROM {boxes}),
-    old AS (SELECT b.page, b.x1, b.y1, b.cx + n.dx AS cx, b.cy + n.dy AS cy FROM b CROSS JOIN (VALUES {near}) n(dx, dy) WHERE b.idx % 2 = 1)
+    r AS (SELECT page, x1, y1, {d.span('cx - 1', 'cx + 1')} AS xs, {d.span('cy - 1', 'cy + 1')} AS ys FROM b WHERE idx % 2 = 1),
+    old AS (SELECT page, x1, y1, cx, cy FROM r {d.rows('xs', 'p', 'cx')} {d.rows('ys', 'q', 'cy')})
     SELECT b.page, b.idx FROM b WHERE b.idx % 2 = 0 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.page = b.page AND o.cx = b.cx AND o.cy = b.cy AND abs(o.x1 - b.x1) <= 20 AND abs(o.y1 - b.y1) <= 15)"""
 
 

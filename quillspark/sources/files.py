@@ -37,7 +37,7 @@ def parquet_splits(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 def discovered_csvs(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """Rows of all CSV files below a folder whose header has the required columns."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     rows = F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")
     header = F.transform(F.split(F.element_at(rows, 1), ","), lambda c: F.lower(F.trim(c)))
     has = lines.select("file", rows.alias("rows"), header.alias("header"))
