@@ -14,7 +14,8 @@ bytes, and only as classes of equal suffixes:
 
 Only contested dictionary phrases, once each, travel as bytes. Triggers so common that a sample shows
 them as more than a small share of all occurrences (boilerplate; at most HEAVY of them) are counted
-with map-side combining instead of as groups. Classes are told apart by 128 bits (trigger and phrase
+with map-side combining instead of as groups, and where one has more than WIDE different phrases, so
+are their suffixes. Classes are told apart by 128 bits (trigger and phrase
 or suffix); documents by a 64-bit hash whose seed is changed if two texts should share one.
 
 Defined results: null and empty texts keep nothing and have the digest of no bytes; texts of fewer
@@ -34,6 +35,8 @@ from quillspark.llm.common import prepare, read, text_of, written
 from quillspark.llm.textbytes import _CODE, _power_tables, mixed, slices
 
 LENGTH, GRAM = 200, 48
+#: Dictionary phrases of one trigger up to which their suffixes are sorted in one task.
+WIDE = 1 << 14
 #: Share of all occurrences, as its inverse, from which a trigger is heavy; and the sample that finds them.
 HEAVY, SAMPLE = 2000, 32
 
@@ -202,18 +205,23 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
         seed += 1
 
 
-def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY, sample: int = SAMPLE, least: int = 64) -> DataFrame:
+def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY, sample: int = SAMPLE, least: int = 64, wide: int = WIDE) -> DataFrame:
     """(h, first, last): starts of windows that occur twice, from first to last. keyed: (h, t), a row per document.
 
-    A trigger is heavy if the sample (one document in ``sample``) holds it ``least`` times and 1 / ``heavy`` of all its occurrences.
+    A trigger is heavy if the sample (one document in ``sample``, by hash) has it ``least`` times and 1 / ``heavy`` of all
+    that it holds. The sample settles only how a trigger is counted, not whether.
     """
     prepare(keyed.sparkSession)
-    sampled = _parse(keyed.filter(F.pmod(F.xxhash64("h", *[c for c in keyed.columns if c == "doc_id"]), F.lit(sample)) == 0), length, gram)
-    counts = written(sampled.groupBy("th").agg(F.count("*").alias("c")).filter("c > 1"))
+    # By document, so that what is parsed for it is as small a share.
+    sampled = keyed.filter(F.pmod(F.xxhash64("h", *[c for c in keyed.columns if c == "doc_id"]), F.lit(sample)) == 0)
+    counts = written(_parse(sampled, length, gram).groupBy("th", "eh").agg(F.count("*").alias("c")))
     total = counts.agg(F.sum("c")).first()[0] or 0
-    # At most ``heavy`` triggers can each have that share.
-    common = counts.filter(F.col("c") >= max(least, -(-total // heavy))).select("th", F.lit(True).alias("heavy"))
-    rows = written(_parse(keyed, length, gram).join(F.broadcast(common), "th", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))))
+    bar = max(least, -(-total // heavy))
+    # At most ``heavy`` triggers can each have that share, and eight times as many phrases an eighth of it: bounded broadcasts.
+    common = counts.groupBy("th").agg(F.sum("c").alias("c")).filter(F.col("c") >= bar).select("th", F.lit(True).alias("heavy"))
+    twice = counts.filter(F.col("c") >= max(2, bar // 8)).select("th", "eh", F.lit(True).alias("sure"))
+    rows = _parse(keyed, length, gram).join(F.broadcast(common), "th", "left").join(F.broadcast(twice), ["th", "eh"], "left")
+    rows = written(rows.withColumn("heavy", F.coalesce("heavy", F.lit(False))).withColumn("sure", F.coalesce("sure", F.lit(False))))
 
     phrase, group = Window.partitionBy("th", "eh"), Window.partitionBy("th")
     light = (
@@ -226,8 +234,11 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     common_rows = rows.filter("heavy")
     entries = written(common_rows.groupBy("th", "eh").agg(F.count("*").alias("c"), F.min(F.struct("h", "at", "n")).alias("x")))
     groups = entries.groupBy("th").agg(F.count("*").alias("d"))
-    first = entries.join(groups, "th").select("x.h", "x.at", "x.n", "th", "eh", F.lit(True).alias("heavy"), (F.col("c") == 1).alias("single"), (F.col("d") > 1).alias("contested")).filter("contested")
-    more = common_rows.join(entries.filter("c > 1").select("th", "eh"), ["th", "eh"]).select("h", "at", "n", "th", "eh", F.lit(True).alias("heavy"), F.lit(False).alias("single"), F.lit(False).alias("contested"))
+    first = entries.join(groups, "th").select("x.h", "x.at", "x.n", "th", "eh", (F.col("d") > wide).alias("heavy"), (F.col("c") == 1).alias("single"), (F.col("d") > 1).alias("contested")).filter("contested")
+    # What the sample has seen twice needs no count.
+    again = common_rows.filter("not sure").join(entries.filter("c > 1").select("th", "eh"), ["th", "eh"])
+    more = common_rows.filter("sure").select("h", "at", "n", "th", "eh").unionByName(again.select("h", "at", "n", "th", "eh"))
+    more = more.select("*", F.lit(True).alias("heavy"), F.lit(False).alias("single"), F.lit(False).alias("contested"))
     marks = written(light.unionByName(first).unionByName(more))
 
     whole = marks.filter("not single").select("h", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))
@@ -242,35 +253,56 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, *
     keyed = _hashed(docs, text)
     plain = [c for c in docs.columns if c == "doc_id"]
     found = repeated_windows(keyed.select("h", "t", *plain), length, **options)
-    spans = found.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
-    joined = keyed.join(spans.withColumnRenamed("h", "__h"), F.col("h") == F.col("__h"), "left")
-    return _removed(joined.select(*plain, "t", "found"), length)
+    # Copies of a text give the same rows: once each, before those of a text (as many as its length allows) come together.
+    single = found.groupBy("h", "first").agg(F.max("last").alias("last"))
+    lists = single.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("found"))
+    # Once for each text, whatever its copies.
+    joined = keyed.join(_merged(lists, length), F.col("h") == F.col("__h"), "left")
+    return _removed(joined.select(*plain, "t", "spans"))
 
 
-def _removed(rows: DataFrame, length: int) -> DataFrame:
+_SPANS = "array<struct<first:long,end:long>>"
+_SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+
+
+def _merged(lists: DataFrame, length: int) -> DataFrame:
+    """(__h, spans): the bytes under a text's windows as runs that don't touch. Windows come in order."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            flat = column.flatten()
+            count = column.value_lengths().to_numpy().astype(np.int64)
+            first, end = flat.field("first").to_numpy().astype(np.int64), flat.field("last").to_numpy().astype(np.int64) + length
+            row = np.repeat(np.arange(len(count)), count)
+            # Rows are set apart so far that a running maximum over all of them never reaches the next.
+            apart = row * (int(end.max(initial=0)) + 1)
+            reach = np.maximum.accumulate(end + apart)
+            new = np.concatenate([[True], (first + apart)[1:] > reach[:-1]]) if len(row) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            stop = (reach - apart)[np.concatenate([at[1:], [len(row)]]) - 1] if len(at) else at
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(count)))]).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(first[at]), pa.array(stop)], fields=list(_SPAN)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["__h", "spans"])
+
+    return lists.mapInArrow(make, f"__h long, spans {_SPANS}")
+
+
+def _removed(rows: DataFrame) -> DataFrame:
     kind = dict(rows.dtypes).get("doc_id", "bigint")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, spans, kept = [], [], []
-            found = batch.column(2)
-            for value, own in zip(batch.column(1), found, strict=True):
+            sizes, kept = [], []
+            spans = batch.column(2).fill_null([])
+            for value, own in zip(batch.column(1), spans, strict=True):
                 data = value.as_py().encode()
-                merged: list[list[int]] = []
-                if own.is_valid:
-                    flat = own.values
-                    for first, last in zip(flat.field("first").to_pylist(), flat.field("last").to_pylist(), strict=True):
-                        if merged and first <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], last + length)
-                        else:
-                            merged.append([first, last + length])
-                edges = [0, *(x for span in merged for x in span), len(data)]
+                edges = [0, *(x for s in own.as_py() for x in (s["first"], s["end"])), len(data)]
                 sizes.append(len(data))
-                spans.append([{"first": a, "end": b} for a, b in merged])
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), spans.cast(pa.list_(_SPAN)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.mapInArrow(make, f"doc_id {kind}, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")
+    return rows.mapInArrow(make, f"doc_id {kind}, n_bytes long, spans {_SPANS}, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
