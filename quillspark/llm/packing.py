@@ -2,10 +2,11 @@
 
 Texts are tokenised once; longer documents are cut so that all pieces but the first are whole
 sequences. The rest is dealt by hash into partitions of bounded size, each packed best-fit
-decreasing. Dual feasible functions give a lower bound on each partition's sequences: one that meets
-it is certified. The others release the documents of their sequences that aren't full; pools of
-several such partitions pack those anew, and keep the result where it takes fewer sequences. Rounds go
-on until all are certified, none gained, or ``rounds`` is reached.
+decreasing. Dual feasible functions give a lower bound on each partition's sequences, which certifies
+one that meets it, and on those of all of them, from the counts of lengths. While there is a gap to the
+latter, partitions exchange: the documents of sequences that aren't full go into pools that draw on
+many partitions, are packed best-fit decreasing anew, and a pool keeps the result if it takes fewer
+sequences. Rounds end when the bound is met, none gained, or at ``rounds``.
 
 Defined results: null and empty texts are documents of the closing id alone; repeated rows are packed
 each; an empty table gives no rows.
@@ -27,7 +28,7 @@ from quillspark.llm.tokens import token_ids
 
 CAPACITY = 1024
 CLOSE = 2
-#: Pieces of a partition on average, and partitions with a gap that make up a pool.
+#: Pieces of a partition on average, and partitions' worth of pieces in a pool.
 PARTITION_PIECES, POOL_PARTITIONS = 4000, 8
 
 PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -41,11 +42,15 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The best of several dual feasible functions: no packing of ``lengths`` takes fewer sequences."""
-    if not len(lengths):
+    """No packing of ``lengths`` takes fewer sequences."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The best of several dual feasible functions over how many pieces there are of each length."""
+    count, size = count.astype(np.int64), np.arange(capacity + 1)
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
-    size = np.arange(capacity + 1)
     best = -(-int(count @ size) // capacity)
     # Those over capacity - k count as whole, those under k not at all, for every k to one half.
     above, below = np.cumsum(count[::-1])[::-1], np.cumsum(count * size)
@@ -128,29 +133,36 @@ def _packer(mark: int, capacity: int):
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = 3) -> tuple[DataFrame, list[dict]]:
-    """All pieces with ``sequence_id`` and ``offset``; and for each round partitions, gaps and loose sequences."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = 4) -> tuple[DataFrame, list[dict]]:
+    """All pieces with ``sequence_id`` and ``offset``; and for each round its pools, sequences, bound and certified pools."""
     # Whole pieces have negative sequence ids, so that they never meet those of partitions.
     whole = pieces.filter(F.col("length") == capacity).select("*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
-    n = rest.count()
+    # As many rows as there are lengths.
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect():
+        count[r.length] = r.n
+    n, bound = int(count.sum()), bound_of_counts(count, capacity)
     pools = max(1, -(-n // partition_pieces))
     fresh = rest.select("*", *[F.lit(-1).cast("long").alias(c) for c in ("part", "bin", "offset")], F.lit(False).alias("full"), F.lit(0).cast("long").alias("gap"))
     turn = fresh.withColumn("pool", F.pmod(F.xxhash64("uid"), F.lit(pools)))
     done: list[DataFrame] = []
     report: list[dict] = []
+    settled = 0
     for k in range(rounds + 1):
         packed = written(turn.groupBy("pool").applyInPandas(_packer(k, capacity), PACKED))
-        loose = (F.col("gap") > 0) & ~F.col("full")
-        stats = packed.filter(loose).agg(F.count_distinct("part").alias("parts"), F.count_distinct("part", "bin").alias("sequences")).first()
-        report.append({"round": k, "pools": pools, "parts_with_gap": stats.parts, "loose_sequences": stats.sequences})
-        if k == rounds or not stats.sequences or (k and stats.sequences >= report[-2]["loose_sequences"]):
+        bins = packed.groupBy("part", "bin").agg(F.count("*").alias("n"), F.first("full").alias("full"), F.max("gap").alias("gap"))
+        stats = bins.agg(F.count("*").alias("all"), F.count_if(~F.col("full")).alias("loose"), F.sum(F.when(~F.col("full"), F.col("n"))).alias("pieces"), F.count_distinct(F.when(F.col("gap") == 0, F.col("part"))).alias("certified")).first()
+        report.append({"round": k, "pools": pools, "certified": stats.certified, "sequences": settled + stats.all, "bound": bound})
+        if k == rounds or settled + stats.all <= bound or (k and report[-1]["sequences"] >= report[-2]["sequences"]):
             done.append(packed)
             break
-        done.append(packed.filter(~loose))
-        # A pool holds what several partitions released, and so has a bounded size as well.
-        pools = max(1, -(-stats.parts // POOL_PARTITIONS))
-        turn = packed.filter(loose).withColumn("pool", F.pmod(F.xxhash64("part", F.lit(k)), F.lit(pools)))
+        # Sequences that are full are settled. The documents of the others go, sequence by sequence, into pools
+        # that draw on many partitions and stay of a bounded size.
+        done.append(packed.filter("full"))
+        settled += stats.all - stats.loose
+        pools = max(1, -(-(stats.pieces or 0) // (POOL_PARTITIONS * partition_pieces)))
+        turn = packed.filter("not full").withColumn("pool", F.pmod(F.xxhash64("part", "bin", F.lit(k)), F.lit(pools)))
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)
