@@ -115,6 +115,15 @@ def x_clusters(d: Spark, boxes: str) -> str:
       SELECT *, CASE WHEN x1 - max(x2) OVER (PARTITION BY page ORDER BY x1, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {WIDTH * 8 // 100} THEN 0 ELSE 1 END AS new FROM {boxes})) GROUP BY page, island"""
 
 
+@operator("boxes")
+def line_segments(d: Spark, boxes: str) -> str:
+    """Bands split where a gap is wider than 45 and 2.2 heights."""
+    return f"""
+    SELECT page, band, min(x1) AS low, max(x2) AS high, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY page, band ORDER BY x1, idx) AS segment FROM (
+      SELECT page, band, idx, x1, x2, CASE WHEN x1 - max(x2) OVER (PARTITION BY page, band ORDER BY x1, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > greatest(45, 2.2 * (y2 - y1)) THEN 1 ELSE 0 END AS new
+      FROM (SELECT *, CAST(floor(y1 / 60.0) AS BIGINT) AS band FROM {boxes}))) GROUP BY page, band, segment"""
+
+
 @operator("boxes")
 def occupancy_sweep(d: Spark, boxes: str) -> str:
     """How many boxes lie over each stretch of x, from events of +1 and -1."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.strokes import stroke_heading, stroke_measures
 from quillspark.functions.text import ReviewWords, channel_cost, clean_text, word_error_rate, word_replacements
 from quillspark.operators import layout
 from quillspark.registry import query
@@ -100,3 +101,29 @@ def word_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = view(spark, sf_dir, "notes")
     notes.createOrReplaceTempView("q_review_notes")
     return spark.sql("SELECT page, line_number, r.word, r.first, r.last, r.kind FROM q_review_notes, LATERAL review_words(line, conf) r")
+
+
+@query("stroke_analysis")
+def stroke_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stroke against the one before it on its sheet: all measures, and the way it goes."""
+    points = view(spark, sf_dir, "points")
+    strokes = points.groupBy("stroke").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y", "t"))), lambda p: F.array(p["x"], p["y"], p["t"])).alias("points"))
+    before = strokes.select((F.col("stroke") + 1).alias("stroke"), F.col("points").alias("reference"))
+    pairs = strokes.join(before, "stroke")
+    m, h = stroke_measures("points", "reference"), stroke_heading("points")
+    return pairs.select("stroke", m.alias("m"), h.alias("h")).select("stroke", "m.*", F.col("h.direction").alias("heading"), "h.confidence")
+
+
+@query("boosted_regression")
+def boosted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' quality predicted from four of their counts by a distributed tree ensemble."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    names = ["n_chars", "bangs", "marks", "lines"]
+    count = lambda p: F.regexp_count("text", F.lit(p)) / F.greatest(F.length("text"), F.lit(1))
+    rows = view(spark, sf_dir, "documents").select("doc_id", "n_chars", count("!").alias("bangs"), count("[#$%&*|]").alias("marks"), count("\n").alias("lines"))
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows.na.fill(0))
+    labelled = rows.join(view(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    model = GBTRegressor(maxIter=8, maxDepth=3, seed=7).fit(labelled)
+    return model.transform(rows).select("doc_id", F.round("prediction", 6).alias("prediction"))

@@ -132,3 +132,21 @@ def test_lines_of_a_prescription(spark):
     assert (lab.test, lab.value, lab.flag) == ("Haemoglobin", 9.5, "L")
     assert [r.checked for r in text_ops.checkbox_text(notes=df).orderBy("line_number").collect()] == [True, False]
     assert text_ops.document_types(notes=df).first().doc_type == "prescription"
+
+
+def test_measures_of_a_stroke_drawn_well_backwards_across_and_not_at_all(spark):
+    from quillspark.functions.strokes import stroke_heading, stroke_measures
+
+    line = [[float(x), 10.0, 20.0 * x] for x in range(0, 100, 5)]
+    rows = [(0, line, line), (1, line[::-1], line), (2, [[50.0, y] for y in range(0, 100, 5)], line), (3, None, line), (4, [[1.0, 1.0]], line), (5, line, [[0.0, 10.0], [40.0, 10.0]])]
+    df = spark.createDataFrame([(i, None if d is None else [[float(v) for v in p] for p in d], r) for i, d, r in rows], "i int, d array<array<double>>, r array<array<double>>")
+    m = {r.i: r.m for r in df.select("i", stroke_measures("d", "r").alias("m")).collect()}
+    assert (m[0].direction, m[0].coverage, m[0].smoothness, m[0].path_error, m[0].overshoot, m[0].combined) == (1, 1, 1, 0, 0, 1)
+    assert m[1].direction == 0 and m[1].coverage == 1 and abs(m[2].direction - 0.5) < 1e-9 and m[2].coverage < 0.3
+    assert m[3].combined == 0 and m[3].path_error == 1 and m[4].direction == 0.5 and m[4].smoothness == 1
+    assert m[5].overshoot > 0.4 and all(0 <= v <= 1 for r in m.values() for v in r)
+    turn = np.linspace(0, 2 * np.pi, 24)
+    ways = [line, line[::-1], [[0.0, y] for y in range(9)], [[50 + 40 * np.cos(t), 50 + 40 * np.sin(t)] for t in turn], [[0.0, 0.0]], [[float(x), float(40 * np.sin(x / 10))] for x in range(0, 60, 10)]]
+    df = spark.createDataFrame([(i, [[float(v) for v in p] for p in w]) for i, w in enumerate(ways)], "i int, p array<array<double>>")
+    got = [r.h.direction for r in df.orderBy("i").select(stroke_heading("p").alias("h")).collect()]
+    assert got[:5] == ["right", "left", "down", "clockwise-oval", "unknown"]
