@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import prepare, read, written
 from quillspark.llm.near import groups
 
-LIST_SIZE, MAX_LISTS, MAX_SAMPLE = 1024, 16_384, 60_000
+LIST_SIZE, MAX_LISTS, MAX_SAMPLE = 1024, 16_384, 32_768
 REPLICAS, REPLICA_RATIO = 4, 1.2
 #: The share of the sample's own neighbours that the probe ratio must reach, on so many of its rows.
 RECALL, TRIALS = 0.975, 400
@@ -182,9 +182,11 @@ def _calibrated(c: Centroids, x: np.ndarray, k: int = 20, recall: float = RECALL
     k = min(k, len(x) - 1)
     if len(c.points) == 1 or k < 1:
         return c
-    product = x[own] @ x.T
-    product[np.arange(len(own)), own] = -np.inf
-    near = np.argpartition(-product, k - 1, 1)[:, :k]
+    near = np.zeros((len(own), k), np.int64)
+    for i in range(0, len(own), 32):
+        product = -(x[own[i : i + 32]] @ x.T)
+        product[np.arange(len(product)), own[i : i + 32]] = np.inf
+        near[i : i + 32] = np.argpartition(product, k - 1, 1)[:, :k]
     norm = (c.points**2).sum(1)
     q = c.aim(x[own])
     to_lists = np.sqrt(np.maximum((q**2).sum(1)[:, None] + norm[None, :] - 2 * q @ c.points.T, 0))
