@@ -7,7 +7,7 @@ one; a page's rows are one group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -200,114 +200,138 @@ def projection_segments(d: Spark, boxes: str) -> str:
 
 # Page by page ------------------------------------------------------------------------------------
 
+Page = dict[str, np.ndarray]
 
-def by_page(boxes: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``f`` on each page's boxes in stable order."""
-    return boxes.groupBy("page").applyInPandas(lambda rows: f(rows.sort_values(["y1", "x1", "idx"], ignore_index=True)), schema)
 
+def by_page(df: DataFrame, f: Callable[[Page], Page], schema: str, *order: str) -> DataFrame:
+    """``f`` on each page's columns, in the stated order. Many pages go to Python at once, each of them whole."""
 
-def first_fit_lines(rows: pd.DataFrame, overlap: float = 0.45, middle: float = 0.4, median_band: bool = False) -> np.ndarray:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame()
+        for batch in batches:
+            rows = pd.concat([held, batch], ignore_index=True) if len(held) else batch
+            last = rows["page"].to_numpy()[-1:] if len(rows) else []
+            cut = int(np.searchsorted(rows["page"].to_numpy(), last[0])) if len(rows) else 0
+            if cut:
+                yield pages(rows.iloc[:cut])
+            held = rows.iloc[cut:]
+        if len(held):
+            yield pages(held)
+
+    def pages(rows: pd.DataFrame) -> pd.DataFrame:
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        cuts = [0, *(np.flatnonzero(np.diff(columns["page"])) + 1).tolist(), len(rows)]
+        parts = [f({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+    return df.filter("page IS NOT NULL").repartition("page").sortWithinPartitions("page", *order).mapInPandas(run, schema)
+
+
+def first_fit_lines(rows: Page, overlap: float = 0.45, middle: float = 0.4, median_band: bool = False) -> np.ndarray:
     """The line of each box, in order of y then x: the first whose band it overlaps by ``overlap`` of the lesser
     height, or whose middle is within ``middle`` of it. A line's band is the union of its boxes, or with
     ``median_band`` the medians of their tops and bottoms."""
-    lines: list[list[int]] = []
-    out = np.zeros(len(rows), np.int64)
-    y1, y2 = rows["y1"].to_numpy(), rows["y2"].to_numpy()
-    for i in range(len(rows)):
-        for k, own in enumerate(lines):
-            top, bottom = (np.median(y1[own]), np.median(y2[own])) if median_band else (y1[own].min(), y2[own].max())
-            least = min(max(1, y2[i] - y1[i]), max(1, bottom - top))
-            if max(0, min(y2[i], bottom) - max(y1[i], top)) / least >= overlap or abs((y1[i] + y2[i]) / 2 - (top + bottom) / 2) <= middle * least:
-                own.append(i)
-                out[i] = k
+    tops, bottoms = [], []
+    bands: list[tuple[float, float]] = []
+    out = []
+    for a, b in zip(np.asarray(rows["y1"]).tolist(), np.asarray(rows["y2"]).tolist(), strict=True):
+        for k, (top, bottom) in enumerate(bands):
+            least = min(max(1, b - a), max(1, bottom - top))
+            if max(0, min(b, bottom) - max(a, top)) / least >= overlap or abs((a + b) / 2 - (top + bottom) / 2) <= middle * least:
+                tops[k].append(a)
+                bottoms[k].append(b)
+                bands[k] = (float(np.median(tops[k])), float(np.median(bottoms[k]))) if median_band else (min(top, a), max(bottom, b))
                 break
         else:
-            out[i] = len(lines)
-            lines.append([i])
-    return out
+            k = len(bands)
+            tops.append([a])
+            bottoms.append([b])
+            bands.append((a, b))
+        out.append(k)
+    return np.array(out, np.int64)
 
 
-def merged_fragments(rows: pd.DataFrame, line: np.ndarray, low: float = -0.35, high: float = 2.2) -> np.ndarray:
+def merged_fragments(rows: Page, line: np.ndarray, low: float = -0.35, high: float = 2.2) -> np.ndarray:
     """The fragment of each box: boxes of a line whose gap is within those multiples of the greater height."""
-    out = np.zeros(len(rows), np.int64)
-    n = 0
-    for k in pd.unique(line):
-        own = np.flatnonzero(line == k)
-        own = own[np.lexsort((rows["idx"].to_numpy()[own], rows["x1"].to_numpy()[own]))]
-        reach = height = None
-        for i in own:
-            h = rows["y2"][i] - rows["y1"][i]
-            if reach is not None and low * max(height, h) <= rows["x1"][i] - reach <= high * max(height, h):
-                reach, height = max(reach, rows["x2"][i]), max(height, h)
-            else:
-                n, reach, height = n + 1, rows["x2"][i], h
-            out[i] = n
+    out = np.zeros(len(line), np.int64)
+    n, last, reach, height = 0, None, 0, 0
+    x1, x2, h = rows["x1"], rows["x2"], rows["y2"] - rows["y1"]
+    for i in np.lexsort((rows["idx"], x1, line)).tolist():
+        most = max(height, h[i])
+        if line[i] == last and low * most <= x1[i] - reach <= high * most:
+            reach, height = max(reach, x2[i]), most
+        else:
+            n, last, reach, height = n + 1, line[i], x2[i], h[i]
+        out[i] = n
     return out
 
 
 def line_clusters(boxes: DataFrame, median_band: bool = False) -> DataFrame:
     """page, idx, line, fragment and place in reading order; lines are numbered by their tops."""
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        line = first_fit_lines(rows, median_band=median_band)
-        tops = rows["y1"].groupby(line).min().sort_values(kind="stable")
-        line = line if not len(tops) else pd.Series(line).map({k: i for i, k in enumerate(tops.index)}).to_numpy()
-        out = rows[["page", "idx"]].assign(line=line, fragment=merged_fragments(rows, line))
-        order = np.lexsort((rows["idx"], rows["x1"], line))
-        out["reading_order"] = np.argsort(order) + 1
-        return out
+    def f(rows: Page) -> Page:
+        found = first_fit_lines(rows, median_band=median_band)
+        top = np.full(found.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(top, found, rows["y1"])
+        line = np.argsort(np.argsort(top, kind="stable"))[found]
+        place = np.zeros(len(line), np.int64)
+        place[np.lexsort((rows["idx"], rows["x1"], line))] = np.arange(1, len(line) + 1)
+        return {"page": rows["page"], "idx": rows["idx"], "line": line, "fragment": merged_fragments(rows, line), "reading_order": place}
 
-    return by_page(boxes, f, "page long, idx int, line long, fragment long, reading_order long")
+    return by_page(boxes, f, "page long, idx int, line long, fragment long, reading_order long", "y1", "x1", "idx")
 
 
 def greedy_match(pairs: DataFrame, least: float, descending: bool = True) -> DataFrame:
     """One-to-one matches of pairs (page, a, b, score), best score first; ties by a, then b."""
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "a", "b"], ascending=[not descending, True, True])
+    def f(rows: Page) -> Page:
+        ok = rows["score"] >= least if descending else rows["score"] < least
         keep, left, right = [], set(), set()
-        for page, a, b, score in rows[["page", "a", "b", "score"]].itertuples(index=False):
-            if a not in left and b not in right and (score >= least if descending else score < least):
+        for i in np.lexsort((rows["b"], rows["a"], -rows["score"] if descending else rows["score"])).tolist():
+            a, b = rows["a"][i], rows["b"][i]
+            if ok[i] and a not in left and b not in right:
                 left.add(a)
                 right.add(b)
-                keep.append((page, a, b, score))
-        return pd.DataFrame(keep, columns=["page", "a", "b", "score"])
+                keep.append(i)
+        return {c: rows[c][keep] for c in ("page", "a", "b", "score")}
 
-    return pairs.groupBy("page").applyInPandas(f, "page long, a int, b int, score double")
+    return by_page(pairs, f, "page long, a int, b int, score double", "a", "b")
 
 
 def connected_lines(boxes: DataFrame, gap: float = 60.0, drift: float = 10.0) -> DataFrame:
     """Boxes linked where the next begins within ``gap`` to the right and ``drift`` in height; the least idx names a line."""
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        x1, x2, y1, idx = (rows[c].to_numpy() for c in ("x1", "x2", "y1", "idx"))
+    def f(rows: Page) -> Page:
+        x1, x2, y1 = rows["x1"], rows["x2"], rows["y1"]
         near = (np.abs(x1[None, :] - x2[:, None]) <= gap) & (np.abs(y1[None, :] - y1[:, None]) <= drift)
-        near |= near.T | np.eye(len(rows), dtype=bool)
-        label = idx.astype(np.int64)
+        near |= near.T
+        np.fill_diagonal(near, True)
+        label = rows["idx"].astype(np.int64)
         while True:
             new = np.where(near, label[None, :], np.iinfo(np.int64).max).min(1)
             if (new == label).all():
-                return rows[["page", "idx"]].assign(line=label)
+                return {"page": rows["page"], "idx": rows["idx"], "line": label}
             label = new
 
-    return by_page(boxes, f, "page long, idx int, line long")
+    return by_page(boxes, f, "page long, idx int, line long", "y1", "x1", "idx")
 
 
 def table_rows(boxes: DataFrame, depth: int = 60, reach: int = 180) -> DataFrame:
     """Rows under each header (a word of 'w1'), with a bound that each row taken moves down."""
 
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for h in range(len(rows)):
-            if rows["word"][h] != "w1":
-                continue
-            bound = rows["y1"][h] + depth
-            for i in range(h + 1, len(rows)):
-                if rows["y1"][i] > bound:
+    def f(rows: Page) -> Page:
+        headers, taken = [], []
+        x1, x2, y1, y2 = (rows[c].tolist() for c in ("x1", "x2", "y1", "y2"))
+        for h in np.flatnonzero(rows["word"] == "w1").tolist():
+            bound = y1[h] + depth
+            for i in range(h + 1, len(x1)):
+                if y1[i] > bound:
                     break
-                if abs(rows["x1"][i] - rows["x1"][h]) < reach or rows["x1"][h] <= rows["x1"][i] <= rows["x2"][h]:
-                    out.append((rows["page"][h], rows["idx"][h], rows["idx"][i]))
-                    bound = max(bound, rows["y2"][i] + 10)
-        return pd.DataFrame(out, columns=["page", "header", "idx"])
-
-    return by_page(boxes, f, "page long, header int, idx int")
+                if abs(x1[i] - x1[h]) < reach or x1[h] <= x1[i] <= x2[h]:
+                    headers.append(h)
+                    taken.append(i)
+                    bound = max(bound, y2[i] + 10)
+        headers, taken = np.array(headers, np.int64), np.array(taken, np.int64)
+        return {"page": rows["page"][headers], "header": rows["idx"][headers], "idx": rows["idx"][taken]}
+
+    return by_page(boxes, f, "page long, header int, idx int", "y1", "x1", "idx")
