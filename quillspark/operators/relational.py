@@ -268,7 +268,7 @@ def digests(d: Spark, documents: str) -> str:
 @operator("documents")
 def sampling_weights(d: Spark, documents: str) -> str:
     """Weights that balance sources: a share for each over its rows."""
-    return f"SELECT doc_id, round(CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY source) / (SELECT count(DISTINCT source) FROM {documents}), 9) AS weight FROM {documents}"
+    return f"SELECT d.doc_id, round(CAST(1 AS DOUBLE) / s.n / (SELECT count(DISTINCT source) FROM {documents}), 9) AS weight FROM {documents} d JOIN (SELECT source, count(*) AS n FROM {documents} GROUP BY source) s ON d.source = s.source"
 
 
 @operator("documents", share=10)

@@ -209,7 +209,7 @@ def word_validity(d: Spark, documents: str) -> str:
 @operator("documents")
 def word_rarity(d: Spark, documents: str) -> str:
     """How much rarer than the commonest word, in powers of ten beyond three."""
-    return f"SELECT term, n, round(greatest(0, log10(CAST(max(n) OVER () AS DOUBLE) / n) - 3), 6) AS rarity FROM ({_lexicon(d, documents, 3)})"
+    return f"WITH l AS ({_lexicon(d, documents, 3)}) SELECT term, n, round(greatest(0, log10(CAST((SELECT max(n) FROM l) AS DOUBLE) / n) - 3), 6) AS rarity FROM l"
 
 
 @operator("documents", checked=True)
