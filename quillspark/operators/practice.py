@@ -250,20 +250,52 @@ def level_from_xp(d: Spark, sessions: str) -> str:
 
 
 def features(d: Spark, s: str) -> str:
-    """One row per learner with every signal that the rules below read."""
-    parts = {
-        "w": weekly_accuracy_by_user, "v": learning_velocity, "r": rolling_accuracy_last_n, "c": practice_consistency, "a": abandon_rate,
-        "k": streaks, "h": hesitation_profile, "t": retry_pattern, "p": replay_usage, "g": retry_recovery, "x": level_from_xp,
-    }
-    joins = "\n".join(f"LEFT JOIN ({op.sql(d, sessions=s)}) {a} ON u.user_id = {a}.user_id" for a, op in parts.items())
+    """One row per learner with every signal that the rules below read.
+
+    Most of them come from one aggregate by learner and day and another over its result, which the
+    streaks share; only the last five sessions, the retries of items and the gains of second attempts
+    take a pass of their own.
+    """
+    weeks = range(4)
+    in_week = lambda i: f"completed AND age_seconds > {i * WEEK} AND age_seconds <= {(i + 1) * WEEK}"
+    sums = {f"w{i}": f"sum(CASE WHEN {in_week(i)} THEN acc ELSE 0 END)" for i in weeks} | {f"n{i}": f"sum(CASE WHEN {in_week(i)} THEN 1 ELSE 0 END)" for i in weeks}
+    sums |= {
+        "n_4w": f"sum(CASE WHEN completed AND age_seconds <= {4 * WEEK} THEN 1 ELSE 0 END)",
+        "n_30": f"sum(CASE WHEN age_seconds <= {30 * 86400} THEN 1 ELSE 0 END)",
+        "gone_30": f"sum(CASE WHEN age_seconds <= {30 * 86400} AND status = 'abandoned' THEN 1 ELSE 0 END)",
+        "pauses": "sum(CASE WHEN completed THEN greatest(pause_1, 0) + greatest(pause_2, 0) ELSE 0 END)",
+        "n_pauses": "sum(CASE WHEN completed THEN CASE WHEN pause_1 > 0 THEN 1 ELSE 0 END + CASE WHEN pause_2 > 0 THEN 1 ELSE 0 END ELSE 0 END)",
+        "n_firsts": "sum(CASE WHEN completed AND first_ms > 0 THEN 1 ELSE 0 END)",
+        "tries": "sum(CASE WHEN completed THEN tries_1 + tries_2 ELSE 0 END)",
+        "n_tries": "sum(CASE WHEN completed THEN 2 ELSE 0 END)",
+        "over_3": "sum(CASE WHEN completed THEN CASE WHEN tries_1 > 3 THEN 1 ELSE 0 END + CASE WHEN tries_2 > 3 THEN 1 ELSE 0 END ELSE 0 END)",
+        "over_2": "sum(CASE WHEN completed THEN CASE WHEN tries_1 > 2 THEN 1 ELSE 0 END + CASE WHEN tries_2 > 2 THEN 1 ELSE 0 END ELSE 0 END)",
+        "done": "sum(CASE WHEN completed THEN 1 ELSE 0 END)",
+    }
+    by_day = ", ".join(f"{x} AS {n}" for n, x in sums.items())
+    totals = ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in sums)
+    share = lambda a, b: f"round(CAST({a} AS DOUBLE) / nullif({b}, 0), 4)"
+    week = lambda i: f"coalesce(CAST(floor((2 * CAST(w{i} AS DOUBLE) + n{i}) / nullif(CAST(2 * n{i} AS DOUBLE), 0)) AS DOUBLE) / 10000, 0)"
+    names = [f"week_{i}" for i in (1, 2, 3, 4)]
+    first, last = (f"coalesce({', '.join(f'nullif({n}, 0)' for n in order)})" for order in (names, names[::-1]))
+    busy = " + ".join(f"CASE WHEN {n} > 0 THEN 1 ELSE 0 END" for n in names)
     return f"""
-    SELECT u.user_id, w.week_1, w.week_2, w.week_3, w.week_4, coalesce(w.trend, 'stable') AS trend, coalesce(v.velocity, 'slow') AS velocity, coalesce(r.rolling_average, 0) AS rolling_accuracy,
-           coalesce(r.promotion_readiness, 0) AS promotion_readiness, coalesce(c.consistency_score, 0) AS consistency_score, coalesce(c.active_days, 0) AS active_days, coalesce(a.abandon_rate, 0) AS abandon_rate,
-           coalesce(k.current_streak, 0) AS streak, coalesce(k.longest_streak, 0) AS longest_streak, coalesce(k.streak_status, 'broken') AS streak_status,
-           coalesce(h.avg_pause_between_ms, 0) AS pause, coalesce(t.avg_retries_per_stroke, 0) AS retries, coalesce(t.failsafe_unlock_rate, 0) AS failsafe, coalesce(p.replay_rate, 0) AS replay_rate,
-           t.user_id IS NOT NULL OR h.user_id IS NOT NULL AS has_telemetry, coalesce(g.recovers_quickly, false) AS recovers_quickly, coalesce(x.total_xp, 0) AS total_xp, coalesce(x.level, 1) AS level,
-           coalesce(t.high_retry_items, '') AS high_retry_items
-    FROM (SELECT DISTINCT user_id FROM {s}) u {joins}"""
+    WITH days AS (SELECT user_id, day, {by_day}, max(CASE WHEN age_seconds <= {14 * 86400} THEN 1 ELSE 0 END) AS recent, max(day + CAST(floor(age_seconds / 86400) AS BIGINT)) AS today,
+                         CAST(sum(CASE WHEN completed THEN {_xp('module_type', 'acc')} ELSE 0 END) AS BIGINT) AS xp FROM {s} GROUP BY user_id, day),
+    users AS (SELECT user_id, {totals}, count(CASE WHEN recent = 1 THEN 1 END) AS active_days, CAST(sum(least({DAILY_XP}, xp)) AS BIGINT) AS total_xp FROM days GROUP BY user_id),
+    runs AS (SELECT user_id, max(day) AS last_day, count(*) AS n FROM (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM days WHERE done > 0) GROUP BY user_id, island),
+    streak AS (SELECT user_id, max(last_day) AS last_day, max_by(n, last_day) AS streak, max(n) AS longest FROM runs GROUP BY user_id),
+    items AS (SELECT user_id, {d.listagg("target_item", ",", "r")} AS items FROM (SELECT user_id, target_item, row_number() OVER (PARTITION BY user_id ORDER BY round(avg(n), 1) DESC, target_item) AS r FROM ({_tries(s)}) GROUP BY user_id, target_item) WHERE r <= 5 GROUP BY user_id)
+    SELECT f.*, CASE WHEN {busy} < 2 THEN 'stable' WHEN {last} - {first} > 0.05 THEN 'improving' WHEN {last} - {first} < -0.05 THEN 'declining' ELSE 'stable' END AS trend
+    FROM (SELECT u.user_id, {', '.join(f'{week(3 - i)} AS week_{i + 1}' for i in weeks)}, CASE WHEN u.n_4w / 4.0 >= 3 THEN 'fast' WHEN u.n_4w / 4.0 < 1 THEN 'slow' ELSE 'steady' END AS velocity,
+                 coalesce(r.rolling_average, 0) AS rolling_accuracy, coalesce(r.promotion_readiness, 0) AS promotion_readiness, round(u.active_days / CAST(14 AS DOUBLE), 4) AS consistency_score, u.active_days,
+                 coalesce({share('u.gone_30', 'u.n_30')}, 0) AS abandon_rate, coalesce(k.streak, 0) AS streak, coalesce(k.longest, 0) AS longest_streak,
+                 CASE (SELECT max(today) FROM days) - k.last_day WHEN 0 THEN 'active' WHEN 1 THEN 'at_risk' ELSE 'broken' END AS streak_status,
+                 coalesce(round(CAST(u.pauses AS DOUBLE) / nullif(u.n_pauses, 0), 1), 0) AS pause, coalesce(round(CAST(u.tries AS DOUBLE) / nullif(u.n_tries, 0), 1), 0) AS retries,
+                 coalesce({share('u.over_3', 'u.n_tries')}, 0) AS failsafe, coalesce({share('u.over_2', 'u.n_tries')}, 0) AS replay_rate, u.n_tries > 0 OR u.n_pauses + u.n_firsts > 0 AS has_telemetry,
+                 coalesce(g.recovers_quickly, false) AS recovers_quickly, u.total_xp, 1 + CAST(floor(u.total_xp / {LEVEL_XP}.0) AS BIGINT) AS level, coalesce(i.items, '') AS high_retry_items
+          FROM users u LEFT JOIN streak k ON u.user_id = k.user_id LEFT JOIN items i ON u.user_id = i.user_id
+          LEFT JOIN ({rolling_accuracy_last_n.sql(d, sessions=s)}) r ON u.user_id = r.user_id LEFT JOIN ({retry_recovery.sql(d, sessions=s)}) g ON u.user_id = g.user_id) f"""
 
 
 def judged(d: Spark, s: str) -> str:
