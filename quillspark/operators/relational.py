@@ -11,10 +11,10 @@ def history_join(d: Spark, orders: str, customer: str, segment: str) -> str:
     return f"SELECT o.o_orderkey, o.o_orderdate, c.c_name, c.c_mktsegment FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = '{segment}'"
 
 
-@operator("lineitem", "orders", customer=7)
-def semi_join(d: Spark, lineitem: str, orders: str, customer: int) -> str:
+@operator("lineitem", "orders", priority="1-URGENT")
+def semi_join(d: Spark, lineitem: str, orders: str, priority: str) -> str:
     """Rows whose key is in a subquery."""
-    return f"SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_custkey % 10 = {customer})"
+    return f"SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderpriority = '{priority}')"
 
 
 @operator("customer", "orders")
@@ -41,9 +41,11 @@ def full_outer_counts(d: Spark, customer: str, supplier: str) -> str:
     return f"SELECT coalesce(c.k, s.k) AS nationkey, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY c_nationkey) c FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY s_nationkey) s ON c.k = s.k"
 
 
-@operator("orders", customer=5)
-def point_lookup(d: Spark, orders: str, customer: int) -> str:
-    return f"SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderkey % 1000 = 1 AND o_custkey % 10 = {customer}"
+@operator("orders", "customer", order=1, segment=None)
+def point_lookup(d: Spark, orders: str, customer: str, order: int, segment: str | None) -> str:
+    """One row by its key, and by its owner if one is asked for."""
+    owner = f" AND o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = '{segment}')" if segment else ""
+    return f"SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderkey = {order}{owner} LIMIT 1"
 
 
 @operator("orders", low="1995-01-01", high="1996-01-01")
@@ -235,10 +237,10 @@ def guarded_acceptance(d: Spark, events: str) -> str:
 
 @operator("events")
 def kendall_tau(d: Spark, events: str) -> str:
-    """Rank agreement of two orders of each learner's first eight events."""
+    """Rank agreement of the order in time and the order of values of each learner's events of a day."""
     return f"""
-    WITH r AS (SELECT user_id, i, (i * 5 + event_id % 7) % 11 AS j FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM {events}) WHERE i <= 8)
-    SELECT a.user_id, count(*) AS pairs, round(CAST(sum(CASE WHEN b.j > a.j THEN 1 WHEN b.j < a.j THEN -1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS tau FROM r a JOIN r b ON a.user_id = b.user_id AND a.i < b.i GROUP BY a.user_id"""
+    WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i, value AS j FROM {events})
+    SELECT a.user_id, a.day, count(*) AS pairs, round(CAST(sum(CASE WHEN b.j > a.j THEN 1 WHEN b.j < a.j THEN -1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS tau FROM r a JOIN r b ON a.user_id = b.user_id AND a.day = b.day AND a.i < b.i GROUP BY a.user_id, a.day"""
 
 
 @operator("events")

@@ -128,7 +128,7 @@ def best_similarity(d: Spark, notes: str) -> str:
 @operator("documents")
 def letters_only_lookup(d: Spark, documents: str) -> str:
     """Tokens joined to a dictionary by their letters alone."""
-    tokens = f"SELECT doc_id, t FROM (SELECT doc_id, {d.cut('text', repr(' '))} AS ts FROM {documents} WHERE lang = 'en' AND length(text) < 1500) x {d.rows('ts', 'y', 't')}"
+    tokens = f"SELECT doc_id, t FROM (SELECT doc_id, {d.cut('text', repr(' '))} AS ts FROM {documents} WHERE lang = 'en') x {d.rows('ts', 'y', 't')}"
     key = d.replace("lower(t)", "[^a-z]", "")
     return f"""
     WITH k AS (SELECT doc_id, {key} AS key FROM ({tokens})), dict AS (SELECT key, count(*) AS n FROM k WHERE length(key) > 2 GROUP BY key HAVING count(*) >= 20)
@@ -181,7 +181,7 @@ def template_sections(d: Spark, notes: str) -> str:
 @operator("documents")
 def spelling_candidates(d: Spark, documents: str) -> str:
     """For words seen once, the lexicon word of best gain: how common it is, less its edits; only where that beats a margin."""
-    words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', '[a-z]{4,9}')} AS ws FROM {documents} WHERE lang = 'en' AND length(text) < 2500) x {d.rows('ws', 'y', 'token')}) GROUP BY lower(token)"
+    words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', '[a-z]{4,9}')} AS ws FROM {documents} WHERE lang = 'en') x {d.rows('ws', 'y', 'token')}) GROUP BY lower(token)"
     return f"""
     WITH t AS ({words}), p AS (SELECT a.w, b.w AS c, round(log10(CAST(b.n AS DOUBLE)) * 2 - 1.2 * levenshtein(a.w, b.w), 6) AS gain FROM t a JOIN t b ON left(a.w, 2) = left(b.w, 2) AND length(a.w) = length(b.w) WHERE a.n = 1 AND b.n >= 10 AND levenshtein(a.w, b.w) <= 2)
     SELECT w AS word, c AS correction, gain FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY gain DESC, c) AS r FROM p) WHERE r = 1 AND gain > 0.3"""

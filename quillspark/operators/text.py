@@ -171,7 +171,7 @@ def repeated_phrases(d: Spark, lines: str) -> str:
         return f"{d.size(d.only(d.span('1', f'{d.size(chr(119))} - {2 * n - 1}'), 'i', words))} > 0"
 
     cut = d.cut(f"lower(trim({d.replace('line', r'[ \t]+', ' ')}))", "' '")
-    return f"SELECT doc_id, line_number, CASE {' '.join(f'WHEN {test(n)} THEN {n}' for n in (2, 3, 4))} ELSE 0 END AS loop_words FROM (SELECT doc_id, line_number, {cut} AS w FROM {lines} WHERE length(line) < 600)"
+    return f"SELECT doc_id, line_number, CASE {' '.join(f'WHEN {test(n)} THEN {n}' for n in (2, 3, 4))} ELSE 0 END AS loop_words FROM (SELECT doc_id, line_number, {cut} AS w FROM {lines})"
 
 
 @operator("lines")
@@ -212,19 +212,31 @@ def word_rarity(d: Spark, documents: str) -> str:
     return f"WITH l AS ({_lexicon(d, documents, 3)}) SELECT term, n, round(greatest(0, log10(CAST((SELECT max(n) FROM l) AS DOUBLE) / n) - 3), 6) AS rarity FROM l"
 
 
-@operator("documents", checked=True)
+def _without_letters(d: Spark, words: str, budget: str) -> str:
+    """(w, v): every string that a word gives with up to ``budget`` (1 or 2) letters left out, but its first.
+
+    Words of equal first letters within that many edits share one. Two places i < j beyond the first letter
+    are left out; those behind the word's end stand for none.
+    """
+    first = f"SELECT w, n, i, {d.span('i + 1', 'n + 2')} AS js FROM (SELECT w, CAST(length(w) AS BIGINT) AS n, {d.span('CAST(2 AS BIGINT)', 'CAST(length(w) + 1 AS BIGINT)')} AS ps FROM ({words})) x {d.rows('ps', 'y', 'i')}"
+    cut = "concat(substring(w, 1, CAST(i - 1 AS INT)), substring(w, CAST(i + 1 AS INT), CAST(j - i - 1 AS INT)), substring(w, CAST(j + 1 AS INT)))"
+    return f"SELECT w, {cut} AS v FROM ({first}) z {d.rows('js', 'u', 'j')} WHERE (j <= n + 1 OR i = n + 1) AND ({budget} = 2 OR j >= n + 1)"
+
+
+@operator("documents")
 def fuzzy_lexicon_match(d: Spark, documents: str) -> str:
     """Rare words and the one lexicon term nearest in edit distance, within a budget by length; ties match nothing.
 
-    Blocking: terms of equal first letter and a length no further off than the budget, as equi-join keys.
+    Blocking is exact and linear: an equi-join on strings with up to two letters left out, then the distance.
     """
     budget = "CASE WHEN length(w) <= 6 THEN 1 ELSE 2 END"
     return f"""
-    WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, f"(SELECT doc_id, text FROM {documents} WHERE lang = 'en' AND doc_id % 5 = 0)", 'doc_id')}) GROUP BY lower(token)),
-    rare AS (SELECT w, {budget} AS b, left(w, 1) AS first, k AS len FROM (SELECT w, {d.span('length(w) - 2', 'length(w) + 2')} AS ks FROM t WHERE n = 1 AND length(w) BETWEEN 5 AND 12) x {d.rows('ks', 'y', 'k')}),
-    lex AS (SELECT w AS term, left(w, 1) AS first, length(w) AS len FROM t WHERE n >= 5 AND length(w) >= 4),
-    pairs AS (SELECT r.w, l.term, levenshtein(r.w, l.term) AS dist, r.b FROM rare r JOIN lex l ON r.first = l.first AND r.len = l.len),
-    best AS (SELECT w, term, dist, min(dist) OVER (PARTITION BY w) AS least FROM pairs WHERE dist <= b)
+    WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, f"(SELECT doc_id, text FROM {documents} WHERE lang = 'en')", 'doc_id')}) GROUP BY lower(token)),
+    rare AS ({_without_letters(d, 'SELECT w FROM t WHERE n = 1 AND length(w) BETWEEN 5 AND 12', budget)}),
+    lex AS ({_without_letters(d, 'SELECT w FROM t WHERE n >= 5 AND length(w) BETWEEN 4 AND 14', '2')}),
+    pairs AS (SELECT DISTINCT r.w, l.w AS term FROM rare r JOIN lex l ON r.v = l.v),
+    near AS (SELECT w, term, levenshtein(w, term) AS dist FROM pairs),
+    best AS (SELECT w, term, dist, min(dist) OVER (PARTITION BY w) AS least FROM near WHERE dist <= {budget})
     SELECT w AS word, min(term) AS term, CAST(min(dist) AS BIGINT) AS distance FROM best WHERE dist = least GROUP BY w HAVING count(*) = 1"""
 
 
