@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from pathlib import Path
 
@@ -25,11 +27,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name inside the folder that all executors share."""
+    """A new folder name inside the folder that all executors share.
+
+    What is written there may be read until the session ends, and goes with that folder; where it is
+    our own on one machine, it goes when the driver ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{(base or LOCAL_CHECKPOINTS).rstrip('/')}/quillspark-{uuid.uuid4().hex}"
     if not base:
-        base = LOCAL_CHECKPOINTS
-    return f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
