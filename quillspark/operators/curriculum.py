@@ -69,13 +69,13 @@ def due_reviews(d: Spark, sessions: str) -> str:
     WHERE CASE WHEN m.confidence < 0.5 OR m.overall < 0.6 THEN m.days >= 1 WHEN m.overall < 0.8 THEN m.days >= 3 WHEN j.frustration = 'high' AND m.days >= 2 THEN true ELSE m.days >= 7 END"""
 
 
-@operator("sessions")
-def plateaus(d: Spark, sessions: str) -> str:
-    """Items tried five times or more in the last week that stay under 0.6 with confidence over 0.3."""
+@operator("sessions", days=30, tries=5, confidence=0.6)
+def plateaus(d: Spark, sessions: str, days: int, tries: int, confidence: float) -> str:
+    """Items tried often of late, with confidence, that stay under an overall mastery of 0.6."""
     return f"""
     SELECT m.user_id, m.target_item, r.n AS recent_attempts FROM ({mastery(d, sessions)}) m
-    JOIN (SELECT user_id, target_item, count(*) AS n FROM {sessions} WHERE age_seconds <= 30 * 86400 GROUP BY user_id, target_item) r ON m.user_id = r.user_id AND m.target_item = r.target_item
-    WHERE r.n >= 5 AND m.confidence > 0.3 AND m.overall < 0.6"""
+    JOIN (SELECT user_id, target_item, count(*) AS n FROM {sessions} WHERE age_seconds <= {days * 86400} GROUP BY user_id, target_item) r ON m.user_id = r.user_id AND m.target_item = r.target_item
+    WHERE r.n >= {tries} AND m.confidence > {confidence} AND m.overall < 0.6"""
 
 
 def state(d: Spark, s: str) -> str:

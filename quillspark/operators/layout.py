@@ -18,18 +18,18 @@ from quillspark.operators.base import Spark, operator
 WIDTH, HEIGHT = 1000, 300
 
 
-@operator("boxes")
-def micro_noise_filter(d: Spark, boxes: str) -> str:
+@operator("boxes", side=6, doubtful=40)
+def micro_noise_filter(d: Spark, boxes: str, side: int, doubtful: int) -> str:
     """Small and doubtful boxes out, unless that leaves a page with none."""
-    return f"SELECT page, idx FROM (SELECT *, max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY page) AS kept FROM (SELECT *, x2 - x1 >= 60 AND NOT (conf < 40 AND length(word) <= 2) AS ok FROM {boxes})) WHERE ok OR kept = 0"
+    return f"SELECT page, idx FROM (SELECT *, max(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY page) AS kept FROM (SELECT *, x2 - x1 >= {side} AND y2 - y1 >= {side} AND NOT (conf < {doubtful} AND length(word) <= 2) AS ok FROM {boxes})) WHERE ok OR kept = 0"
 
 
-@operator("boxes")
-def outlier_filter(d: Spark, boxes: str) -> str:
+@operator("boxes", beyond=45, sure=90)
+def outlier_filter(d: Spark, boxes: str, beyond: int, sure: int) -> str:
     """Boxes far above the page's median height go if they are doubtful, where there are three or more."""
     return f"""
     SELECT b.page, b.idx FROM {boxes} b JOIN (SELECT page, median(y2 - y1) AS m, count(*) AS n FROM {boxes} GROUP BY page) p ON b.page = p.page
-    WHERE NOT (p.n >= 3 AND b.y2 - b.y1 > p.m + 4 AND b.conf < 90)"""
+    WHERE NOT (p.n >= 3 AND b.y2 - b.y1 > p.m + {beyond} AND b.conf < {sure})"""
 
 
 @operator("boxes")
@@ -38,9 +38,14 @@ def confidence_routing(d: Spark, boxes: str) -> str:
     return f"SELECT page, idx, CASE WHEN conf < 85 THEN 'second' ELSE 'first' END AS route, 2 * sum(CASE WHEN conf < 85 THEN 1 ELSE 0 END) OVER (PARTITION BY page) >= count(*) OVER (PARTITION BY page) AS page_unsure FROM {boxes}"
 
 
-@operator("boxes")
-def standalone_icons(d: Spark, boxes: str) -> str:
-    return f"SELECT page, idx FROM {boxes} WHERE length(word) <= 2 AND abs((x2 - x1) - (y2 - y1)) < 20 AND x2 - x1 < 40"
+#: Glyphs that stand alone as icons.
+ICONS = "<>v^+x-io|•»"
+
+
+@operator("boxes", square=6, width=25)
+def standalone_icons(d: Spark, boxes: str, square: int, width: int) -> str:
+    """Boxes of one such glyph that are small and about square."""
+    return f"SELECT page, idx FROM {boxes} WHERE length(trim(word)) = 1 AND position(trim(word) IN '{ICONS}') > 0 AND abs((x2 - x1) - (y2 - y1)) < {square} AND x2 - x1 < {width}"
 
 
 @operator("boxes")
@@ -157,11 +162,11 @@ def column_reading_order(d: Spark, boxes: str) -> str:
     return f"SELECT page, idx, CASE WHEN x1 + x2 < {WIDTH} THEN 0 ELSE 1 END AS col, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE WHEN x1 + x2 < {WIDTH} THEN 0 ELSE 1 END, floor(y1 / 40.0), x1, idx) AS INT) AS reading_order FROM {boxes}"
 
 
-@operator("boxes")
-def layout_roles(d: Spark, boxes: str) -> str:
+@operator("boxes", head=0.12, foot=0.92)
+def layout_roles(d: Spark, boxes: str, head: float, foot: float) -> str:
     """Headers, footers, signatures (after a label) and text."""
     return f"""
-    SELECT page, idx, CASE WHEN y2 <= {HEIGHT} * 0.12 THEN 'header' WHEN y1 >= {HEIGHT} * 0.8 THEN 'footer' WHEN prev IN ('w7', 'w8') AND conf < 50 THEN 'signature' ELSE 'text' END AS role
+    SELECT page, idx, CASE WHEN y2 <= {HEIGHT} * {head} THEN 'header' WHEN y1 >= {HEIGHT} * {foot} THEN 'footer' WHEN prev IN ('w7', 'w8') AND conf < 50 THEN 'signature' ELSE 'text' END AS role
     FROM (SELECT *, lag(word) OVER (PARTITION BY page ORDER BY y1, x1, idx) AS prev FROM {boxes})"""
 
 

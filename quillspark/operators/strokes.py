@@ -96,10 +96,10 @@ def turn_changes(d: Spark, points: str) -> str:
     FROM (SELECT stroke, c, lag(c) OVER ({W}) AS p FROM (SELECT stroke, i, dx * ey - dy * ex AS c FROM ({steps(points)}) WHERE dx IS NOT NULL AND ex IS NOT NULL)) GROUP BY stroke"""
 
 
-@operator("points")
-def jitter(d: Spark, points: str) -> str:
-    """Steps that go against where the stroke is two points on."""
-    return f"SELECT stroke, count_if(dx * (x2 - x) + dy * (y2 - y) < 0) AS reversals, count(*) AS steps FROM (SELECT *, lead(x, 2) OVER ({W}) AS x2, lead(y, 2) OVER ({W}) AS y2 FROM ({steps(points)})) WHERE dx IS NOT NULL AND x2 IS NOT NULL GROUP BY stroke"
+@operator("points", ahead=5)
+def jitter(d: Spark, points: str, ahead: int) -> str:
+    """Steps that go against where the stroke is some points on."""
+    return f"SELECT stroke, count_if(dx * (x2 - x) + dy * (y2 - y) < 0) AS reversals, count(*) AS steps FROM (SELECT *, lead(x, {ahead}) OVER ({W}) AS x2, lead(y, {ahead}) OVER ({W}) AS y2 FROM ({steps(points)})) WHERE dx IS NOT NULL AND x2 IS NOT NULL GROUP BY stroke"
 
 
 @operator("points")

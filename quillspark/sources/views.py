@@ -48,7 +48,7 @@ VIEWS = {
 #: A page is an order, a box a line item: places and sizes follow from keys.
 _BOXES = """
 SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS idx, x1, y1, x1 + 20 + CAST(l_quantity AS INT) * 3 AS x2, y1 + 12 + CAST(l_suppkey % 9 AS INT) AS y2,
-       CAST(l_partkey % 100 AS INT) AS conf, concat('w', {text}) AS word
+       CAST(l_partkey % 100 AS INT) AS conf, CASE l_partkey % 50 WHEN 9 THEN '>' ELSE concat('w', {text}) END AS word
 FROM (SELECT *, CAST((l_partkey * 13) % 760 AS INT) AS x1, CAST((l_suppkey * 17) % 240 AS INT) AS y1 FROM {lineitem})
 """
 VIEWS["boxes"] = View(("lineitem",), _BOXES.format(text="cast(l_partkey % 50 AS string)", lineitem="{lineitem}"), _BOXES.format(text="CAST(l_partkey % 50 AS VARCHAR)", lineitem="lineitem"))

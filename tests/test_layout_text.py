@@ -64,8 +64,12 @@ def test_two_columns_and_a_gutter(spark):
 
 
 def test_noise_filter_keeps_a_page_of_nothing_but_noise(spark):
-    noisy = [(1, 0, 0, 0, 5, 5, 10, "a"), (2, 0, 0, 0, 5, 5, 10, "a"), (2, 1, 0, 0, 90, 20, 90, "abc")]
-    assert sorted(map(tuple, layout.micro_noise_filter(boxes=spark.createDataFrame(noisy, BOX)).collect())) == [(1, 0), (2, 1)]
+    noisy = [(1, 0, 0, 0, 5, 5, 10, "a"), (2, 0, 0, 0, 5, 50, 90, "abc"), (2, 1, 0, 0, 90, 20, 90, "abc"), (2, 2, 0, 0, 90, 20, 39, "ab"), (2, 3, 0, 0, 20, 22, 90, ">")]
+    df = spark.createDataFrame(noisy, BOX)
+    assert sorted(map(tuple, layout.micro_noise_filter(boxes=df).collect())) == [(1, 0), (2, 1), (2, 3)]
+    assert [tuple(r) for r in layout.standalone_icons(boxes=df).collect()] == [(2, 3)]
+    tall = spark.createDataFrame([(1, i, 0, 0, 50, 20 + 80 * (i == 3), 80 + 15 * (i == 2), "w") for i in range(4)] + [(2, 0, 0, 0, 50, 200, 10, "w")], BOX)
+    assert sorted(map(tuple, layout.outlier_filter(boxes=tall).collect())) == [(1, 0), (1, 1), (1, 2), (2, 0)]
 
 
 def points(*strokes_):
