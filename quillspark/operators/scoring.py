@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillspark.operators.base import Spark, operator
 from quillspark.operators.strokes import metrics
-from quillspark.operators.text import FREQUENCY, medicines
+from quillspark.operators.text import FREQUENCY, medicines, without_letters
 
 #: Expected ranges and weights of handwriting features.
 RANGES = {"spacing": (0.5, 0.3), "baseline": (5.0, 0.25), "stroke": (0.2, 0.2), "slant": (10.0, 0.25)}
@@ -183,5 +183,9 @@ def spelling_candidates(d: Spark, documents: str) -> str:
     """For words seen once, the lexicon word of best gain: how common it is, less its edits; only where that beats a margin."""
     words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', '[a-z]{4,9}')} AS ws FROM {documents} WHERE lang = 'en') x {d.rows('ws', 'y', 'token')}) GROUP BY lower(token)"
     return f"""
-    WITH t AS ({words}), p AS (SELECT a.w, b.w AS c, round(log10(CAST(b.n AS DOUBLE)) * 2 - 1.2 * levenshtein(a.w, b.w), 6) AS gain FROM t a JOIN t b ON left(a.w, 2) = left(b.w, 2) AND length(a.w) = length(b.w) WHERE a.n = 1 AND b.n >= 10 AND levenshtein(a.w, b.w) <= 2)
+    WITH t AS ({words}),
+    rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1', '2')}),
+    lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 10', '2')}),
+    pairs AS (SELECT DISTINCT r.w, l.w AS c FROM rare r JOIN lex l ON r.v = l.v WHERE left(r.w, 1) = left(l.w, 1)),
+    p AS (SELECT a.w, a.c, round(log10(CAST(b.n AS DOUBLE)) * 2 - 1.2 * levenshtein(a.w, a.c), 6) AS gain FROM pairs a JOIN t b ON a.c = b.w WHERE levenshtein(a.w, a.c) <= 2)
     SELECT w AS word, c AS correction, gain FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY gain DESC, c) AS r FROM p) WHERE r = 1 AND gain > 0.3"""

@@ -212,7 +212,7 @@ def word_rarity(d: Spark, documents: str) -> str:
     return f"WITH l AS ({_lexicon(d, documents, 3)}) SELECT term, n, round(greatest(0, log10(CAST((SELECT max(n) FROM l) AS DOUBLE) / n) - 3), 6) AS rarity FROM l"
 
 
-def _without_letters(d: Spark, words: str, budget: str) -> str:
+def without_letters(d: Spark, words: str, budget: str) -> str:
     """(w, v): every string that a word gives with up to ``budget`` (1 or 2) letters left out, but its first.
 
     Words of equal first letters within that many edits share one. Two places i < j beyond the first letter
@@ -232,8 +232,8 @@ def fuzzy_lexicon_match(d: Spark, documents: str) -> str:
     budget = "CASE WHEN length(w) <= 6 THEN 1 ELSE 2 END"
     return f"""
     WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, f"(SELECT doc_id, text FROM {documents} WHERE lang = 'en')", 'doc_id')}) GROUP BY lower(token)),
-    rare AS ({_without_letters(d, 'SELECT w FROM t WHERE n = 1 AND length(w) BETWEEN 5 AND 12', budget)}),
-    lex AS ({_without_letters(d, 'SELECT w FROM t WHERE n >= 5 AND length(w) BETWEEN 4 AND 14', '2')}),
+    rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1 AND length(w) BETWEEN 5 AND 12', budget)}),
+    lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 5 AND length(w) BETWEEN 4 AND 14', '2')}),
     pairs AS (SELECT DISTINCT r.w, l.w AS term FROM rare r JOIN lex l ON r.v = l.v),
     near AS (SELECT w, term, levenshtein(w, term) AS dist FROM pairs),
     best AS (SELECT w, term, dist, min(dist) OVER (PARTITION BY w) AS least FROM near WHERE dist <= {budget})

@@ -154,3 +154,20 @@ def test_measures_of_a_stroke_drawn_well_backwards_across_and_not_at_all(spark):
     df = spark.createDataFrame([(i, [[float(v) for v in p] for p in w]) for i, w in enumerate(ways)], "i int, p array<array<double>>")
     got = [r.h.direction for r in df.orderBy("i").select(stroke_heading("p").alias("h")).collect()]
     assert got[:5] == ["right", "left", "down", "clockwise-oval", "unknown"]
+
+
+def test_fuzzy_matches_equal_comparing_every_pair(spark):
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    common, rare = sorted({word(rnd.randrange(4, 10)) for _ in range(25)}), sorted({word(rnd.randrange(5, 11)) for _ in range(80)})
+    words = common * 6 + [w for w in rare if w not in common]
+    rnd.shuffle(words)
+    docs = spark.createDataFrame([(1, "en", " ".join(words)), (2, "de", "ignored words here"), (3, "en", None)], "doc_id long, lang string, text string")
+    got = {r.word: (r.term, r.distance) for r in text_ops.fuzzy_lexicon_match(documents=docs).collect()}
+    want = {}
+    for w in rare:
+        near = sorted((text._edits(list(w), list(c)), c) for c in common if c[0] == w[0])
+        near = [x for x in near if x[0] <= (1 if len(w) <= 6 else 2)]
+        if w not in common and near and (len(near) == 1 or near[1][0] > near[0][0]):
+            want[w] = (near[0][1], near[0][0])
+    assert got == want and len(want) > 5
