@@ -244,7 +244,10 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     whole = marks.filter("not single").select("h", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"))
     # The phrases of one text: bounded by its length.
     wanted = marks.filter("contested").groupBy("h").agg(F.collect_list(F.struct("at", "n", "th", "eh", "single", "heavy")).alias("marks"))
-    contested = written(_cut(keyed.join(wanted, "h"), length))
+    contested = _cut(keyed.join(wanted, "h"), length)
+    if marks.filter("contested and heavy").isEmpty():  # as a rule: then one pass needs no table
+        return whole.unionByName(_light(contested, length))
+    contested = written(contested)
     return whole.unionByName(_light(contested.filter("not heavy"), length)).unionByName(_heavy(contested.filter("heavy"), length))
 
 
