@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment as the score.
+"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman alignment as the score.
 
-A first pass counts in how many documents each n-gram of a test item occurs. An item's seeds are those
-n-grams that are rare, or at least no commoner than its others (a passage that leaked into a third of
-all documents keeps its seeds). A second pass finds seeds in whole texts, and aligns the item with the
-words around them; the score is the best local alignment as a share of the item's alignment with
-itself. The index of a block of items is bounded by ``block_grams``: a larger benchmark is taken in
-several blocks, each with passes of its own, so that nothing unbounded is broadcast.
+Every n-gram of a test item is a seed, however common: one edited copy in many documents leaves only
+common n-grams whole. One pass finds seeds in whole texts, and aligns the item with the words around
+them; the score is the best local alignment as a share of the item's alignment with itself. The index
+of a block of items is bounded by ``block_grams``: a larger benchmark is taken in several blocks, each
+with a pass of its own, so that nothing unbounded is broadcast.
 
 Defined results: null and empty texts and items match nothing; items of fewer words than a seed has one
 seed of them all; repeated rows are reported once a row; rows with null item_id take part.
@@ -25,8 +24,6 @@ from quillspark.llm.common import prepare, read, text_of
 from quillspark.llm.textbytes import shingles, slices, words
 
 SEED_WORDS = 4
-#: A seed is rare in at most this many documents, or this many times the median of its item's n-grams.
-RARE, COMMON = 20, 10
 LEAKED = 0.5
 BLOCK_GRAMS = 500_000
 MATCH, MISMATCH, SPACE = 2, -1, 1
@@ -48,9 +45,6 @@ class Items:
         self.screen = np.zeros(1 << FILTER_BITS, bool)
         self.screen[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def kept(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.gram[keep], self.item[keep], self.place[keep])
-
     def hits(self, value: np.ndarray) -> np.ndarray:
         """Where ``value`` is a gram of some item."""
         at = np.flatnonzero(self.screen[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -124,39 +118,6 @@ def _blocks(benchmark: DataFrame, block_grams: int, text: str) -> Iterator[Items
         yield items_of(rows)
 
 
-def with_seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
-    """Only the n-grams that are seeds, by the documents that hold them."""
-    prepare(docs.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.gram), np.int64)
-        for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(0)):
-                h, _, _, row = words(data, offsets)
-                value, of, _ = shingles(h, row, hi - lo, SEED_WORDS)
-                at = items.hits(value)
-                first = np.searchsorted(items.gram, value[at])
-                pair = np.unique(first * (hi - lo) + of[at])  # a document counts once
-                total += np.bincount(pair // max(hi - lo, 1), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "n"])
-
-    # As many rows as the block has n-grams at most.
-    rows = docs.select(text_of(text)).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(items.gram), np.int64)
-    for r in rows:
-        df[r.gram] = r.n
-    df = df[np.searchsorted(items.gram, items.gram)]  # equal n-grams are counted at the first of them
-    keep = df <= RARE
-    order = np.argsort(items.item, kind="stable")
-    bounds = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
-    for i in range(len(items.ids)):
-        own = order[bounds[i] : bounds[i + 1]]
-        if len(own):
-            keep[own] |= df[own] <= COMMON * np.median(df[own])
-    return items.kept(keep)
-
-
 def _found(items: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, item, score, seeds, last word) of each pair of a text and an item that share a seed, the best place only."""
     out: list[tuple] = []
@@ -199,8 +160,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     """(doc_id, item_id, score, n_seeds, last_word) of every document and item whose alignment reaches ``least``."""
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     out = None
-    for block in _blocks(benchmark, block_grams, item_text):
-        items = with_seeds(docs, block, text)
+    prepare(docs.sparkSession)
+    for items in _blocks(benchmark, block_grams, item_text):
         ids = pa.array(items.ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind])
 
         def find(batches: Iterator[pa.RecordBatch], items: Items = items, ids: pa.Array = ids) -> Iterator[pa.RecordBatch]:
@@ -218,8 +179,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: float = LEAKED, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The documents that hold no item; they aren't shuffled."""
     place = docs.columns.index(text)
-    for block in _blocks(benchmark, block_grams, item_text):
-        items = with_seeds(docs, block, text)
+    prepare(docs.sparkSession)
+    for items in _blocks(benchmark, block_grams, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

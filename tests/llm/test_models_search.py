@@ -110,6 +110,16 @@ def test_a_passage_in_a_third_of_all_documents_keeps_its_seeds(spark):
     assert {r.doc_id for r in got} == {i for i in range(240) if i % 3 == 0}
 
 
+def test_one_edited_copy_in_many_documents_is_found(spark):
+    words = [f"q{i}" for i in range(30)]
+    copy = " ".join(f"z{i}" if i % 5 == 2 else w for i, w in enumerate(words))
+    docs = [(i, f"head{i} {copy} tail{i}" if i % 2 else f"other words here number {i}") for i in range(200)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    score = brute_alignment(words, copy.split()) / 60
+    assert {(r.doc_id, r.score) for r in decontaminate.leaks(d, b).collect()} == {(i, score) for i in range(1, 200, 2)} and score > 0.6
+    assert {r.doc_id for r in decontaminate.decontaminated(d, b).collect()} == set(range(0, 200, 2))
+
+
 def test_empty_benchmark_and_documents(spark):
     d, b = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(d, b).count() == 0 and decontaminate.decontaminated(d, b).count() == 1
