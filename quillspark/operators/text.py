@@ -213,31 +213,47 @@ def word_rarity(d: Spark, documents: str) -> str:
 
 
 def without_letters(d: Spark, words: str, budget: str) -> str:
-    """(w, v): every string that a word gives with up to ``budget`` (1 or 2) letters left out, but its first.
+    """(w, v): every string that a word gives with up to ``budget`` (at most 3) letters left out.
 
-    Words of equal first letters within that many edits share one. Two places i < j beyond the first letter
-    are left out; those behind the word's end stand for none.
+    Words within that many edits share one. Letters go from left to right, ``p`` is the first that may go next;
+    a place behind the word's end stands for none.
     """
-    first = f"SELECT w, n, i, {d.span('i + 1', 'n + 2')} AS js FROM (SELECT w, CAST(length(w) AS BIGINT) AS n, {d.span('CAST(2 AS BIGINT)', 'CAST(length(w) + 1 AS BIGINT)')} AS ps FROM ({words})) x {d.rows('ps', 'y', 'i')}"
-    cut = "concat(substring(w, 1, CAST(i - 1 AS INT)), substring(w, CAST(i + 1 AS INT), CAST(j - i - 1 AS INT)), substring(w, CAST(j + 1 AS INT)))"
-    return f"SELECT w, {cut} AS v FROM ({first}) z {d.rows('js', 'u', 'j')} WHERE (j <= n + 1 OR i = n + 1) AND ({budget} = 2 OR j >= n + 1)"
+    out = f"SELECT w, w AS v, CAST(1 AS BIGINT) AS p, {budget} AS b FROM ({words})"
+    cut = "CASE WHEN i <= n THEN concat(substring(v, 1, CAST(i - 1 AS INT)), substring(v, CAST(i + 1 AS INT))) ELSE v END"
+    for step in (1, 2, 3) if budget != "2" else (1, 2):
+        last = "greatest(p, n + 1)"
+        places = d.span(f"CASE WHEN b >= {step} THEN p ELSE {last} END", last)
+        spans = f"SELECT w, v, b, n, {places} AS ps FROM (SELECT w, v, p, b, CAST(length(v) AS BIGINT) AS n FROM ({out}))"
+        out = f"SELECT w, {cut} AS v, CASE WHEN i <= n THEN i ELSE n + 2 END AS p, b FROM ({spans}) x {d.rows('ps', 'y', 'i')}"
+    return f"SELECT w, v FROM ({out})"
+
+
+def _nearest_terms(d: Spark, documents: str, same: str) -> str:
+    budget = "CASE WHEN length(w) <= 6 THEN 1 WHEN length(w) <= 10 THEN 2 ELSE 3 END"
+    return f"""
+    WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, f"(SELECT doc_id, text FROM {documents} WHERE lang = 'en')", 'doc_id')}) GROUP BY lower(token)),
+    rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1 AND length(w) >= 4', budget)}),
+    lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 5 AND length(w) >= 4', budget)}),
+    pairs AS (SELECT DISTINCT r.w, l.w AS term FROM rare r JOIN lex l ON r.v = l.v{same}),
+    near AS (SELECT w, term, levenshtein(w, term) AS dist FROM pairs),
+    best AS (SELECT w, term, dist, min(dist) OVER (PARTITION BY w) AS least FROM near WHERE dist <= {budget})
+    SELECT w AS word, min(term) AS term, CAST(min(dist) AS BIGINT) AS distance FROM best WHERE dist = least GROUP BY w HAVING count(*) = 1"""
 
 
 @operator("documents")
 def fuzzy_lexicon_match(d: Spark, documents: str) -> str:
-    """Rare words and the one lexicon term nearest in edit distance, within a budget by length; ties match nothing.
+    """Rare words and the one lexicon term of the same first letter nearest in edit distance, within a budget by length; ties match nothing.
 
-    Blocking is exact and linear: an equi-join on strings with up to two letters left out, then the distance.
+    Blocking is exact and linear: an equi-join on strings with up to three letters left out, then the distance. A term's
+    own budget is enough for its side: of a longer word more letters go, of a shorter one fewer.
     """
-    budget = "CASE WHEN length(w) <= 6 THEN 1 ELSE 2 END"
-    return f"""
-    WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, f"(SELECT doc_id, text FROM {documents} WHERE lang = 'en')", 'doc_id')}) GROUP BY lower(token)),
-    rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1 AND length(w) BETWEEN 5 AND 12', budget)}),
-    lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 5 AND length(w) BETWEEN 4 AND 14', '2')}),
-    pairs AS (SELECT DISTINCT r.w, l.w AS term FROM rare r JOIN lex l ON r.v = l.v),
-    near AS (SELECT w, term, levenshtein(w, term) AS dist FROM pairs),
-    best AS (SELECT w, term, dist, min(dist) OVER (PARTITION BY w) AS least FROM near WHERE dist <= {budget})
-    SELECT w AS word, min(term) AS term, CAST(min(dist) AS BIGINT) AS distance FROM best WHERE dist = least GROUP BY w HAVING count(*) = 1"""
+    return _nearest_terms(d, documents, " AND left(r.w, 1) = left(l.w, 1)")
+
+
+@operator("documents")
+def fuzzy_lexicon_match_any_letter(d: Spark, documents: str) -> str:
+    """As ``fuzzy_lexicon_match``, among terms of any first letter: a first letter misread, missing or too many is an edit like others."""
+    return _nearest_terms(d, documents, "")
 
 
 @operator("benchmark")

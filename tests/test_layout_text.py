@@ -171,3 +171,29 @@ def test_fuzzy_matches_equal_comparing_every_pair(spark):
         if w not in common and near and (len(near) == 1 or near[1][0] > near[0][0]):
             want[w] = (near[0][1], near[0][0])
     assert got == want and len(want) > 5
+
+
+def test_fuzzy_matches_of_all_lengths_and_first_letters_equal_comparing_every_pair(spark):
+    rnd = random.Random(10)
+    word = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+
+    def edited(w, n):
+        for _ in range(n):
+            i = rnd.choice([0, rnd.randrange(len(w))])
+            w = rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("abcd") + w[i + 1 :], w[:i] + rnd.choice("abcd") + w[i:]])
+        return w
+
+    common = sorted({word(n) for n in (4, 5, 6, 7, 9, 10, 11, 12, 13, 15, 18, 22) for _ in range(2)})
+    rare = [*sorted({edited(w, n) for w in common for n in (1, 2, 3, 4)} - set(common)), "lamb"]
+    common.append("lamp")
+    docs = spark.createDataFrame([(1, "en", " ".join(common * 6 + rare))], "doc_id long, lang string, text string")
+    for op, same in ((text_ops.fuzzy_lexicon_match, True), (text_ops.fuzzy_lexicon_match_any_letter, False)):
+        want = {}
+        for w in (w for w in rare if len(w) >= 4):
+            near = sorted((text._edits(list(w), list(c)), c) for c in common if not same or c[0] == w[0])
+            near = [x for x in near if x[0] <= (1 if len(w) <= 6 else 2 if len(w) <= 10 else 3)]
+            if near and (len(near) == 1 or near[1][0] > near[0][0]):
+                want[w] = (near[0][1], near[0][0])
+        assert {r.word: (r.term, r.distance) for r in op(documents=docs).collect()} == want
+        assert {len(w) > 12 for w in want} == {True, False} and any(x[1] == 3 for x in want.values()) and want["lamb"] == ("lamp", 1)
+    assert any(w[0] != x[0][0] for w, x in want.items())
