@@ -178,14 +178,21 @@ def template_sections(d: Spark, notes: str) -> str:
       FROM {notes} n JOIN (SELECT * FROM (VALUES {rows}) v(section, heading, ord)) t ON position(t.heading IN n.line) = 1) WHERE r = 1"""
 
 
+#: Letters, digits, underscores and all outside ASCII: a word is parted from the next by none of them.
+RUN = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
+
+
 @operator("documents")
 def spelling_candidates(d: Spark, documents: str) -> str:
-    """For words seen once, the lexicon word of best gain: how common it is, less its edits; only where that beats a margin."""
-    words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', '[a-z]{4,9}')} AS ws FROM {documents} WHERE lang = 'en') x {d.rows('ws', 'y', 'token')}) GROUP BY lower(token)"
+    """For words seen once, the lexicon word of best gain: how common it is, less its edits; only where that beats a margin.
+
+    Words are whole runs of three letters (a-z) or more, of any case and first letter.
+    """
+    words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', RUN)} AS ws FROM {documents} WHERE lang = 'en') x {d.rows('ws', 'y', 'token')}) WHERE {d.matches('token', '^[a-zA-Z]{3,}$')} GROUP BY lower(token)"
     return f"""
     WITH t AS ({words}),
     rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1', '2')}),
     lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 10', '2')}),
-    pairs AS (SELECT DISTINCT r.w, l.w AS c FROM rare r JOIN lex l ON r.v = l.v WHERE left(r.w, 1) = left(l.w, 1)),
+    pairs AS (SELECT DISTINCT r.w, l.w AS c FROM rare r JOIN lex l ON r.v = l.v),
     p AS (SELECT a.w, a.c, round(log10(CAST(b.n AS DOUBLE)) * 2 - 1.2 * levenshtein(a.w, a.c), 6) AS gain FROM pairs a JOIN t b ON a.c = b.w WHERE levenshtein(a.w, a.c) <= 2)
     SELECT w AS word, c AS correction, gain FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY gain DESC, c) AS r FROM p) WHERE r = 1 AND gain > 0.3"""

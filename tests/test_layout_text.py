@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import layout, strokes
+from quillspark.operators import layout, scoring, strokes
 from quillspark.operators import text as text_ops
 
 BOX = "page long, idx int, x1 int, y1 int, x2 int, y2 int, conf int, word string"
@@ -197,3 +197,11 @@ def test_fuzzy_matches_of_all_lengths_and_first_letters_equal_comparing_every_pa
         assert {r.word: (r.term, r.distance) for r in op(documents=docs).collect()} == want
         assert {len(w) > 12 for w in want} == {True, False} and any(x[1] == 3 for x in want.values()) and want["lamb"] == ("lamp", 1)
     assert any(w[0] != x[0][0] for w, x in want.items())
+
+
+def test_spelling_candidates_take_whole_words_of_any_length_case_and_first_letter(spark):
+    words = ["cat", "window", "Electricity", "incomprehensibilities"] * 40
+    rare = ["bat", "Xindow", "electricitty", "ncomprehensibilitie", "windoww1", "Zz"]
+    docs = spark.createDataFrame([(1, "en", " ".join(words + rare)), (2, "de", "windo"), (3, "en", None)], "doc_id long, lang string, text string")
+    got = {r.word: r.correction for r in scoring.spelling_candidates(documents=docs).collect()}
+    assert got == {"bat": "cat", "xindow": "window", "electricitty": "electricity", "ncomprehensibilitie": "incomprehensibilities"}
