@@ -40,7 +40,7 @@ FAMILIES = (
     ("gfdl-1.3", "gfdl 1 3", "gfdl|gnu", "gnu fdl|gfdl|gnu free documentation license", "1{g}3"),
     ("apache-1.1", "apache 1 1", "apache", "apache software license|apache license|apache", "1{g}1"),
     ("apache-2.0", "apache 2 0", "apache", "apache software license|apache license|apache", "2(?:{g}0)?"),
-    ("mit", "mit", "mit", "mit|expat", ""),
+    ("mit", "mit", "mit|expat", "mit|expat", ""),
     ("mit-0", "mit 0", "mit", "mit no attribution", ""),
     ("bsd-2-clause", "bsd 2 clause", "bsd", "simplified bsd|2 clause bsd|bsd 2 clause|freebsd", ""),
     ("bsd-3-clause", "bsd 3 clause", "bsd", "new bsd|revised bsd|3 clause bsd|bsd 3 clause|modified bsd", ""),
@@ -76,14 +76,14 @@ FAMILIES = (
     ("cc-by-nc-nd-4.0", "cc by nc nd 4 0", "cc{g}by|creative commons", "creative commons attribution noncommercial noderivatives|cc by nc nd", "4{g}0"),
 )
 
-#: Form, context keyword, pattern ({n} name, {s} SPDX words, {v} version, {g} gap), priority, confidence.
-#: Higher priorities outrank lower ones.
+#: Form, context keywords, pattern ({n} name, {s} SPDX words, {v} version, {d} its first digit, {g} gap), priority,
+#: confidence. Every match of a pattern holds one of its context keywords and one of its family's. Higher priorities outrank lower ones.
 FORMS = (
     ("spdx", "spdx", "spdx{g}license{g}identifier{g}{s}(?:{g}(?:only|or{g}later))?", 6, 1.0),
     ("licensed-version", "licen", "licen[sc]ed{g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?{g}(?:version{g}|v)?{v}", 5, 0.98),
     ("licensed", "licen", "licen[sc]ed{g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?", 4, 0.9),
-    ("released", "under", "(?:released|distributed|available|published){g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?(?:{g}(?:version{g}|v)?{v})?", 4, 0.9),
-    ("name-version", "licen", "(?:{n})(?:{g}licen[sc]e)?{g}(?:version{g}|v){v}", 3, 0.85),
+    ("released", "released under|distributed under|available under|published under", "(?:released|distributed|available|published){g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?(?:{g}(?:version{g}|v)?{v})?", 4, 0.9),
+    ("name-version", "version {d}|v{d}", "(?:{n})(?:{g}licen[sc]e)?{g}(?:version{g}|v){v}", 3, 0.85),
     ("name", "licen", "(?:{n}){g}licen[sc]e", 2, 0.7),
 )
 
@@ -130,19 +130,19 @@ def rules() -> list[Rule]:
             if form in ("licensed", "name") and version:
                 label = label.rsplit("-", 1)[0]  # no version said
             body = pattern.replace("{n}", _words(names)).replace("{s}", _words(spdx)).replace("{v}", version or "(?!)").replace("{g}", gap)
-            out.append(Rule(len(out), label, context, family.replace("{g}", " "), _bounded(body), priority, confidence))
+            out.append(Rule(len(out), label, context.replace("{d}", version[:1]), family.replace("{g}", " "), _bounded(body), priority, confidence))
     for label, keyword, pattern, priority, confidence in SINGLE:
         out.append(Rule(len(out), label, keyword, keyword, _bounded(pattern.replace("{g}", gap)), priority, confidence))
     return out
 
 
 def _keywords(table: list[Rule]) -> list[str]:
-    return sorted({k for r in table for k in [r.context, *r.family.split("|")]}, key=lambda k: (-len(k), k))
+    return sorted({k for r in table for k in [*r.context.split("|"), *r.family.split("|")]}, key=lambda k: (-len(k), k))
 
 
 def _rule_table(table: list[Rule]) -> str:
     rows = ", ".join(
-        f"named_struct('label', {sql_text(r.label)}, 'ctx', {sql_text(r.context)}, 'fam', array({', '.join(map(sql_text, r.family.split('|')))}), "
+        f"named_struct('label', {sql_text(r.label)}, 'ctx', array({', '.join(map(sql_text, r.context.split('|')))}), 'fam', array({', '.join(map(sql_text, r.family.split('|')))}), "
         f"'pattern', {sql_text(r.pattern)}, 'prio', {r.priority}, 'conf', {r.confidence}D, 'ord', {r.order})"
         for r in table
     )
@@ -163,8 +163,7 @@ def detect_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | Non
     df = df.withColumn("n_words", F.expr(f"cast(regexp_count(__t, {sql_text(WORD + '+')}) as bigint)"))
 
     # Context words open the scan; without one, and without a base phrase, no rule can match.
-    contexts = "|".join(sorted({r.context for r in table if " " not in r.context and r.context != "under"}) + [_words(r.context) for r in table if " " in r.context])
-    gate = rf"(?i){contexts}|cc{GAP}+by|(?:released|distributed|available|published){GAP}+under"
+    gate = "(?i)" + "|".join(_words(k) for k in sorted({k for r in table for k in r.context.split("|")} | {phrase for phrase, _ in BASE}))
     df = df.withColumn("__g", F.expr(f"__t rlike {sql_text(gate)}"))
 
     base = ", ".join(f"transform({spans('__t', sql_text(_bounded(_words(phrase))))}, x -> named_struct('s', x.s, 'e', x.e, 'label', {sql_text(label)}))" for phrase, label in BASE)
@@ -175,7 +174,7 @@ def detect_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | Non
     df = df.withColumn("__k", F.expr(f"case when __g then array_distinct(transform(regexp_extract_all(__t, {sql_text('(?i)(?=(' + found + '))')}, 1), x -> {lower})) end"))
     # lookahead hits give the longest keyword at a place; shorter ones inside it count as well
     has = "exists(__k, k -> contains(k, {}))"
-    live = f"filter({_rule_table(table)}, r -> {has.format('r.ctx')} and exists(r.fam, f -> {has.format('f')}))"
+    live = f"filter({_rule_table(table)}, r -> exists(r.ctx, c -> {has.format('c')}) and exists(r.fam, f -> {has.format('f')}))"
     every = f"flatten(transform({live}, r -> transform({spans('__t', 'r.pattern')}, x -> named_struct('s', x.s, 'ne', -x.e, 'np', -r.prio, 'ord', r.ord, 'label', r.label, 'conf', r.conf))))"
     # In order of start, then widest, then priority: a match is inside one that outranks it if a row
     # before it of at least its priority ends no earlier. tops[p] holds the furthest end at priority >= p.

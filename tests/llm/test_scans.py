@@ -64,6 +64,34 @@ def test_hundreds_of_rules_each_compile_and_match_something():
     assert len(rules) > 200 and all(re.compile(r.pattern.replace("(?i)", "", 1), re.I) for r in rules)
 
 
+def ungated(text):
+    found = sorted((m.start(), -m.end(), -r.priority, r.order, r.label) for r, p in PATTERNS for m in p.finditer(text))
+    out = []
+    for i, (s, e, prio, order, label) in enumerate(found):
+        if not any(x[2] <= prio and x[1] <= e for x in found[:i]):
+            out.append((s, -e, label, -prio, order))
+    return out
+
+
+PATTERNS = [(r, re.compile(r.pattern.replace("(?i)", "", 1), re.I | re.A)) for r in licenses.rules()]
+
+
+def test_gates_lose_no_match_of_any_rule(spark):
+    texts = ["GNU GPL version 3", "Apache version 2.0", "MPL v2.0", "CC BY version 4.0", "the Expat License", "released under Expat", "cc-by 4.0"]
+    tails = {r: t for r, t in zip(("public-domain", "all-rights-reserved", "copyright-notice", "permission-notice"), ("in the public domain", "All rights reserved", "Copyright (c) 2020", "Permission is hereby granted, free of charge"), strict=True)}
+    for _, spdx, _, names, version in licenses.FAMILIES:
+        v = version.replace("(?:{g}0)?", "").replace("{g}", ".")
+        texts.append(f"SPDX-License-Identifier: {spdx.replace(' ', '-')}")
+        for n in names.split("|"):
+            texts += [f"Licensed under the {n}", f"published under {n}", f"{n} license", f"{n.title()} Licence"]
+            texts += [f"licensed under {n} {v}", f"available under the {n}, version {v}", f"{n} v{v}", f"{n}, Version {v}"] if v else []
+    texts += tails.values()
+    texts = [f"x {t}." for t in dict.fromkeys(texts)]
+    assert {r.order for t in texts for r, p in PATTERNS if p.search(t)} == {r.order for r, _ in PATTERNS}
+    got = licenses.detect_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.text: [(d.s, d.e, d.label, d.prio, d.ord) for d in r.detections] for r in got} == {t: ungated(t) for t in texts}
+
+
 def test_empty_table_of_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.detect_licenses(empty).count() == 0
