@@ -1,13 +1,12 @@
-"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman alignment as the score.
+"""Benchmark decontamination: word pairs as seeds, Smith-Waterman alignment as the score.
 
-Every n-gram of a test item is a seed, however common: one edited copy in many documents leaves only
-common n-grams whole. One pass finds seeds in whole texts, and aligns the item with the words around
+Every pair of words one or two places apart in a test item is a seed, however common. One pass finds seeds in whole texts, and aligns the item with the words around
 them; the score is the best local alignment as a share of the item's alignment with itself. The index
 of a block of items is bounded by ``block_grams``: a larger benchmark is taken in several blocks, each
 with a pass of its own, so that nothing unbounded is broadcast.
 
-Defined results: null and empty texts and items match nothing; items of fewer words than a seed has one
-seed of them all; repeated rows are reported once a row; rows with null item_id take part.
+Defined results: null and empty texts and items match nothing; an item of which one
+word would reach the score counts only where it stands whole; repeated rows are reported once a row; rows with null item_id take part.
 """
 
 from __future__ import annotations
@@ -21,9 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import prepare, read, text_of
-from quillspark.llm.textbytes import shingles, slices, words
+from quillspark.llm.textbytes import mixed, slices, words
 
-SEED_WORDS = 4
 LEAKED = 0.5
 BLOCK_GRAMS = 500_000
 MATCH, MISMATCH, SPACE = 2, -1, 1
@@ -32,13 +30,13 @@ FILTER_BITS = 20
 
 @dataclass
 class Items:
-    """Word hashes of a block of items and their n-grams; ``gram``, ``item`` and ``place`` go together, by gram."""
+    """Word hashes of a block of items and their word pairs; ``gram``, ``item`` and ``step`` go together, by gram."""
 
     ids: list
     words: list[np.ndarray]
     gram: np.ndarray
     item: np.ndarray
-    place: np.ndarray
+    step: np.ndarray
     screen: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -54,21 +52,28 @@ class Items:
         return at[self.gram[i] == value[at]]
 
 
-def items_of(rows: list[tuple], n: int = SEED_WORDS) -> Items:
-    """rows: (item_id, text)."""
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(mixed(a + np.uint64(1)) + mixed(b + np.uint64(2)))
+
+
+def items_of(rows: list[tuple]) -> Items:
+    """rows: (item_id, text). Pairs are of words one or two places apart; a lone word is a pair with itself, of step 0."""
     column = pa.array([t or "" for _, t in rows], pa.string())
-    every, gram, item, place = [], [], [], []
+    every: list[np.ndarray] = []
     for lo, hi, data, offsets in slices(column):
         h, _, _, row = words(data, offsets)
-        value, of, at = shingles(h, row, hi - lo, n)
         first = np.searchsorted(row, np.arange(hi - lo + 1))
         every += [h[first[i] : first[i + 1]] for i in range(hi - lo)]
-        gram.append(value)
-        item.append(of + lo)
-        place.append(at - first[of])
-    gram, item, place = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((gram, np.uint64), (item, np.int64), (place, np.int64)))
+    gram, item, step = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, w in enumerate(every):
+        for d in (0,) if len(w) == 1 else (1, 2):
+            pairs = _pair(w[: max(len(w) - d, 0)], w[d:])
+            gram.append(pairs)
+            item.append(np.full(len(pairs), i))
+            step.append(np.full(len(pairs), d))
+    gram, item, step = (np.concatenate(x) for x in (gram, item, step))
     order = np.argsort(gram, kind="stable")
-    return Items([i for i, _ in rows], every, gram[order], item[order], place[order])
+    return Items([i for i, _ in rows], every, gram[order], item[order], step[order])
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,42 +123,64 @@ def _blocks(benchmark: DataFrame, block_grams: int, text: str) -> Iterator[Items
         yield items_of(rows)
 
 
-def _found(items: Items, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, score, seeds, last word) of each pair of a text and an item that share a seed, the best place only."""
+def _found(items: Items, column: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, score, seeds, last word) of each pair of a text and an item that reaches ``least``, the best place only.
+
+    Of L words, M in line and a cost of B, a score of ``least`` needs 2 M - B >= 2 L least. So among the M - 1 steps
+    from one word in line to the next, those without cost, counted twice, and those of cost one add up to
+    2 L least - 2 at least, within M + B <= 3 L - 2 L least words of the text. Both kinds are seeds.
+    """
     out: list[tuple] = []
+    length = np.array([len(x) for x in items.words], np.int64)
+    own = np.where(length * least > 1 + 1e-9, least, 1.0)  # where one word would do, only the whole item does
+    need = np.maximum(np.ceil(2 * length * own - 2 - 1e-9).astype(np.int64), 1)
+    span = np.ceil(3 * length - 2 * length * own).astype(np.int64)
+    pad = int(span.max(initial=0)) + 1
     for lo, hi, data, offsets in slices(column):
         h, _, _, row = words(data, offsets)
-        value, of, at = shingles(h, row, hi - lo, SEED_WORDS)
-        hit = items.hits(value)
-        left, right = np.searchsorted(items.gram, value[hit]), np.searchsorted(items.gram, value[hit], "right")
-        n = right - left
-        which = np.repeat(np.arange(len(hit)), n)
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
-        r, w, item, place = of[hit][which], at[hit][which], items.item[entry], items.place[entry]
-        order = np.lexsort((w, item, r))
-        r, w, item, place = r[order], w[order], item[order], place[order]
-        length = np.array([len(x) for x in items.words], np.int64)
-        if not len(r):
-            continue
-        # A place ends where the next seed of the pair is more than an item's length away.
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (w[1:] - w[:-1] > length[item[1:]])])
-        start = np.flatnonzero(new)
         bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-        margin = length[item] // 4 + 2
-        first = np.maximum(np.minimum.reduceat(w - place - margin, start), bounds[r[start]])
-        last = np.minimum(np.maximum.reduceat(w - place + length[item] + margin, start), bounds[r[start] + 1])
-        seeds = np.diff(np.concatenate([start, [len(r)]]))
-        top, end = align([items.words[i] for i in item[start]], [h[a:b] for a, b in zip(first, last, strict=True)])
-        score = top / (MATCH * length[item[start]])
-        out.append((r[start] + lo, item[start], score, seeds, first + end - bounds[r[start]]))
+        at, item, weight = [], [], []
+        for d in (0, 1, 2):
+            value = _pair(h[: max(len(h) - d, 0)], h[d:])
+            hit = items.hits(value)
+            hit = hit[row[hit] == row[hit + d]]
+            left = np.searchsorted(items.gram, value[hit])
+            n = np.searchsorted(items.gram, value[hit], "right") - left
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+            step = items.step[entry]
+            ok = (step > 0) == (d > 0)
+            at.append(np.repeat(hit, n)[ok])
+            item.append(items.item[entry][ok])
+            weight.append(1 + (step[ok] == 1) * (d == 1))
+        at, item, weight = (np.concatenate(x) for x in (at, item, weight))
+        # One line for each item; rows lie further apart than any span.
+        key = item * (len(h) + pad * (hi - lo + 1)) + at + row[at] * pad
+        order = np.argsort(key, kind="stable")
+        key, at, item, total = key[order], at[order], item[order], np.concatenate([[0], np.cumsum(weight[order])])
+        stop = np.searchsorted(key, key + span[item], "right")
+        good = np.flatnonzero(total[stop] - total[:-1] >= need[item])
+        if not len(good):
+            continue
+        # A place ends where the next is too far away for one alignment to reach both.
+        start = np.flatnonzero(np.concatenate([[True], np.diff(key[good]) > 2 * pad]) | np.concatenate([[True], np.diff(row[at[good]]) != 0]) | np.concatenate([[True], np.diff(item[good]) > 0]))
+        head, tail = good[start], good[np.concatenate([start[1:], [len(good)]]) - 1]
+        i, r = item[head], row[at[head]]
+        first = np.maximum(at[head] - span[i], bounds[r])
+        last = np.minimum(at[tail] + span[i] + 1, bounds[row[at[tail]] + 1])
+        top, end = align([items.words[k] for k in i], [h[a:b] for a, b in zip(first, last, strict=True)])
+        score = top / (MATCH * length[i])
+        keep = score >= own[i]
+        out.append(tuple(x[keep] for x in (r + lo, i, score, stop[tail] - head, first + end - bounds[r])))
     if not out:
         return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.float64, np.int64, np.int64))
     r, item, score, seeds, end = (np.concatenate(c) for c in zip(*out, strict=True))
+    if not len(r):
+        return r, item, score, seeds, end
     order = np.lexsort((end, -score, item, r))
     r, item, score, seeds, end = (c[order] for c in (r, item, score, seeds, end))
     best = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])])
-    total = np.add.reduceat(seeds, np.flatnonzero(best))
-    return r[best], item[best], score[best], total, end[best]
+    seeds = np.add.reduceat(seeds, np.flatnonzero(best))
+    return r[best], item[best], score[best], seeds, end[best]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: float = LEAKED, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -166,7 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
 
         def find(batches: Iterator[pa.RecordBatch], items: Items = items, ids: pa.Array = ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                r, item, score, seeds, end = _found(items, batch.column(1))
+                r, item, score, seeds, end = _found(items, batch.column(1), least)
                 keep = score >= least
                 columns = [batch.column(0).take(pa.array(r[keep])), ids.take(pa.array(item[keep])), *(pa.array(x[keep]) for x in (score, seeds, end))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "n_seeds", "last_word"])
@@ -184,7 +211,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                r, _, score, _, _ = _found(items, batch.column(place))
+                r, _, score, _, _ = _found(items, batch.column(place), least)
                 clean = np.ones(batch.num_rows, bool)
                 clean[r[score >= least]] = False
                 yield batch.filter(pa.array(clean))

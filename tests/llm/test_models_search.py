@@ -120,6 +120,27 @@ def test_one_edited_copy_in_many_documents_is_found(spark):
     assert {r.doc_id for r in decontaminate.decontaminated(d, b).collect()} == set(range(0, 200, 2))
 
 
+def test_leaks_equal_aligning_every_pair_and_short_items_are_found_in_longer_texts(spark):
+    rnd = random.Random(8)
+    items = [(n, [f"i{n}x{k % 7 if n == 20 else k}" for k in range(n)]) for n in (1, 2, 3, 4, 9, 20, 30)]
+    docs = []
+    for d in range(140):
+        w = items[d % len(items)][1]
+        p = rnd.choice([0.0, 0.15, 0.3])
+        copy = [x for k in w for x in rnd.choice([[k, "ins"], ["sub"], []] if rnd.random() < p else [[k]])]
+        copy = {0: copy, 1: [x for k in w for x in (k, "ins")], 2: ["sub" if k % 4 == 3 else x for k, x in enumerate(w)]}[d // 7 % 4 % 3]
+        docs.append((d, ["a", "b"] * rnd.randrange(4) + copy + ["c"] * rnd.randrange(5)))
+    want = set()
+    for d, t in docs:
+        for i, w in items:
+            score = brute_alignment(w, t) / (2 * len(w))
+            if score >= (0.5 if len(w) > 2 else 1):
+                want.add((d, i, score))
+    frame = lambda rows, c: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{c} long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and {i for _, i, _ in want} == {i for i, _ in items} and len(want) > 60
+
+
 def test_empty_benchmark_and_documents(spark):
     d, b = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(d, b).count() == 0 and decontaminate.decontaminated(d, b).count() == 1
