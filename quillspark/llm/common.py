@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
+#: Used only where no checkpoint folder is set and the session runs on this machine alone, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/quillspark"
 
 
@@ -29,16 +29,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside the folder that all executors share.
 
-    What is written there may be read until the session ends, and goes with that folder; where it is
-    our own on one machine, it goes when the driver ends.
+    That folder is the one of ``spark.checkpoint.dir``, or else of ``SparkContext.setCheckpointDir``. Without
+    either, sessions on one machine use a local one and others raise. What is written there may be read until
+    the driver ends, and goes then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(base or LOCAL_CHECKPOINTS).rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_CHECKPOINTS
+    path = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
     return path
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder; a session that has ended, or a folder that nothing was written to, is no error."""
+    with contextlib.suppress(Exception):
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like ``names`` that ``df`` has none of, whatever their case."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while any(f"__{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return tuple(f"__{n}{tail}" for n in names)
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and fixes rows once and for all."""
     spark = df.sparkSession

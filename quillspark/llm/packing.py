@@ -2,14 +2,18 @@
 
 Texts are tokenised once; longer documents are cut so that all pieces but the first are whole
 sequences. The rest is dealt by hash into partitions of bounded size, each packed best-fit
-decreasing. Dual feasible functions give a lower bound on each partition's sequences, which certifies
-one that meets it, and on those of all of them, from the counts of lengths. While there is a gap to the
-latter, partitions exchange: the documents of sequences that aren't full go into pools that draw on
-many partitions, are packed best-fit decreasing anew, and a pool keeps the result if it takes fewer
-sequences. Rounds end when the bound is met, none gained, or at ``rounds``.
+decreasing. Dual feasible functions give a lower bound on each partition's sequences; a partition that
+meets its bound is certified and stays as it is. Partitions with a gap exchange: the documents of their
+sequences that aren't full go into pools that draw on all such partitions, are packed best-fit
+decreasing anew and certified in turn, and a pool keeps the result if it takes fewer sequences. Rounds end
+when every partition is certified, when the bound over all lengths is met, when none gained, or at ``rounds``.
+
+A certified partition may leave its last sequence short: at most one sequence in ``partition_pieces`` pieces
+over what one packing of everything could reach.
 
 Defined results: null and empty texts are documents of the closing id alone; repeated rows are packed
-each; an empty table gives no rows.
+each; an empty table gives no rows; texts of any length are cut, never shortened; columns beside doc_id
+and the text, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from quillspark.llm.tokens import token_ids
 CAPACITY = 1024
 CLOSE = 2
 #: Pieces of a partition on average, and partitions' worth of pieces in a pool.
-PARTITION_PIECES, POOL_PARTITIONS = 4000, 8
+PARTITION_PIECES, POOL_PARTITIONS = 1 << 15, 4
 
 PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -134,7 +138,8 @@ def _packer(mark: int, capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = 4) -> tuple[DataFrame, list[dict]]:
-    """All pieces with ``sequence_id`` and ``offset``; and for each round its pools, sequences, bound and certified pools."""
+    """All pieces with ``sequence_id`` and ``offset``; and the certificates: for each round its partitions, those
+    certified, the pieces that went in, all sequences so far, and the bound over all lengths."""
     # Whole pieces have negative sequence ids, so that they never meet those of partitions.
     whole = pieces.filter(F.col("length") == capacity).select("*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
@@ -142,8 +147,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     count = np.zeros(capacity + 1, np.int64)
     for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect():
         count[r.length] = r.n
-    n, bound = int(count.sum()), bound_of_counts(count, capacity)
-    pools = max(1, -(-n // partition_pieces))
+    moved, bound = int(count.sum()), bound_of_counts(count, capacity)
+    pools = max(1, -(-moved // partition_pieces))
     fresh = rest.select("*", *[F.lit(-1).cast("long").alias(c) for c in ("part", "bin", "offset")], F.lit(False).alias("full"), F.lit(0).cast("long").alias("gap"))
     turn = fresh.withColumn("pool", F.pmod(F.xxhash64("uid"), F.lit(pools)))
     done: list[DataFrame] = []
@@ -151,18 +156,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     settled = 0
     for k in range(rounds + 1):
         packed = written(turn.groupBy("pool").applyInPandas(_packer(k, capacity), PACKED))
-        bins = packed.groupBy("part", "bin").agg(F.count("*").alias("n"), F.first("full").alias("full"), F.max("gap").alias("gap"))
-        stats = bins.agg(F.count("*").alias("all"), F.count_if(~F.col("full")).alias("loose"), F.sum(F.when(~F.col("full"), F.col("n"))).alias("pieces"), F.count_distinct(F.when(F.col("gap") == 0, F.col("part"))).alias("certified")).first()
-        report.append({"round": k, "pools": pools, "certified": stats.certified, "sequences": settled + stats.all, "bound": bound})
-        if k == rounds or settled + stats.all <= bound or (k and report[-1]["sequences"] >= report[-2]["sequences"]):
+        bins = packed.groupBy("part", "bin").agg(F.count("*").alias("n"), (F.first("full") | (F.max("gap") == 0)).alias("stays"), F.max("gap").alias("gap"))
+        stats = bins.agg(
+            F.count("*").alias("all"),
+            F.count_if("stays").alias("stay"),
+            F.sum(F.when(~F.col("stays"), F.col("n"))).alias("open"),
+            F.count_distinct("part").alias("parts"),
+            F.count_distinct(F.when(F.col("gap") == 0, F.col("part"))).alias("certified"),
+        ).first()
+        report.append({"round": k, "partitions": stats.parts, "certified": stats.certified, "pieces": moved, "sequences": settled + stats.all, "bound": bound})
+        if k == rounds or not stats.open or settled + stats.all <= bound or (k and report[-1]["sequences"] >= report[-2]["sequences"]):
             done.append(packed)
             break
-        # Sequences that are full are settled. The documents of the others go, sequence by sequence, into pools
-        # that draw on many partitions and stay of a bounded size.
-        done.append(packed.filter("full"))
-        settled += stats.all - stats.loose
-        pools = max(1, -(-(stats.pieces or 0) // (POOL_PARTITIONS * partition_pieces)))
-        turn = packed.filter("not full").withColumn("pool", F.pmod(F.xxhash64("part", "bin", F.lit(k)), F.lit(pools)))
+        # Certified partitions stay, and so do full sequences. The documents of the others go, sequence by sequence,
+        # into pools that draw on all partitions with a gap and stay of a bounded size.
+        done.append(packed.filter("full or gap = 0"))
+        settled += stats.stay
+        moved = stats.open
+        pools = max(1, -(-moved // (POOL_PARTITIONS * partition_pieces)))
+        turn = packed.filter("not full and gap > 0").withColumn("pool", F.pmod(F.xxhash64("part", "bin", F.lit(k)), F.lit(pools)))
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)
@@ -172,8 +184,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     return packed.unionByName(whole), report
 
 
-def pack_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    packed, _ = pack(tokenised_pieces(docs, text))
+def pack_documents(docs: DataFrame, text: str = "text", report: list[dict] | None = None) -> DataFrame:
+    """The places of all pieces of ``docs``; the certificates of each round are added to ``report``."""
+    packed, rounds = pack(tokenised_pieces(docs, text))
+    if report is not None:
+        report += rounds
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

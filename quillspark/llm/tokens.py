@@ -12,6 +12,7 @@ after the last end of a shard form one document that is not closed; repeated row
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,12 @@ from quillspark.llm.common import prepare, read, text_of, written
 END = 50256
 BLOCK_TOKENS = 1 << 16
 RANKS = "byte_bpe_50k.tiktoken"
+#: Runs of white space from this length on are cut out before the splitting pattern, which goes back over them, sees them.
+LONG_SPACE = 20_000
+#: What the splitting pattern takes for white space, and the special token of these vocabularies.
+SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPECIAL = "<|endoftext|>"
+_LONG = re.compile(f"(?<!{SPACE}){SPACE}{{{LONG_SPACE},}}")
 
 
 @lru_cache(maxsize=2)
@@ -36,12 +43,25 @@ def encoder(path: str | None = None):
 
     with open(path or public_tokenizers.path(RANKS), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": END})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: END})
 
 
 def token_ids(text: str, path: str | None = None, special: bool = True) -> np.ndarray:
-    """Ids of a text. Without ``special``, special tokens' strings are ordinary text, and no id is 50256."""
-    return encoder(path).encode_to_numpy(text, allowed_special="all") if special else encoder(path).encode_to_numpy(text, disallowed_special=())
+    """Ids of a text. Without ``special``, special tokens' strings are ordinary text, and no id is 50256.
+
+    A long run of white space is a piece of its own, as the splitting pattern has it: all of it at the end of
+    a text or before a special token, else all but its last character, which goes with what follows.
+    """
+    own = encoder(path)
+    ids = (lambda t: own.encode_to_numpy(t, allowed_special="all")) if special else (lambda t: own.encode_to_numpy(t, disallowed_special=()))
+    if len(text) < LONG_SPACE:
+        return ids(text)
+    parts, at = [], 0
+    for m in _LONG.finditer(text):
+        stop = m.end() if m.end() == len(text) or (special and text.startswith(SPECIAL, m.end())) else m.end() - 1
+        parts += [ids(text[at : m.start()]), np.array(own._encode_single_piece(text[m.start() : stop]), np.uint32)]
+        at = stop
+    return np.concatenate([*parts, ids(text[at:])]) if parts else ids(text)
 
 
 def write_flat(docs: DataFrame, text: str = "text", block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -93,11 +113,15 @@ def write_flat(docs: DataFrame, text: str = "text", block_tokens: int = BLOCK_TO
 
 
 def read_flat(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 4) -> DataFrame:
-    """Flat token files (any number of shards of at most 2 GB, ids of ``width`` bytes) as blocks."""
+    """Flat token files (any number of shards of at most 2 GB, ids of ``width`` bytes) as blocks.
+
+    A file is cut once, so that no block's row holds the whole of it.
+    """
     size = block_tokens * width
     files = spark.read.format("binaryFile").load(path).withColumn("shard", F.xxhash64("path"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest((F.col("length") - 1) / size, F.lit(0)).cast("int"))).alias("block")
-    return files.select("shard", at, "content").select("shard", "block", F.expr(f"substring(content, block * {size} + 1, {size})").alias("payload"))
+    last = f"cast(greatest((length - 1) div {size}, 0) as int)"
+    cut = f"transform(sequence(0, {last}), i -> named_struct('block', i, 'payload', substring(content, i * {size} + 1, {size})))"
+    return files.select("shard", F.explode(F.expr(cut)).alias("b")).select("shard", "b.block", "b.payload")
 
 
 def scan_blocks(blocks: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS, width: int = 4) -> DataFrame:
@@ -113,7 +137,8 @@ def scan_blocks(blocks: DataFrame, end: int = END, block_tokens: int = BLOCK_TOK
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["shard", "block", "ends", "size"])
 
-    found = blocks.select("shard", F.col("block").cast("int"), "payload").mapInArrow(scan, "shard long, block int, ends array<long>, size long")
+    # Written: the scan of ids happens once, though closed and open documents both start from it.
+    found = written(blocks.select("shard", F.col("block").cast("int"), "payload").mapInArrow(scan, "shard long, block int, ends array<long>, size long"))
     # The prefix scan goes over one row per block, not over ids.
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("block").cast("long") * block_tokens
