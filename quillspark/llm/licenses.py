@@ -1,12 +1,13 @@
 """License scans: ordered signature rules behind a keyword prefilter (DataFrame functions only).
 
-A few hundred regexes, made from license families and the forms in which a text refers to one, are
-tried only on texts that hold the rule's keywords. Each match is a detection with a priority; a
+A few hundred regexes, made from license families and the forms in which a text refers to one, and from
+the sentences of licenses themselves, are tried only on texts that hold the rule's keywords. Each match is a detection with a priority; a
 detection inside the interval of one that outranks it is suppressed. The plan is one pass over the
 texts: no shuffle, nothing broadcast but the fixed rule table, which sits in the plan as a literal.
 
 Defined results: a null or empty text has no words and no detection; repeated rows each get their own
-result; further columns are carried along untouched unless they bear the names of results.
+result, ties of rules are settled by their order; texts of any length are scanned whole; further columns, whatever
+their names, are carried along, but those with the names of results (n_words, base, detections, score) give way to them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read, spans, sql_text, text_of
+from quillspark.llm.common import read, spans, sql_text, text_of, unused
 
 #: Characters that part words, for texts in their own case: ASCII but digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -42,10 +43,10 @@ FAMILIES = (
     ("apache-2.0", "apache 2 0", "apache", "apache software license|apache license|apache", "2(?:{g}0)?"),
     ("mit", "mit", "mit|expat", "mit|expat", ""),
     ("mit-0", "mit 0", "mit", "mit no attribution", ""),
-    ("bsd-2-clause", "bsd 2 clause", "bsd", "simplified bsd|2 clause bsd|bsd 2 clause|freebsd", ""),
+    ("bsd-2-clause", "bsd 2 clause", "bsd|freebsd", "simplified bsd|2 clause bsd|bsd 2 clause|freebsd", ""),
     ("bsd-3-clause", "bsd 3 clause", "bsd", "new bsd|revised bsd|3 clause bsd|bsd 3 clause|modified bsd", ""),
     ("bsd-4-clause", "bsd 4 clause", "bsd", "original bsd|4 clause bsd|bsd 4 clause", ""),
-    ("0bsd", "0bsd", "bsd", "zero clause bsd|0bsd", ""),
+    ("0bsd", "0bsd", "bsd|0bsd", "zero clause bsd|0bsd", ""),
     ("isc", "isc", "isc", "isc", ""),
     ("zlib", "zlib", "zlib", "zlib|zlib libpng", ""),
     ("bsl-1.0", "bsl 1 0", "boost|bsl", "boost software", "1{g}0"),
@@ -82,7 +83,8 @@ FORMS = (
     ("spdx", "spdx", "spdx{g}license{g}identifier{g}{s}(?:{g}(?:only|or{g}later))?", 6, 1.0),
     ("licensed-version", "licen", "licen[sc]ed{g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?{g}(?:version{g}|v)?{v}", 5, 0.98),
     ("licensed", "licen", "licen[sc]ed{g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?", 4, 0.9),
-    ("released", "released under|distributed under|available under|published under", "(?:released|distributed|available|published){g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?(?:{g}(?:version{g}|v)?{v})?", 4, 0.9),
+    ("released-version", "released under|distributed under|available under|published under", "(?:released|distributed|available|published){g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?{g}(?:version{g}|v)?{v}", 5, 0.98),
+    ("released", "released under|distributed under|available under|published under", "(?:released|distributed|available|published){g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?", 4, 0.9),
     ("name-version", "version {d}|v{d}", "(?:{n})(?:{g}licen[sc]e)?{g}(?:version{g}|v){v}", 3, 0.85),
     ("name", "licen", "(?:{n}){g}licen[sc]e", 2, 0.7),
 )
@@ -95,6 +97,118 @@ SINGLE = (
     ("permission-notice", "permission is", "permission{g}is{g}hereby{g}granted{g}free{g}of{g}charge", 3, 0.8),
 )
 
+#: Sentences of the licenses' own texts as label, keyword, words (a keyword stands in every match), priority,
+#: confidence. Gaps between words may be any run of characters that aren't letters or digits.
+SENTENCES = (
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", 5, 0.95),
+    ("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 4, 0.9),
+    ("mit", "copyright", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 4, 0.85),
+    ("mit-0", "restriction", "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software", 4, 0.8),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 5, 0.95),
+    ("hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose", 4, 0.85),
+    ("postgresql", "copyright", "for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph", 5, 0.95),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization", 4, 0.9),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 4, 0.9),
+    ("bsd", "redistribution", "redistributions of source code must retain the above copyright notice", 4, 0.9),
+    ("bsd", "redistribution", "redistributions in binary form must reproduce the above copyright notice", 4, 0.9),
+    ("bsd-3-clause", "contributors", "nor the names of its contributors may be used to endorse or promote products derived from this software", 5, 0.95),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 5, 0.95),
+    ("bsd-2-clause-views", "conclusions", "the views and conclusions contained in the software and documentation are those of the authors", 5, 0.9),
+    ("bsd", "copyright", "this software is provided by the copyright holders and contributors as is", 3, 0.85),
+    ("apache-2.0", "license", "you may not use this file except in compliance with the license", 5, 0.95),
+    ("apache-2.0", "license", "you may obtain a copy of the license at https? www apache org licenses license 2 0", 5, 1.0),
+    ("apache-2.0", "license", "software distributed under the license is distributed on an as is basis", 4, 0.9),
+    ("apache-2.0", "license", "see the license for the specific language governing permissions and limitations under the license", 4, 0.9),
+    ("apache-2.0", "license", "licensed to the apache software foundation asf under one or more contributor license agreements", 5, 0.95),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 5, 0.9),
+    ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 4, 0.9),
+    ("gpl", "warranty", "this program is distributed in the hope that it will be useful but without any warranty", 4, 0.85),
+    ("gpl", "general public license", "you should have received a copy of the gnu general public license along with this program", 4, 0.9),
+    ("gpl-2.0-or-later", "license", "either version 2 of the license or at your option any later version", 5, 0.95),
+    ("gpl-3.0-or-later", "license", "either version 3 of the license or at your option any later version", 5, 0.95),
+    ("gpl", "permitted", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 4, 0.9),
+    ("lgpl", "lesser general public license", "you should have received a copy of the gnu lesser general public license", 5, 0.9),
+    ("lgpl", "library general public license", "under the terms of the gnu library general public license", 5, 0.9),
+    ("lgpl-2.1-or-later", "license", "either version 2 1 of the license or at your option any later version", 5, 0.95),
+    ("agpl", "affero general public license", "you should have received a copy of the gnu affero general public license", 5, 0.9),
+    ("gpl-exception", "exception", "as a special exception the copyright holders of this library give you permission to link this library", 5, 0.9),
+    ("gpl-exception", "exception", "as a special exception you may create a larger work that contains part or all of the bison parser skeleton", 5, 0.9),
+    ("gfdl", "free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 5, 0.95),
+    ("fsfap", "permitted", "copying and distribution of this file with or without modification are permitted in any medium without royalty", 5, 0.95),
+    ("fsful", "permission", "this configure script is free software the free software foundation gives unlimited permission to copy distribute and modify it", 5, 0.95),
+    ("mpl-2.0", "license", "this source code form is subject to the terms of the mozilla public license v 2 0", 5, 1.0),
+    ("mpl-2.0", "distributed with this file", "if a copy of the mpl was not distributed with this file you can obtain one at", 5, 0.95),
+    ("mpl-1.1", "license", "the contents of this file are subject to the mozilla public license version 1 1", 5, 1.0),
+    ("npl-1.1", "license", "the contents of this file are subject to the netscape public license version 1 1", 5, 1.0),
+    ("cddl", "license", "the contents of this file are subject to the terms of the common development and distribution license", 5, 0.95),
+    ("epl", "license", "this program and the accompanying materials are made available under the terms of the eclipse public license", 5, 0.95),
+    ("cpl", "license", "the accompanying program is provided under the terms of this common public license", 5, 0.95),
+    ("unlicense", "public domain", "this is free and unencumbered software released into the public domain", 5, 1.0),
+    ("unlicense", "compiled binary", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", 5, 0.95),
+    ("wtfpl", "license", "do what the f[a-z*]{3} you want to public license", 5, 1.0),
+    ("beerware", "beer", "as long as you retain this notice you can do whatever you want with this stuff if we meet some day and you think this stuff is worth it you can buy me a beer", 5, 1.0),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 5, 0.95),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 4, 0.9),
+    ("zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented", 4, 0.9),
+    ("bsl-1.0", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 5, 0.95),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 5, 0.95),
+    ("ssleay", "cryptographic", "this product includes cryptographic software written by eric young", 5, 0.95),
+    ("json", "software shall", "the software shall be used for good not evil", 5, 1.0),
+    ("ncsa", "licen", "university of illinois ncsa open source licen[sc]e", 5, 0.95),
+    ("afl-3.0", "licen", "licensed under the academic free licen[sc]e version 3 0", 5, 1.0),
+    ("osl-3.0", "licen", "licensed under the open software licen[sc]e version 3 0", 5, 1.0),
+    ("artistic-1.0", "copyright holder", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control", 5, 0.95),
+    ("artistic-1.0-perl", "perl", "you can redistribute it and or modify it under the same terms as perl itself", 5, 0.9),
+    ("ruby", "ruby", "you can redistribute it and or modify it under the same terms as ruby itself", 5, 0.9),
+    ("php-3.01", "php", "this product includes php software freely available from", 5, 0.95),
+    ("psf-2.0", "python", "psf is making python available to licensee on an as is basis", 5, 0.95),
+    ("ofl-1.1", "font software", "this font software is licensed under the sil open font license", 5, 0.95),
+    ("ofl-1.1", "font software", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", 4, 0.85),
+    ("ms-pl", "license", "this license governs use of the accompanying software if you use the software you accept this license", 4, 0.8),
+    ("libpng", "reference library", "the png reference library is supplied as is", 5, 0.9),
+    ("curl", "permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", 5, 0.95),
+    ("cc0-1.0", "public domain", "the person who associated a work with this deed has dedicated the work to the public domain", 5, 0.95),
+    ("cc0-1.0", "copyright", "to the extent possible under law the author has waived all copyright and related or neighboring rights", 5, 0.95),
+    ("cc-by", "creativecommons org", "creativecommons org licenses by [0-9] [0-9]", 5, 0.95),
+    ("cc-by-sa", "creativecommons org", "creativecommons org licenses by sa [0-9] [0-9]", 5, 0.95),
+    ("cc-by-nc", "creativecommons org", "creativecommons org licenses by nc [0-9] [0-9]", 5, 0.95),
+    ("cc-by-nd", "creativecommons org", "creativecommons org licenses by nd [0-9] [0-9]", 5, 0.95),
+    ("cc-by-nc-sa", "creativecommons org", "creativecommons org licenses by nc sa [0-9] [0-9]", 5, 0.95),
+    ("cc-by-nc-nd", "creativecommons org", "creativecommons org licenses by nc nd [0-9] [0-9]", 5, 0.95),
+    ("cc0-1.0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 5, 0.95),
+    ("public-domain", "creativecommons org", "creativecommons org publicdomain mark 1 0", 5, 0.95),
+    ("cc", "creative commons", "this work is licensed under a creative commons", 4, 0.85),
+    ("cc-by", "creative commons", "open access article distributed under the terms of the creative commons attribution licen[sc]e", 5, 0.95),
+    ("cc", "permits", "permits unrestricted use distribution and reproduction in any medium provided the original work is properly (?:cited|credited)", 3, 0.8),
+    ("ogl-uk-3.0", "licen", "contains public sector information licensed under the open government licen[sc]e v3 0", 5, 1.0),
+    ("ogl-uk", "licen", "open government licen[sc]e", 3, 0.8),
+    ("crown-copyright", "copyright", "crown copyright", 2, 0.6),
+    ("gutenberg", "ebook", "this ebook is for the use of anyone anywhere (?:at no cost|in the united states)", 5, 0.95),
+    ("public-domain", "public domain", "this work is in the public domain", 4, 0.85),
+    ("public-domain", "public domain", "has been identified as being free of known restrictions under copyright law public domain", 4, 0.85),
+    ("us-government", "government", "this is a work of the united states government", 4, 0.85),
+    ("proprietary", "proprietary", "confidential and proprietary", 2, 0.7),
+    ("proprietary", "copying", "unauthorized copying of this file via any medium is strictly prohibited", 4, 0.9),
+    ("proprietary", "reproduced", "no part of this publication may be reproduced", 3, 0.85),
+    ("proprietary", "reproduced", "may not be reproduced in any form without (?:prior|express|written)", 3, 0.8),
+    ("proprietary", "redistribut", "not for redistribution", 2, 0.6),
+    ("proprietary", "license", "end user license agreement", 3, 0.75),
+    ("proprietary", "license", "software license agreement", 2, 0.7),
+    ("non-commercial", "non commercial|noncommercial", "for non\\W?commercial use only", 3, 0.75),
+    ("non-commercial", "non commercial|noncommercial", "non\\W?commercial purposes only", 3, 0.75),
+    ("with-permission", "permission", "(?:used|reproduced|reprinted) with permission", 2, 0.6),
+    ("royalty-free", "royalty", "royalty free licen[sc]e", 2, 0.6),
+    ("permissive", "permission", "permission is granted to anyone to use this software for any purpose including commercial applications", 4, 0.85),
+    ("cecill", "licen", "this software is governed by the cecill licen[sc]e", 5, 0.95),
+    ("eupl", "licen", "licensed under the eupl", 5, 0.9),
+    ("sspl-1.0", "license", "server side public license version 1", 5, 0.95),
+    ("busl-1.1", "license", "business source license 1 1", 5, 0.95),
+    ("elastic-2.0", "license", "elastic license 2 0", 5, 0.95),
+    ("commons-clause", "condition", "commons clause license condition", 5, 0.95),
+    ("odc-pddl-1.0", "dedication", "public domain dedication and license", 4, 0.85),
+    ("vim", "vim", "vim is charityware you can use and copy it as much as you like", 5, 0.95),
+)
+
 LEVELS = 6
 
 
@@ -120,19 +234,25 @@ def _bounded(body: str) -> str:
 
 
 def rules() -> list[Rule]:
-    """Every rule in order. Families without a version get the forms of a version left out."""
+    """Every rule in order, each pattern once a label. Families without a version get the forms of a version left out."""
     out: list[Rule] = []
+    seen: set[tuple[str, str]] = set()
     gap = rf"{GAP}+"
     for form, context, pattern, priority, confidence in FORMS:
         for label, spdx, family, names, version in FAMILIES:
             if form.endswith("version") and not version:
                 continue
-            if form in ("licensed", "name") and version:
+            if form in ("licensed", "released", "name") and version:
                 label = label.rsplit("-", 1)[0]  # no version said
             body = pattern.replace("{n}", _words(names)).replace("{s}", _words(spdx)).replace("{v}", version or "(?!)").replace("{g}", gap)
+            if (label, body) in seen:  # versions of one family that aren't told apart here
+                continue
+            seen.add((label, body))
             out.append(Rule(len(out), label, context.replace("{d}", version[:1]), family.replace("{g}", " "), _bounded(body), priority, confidence))
     for label, keyword, pattern, priority, confidence in SINGLE:
         out.append(Rule(len(out), label, keyword, keyword, _bounded(pattern.replace("{g}", gap)), priority, confidence))
+    for label, keyword, sentence, priority, confidence in SENTENCES:
+        out.append(Rule(len(out), label, keyword, keyword, _bounded(gap.join(sentence.split(" "))), priority, confidence))
     return out
 
 
@@ -159,23 +279,24 @@ def detect_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | Non
     table = rules() if table is None else table
     if any(not 1 <= r.priority <= LEVELS for r in table):
         raise ValueError(f"priorities are 1 to {LEVELS}")
-    df = docs.withColumn("__t", text_of(text))
-    df = df.withColumn("n_words", F.expr(f"cast(regexp_count(__t, {sql_text(WORD + '+')}) as bigint)"))
+    t, g, ks = unused(docs, "t", "g", "k")
+    df = docs.withColumn(t, text_of(text))
+    df = df.withColumn("n_words", F.expr(f"cast(regexp_count({t}, {sql_text(WORD + '+')}) as bigint)"))
 
-    # Context words open the scan; without one, and without a base phrase, no rule can match.
-    gate = "(?i)" + "|".join(_words(k) for k in sorted({k for r in table for k in r.context.split("|")} | {phrase for phrase, _ in BASE}))
-    df = df.withColumn("__g", F.expr(f"__t rlike {sql_text(gate)}"))
+    # Context words open the scan; without one, and without a base phrase, no rule can match. All begin where a word does.
+    gate = f"(?i)(?<!{WORD})(?:" + "|".join(_words(k) for k in sorted({k for r in table for k in r.context.split("|")} | {phrase for phrase, _ in BASE})) + ")"
+    df = df.withColumn(g, F.expr(f"{t} rlike {sql_text(gate)}"))
 
-    base = ", ".join(f"transform({spans('__t', sql_text(_bounded(_words(phrase))))}, x -> named_struct('s', x.s, 'e', x.e, 'label', {sql_text(label)}))" for phrase, label in BASE)
-    df = df.withColumn("base", F.expr(f"case when __g then array_sort(concat({base})) else cast(array() as array<struct<s:int,e:int,label:string>>) end"))
+    base = ", ".join(f"transform({spans(t, sql_text(_bounded(_words(phrase))))}, x -> named_struct('s', x.s, 'e', x.e, 'label', {sql_text(label)}))" for phrase, label in BASE)
+    df = df.withColumn("base", F.expr(f"case when {g} then array_sort(concat({base})) else cast(array() as array<struct<s:int,e:int,label:string>>) end"))
 
     found = "|".join(_words(k) for k in _keywords(table))
     lower = "lower(regexp_replace(x, {}, ' '))".format(sql_text(GAP + "+"))
-    df = df.withColumn("__k", F.expr(f"case when __g then array_distinct(transform(regexp_extract_all(__t, {sql_text('(?i)(?=(' + found + '))')}, 1), x -> {lower})) end"))
+    df = df.withColumn(ks, F.expr(f"case when {g} then array_distinct(transform(regexp_extract_all({t}, {sql_text(f'(?i)(?<!{WORD})(?=({found}))')}, 1), x -> {lower})) end"))
     # lookahead hits give the longest keyword at a place; shorter ones inside it count as well
-    has = "exists(__k, k -> contains(k, {}))"
+    has = "exists(" + ks + ", k -> contains(k, {}))"
     live = f"filter({_rule_table(table)}, r -> exists(r.ctx, c -> {has.format('c')}) and exists(r.fam, f -> {has.format('f')}))"
-    every = f"flatten(transform({live}, r -> transform({spans('__t', 'r.pattern')}, x -> named_struct('s', x.s, 'ne', -x.e, 'np', -r.prio, 'ord', r.ord, 'label', r.label, 'conf', r.conf))))"
+    every = f"flatten(transform({live}, r -> transform({spans(t, 'r.pattern')}, x -> named_struct('s', x.s, 'ne', -x.e, 'np', -r.prio, 'ord', r.ord, 'label', r.label, 'conf', r.conf))))"
     # In order of start, then widest, then priority: a match is inside one that outranks it if a row
     # before it of at least its priority ends no earlier. tops[p] holds the furthest end at priority >= p.
     kept = (
@@ -185,10 +306,9 @@ def detect_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | Non
         "acc -> acc.out)"
     )
     none = "cast(array() as array<struct<s:int,e:int,prio:int,ord:int,label:string,conf:double>>)"
-    df = df.withColumn("__d", F.expr(f"case when size(__k) > 0 then {kept} else {none} end"))
-    df = df.withColumn("detections", F.col("__d"))
+    df = df.withColumn("detections", F.expr(f"case when size({ks}) > 0 then {kept} else {none} end"))
     df = df.withColumn("score", F.expr("greatest(coalesce(array_max(transform(detections, d -> d.conf)), 0D), case when size(base) > 0 then 0.7D else 0D end)"))
-    return df.drop("__t", "__g", "__k", "__d")
+    return df.drop(t, g, ks)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

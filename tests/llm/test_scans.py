@@ -36,8 +36,10 @@ LICENSE_TEXTS = [
 
 @pytest.fixture(scope="module")
 def scanned(spark):
-    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(LICENSE_TEXTS)] + [(3, LICENSE_TEXTS[3], 0)], "doc_id long, text string, score int")
-    return licenses.detect_licenses(docs).collect()
+    docs = spark.createDataFrame([(i, t, i, "own", 7) for i, t in enumerate(LICENSE_TEXTS)] + [(3, LICENSE_TEXTS[3], 0, "own", 7)], "doc_id long, text string, score int, __t string, __K int")
+    rows = licenses.detect_licenses(docs).collect()
+    assert all(r["__t"] == "own" and r["__K"] == 7 for r in rows)
+    return rows
 
 
 def test_base_phrases_match_brute_force(scanned):
@@ -61,7 +63,7 @@ def test_rules_find_versions_and_suppress_what_lies_inside(scanned):
 
 def test_hundreds_of_rules_each_compile_and_match_something():
     rules = licenses.rules()
-    assert len(rules) > 200 and all(re.compile(r.pattern.replace("(?i)", "", 1), re.I) for r in rules)
+    assert len(rules) > 300 and len({(r.label, r.pattern) for r in rules}) == len(rules) and all(re.compile(r.pattern.replace("(?i)", "", 1), re.I) for r in rules)
 
 
 def ungated(text):
@@ -86,12 +88,41 @@ def test_gates_lose_no_match_of_any_rule(spark):
             texts += [f"Licensed under the {n}", f"published under {n}", f"{n} license", f"{n.title()} Licence"]
             texts += [f"licensed under {n} {v}", f"available under the {n}, version {v}", f"{n} v{v}", f"{n}, Version {v}"] if v else []
     texts += tails.values()
+    for _, _, sentence, _, _ in licenses.SENTENCES:
+        plain = re.sub(r"\(\?:([^|)]*)[^)]*\)", r"\1", sentence).replace("[a-z*]{3}", "uck").replace("[0-9]", "4").replace("[sc]", "s").replace("\\W?", "-")
+        texts.append(re.sub(r"[a-z]\?", "", plain).replace(" ", ", ", 1))
     texts = [f"x {t}." for t in dict.fromkeys(texts)]
     assert {r.order for t in texts for r, p in PATTERNS if p.search(t)} == {r.order for r, _ in PATTERNS}
     got = licenses.detect_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.text: [(d.s, d.e, d.label, d.prio, d.ord) for d in r.detections] for r in got} == {t: ungated(t) for t in texts}
 
 
+def test_no_version_is_said_that_the_text_does_not_say(spark):
+    forms = ("Released under the {} License.", "Distributed under the {}", "available under the {} license", "Licensed under {}", "published under the terms of the {}")
+    texts, want = [], {}
+    for label, _, _, names, version in licenses.FAMILIES:
+        for n in names.split("|") if version else ():
+            for f in forms:
+                texts.append(f.format(n.title()))
+                want.setdefault(texts[-1], set()).add(label.rsplit("-", 1)[0])
+    rows = licenses.detect_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in rows:
+        assert {d.label for d in r.detections} & want[r.text] and not any(re.search(r"[0-9]\.[0-9]$", d.label) for d in r.detections), r.text
+
+
+def test_columns_of_the_license_query(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(LICENSE_TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in licenses.op2_license_scan(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(LICENSE_TEXTS):
+        n, places = base_places(t)
+        base = sorted({label for _, label in places})
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (n, len(places), ",".join(base))
+        assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert set(base) <= set(r.labels.split(",")) - ({""} if not r.labels else set()) and r.labels.split(",") == sorted(set(r.labels.split(",")))
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+
+
 def test_empty_table_of_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.detect_licenses(empty).count() == 0
