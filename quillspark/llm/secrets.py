@@ -7,8 +7,9 @@ itself. Rules without mandatory trigrams scan every text. Document keys are hash
 a collision costs a needless verification and never loses a match, and no key is a hot one unless
 whole rows are equal.
 
-Defined results: null and empty texts hold no secret; equal rows each get their result; columns of
-any name are carried along.
+Defined results: null and empty texts hold no secret; texts of any length are scanned whole; spans that
+start at one place go by kind; equal rows each get their result; columns of any name are carried along, but one
+named secrets gives way to the result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read, spans, sql_text, text_of
+from quillspark.llm.common import read, spans, sql_text, text_of, unused, written
 
 _p = re._parser  # the parser of the standard library's own regexes
 
@@ -55,14 +56,44 @@ RULES = (
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._-]{1,64}:[^\s:/@]{3,64}@"),
     Rule("twilio", r"\bSK[0-9a-f]{32}\b"),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]{40,}"),
+    Rule("gitlab_trigger", r"glptt-[0-9a-f]{40}"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,}"),
+    Rule("discord_hook", r"discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,}"),
+    Rule("google_oauth", r"ya29\.[A-Za-z0-9_-]{20,}"),
+    Rule("google_client", r"GOCSPX-[A-Za-z0-9_-]{28}"),
+    Rule("firebase", r"AAAA[A-Za-z0-9_-]{7}:APA91b[A-Za-z0-9_-]{100,}"),
+    Rule("azure_storage", r"AccountKey=[A-Za-z0-9+/]{60,}={0,2}"),
+    Rule("aws_secret", r"(?i:aws_secret_access_key)\x20*[=:]\x20*[A-Za-z0-9/+]{40}"),
+    Rule("mws", r"amzn\.mws\.[0-9a-f-]{36}"),
+    Rule("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("square", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}"),
+    Rule("digitalocean", r"do[por]_v1_[0-9a-f]{64}"),
+    Rule("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    Rule("rubygems", r"rubygems_[0-9a-f]{48}"),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]{20,}"),
+    Rule("databricks", r"dapi[0-9a-f]{32}"),
+    Rule("postman", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
+    Rule("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}\b"),
+    Rule("mailgun", r"key-[0-9a-f]{32}"),
+    Rule("newrelic", r"NRAK-[A-Z0-9]{27}"),
+    Rule("linear", r"lin_api_[A-Za-z0-9]{40}"),
+    Rule("vault", r"hvs\.[A-Za-z0-9_-]{24,}"),
+    Rule("age", r"AGE-SECRET-KEY-1[A-Z0-9]{58}"),
+    Rule("pgp", r"-----BEGIN PGP PRIVATE KEY BLOCK-----"),
 )
 
 #: A rule with more alternatives than this, or a character class with more members, ends the literal run there.
 MOST_ALTERNATIVES, MOST_MEMBERS = 64, 8
+#: Trigrams of an alternative that are looked up, spread over its literals; verification does not need the others.
+MOST_GRAMS = 3
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
-    """The OR of ANDs of lower-cased trigrams that a match must satisfy; None if some match needs none."""
+    """The OR of ANDs of lower-cased trigrams that a match must satisfy; None if some match needs none.
+
+    Of an alternative's trigrams at most MOST_GRAMS are named: a weaker query that every match still satisfies.
+    """
 
     # A state is (runs that ended, the run that is open).
     def walk(items, states: list[tuple[tuple[str, ...], str]]) -> list[tuple[tuple[str, ...], str]]:
@@ -100,16 +131,17 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
     out = []
     for runs, _ in ended(walk(_p.parse(pattern), [((), "")])):
-        grams = frozenset(r[i : i + 3] for r in runs for i in range(len(r) - 2))
+        grams = list(dict.fromkeys(r[i : i + 3] for r in runs for i in range(len(r) - 2)))
         if not grams:
             return None
-        out.append(grams)
+        n = min(MOST_GRAMS, len(grams))
+        out.append(frozenset(grams[i * (len(grams) - 1) // max(n - 1, 1)] for i in range(n)))
     # a alone covers (a and b)
     return list(dict.fromkeys(a for a in out if not any(b < a for b in out)))
 
 
-def _kept(rule: Rule, k: int) -> str:
-    found = spans("__t", sql_text(rule.pattern))
+def _kept(rule: Rule, k: int, text: str) -> str:
+    found = spans(text, sql_text(rule.pattern))
     if rule.least:
         part = "x.hit" if not rule.group else f"regexp_extract(x.hit, {sql_text(rule.pattern)}, {rule.group})"
         found = f"filter({found}, x -> char_length({part}) >= {rule.least})"
@@ -121,14 +153,14 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     spark = docs.sparkSession
     queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     grams = sorted({g for q in queries.values() if q for alternative in q for g in alternative})
+    key, live, body = unused(docs, "key", "rules", "t")
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    keyed = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    df = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
 
-    found = None
     if grams:
         # Postings: one row per trigram that the text holds.
-        present = F.array_compact(F.array(*[F.when(F.contains(F.col("__l"), F.lit(g)), F.lit(g)) for g in grams]))
-        postings = keyed.select("__key", F.lower(text_of(text)).alias("__l")).select("__key", F.explode(present).alias("gram"))
+        present = F.array_compact(F.array(*[F.when(F.contains(F.col("l"), F.lit(g)), F.lit(g)) for g in grams]))
+        postings = df.select(F.col(key).alias("key"), F.lower(text_of(f"`{text}`")).alias("l")).select("key", F.explode(present).alias("gram"))
         wanted = spark.createDataFrame(
             [(g, i, j, 1 << b, (1 << len(a)) - 1) for i, q in queries.items() if q for j, a in enumerate(q) for b, g in enumerate(sorted(a))],
             "gram string, rule int, alternative int, bit long, full long",
@@ -136,22 +168,24 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         # The query table is as small as the rules; its size doesn't depend on the data.
         found = (
             postings.join(F.broadcast(wanted), "gram")
-            .groupBy("__key", "rule", "alternative", "full")
+            .groupBy("key", "rule", "alternative", "full")
             .agg(F.bit_or("bit").alias("bits"))
             .filter("bits = full")
-            .groupBy("__key")
-            .agg(F.collect_set("rule").alias("__rules"))
+            .groupBy("key")
+            .agg(F.collect_set("rule").alias("rules"))
         )
-
-    df = keyed.join(found, "__key", "left") if found is not None else keyed.withColumn("__rules", F.lit(None).cast("array<int>"))
-    df = df.withColumn("__t", text_of(text))
+        # Candidates are written, so that their true size settles how they meet the texts: where they are few, these stay in place.
+        df = df.join(written(found.toDF(key, live)), key, "left")
+    else:
+        df = df.withColumn(live, F.lit(None).cast("array<int>"))
+    df = df.withColumn(body, text_of(f"`{text}`"))
     parts = []
     for i, rule in enumerate(rules):
         # For full scans a cheap test comes before the spans.
-        test = f"array_contains(__rules, {i})" if queries[i] else f"__t rlike {sql_text(_test(rule))}"
-        parts.append(f"case when {test} then {_kept(rule, i)} else cast(array() as {SPANS}) end")
+        test = f"array_contains({live}, {i})" if queries[i] else f"{body} rlike {sql_text(_test(rule))}"
+        parts.append(f"case when {test} then {_kept(rule, i, body)} else cast(array() as {SPANS}) end")
     df = df.withColumn("secrets", F.expr(f"array_sort(concat({', '.join(parts)}))"))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"], "secrets")
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "secrets"], "secrets")
 
 
 def _test(rule: Rule) -> str:

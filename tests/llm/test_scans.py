@@ -148,13 +148,17 @@ SECRET_TEXTS = [
     "-----BEGIN RSA PRIVATE KEY----- SK" + "0" * 32 + " Bearer " + "t" * 25,
     "word " * 20_000 + "token = abcdefgh",
     "0123456789abcdef01234567" * 3,
+    f"shpat_{'0a' * 16} dop_v1_{'0a' * 32} github_pat_{'Z' * 45} ya29.{'q' * 25} AccountKey={'k' * 64}== hvs.{'v' * 30}",
+    f"amzn.mws.{'0a' * 18} AWS_SECRET_ACCESS_KEY = {'s' * 40} key-{'0a' * 16} {'0a' * 16}-us12 rubygems_{'0a' * 24}",
 ]
 
 
 def test_spans_match_brute_force_and_columns_are_carried(spark):
-    docs = spark.createDataFrame([(i % 4, t, "x") for i, t in enumerate(SECRET_TEXTS)] + [(3, SECRET_TEXTS[3], "x")], "doc_id long, text string, rule string")
+    docs = spark.createDataFrame([(i % 4, t, "x", "k", "r", 1) for i, t in enumerate(SECRET_TEXTS)] + [(3, SECRET_TEXTS[3], "x", "k", "r", 1)], "doc_id long, text string, rule string, __key string, __rules string, __T int")
     rows = secrets.scan_secrets(docs).collect()
-    assert len(rows) == len(SECRET_TEXTS) + 1 and rows[0].rule == "x"
+    assert len(rows) == len(SECRET_TEXTS) + 1 and rows[0].rule == "x" and all((r["__key"], r["__rules"], r["__T"]) == ("k", "r", 1) for r in rows)
+    again = secrets.scan_secrets(secrets.scan_secrets(docs))
+    assert again.columns == [*docs.columns, "secrets"] and again.count() == len(rows)
     for r in rows:
         assert [(x.s, x.k, x.e, x.kind) for x in r.secrets] == brute_secrets(r.text)
 
