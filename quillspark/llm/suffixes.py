@@ -12,14 +12,16 @@ bytes, and only as classes of equal suffixes:
   of the dictionary phrases of one trigger, cut to LENGTH bytes, are sorted by their hashes, and those
   in a class with one of another phrase are repeated.
 
-Only contested dictionary phrases, once each, travel as bytes. Triggers so common that a sample shows
-them as more than a small share of all occurrences (boilerplate; at most HEAVY of them) are counted
-with map-side combining instead of as groups, and where one has more than WIDE different phrases, so
-are their suffixes. Classes are told apart by 128 bits (trigger and phrase
-or suffix); documents by a 64-bit hash whose seed is changed if two texts should share one.
+Only contested dictionary phrases, once each, travel as bytes. Triggers that a sample shows to be common
+(boilerplate: about MOST occurrences, or a HEAVY-th of all of them where that is less) are counted with
+map-side combining instead of as groups, and where one has more than WIDE different phrases, so are their
+suffixes. So a group of one trigger stays at about MOST occurrences however large the corpus. Classes are
+told apart by 128 bits (trigger and phrase or suffix); documents by a 64-bit hash whose seed is changed if
+two texts should share one.
 
 Defined results: null and empty texts keep nothing and have the digest of no bytes; texts of fewer
-than LENGTH bytes keep all; repeated rows are repeats of each other; column names of any kind.
+than LENGTH bytes keep all; repeated rows are repeats of each other; texts of any length are parsed whole;
+column names of any kind, of which only doc_id and the text play a part.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ LENGTH, GRAM = 200, 48
 WIDE = 1 << 14
 #: Share of all occurrences, as its inverse, from which a trigger is heavy; and the sample that finds them.
 HEAVY, SAMPLE = 2000, 32
+#: Occurrences of a trigger from which it is heavy in any case.
+MOST = 1 << 18
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +147,15 @@ def _light(contested: DataFrame, length: int) -> DataFrame:
             once = np.concatenate([[True], (th[1:] != th[:-1]) | (eh[1:] != eh[:-1])])  # equal rows of a text's copies
             table = table.filter(pa.array(once))
             row, place, suffix = _suffixes(table, length)
-            key = suffix ^ mixed(table.column("th").to_numpy().view(np.uint64))[row]
+            own = table.column("th").to_numpy().view(np.uint64)[row]
+            # One sort by both halves mixed into one; should two classes meet in it, by each in turn.
+            key = suffix ^ mixed(own)
             order = np.argsort(key, kind="stable")
-            same = key[order][1:] == key[order][:-1]
+            met = key[order][1:] == key[order][:-1]
+            same = met & (suffix[order][1:] == suffix[order][:-1]) & (own[order][1:] == own[order][:-1])
+            if (met & ~same).any():
+                order = np.lexsort((suffix, own))
+                same = (suffix[order][1:] == suffix[order][:-1]) & (own[order][1:] == own[order][:-1])
             shared = np.zeros(len(key), bool)
             shared[order[1:]] |= same
             shared[order[:-1]] |= same
@@ -205,22 +215,24 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
         seed += 1
 
 
-def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY, sample: int = SAMPLE, least: int = 64, wide: int = WIDE) -> DataFrame:
+def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY, sample: int = SAMPLE, least: int = 64, wide: int = WIDE, most: int = MOST) -> DataFrame:
     """(h, first, last): starts of windows that occur twice, from first to last. keyed: (h, t), a row per document.
 
-    A trigger is heavy if the sample (one document in ``sample``, by hash) has it ``least`` times and 1 / ``heavy`` of all
-    that it holds. The sample settles only how a trigger is counted, not whether.
+    A trigger is heavy if the sample (one document in ``sample``, by hash) has it ``least`` times and either 1 / ``heavy`` of
+    all that it holds or as often as one of ``most`` occurrences would be. The sample settles only how a trigger is
+    counted, not whether.
     """
     prepare(keyed.sparkSession)
     # By document, so that what is parsed for it is as small a share.
     sampled = keyed.filter(F.pmod(F.xxhash64("h", *[c for c in keyed.columns if c == "doc_id"]), F.lit(sample)) == 0)
     counts = written(_parse(sampled, length, gram).groupBy("th", "eh").agg(F.count("*").alias("c")))
     total = counts.agg(F.sum("c")).first()[0] or 0
-    bar = max(least, -(-total // heavy))
-    # At most ``heavy`` triggers can each have that share, and eight times as many phrases an eighth of it: bounded broadcasts.
-    common = counts.groupBy("th").agg(F.sum("c").alias("c")).filter(F.col("c") >= bar).select("th", F.lit(True).alias("heavy"))
-    twice = counts.filter(F.col("c") >= max(2, bar // 8)).select("th", "eh", F.lit(True).alias("sure"))
-    rows = _parse(keyed, length, gram).join(F.broadcast(common), "th", "left").join(F.broadcast(twice), ["th", "eh"], "left")
+    bar = max(least, min(-(-total // heavy), -(-most // sample)))
+    # Written, so that their true size settles how they are joined: as a rule a handful of rows, and never more than
+    # one in ``most`` of all occurrences.
+    common = written(counts.groupBy("th").agg(F.sum("c").alias("c")).filter(F.col("c") >= bar).select("th", F.lit(True).alias("heavy")))
+    twice = written(counts.filter(F.col("c") >= max(2, bar // 8)).select("th", "eh", F.lit(True).alias("sure")))
+    rows = _parse(keyed, length, gram).join(common, "th", "left").join(twice, ["th", "eh"], "left")
     rows = written(rows.withColumn("heavy", F.coalesce("heavy", F.lit(False))).withColumn("sure", F.coalesce("sure", F.lit(False))))
 
     phrase, group = Window.partitionBy("th", "eh"), Window.partitionBy("th")

@@ -126,7 +126,7 @@ P = "abcdefghij klmnop qrstu vwxyz 0123456789 " * 3
 REPEATS = ["a" * 500, "a" * 350, None, "", P + "x" * 10 + P, "zz" + P * 2 + "y", "é" * 150, P * 4, "b" * 199, "b" * 199] + [f"u{i} " + P * 2 + f" v{i}" for i in range(20)] + ["same " * 100] * 5
 
 
-@pytest.mark.parametrize("options", [{}, {"heavy": 10**9, "sample": 1, "least": 5}, {"heavy": 10**9, "sample": 1, "least": 5, "wide": 3}])
+@pytest.mark.parametrize("options", [{}, {"heavy": 10**9, "sample": 1, "least": 5}, {"heavy": 10**9, "sample": 1, "least": 5, "wide": 3}, {"sample": 1, "least": 1, "most": 6}])
 def test_removed_bytes_match_brute_force(spark, options):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(REPEATS)], "doc_id int, text string, h int, t int")
     rows = suffixes.without_repeats(docs, **options).collect()
@@ -134,6 +134,17 @@ def test_removed_bytes_match_brute_force(spark, options):
     assert [got[i] for i in range(len(REPEATS))] == brute_repeats(REPEATS)
 
 
+def test_texts_of_over_a_megabyte(spark):
+    rnd = random.Random(9)
+    body = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(150_000))
+    shared = " ".join(f"s{rnd.randrange(10**6)}" for _ in range(60))
+    docs = spark.createDataFrame([(0, body[:700_000] + shared + body[700_000:]), (1, "x " + shared + " y")], "doc_id int, text string")
+    rows = {r.doc_id: r for r in suffixes.without_repeats(docs).collect()}
+    assert rows[0].n_bytes > 1_000_000
+    for r in rows.values():
+        assert [s.end - s.first for s in r.spans] in ([len(shared)], [len(shared) + 1])
+
+
 def test_random_texts_with_shared_passages(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randrange(2, 8)))
