@@ -5,21 +5,30 @@ one coordinate (or two, one time in four: 1.25 on average, the inverse of the si
 hash of its path, and a set goes to the child that its own token there names: only sets that share
 the sampled token stay together. Nodes of at most ``limit`` sets are compared by brute force on their
 sketches; larger ones are split again; what still shares a long path is taken as one dense bucket.
-Several runs repeat this from other roots: with 6 runs, and so 7.5 paths on average, a pair of
-similarity 0.8 misses all small nodes with a probability of about 0.2 ** 7.5, or 6 in a million.
 
-The buckets give candidate components; within them every pair of distinct texts is verified with the
-exact Jaccard similarity of whole sets, component by component in blocks of bounded size, and only
+Runs repeat this from other roots until the recall that is sought. It is measured: of a bounded sample of
+texts, those that share one more coordinate (which no path picks) are compared by brute force, and the share
+of pairs of 0.8 or more of their coordinates that the runs have joined must reach ``target``, else further
+runs follow. What theory says of the first RUNS: a pair of similarity 0.8 is lost by a run with 0.16, 0.27, 0.36
+or 0.42 where its nodes are small at the first to the fourth level, and so by twelve with 3e-10, 2e-7, 4e-6
+or 3e-5, less where other copies join the two; the brute force on sketches loses 2e-8.
+
+The buckets give candidate components; within them every pair of distinct texts that their sizes allow is
+verified with the exact Jaccard similarity of whole sets, in blocks of bounded size, and only
 counts and one edge for each text leave a block. So a large group of near copies costs a number of
-block pairs, not of rows. Equal texts are one class from the start.
+block pairs, not of rows. Large components fall into classes of size, and only those next to each other
+meet. Equal texts are one class from the start.
 
 Defined results: texts without words, null ones included, are linked to nothing and form a class with
-equal texts only; texts of fewer than five words have one run of all their words; rows with null
-doc_id take part, and a class without any doc_id has a null class_id.
+equal texts only; texts of fewer than five words have one run of all their words; texts of any length are
+sets of all their runs; repeated rows are copies; rows with null doc_id take part, and a class without any
+doc_id has a null class_id; columns of any name.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import prepare, read, text_of, written
+from quillspark.llm.common import prepare, read, text_of, unused, written
 from quillspark.llm.graph import components
 from quillspark.llm.textbytes import MULTIPLIER, mixed, shingles, slices, words
 
-COORDINATES, RUNS, LEVELS, LIMIT = 64, 6, 4, 64
-SIMILAR, CANDIDATE, WORDS = 0.8, 0.6, 5
+COORDINATES, RUNS, LEVELS, LIMIT = 64, 12, 4, 64
+SIMILAR, CANDIDATE, WORDS = 0.8, 0.5, 5
+#: Recall that is sought on a sample of so many texts; runs that follow while it is missed, and all runs at most.
+TARGET, SAMPLE, MORE, MOST = 0.9999, 2048, 6, 60
+#: Members that a dense bucket links to one of them at most, as an average.
+FAN = 256
 #: Texts of a block of exact comparisons, and of one in components of more than so many.
 BLOCK, WIDE_BLOCK, WIDE = 128, 1024, 1 << 14
-_A = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * MULTIPLIER)
+_A = mixed(np.arange(1, 2 * COORDINATES + 3, dtype=np.uint64) * MULTIPLIER)
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +57,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.n
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Written table of (k, doc_id, tokens, sig): the text's digest, and its minhash (null without words)."""
+    """Written table of (k, doc_id, n, sig): the text's digest, how many different runs it has, and its minhash
+    with one coordinate more than paths pick from (null without words)."""
     prepare(docs.sparkSession)
-    first, second = _A[:COORDINATES], _A[COORDINATES:] | np.uint64(1)
+    first, second = _A[: COORDINATES + 1], _A[COORDINATES + 1 :] | np.uint64(1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,17 +69,22 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
                 value, row = runs_of(data, offsets)
                 count = np.bincount(row, minlength=n)
                 some = np.flatnonzero(count)
-                sig = np.zeros((n, COORDINATES), "<u4")
+                sig = np.zeros((n, COORDINATES + 1), "<u4")
                 if len(some):
                     at = np.concatenate([[0], np.cumsum(count[some])[:-1]])
-                    for t in range(COORDINATES):
+                    for t in range(COORDINATES + 1):
                         sig[some, t] = np.minimum.reduceat((((value ^ first[t]) * second[t]) >> np.uint64(32)).astype(np.uint32), at)
+                key = value ^ mixed(row.astype(np.uint64))
+                order = np.argsort(key)
+                new = np.ones(len(key), bool)
+                new[1:] = key[order][1:] != key[order][:-1]
+                different = np.bincount(row[order][new], minlength=n)
                 rows = [sig[i].tobytes() if count[i] else None for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, n) for c in (0, 1)), pa.array(rows, pa.binary())], ["k", "doc_id", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, n) for c in (0, 1)), pa.array(different, pa.int64()), pa.array(rows, pa.binary())], ["k", "doc_id", "n", "sig"])
 
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select(F.unhex(F.md5(text_of(text))).alias("k"), "doc_id", text_of(text).alias("t"))
-    return written(keyed.mapInArrow(make, f"k binary, doc_id {kind}, sig binary"))
+    return written(keyed.mapInArrow(make, f"k binary, doc_id {kind}, n long, sig binary"))
 
 
 def _children(path: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,12 +93,12 @@ def _children(path: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, n
     for pick in range(2):
         rows = every if not pick else every[mixed(path + np.uint64(17)) % np.uint64(4) == 0]
         own = mixed(path[rows] + np.uint64(101 + pick))
-        at = (own % np.uint64(sig.shape[1])).astype(np.int64)
+        at = (own % np.uint64(COORDINATES)).astype(np.int64)
         yield rows, mixed(own ^ mixed(sig[rows, at].astype(np.uint64) * MULTIPLIER + np.uint64(1)))
 
 
-def _split(sets: DataFrame, runs: int = 0) -> DataFrame:
-    """(k, node) one level down. sets: (k, sig), and with ``runs`` 0 node; else roots are made."""
+def _split(sets: DataFrame, runs: range | None = None) -> DataFrame:
+    """(k, node) one level down. sets: (k, sig), and without ``runs`` node; else their roots are made."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +106,7 @@ def _split(sets: DataFrame, runs: int = 0) -> DataFrame:
                 continue
             k = batch.column(0)
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(len(k), -1)
-            roots = [np.full(len(k), mixed(np.array([r + 1], np.uint64) * MULTIPLIER)[0]) for r in range(runs)] or [batch.column(2).to_numpy().astype(np.int64).view(np.uint64)]
+            roots = [np.full(len(k), mixed(np.array([r + 1], np.uint64) * MULTIPLIER)[0]) for r in runs or ()] or [batch.column(2).to_numpy().astype(np.int64).view(np.uint64)]
             for path in roots:
                 for rows, node in _children(path, sig):
                     yield pa.RecordBatch.from_arrays([k.take(pa.array(rows)), pa.array(node.view(np.int64))], ["k", "node"])
@@ -142,6 +161,7 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
         for group in groups(batches, 1):
             k = group.column(1).to_pylist()
             sig = np.frombuffer(b"".join(group.column(2).to_pylist()), "<u4").reshape(len(k), -1)
+            sig = sig[:, :COORDINATES]
             near = (sig[:, None, :] == sig[None, :, :]).mean(2) >= CANDIDATE
             for i, j in enumerate(_least_linked(near).tolist()):
                 if i != j:
@@ -155,25 +175,73 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
     return rows.select("node", "k", "sig").repartition("node").sortWithinPartitions("node", "k").mapInArrow(make, "a binary, b binary")
 
 
-def candidate_edges(sets: DataFrame, runs: int = RUNS, levels: int = LEVELS, limit: int = LIMIT) -> DataFrame:
-    """Edges whose components hold every pair found. sets: written table of (k, sig), one row per distinct text."""
+def _tree(rows: DataFrame, most: int, fan: int = FAN) -> DataFrame:
+    """Edges (a, b) that join all k of each node, of at most ``most`` sets, as a tree of about ``fan`` children a set."""
+    parts, depth = [], max(1, math.ceil(math.log(most, fan)))
+    for d in reversed(range(depth)):
+        rows = rows.select("node", "k", F.pmod(F.xxhash64("k"), F.lit(fan**d)).alias("part"))
+        least = rows.groupBy("node", "part").agg(F.min("k").alias("b"))
+        parts.append(rows.join(least, ["node", "part"]).select(F.col("k").alias("a"), "b"))
+        rows = least.select("node", F.col("b").alias("k"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def candidate_edges(sets: DataFrame, runs: range = range(RUNS), levels: int = LEVELS, limit: int = LIMIT) -> DataFrame:
+    """Edges whose components hold every pair found by ``runs``. sets: written table of (k, sig), one row per distinct text."""
     prepare(sets.sparkSession)
     parts = []
     live = written(_split(sets.select("k", "sig"), runs))
     for level in range(1, levels + 1):
-        sizes = written(live.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("b")).filter("n > 1"))
+        sizes = written(live.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
         small, large = sizes.filter(F.col("n") <= limit), sizes.filter(F.col("n") > limit)
         parts.append(_bucket_edges(live.join(small.select("node"), "node").join(sets, "k")))
-        if large.isEmpty():
+        most = large.agg(F.max("n")).first()[0]
+        if not most:
             break
         if level == levels:
-            parts.append(live.join(large.select("node", "b"), "node").select(F.col("k").alias("a"), "b"))
+            parts.append(_tree(live.join(large.select("node"), "node"), most))
         else:
             live = written(_split(live.join(large.select("node"), "node").join(sets, "k").select("k", "sig", "node")))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.filter("a != b").distinct()
+    return functools.reduce(DataFrame.unionByName, parts).filter("a != b").distinct()
+
+
+def sampled_pairs(sets: DataFrame, sample: int = SAMPLE, similar: float = SIMILAR) -> list[tuple[bytes, bytes]]:
+    """Pairs of like sketches, by brute force among at most ``sample`` texts: those that come first by the coordinate
+    that no path picks, so that like texts are in the sample together."""
+    own = F.substring("sig", 4 * COORDINATES + 1, 4)
+    rows = [(bytes(r.k), bytes(r.sig)) for r in sets.orderBy(own, "k").limit(sample).select("k", "sig").collect()]
+    sig = np.frombuffer(b"".join(x for _, x in rows), "<u4").reshape(-1, COORDINATES + 1)
+    cuts = [0, *(np.flatnonzero(np.diff(sig[:, -1].astype(np.int64))) + 1).tolist(), len(rows)]
+    out = []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        for i in range(lo, hi - 1):
+            like = np.flatnonzero((sig[i + 1 : hi, :COORDINATES] == sig[i, :COORDINATES]).mean(1) >= similar)
+            out += [(rows[i][0], rows[i + 1 + j][0]) for j in like.tolist()]
+    return out
+
+
+def recall_of(candidates: DataFrame, pairs: list[tuple[bytes, bytes]]) -> float:
+    """The share of ``pairs`` that are in one component of ``candidates`` (k, label); 1 if there are none."""
+    if not pairs:
+        return 1.0
+    # As many rows as the sample has texts at most.
+    ks = candidates.sparkSession.createDataFrame([(k,) for k in {k for p in pairs for k in p}], "k binary")
+    label = {bytes(r.k): bytes(r.label) for r in candidates.join(F.broadcast(ks), "k").collect()}
+    return sum(a in label and label[a] == label.get(b) for a, b in pairs) / len(pairs)
+
+
+def candidate_components(sets: DataFrame, runs: int = RUNS, more: int = MORE, most: int = MOST, target: float = TARGET, sample: int = SAMPLE, **options) -> tuple[DataFrame, int, float]:
+    """(k, label) of the texts that runs join, how many runs it took, and their measured recall."""
+    pairs = sampled_pairs(sets, sample)
+    edges = candidate_edges(sets, range(runs), **options)
+    while True:
+        edges = written(edges)
+        candidates = components(edges).withColumnRenamed("node", "k")
+        recall = recall_of(candidates, pairs)
+        if recall >= target or runs >= most:
+            return candidates, runs, recall
+        edges = edges.unionByName(candidate_edges(sets, range(runs, runs + more), **options))
+        runs += more
 
 
 def _linked(tokens: list[np.ndarray], similar: float) -> np.ndarray:
@@ -200,30 +268,31 @@ def _linked(tokens: list[np.ndarray], similar: float) -> np.ndarray:
 
 
 def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK, wide_block: int = WIDE_BLOCK) -> DataFrame:
-    """(k, links, root) of exact comparisons. texts: (k, label, members, t), each k once or in equal rows.
+    """(k, links, root) of exact comparisons. texts: (k, label, size, sizes, t), each k once or in equal rows; ``size`` is
+    a text's class of size in its component, ``sizes`` a map from those classes to their texts.
 
-    A component of more than ``block`` texts is dealt into blocks by hash, and each pair of blocks is a
-    group of its own; within one, rows are sets, not pairs.
+    A class of more than ``block`` texts is dealt into blocks by hash, and each pair of blocks of one class or of two
+    next to each other is a group of its own; within one, rows are sets, not pairs.
     """
     prepare(texts.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(3)):
+            for lo, hi, data, offsets in slices(batch.column(4)):
                 value, row = runs_of(data, offsets)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 rows = [np.unique(value[ends[i] : ends[i + 1]]).astype("<u8").tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(3)), pa.array(rows, pa.binary())], ["k", "label", "members", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(4)), pa.array(rows, pa.binary())], ["k", "label", "size", "sizes", "tokens"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, links, roots = [], [], []
-        for group in groups(batches, 3):
-            k, own = group.column(3).to_pylist(), group.column(5).to_numpy()
+        for group in groups(batches, 5):
+            k, left = group.column(5).to_pylist(), group.column(7).to_numpy()
             first = [i for i in range(len(k)) if not i or k[i] != k[i - 1]]  # equal rows come together
-            k, own = [k[i] for i in first], own[first]
-            near = _linked([np.frombuffer(group.column(4)[i].as_buffer(), "<u8") for i in first], similar)
-            if group.column(1)[0] != group.column(2)[0]:
-                near &= own[:, None] != own[None, :]  # pairs within a block are another group's
+            k, left = [k[i] for i in first], left[first]
+            near = _linked([np.frombuffer(group.column(6)[i].as_buffer(), "<u8") for i in first], similar)
+            if group.column(1)[0] != group.column(3)[0] or group.column(2)[0] != group.column(4)[0]:
+                near &= left[:, None] != left[None, :]  # pairs within a block are another group's
             count = near.sum(1)
             for i, j in enumerate(_least_linked(near).tolist()):
                 if count[i]:
@@ -235,26 +304,45 @@ def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK, wid
                 ks, links, roots = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], ["k", "links", "root"])
 
-    blocks = F.ceil(F.col("members") / F.when(F.col("members") > WIDE, wide_block).otherwise(block)).cast("int")
-    own = F.pmod(F.xxhash64("k"), blocks).cast("int")
-    made = texts.select("k", "label", "members", "t").mapInArrow(sets, "k binary, label binary, members long, tokens binary")
-    dealt = made.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "tokens", "own")
-    return dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "k").mapInArrow(compare, "k binary, links long, root binary")
-
-
-def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    made = texts.select("k", "label", "size", "sizes", "t").mapInArrow(sets, "k binary, label binary, size int, sizes map<int,long>, tokens binary")
+    blocks = lambda at: f"cast(ceil(coalesce(try_element_at(sizes, {at}), 0) / case when try_element_at(sizes, {at}) > {WIDE} then {wide_block} else {block} end) as int)"
+    every = lambda at, body: f"case when {blocks(at)} > 0 then transform(sequence(0, {blocks(at)} - 1), o -> {body}) else array() end"
+    met = lambda c, i, d, j, left: f"named_struct('c', {c}, 'i', {i}, 'd', {d}, 'j', {j}, 'left', {left})"
+    own = made.withColumn("own", F.expr(f"cast(pmod(xxhash64(k), {blocks('size')}) as int)"))
+    groups_of = [
+        every("size", met("size", "least(own, o)", "size", "greatest(own, o)", "own <= o")),
+        every("size + 1", met("size", "own", "size + 1", "o", "true")),
+        every("size - 1", met("size - 1", "o", "size", "own", "false")),
+    ]
+    dealt = own.withColumn("g", F.explode(F.expr(f"concat({', '.join(groups_of)})"))).select("label", "g.c", "g.i", "g.d", "g.j", "k", "tokens", "g.left")
+    keys = ["label", "c", "i", "d", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "k").mapInArrow(compare, "k binary, links long, root binary")
+
+
+def sized(candidates: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """``candidates`` (k, label, n, ...) with ``size`` and ``sizes`` (see ``verified``). Sets of that similarity lie in one
+    class of size or in two next to each other; a component of at most ``block`` texts is one class."""
+    width = math.log(1 / similar) * (1 + 1e-6)
+    total = candidates.groupBy("label").agg(F.count("*").alias("members"))
+    classed = candidates.join(total, "label").withColumn("size", F.when(F.col("members") > block, F.floor(F.log("n") / width)).otherwise(0).cast("int"))
+    classed = written(classed.drop("members"))
+    # As many entries as there are powers of 1.25 up to the longest text.
+    sizes = classed.groupBy("label", "size").agg(F.count("*").alias("m")).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("size", "m"))).alias("sizes"))
+    return classed.join(sizes, "label")
+
+
+def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR, **options) -> tuple[DataFrame, DataFrame]:
     """(table, classes): the sketches' (k, doc_id), and for each distinct text k, least (doc_id), n_copies,
     n_links, class_id and stays (whether its least document is the one of its class that stays)."""
     table = sketches(docs, text)
-    classes = written(table.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")))
-    sets = classes.filter("sig is not null").select("k", "sig")
-    candidates = components(candidate_edges(sets)).withColumnRenamed("node", "k")
-    sizes = candidates.groupBy("label").agg(F.count("*").alias("members"))
-    wanted = candidates.join(sizes, "label").join(classes.select("k", "least"), "k").select(F.col("k").alias("wk"), "label", "members", F.col("least").alias("wl"))
+    classes = written(table.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    candidates, _, _ = candidate_components(classes.filter("sig is not null").select("k", "sig"), **options)
+    wanted = sized(candidates.join(classes.select("k", "least", "n"), "k"), similar)
+    # Written, so that its true size settles how it meets the texts.
+    wanted = written(wanted.select(F.col("k").alias("wk"), "label", "size", "sizes", F.col("least").alias("wl")))
     keyed = docs.select(F.unhex(F.md5(text_of(text))).alias("k"), F.col("doc_id").alias("least"), text_of(text).alias("t"))
     texts = keyed.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & F.col("least").eqNullSafe(F.col("wl")))
-    found = written(verified(texts.select("k", "label", "members", "t"), similar))
+    found = written(verified(texts.select("k", "label", "size", "sizes", "t"), similar))
     links = found.groupBy("k").agg(F.sum("links").alias("n_links"))
     linked = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "k")
     # Nulls come last: a class has a null class_id only if no document of it has an id.
@@ -274,20 +362,21 @@ def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR)
     return table.select("k", "doc_id"), written(classes)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", similar: float = SIMILAR, **options) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id that links reach), n_links (other texts at
     ``similar`` or more), n_copies (documents of the same text, itself included)."""
-    table, classes = near_classes(docs, text, similar)
+    table, classes = near_classes(docs, text, similar, **options)
     return table.join(classes.select("k", "class_id", "n_links", "n_copies"), "k").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def representatives(docs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The document of the least doc_id of each class, with all its columns."""
     _, classes = near_classes(docs, text, similar)
-    keep = classes.filter("stays").select(F.col("k").alias("__wk"), F.col("least").alias("__wl"))
-    keyed = docs.withColumn("__k", F.unhex(F.md5(text_of(text))))
-    kept = keyed.join(keep, F.col("__k").eqNullSafe(F.col("__wk")) & F.col("doc_id").eqNullSafe(F.col("__wl")))
-    return kept.dropDuplicates(["__wk", "__wl"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, k, least = unused(docs, "own", "k", "least")
+    keep = classes.filter("stays").select(F.col("k").alias(k), F.col("least").alias(least))
+    keyed = docs.withColumn(own, F.unhex(F.md5(text_of(text))))
+    kept = keyed.join(keep, F.col(own).eqNullSafe(F.col(k)) & F.col("doc_id").eqNullSafe(F.col(least)))
+    return kept.dropDuplicates([k, least]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

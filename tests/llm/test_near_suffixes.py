@@ -65,29 +65,67 @@ def test_classes_links_and_copies_match_brute_force(spark):
     assert sorted(map(tuple, got)) == brute_near(rows)
 
 
-def test_one_large_group_in_many_blocks(spark, monkeypatch):
+def one_group(n=150, words=300):
     rnd = random.Random(1)
-    base = [f"w{i}" for i in range(300)]
+    base = [f"w{i}" for i in range(words)]
     rows = []
-    for i in range(150):
-        words = list(base)
-        words[rnd.randrange(300)] = f"x{i}"
-        rows.append((i, " ".join(words)))
-    monkeypatch.setattr(near, "LIMIT", 8)
-    texts = spark.createDataFrame([(bytes([i]), b"g", len(rows), t) for i, t in rows], "k binary, label binary, members long, t string")
-    found = near.verified(texts, block=16).groupBy("k").sum("links").collect()
+    for i in range(n):
+        own = list(base) + [f"y{k}" for k in range(rnd.choice([0, 0, 40, 90]))]  # sets of unlike sizes
+        own[rnd.randrange(words)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_one_large_group_in_many_blocks_and_classes_of_size(spark):
+    rows = one_group()
+    ids = spark.createDataFrame([(bytes([i]), b"g", len(runs(t)), t) for i, t in rows], "k binary, label binary, n long, t string")
     brute = {d: n for d, _, n, _ in brute_near(rows)}
-    assert {r[0][0]: r[1] for r in found} == brute
-    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for block in (16, 1000):
+        texts = near.sized(ids, block=block)
+        assert texts.select("size").distinct().count() == (1 if block > 150 else 2)
+        found = near.verified(texts, block=block).groupBy("k").sum("links").collect()
+        assert {r[0][0]: r[1] for r in found} == brute
+
+
+@pytest.mark.parametrize("options", [{"limit": 8}, {"limit": 4, "levels": 2}, {"limit": 4, "levels": 6, "runs": 2, "more": 4}])
+def test_many_levels_dense_buckets_and_more_runs(spark, options):
+    rows = [*one_group(), *((1000 + i, t) for i, t in corpus(seed=4))]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
     assert sorted(map(tuple, got)) == brute_near(rows)
 
 
+def test_runs_are_repeated_until_the_measured_recall(spark):
+    docs = spark.createDataFrame(corpus(seed=11, groups=30), "doc_id long, text string")
+    sets = near.written(near.sketches(docs).filter("sig is not null").groupBy("k").agg({"sig": "first"}).toDF("k", "sig"))
+    pairs = near.sampled_pairs(sets, 200)
+    assert len(pairs) > 20
+    few = near.components(near.candidate_edges(sets, range(1), limit=2)).withColumnRenamed("node", "k")
+    candidates, n, recall = near.candidate_components(sets, runs=1, more=3, target=1.0, limit=2)
+    assert near.recall_of(few, pairs) < 1 and n > 1 and recall == near.recall_of(candidates, pairs) == 1.0
+
+
+def test_dense_buckets_are_trees_of_bounded_degree(spark):
+    k = [i.to_bytes(2, "big") for i in range(1000)]
+    rows = spark.createDataFrame([(j, x) for x in k for j in (1, 2)], "node long, k binary")
+    edges = near._tree(rows, 1000, fan=8).filter("a != b").distinct()
+    assert edges.groupBy("b").count().agg({"count": "max"}).first()[0] < 100
+    assert {bytes(r.label) for r in components(edges).collect()} == {k[0]} and components(edges).count() == 1000
+
+
 def test_representatives_keep_one_of_each_class_and_all_columns(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(i, t, "s", i) for i, t in rows], "doc_id long, text string, k string, least long")
+    docs = spark.createDataFrame([(i, t, "s", i, "a", "b") for i, t in rows], "doc_id long, text string, k string, least long, __own string, __K string")
     kept = near.representatives(docs).collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c, _, _ in brute_near(rows)})
-    assert all(r.k == "s" and r.least == r.doc_id for r in kept)
+    assert all((r.k, r.least, r["__own"], r["__K"]) == ("s", r.doc_id, "a", "b") for r in kept)
+
+
+def test_near_copies_of_over_a_megabyte(spark):
+    words = [f"w{i * 7919 % 1_000_003}" for i in range(170_000)]
+    other = [w if i % 100 else "x" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100_000]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows[0][1]) > 1_000_000 and got == {d: (c, n) for d, c, n, _ in brute_near(rows)} and got[1] == (1, 1)
 
 
 def test_null_ids_and_empty_tables(spark):
