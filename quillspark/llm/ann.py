@@ -3,7 +3,7 @@
 Equal vectors are one entry with its smallest ids (as many as an answer can hold), found with salted
 limits, so that a very common vector costs no more than others. Centroids are means of a balanced
 bisection of a bounded sample (``max_sample`` entries, the smallest hashes); there are at most
-``max_lists``. An entry goes to its nearest centroid and, near a border, to further ones whose
+``max_lists``, a fourth of it, beyond which lists grow and are read in more blocks. An entry goes to its nearest centroid and, near a border, to further ones whose
 distance is within a ratio. Centroids are searched by best-first walks over a neighbour graph in
 memory, for entries and for queries. A query reads the lists within a distance ratio of its nearest
 one; the ratio is set so that the sample's own neighbours, which lie further off than those among all
@@ -15,7 +15,8 @@ that the largest product is the smallest distance; scores are products of the or
 
 Defined results: vectors null, zero, holding null or non-finite components, or of another length than
 the commonest (the smaller one if two are) take no part; equal rows count once, and rows of a query's
-own id aren't its candidates; null ids take no part; an empty table gives no rows.
+own id aren't its candidates; ties of a score go to the smaller id; null ids take no part; an empty table, or no
+usable query, gives no rows; vectors of any length are taken whole; columns beside vec_id and embedding play no part.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import prepare, read, written
 from quillspark.llm.near import groups
 
-LIST_SIZE, MAX_LISTS, MAX_SAMPLE = 1024, 16_384, 32_768
+LIST_SIZE, MAX_LISTS, MAX_SAMPLE = 1024, 16_384, 65_536
 REPLICAS, REPLICA_RATIO = 4, 1.2
 #: The share of the sample's own neighbours that the probe ratio must reach, on so many of its rows.
 RECALL, TRIALS = 0.975, 400
@@ -254,17 +255,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                at, far = c.nearest(c.aim(_matrix(part.column(0))), c.probes)
+                at, far = c.nearest(c.aim(_matrix(part.column(1))), c.probes)
                 keep = far <= c.ratio * far[:, :1]
                 keep[:, :8] = True
                 row, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(at[row, j], pa.int64()), part.column(0).take(pa.array(row))], ["list", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[row, j], pa.int64()), *(x.take(pa.array(row)) for x in part.columns)], ["list", "ask", "embedding"])
 
     lists = written(entries.mapInArrow(post, "list long, embedding array<double>, ids array<long>"))
     usable = queries.filter(F.col("vec_id").isNotNull() & (F.size("embedding") == d))
     usable = usable.filter(F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x != 0)"))
     usable = usable.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
-    asked = written(usable.select("embedding").distinct().mapInArrow(aim, "list long, embedding array<double>"))
+    # Equal queries are asked once, under the least of their ids.
+    asking = written(usable.groupBy("embedding").agg(F.min("query_id").alias("ask")))
+    asked = written(asking.select("ask", "embedding").mapInArrow(aim, "list long, ask long, embedding array<double>"))
 
     def blocks(rows: DataFrame) -> DataFrame:
         """Blocks of each list: as many rows as there are lists."""
@@ -274,32 +277,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
     sizes = blocks(lists).withColumnRenamed("n", "nv").join(blocks(asked).withColumnRenamed("n", "nq"), "list")
     sizes = F.broadcast(sizes)  # at most max_lists rows
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(sizes, "list").withColumn("n", F.col("nq")).select("list", every("nv").alias("vb"), own.alias("qb"), F.lit(0).alias("side"), "embedding", F.lit(None).cast("array<long>").alias("ids"))
-    right = lists.join(sizes, "list").withColumn("n", F.col("nv")).select("list", own.alias("vb"), every("nq").alias("qb"), F.lit(1).alias("side"), "embedding", "ids")
+    left = asked.join(sizes, "list").withColumn("n", F.col("nq")).select("list", every("nv").alias("vb"), own.alias("qb"), F.lit(0).alias("side"), "ask", "embedding", F.lit(None).cast("array<long>").alias("ids"))
+    right = lists.join(sizes, "list").withColumn("n", F.col("nv")).select("list", own.alias("vb"), every("nq").alias("qb"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("ask"), "embedding", "ids")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
             n = int((group.column("side").to_numpy() == 0).sum())
             if not n or n == group.num_rows:
                 continue
-            embedding = group.column("embedding").combine_chunks()
-            x = _matrix(embedding)
+            x = _matrix(group.column("embedding").combine_chunks())
+            ask = group.column("ask").slice(0, n).to_numpy()
             own = group.column("ids").slice(n).combine_chunks()
             first, flat = own.offsets.to_numpy().astype(np.int64), own.values.to_numpy()
             for lo in range(0, n, 256):
                 scores, ids, ends = _top(x[lo : min(lo + 256, n)], x[n:], first, flat, k + 1)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                lists_of = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (scores, ids)]
-                yield pa.RecordBatch.from_arrays([embedding.slice(lo, len(ends)), *lists_of], ["embedding", "scores", "ids"])
+                who = np.repeat(ask[lo : lo + len(ends)], np.diff(ends, prepend=0))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (who, scores, ids)], ["ask", "score", "vec_id"])
 
     rows = left.unionByName(right).repartition("list", "vb", "qb").sortWithinPartitions("list", "vb", "qb", "side")
-    found = rows.mapInArrow(score, "embedding array<double>, scores array<double>, ids array<long>")
-    # A query has a row for each block that it read: bounded by its probes.
-    pairs = F.arrays_zip(F.transform("scores", lambda v: -v).alias("s"), F.col("ids").alias("i"))
-    best = found.groupBy("embedding").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("all"))
-    # copies of an entry in several lists come side by side, with equal scores
-    best = best.select("embedding", F.expr("filter(all, (x, j) -> j = 0 or x != all[j - 1])").alias("all"))
-    best = best.select("embedding", F.slice("all", 1, k + 1).alias("best"))
+    found = rows.mapInArrow(score, "ask long, score double, vec_id long")
+    # Each task keeps a query's best before they meet, and copies of an entry in several lists come with equal scores.
+    best = F.dense_rank().over(Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("r", best).filter(F.col("r") <= k + 1).select("ask", "score", "vec_id").distinct()
+    # At most k + 1 of them for each query.
+    lists_of = found.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))).alias("best"))
+    best = lists_of.join(asking, "ask").select("embedding", "best")
     top = usable.join(best, "embedding").select("query_id", F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k).alias("best"))
     return top.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
 

@@ -5,8 +5,10 @@ driver from a bounded sample of labelled rows (``max_rows``, the smallest hashes
 quantile bins with second-order gains, and flattened into arrays of perfect trees, over which numpy
 walks all rows of a batch level by level. Labels, language, source and doc_id are never statistics.
 
-Defined results: null and empty texts have statistics of zero and a score like any other; without
-usable labels every score is 0.5; with labels of one class every score is their smoothed share.
+Defined results: null and empty texts have statistics of zero and a score like any other; texts of any length
+are counted whole; equal texts have equal scores; rows of one doc_id are scored each, and one of them, the least by
+hash and text, stands for it in the fit; without usable labels every score is 0.5; with labels of one class every score
+is their smoothed share; columns of any name are carried along, but one with the score's name gives way to it.
 """
 
 from __future__ import annotations
@@ -183,15 +185,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, text
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("double").alias("y"))
     # The sample is bounded by max_rows, and so is its broadcast.
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    rows = _statistics_of(docs.join(F.broadcast(sample), "doc_id").select("y", text), "y", text).collect()
+    # One text for each sampled label, whatever the documents of its id: what is collected is bounded as well.
+    own = sample.groupBy("doc_id").agg(F.min("y").alias("y"))
+    body = docs.select("doc_id", text_of(text).alias(text))
+    chosen = body.join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(text), text)).alias("t"))
+    rows = _statistics_of(chosen.select("y", F.col(f"t.{text}").alias(text)), "y", text).collect()
     # Equal models whatever order the rows come in.
     table = np.array(sorted([r.carry, *r.x] for r in rows), np.float64).reshape(-1, 1 + len(STATISTICS))
     return fit(table[:, 1:].astype(np.float32), table[:, 0], **options)
 
 
 def score_quality(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
-    """Every row of ``docs`` with its score."""
+    """Every row of ``docs`` with its score, in a column ``name``."""
     prepare(docs.sparkSession)
+    if text != name:
+        docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
     text_at = docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
