@@ -1,23 +1,30 @@
-"""Benchmark decontamination: word pairs as seeds, Smith-Waterman alignment as the score.
-
-Every pair of words one or two places apart in a test item is a seed, however common. One pass finds seeds in whole texts, and aligns the item with the words around
-them; the score is the best local alignment as a share of the item's alignment with itself. The index
-of a block of items is bounded by ``block_grams``: a larger benchmark is taken in several blocks, each
-with a pass of its own, so that nothing unbounded is broadcast.
-
-Defined results: null and empty texts and items match nothing; an item of which one
-word would reach the score counts only where it stands whole; repeated rows are reported once a row; rows with null item_id take part.
+"""Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman alignment scores them.
+
+The n-grams of an item are its pairs of words one or two places apart. One pass counts them in all texts. An
+alignment that reaches the score sought must hold n-grams of a certain weight, so an item's commonest ones, as
+long as they weigh less than that together, can't make one alone: they are no seeds, and the rarer rest
+misses nothing. A second pass joins texts to items by those seeds, counts all n-grams of the pairs that it
+finds, and aligns an item with the words around where there are enough; the score is the best local
+alignment as a share of the item's alignment with itself. The index of a block of items is bounded by
+``block_grams``: a larger benchmark is taken in several blocks, each with two passes of its own, so that nothing
+unbounded is broadcast.
+
+Defined results: null and empty texts and items match nothing; an item of which one word would reach the score
+counts only where it stands whole; of places of equal score the first counts; repeated rows are reported once a
+row; texts of any length are read whole; rows with null item_id take part, and ids may be of any type; columns beside
+doc_id, item_id and the texts play no part, or are kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm.common import prepare, read, text_of
 from quillspark.llm.textbytes import mixed, slices, words
@@ -30,26 +37,62 @@ FILTER_BITS = 20
 
 @dataclass
 class Items:
-    """Word hashes of a block of items and their word pairs; ``gram``, ``item`` and ``step`` go together, by gram."""
+    """Word hashes of a block of items and their word pairs; ``gram``, ``item`` and ``step`` go together, by gram, and
+    ``rare`` marks the seeds among them: all, until frequencies are known."""
 
     ids: list
     words: list[np.ndarray]
     gram: np.ndarray
     item: np.ndarray
     step: np.ndarray
+    rare: np.ndarray
+
+    def seeds(self, count: np.ndarray, least: float) -> Items:
+        """With the commonest grams of each item, by ``count`` of each entry, unmarked while they weigh less than an alignment needs."""
+        need = needed(np.array([len(w) for w in self.words], np.int64), least)[1]
+        order = np.lexsort((self.gram, -count, self.item))
+        weight = np.where(self.step[order] == 1, 2, 1)
+        total = np.cumsum(weight)
+        first = np.searchsorted(self.item[order], np.arange(len(self.words)))
+        before = np.concatenate([[0], total])[first]
+        rare = np.zeros(len(order), bool)
+        rare[order] = total - before[self.item[order]] >= need[self.item[order]]
+        return replace(self, rare=rare)
+
+
+@dataclass
+class Index:
+    """Sorted grams, each perhaps several times, with a bitmap before them."""
+
+    gram: np.ndarray
     screen: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.screen = np.zeros(1 << FILTER_BITS, bool)
         self.screen[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, value: np.ndarray) -> np.ndarray:
-        """Where ``value`` is a gram of some item."""
-        at = np.flatnonzero(self.screen[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        if not len(self.gram):
-            return at[:0]
-        i = np.minimum(np.searchsorted(self.gram, value[at]), len(self.gram) - 1)
-        return at[self.gram[i] == value[at]]
+    def pairs(self, h: np.ndarray, row: np.ndarray, among: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(distance, place of the first word, entry) of the pairs of words of a row that are grams here; in rows of ``among``."""
+        for d in (0, 1, 2):
+            value = _pair(h[: max(len(h) - d, 0)], h[d:])
+            at = np.flatnonzero(self.screen[(value >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            at = at[row[at] == row[at + d]]
+            at = at[among[row[at]]] if among is not None else at
+            left = np.searchsorted(self.gram, value[at])
+            n = np.searchsorted(self.gram, value[at], "right") - left
+            yield d, np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+
+
+def needed(length: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own least score, weight of grams, words of the text) that an alignment of an item of ``length`` words takes.
+
+    Of L words, M in line and a cost of B, a score of ``least`` needs 2 M - B >= 2 L least. So among the M - 1 steps
+    from one word in line to the next, those without cost, counted twice, and those of cost one add up to
+    2 L least - 2 at least, within M + B <= 3 L - 2 L least words of the text. Both kinds are grams, and no gram of an
+    item is used twice.
+    """
+    own = np.where(length * least > 1 + 1e-9, least, 1.0)  # where one word would do, only the whole item does
+    return own, np.maximum(np.ceil(2 * length * own - 2 - 1e-9).astype(np.int64), 1), np.ceil(3 * length - 2 * length * own).astype(np.int64)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,7 +116,7 @@ def items_of(rows: list[tuple]) -> Items:
             step.append(np.full(len(pairs), d))
     gram, item, step = (np.concatenate(x) for x in (gram, item, step))
     order = np.argsort(gram, kind="stable")
-    return Items([i for i, _ in rows], every, gram[order], item[order], step[order])
+    return Items([i for i, _ in rows], every, gram[order], item[order], step[order], np.ones(len(order), bool))
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,37 +162,55 @@ def _blocks(benchmark: DataFrame, block_grams: int, text: str) -> Iterator[Items
     blocks = max(1, -(-size // block_grams))
     for b in range(blocks):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id", text), F.lit(blocks)) == b)
-        rows = sorted(((r[0], r[1]) for r in part.select("item_id", text).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        rows = sorted(((r[0], r[1]) for r in part.select("item_id", text).collect()), key=lambda r: (r[0] is None, str(r[0]), r[1] or ""))
         yield items_of(rows)
 
 
-def _found(items: Items, column: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, score, seeds, last word) of each pair of a text and an item that reaches ``least``, the best place only.
+def _counted(docs: DataFrame, items: Items, least: float, text: str) -> Items:
+    """``items`` with the seeds that follow from how often each gram stands in all of ``docs``."""
 
-    Of L words, M in line and a cost of B, a score of ``least`` needs 2 M - B >= 2 L least. So among the M - 1 steps
-    from one word in line to the next, those without cost, counted twice, and those of cost one add up to
-    2 L least - 2 at least, within M + B <= 3 L - 2 L least words of the text. Both kinds are seeds.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, total = Index(np.unique(items.gram)), np.zeros(len(np.unique(items.gram)), np.int64)
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                h, _, _, row = words(data, offsets)
+                for _, _, entry in index.pairs(h, row):
+                    total += np.bincount(entry, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(index.gram[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
+
+    # As many rows as the block has grams.
+    rows = docs.select(text_of(text)).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    gram = np.array([r.gram for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    gram, n = gram[order], np.array([r.n for r in rows], np.int64)[order]
+    at = np.minimum(np.searchsorted(gram, items.gram), max(len(gram) - 1, 0))
+    known = gram[at] == items.gram if len(gram) else np.zeros(len(items.gram), bool)
+    return items.seeds(np.where(known, n[at] if len(gram) else 0, 0), least)
+
+
+def _found(items: Items, column: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, score, grams, last word) of each pair of a text and an item that reaches ``least``, the best place only."""
     out: list[tuple] = []
     length = np.array([len(x) for x in items.words], np.int64)
-    own = np.where(length * least > 1 + 1e-9, least, 1.0)  # where one word would do, only the whole item does
-    need = np.maximum(np.ceil(2 * length * own - 2 - 1e-9).astype(np.int64), 1)
-    span = np.ceil(3 * length - 2 * length * own).astype(np.int64)
+    own, need, span = needed(length, least)
     pad = int(span.max(initial=0)) + 1
+    seeds, grams = Index(items.gram[items.rare]), Index(items.gram)
+    seed_item, seed_step = items.item[items.rare], items.step[items.rare]
     for lo, hi, data, offsets in slices(column):
         h, _, _, row = words(data, offsets)
+        joined = [row[at] * len(items.words) + seed_item[e] for d, at, e in seeds.pairs(h, row) for ok in [(seed_step[e] > 0) == (d > 0)] for at, e in [(at[ok], e[ok])]]
+        pairs = np.unique(np.concatenate(joined))
+        if not len(pairs):
+            continue
         bounds = np.searchsorted(row, np.arange(hi - lo + 1))
+        among = np.zeros(hi - lo, bool)
+        among[pairs // len(items.words)] = True
         at, item, weight = [], [], []
-        for d in (0, 1, 2):
-            value = _pair(h[: max(len(h) - d, 0)], h[d:])
-            hit = items.hits(value)
-            hit = hit[row[hit] == row[hit + d]]
-            left = np.searchsorted(items.gram, value[hit])
-            n = np.searchsorted(items.gram, value[hit], "right") - left
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+        for d, place, entry in grams.pairs(h, row, among):
             step = items.step[entry]
-            ok = (step > 0) == (d > 0)
-            at.append(np.repeat(hit, n)[ok])
+            ok = ((step > 0) == (d > 0)) & np.isin(row[place] * len(items.words) + items.item[entry], pairs)
+            at.append(place[ok])
             item.append(items.item[entry][ok])
             weight.append(1 + (step[ok] == 1) * (d == 1))
         at, item, weight = (np.concatenate(x) for x in (at, item, weight))
@@ -184,12 +245,14 @@ def _found(items: Items, column: pa.Array, least: float) -> tuple[np.ndarray, np
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: float = LEAKED, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds, last_word) of every document and item whose alignment reaches ``least``."""
+    """(doc_id, item_id, score, n_seeds, last_word) of every document and item whose alignment reaches ``least``: n_seeds
+    is how many of the item's n-grams lie there, last_word the word after the alignment."""
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     out = None
     prepare(docs.sparkSession)
     for items in _blocks(benchmark, block_grams, item_text):
-        ids = pa.array(items.ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind])
+        items = _counted(docs, items, least, text)
+        ids = pa.array(items.ids, to_arrow_type(benchmark.schema["item_id"].dataType))
 
         def find(batches: Iterator[pa.RecordBatch], items: Items = items, ids: pa.Array = ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -205,9 +268,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", least: float = LEAKED, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The documents that hold no item; they aren't shuffled."""
-    place = docs.columns.index(text)
+    place, every = docs.columns.index(text), docs
     prepare(docs.sparkSession)
     for items in _blocks(benchmark, block_grams, item_text):
+        items = _counted(every, items, least, text)
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -73,10 +73,11 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])]))
         of, total = row[first], np.add.reduceat(h, first)
         lengths = np.diff(np.concatenate([first, [len(h)]])).astype(np.float64)
-        filled = np.maximum(np.bincount(of, minlength=n), 1)
+        some_lines = np.bincount(of, minlength=n)
+        filled = np.maximum(some_lines, 1)
         mean = np.bincount(of, lengths, n) / filled
         out[:, k + 8] = np.sqrt(np.maximum(np.bincount(of, lengths**2, n) / filled - mean**2, 0)) / np.maximum(mean, 1)
-        out[:, k + 9] = 1 - _distinct(of, total, n)[0] / filled
+        out[:, k + 9] = (some_lines - _distinct(of, total, n)[0]) / filled
         kinds_of, top = _distinct(row, h, n)
         out[:, k + 10], out[:, k + 12] = kinds_of / each, top / each
     out[:, k + 11] = np.log1p(n_words / (1.0 + counts[:, 5]))
