@@ -338,8 +338,8 @@ def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR,
     classes = written(table.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     candidates, _, _ = candidate_components(classes.filter("sig is not null").select("k", "sig"), **options)
     wanted = sized(candidates.join(classes.select("k", "least", "n"), "k"), similar)
-    # Written, so that its true size settles how it meets the texts.
-    wanted = written(wanted.select(F.col("k").alias("wk"), "label", "size", "sizes", F.col("least").alias("wl")))
+    # Members of components are a share of all texts at every size: both sides are shuffled.
+    wanted = wanted.select(F.col("k").alias("wk"), "label", "size", "sizes", F.col("least").alias("wl")).hint("merge")
     keyed = docs.select(F.unhex(F.md5(text_of(text))).alias("k"), F.col("doc_id").alias("least"), text_of(text).alias("t"))
     texts = keyed.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & F.col("least").eqNullSafe(F.col("wl")))
     found = written(verified(texts.select("k", "label", "size", "sizes", "t"), similar))
@@ -347,7 +347,8 @@ def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR,
     linked = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "k")
     # Nulls come last: a class has a null class_id only if no document of it has an id.
     order = F.struct(F.col("least").isNull().alias("none"), "least", "k")
-    first = linked.join(classes.select("k", "least"), "k").groupBy("label").agg(F.min(order).alias("first"))
+    # Written, a row for each class: it is broadcast to its members or meets them in a join that Spark splits, not they it.
+    first = written(linked.join(classes.select("k", "least"), "k").groupBy("label").agg(F.min(order).alias("first")))
     of = linked.join(first, "label").select("k", F.col("first.least").alias("class_id"), (F.col("k") == F.col("first.k")).alias("stays"))
     classes = classes.select("k", "least", "n_copies").join(links, "k", "left").join(of, "k", "left")
     alone = F.col("stays").isNull()
