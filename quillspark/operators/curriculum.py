@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark.operators.base import Spark, operator
-from quillspark.operators.practice import judged, learning_velocity, retry_pattern, weekly_accuracy_by_user  # noqa: F401
+from quillspark.operators.practice import best_worst_items, judged, learning_velocity, retry_pattern, weekly_accuracy_by_user  # noqa: F401
 
 #: What comes before what.
 PREREQUISITES = {
@@ -241,9 +241,31 @@ def recommend_items(d: Spark, sessions: str, most: int) -> str:
     UNION ALL SELECT user_id, target_item, CAST(0.1 AS DOUBLE), 'strength' FROM acc WHERE best = 1"""
 
 
+#: A plan's modes: seconds, description, how many struggling and how many easy items, and whether easy ones lead.
+PLANS = {
+    "quick_win": (180, "Short focused session", 1, 2, True),
+    "confidence_boost": (300, "Mix of easy + challenge", 4, 2, True),
+    "standard": (480, "Full practice session", 9, 1, False),
+    "deep_focus": (600, "Extended focus on weak areas", 8, 0, False),
+}
+
+
 @operator("sessions")
 def session_plan(d: Spark, sessions: str) -> str:
-    """A plan's mode and its items: the most retried first, few if the learner is frustrated."""
+    """A learner's plan: its mode, length and reasons, and its items: those struggled with (of high or medium priority), and
+    easy ones (of low priority, then two of the best letters), as many of each and in the order that the mode says."""
+    pick = lambda i: "CASE mode " + " ".join(f"WHEN '{m}' THEN {v[i] if not isinstance(v[i], str) else repr(v[i])}" for m, v in PLANS.items()) + " END"
     return f"""
-    SELECT user_id, mode, {d.joined("slice(items, 1, CASE mode WHEN 'confidence' THEN 2 WHEN 'focus' THEN 3 ELSE 5 END)" if d.name == "spark" else "items[1:CASE mode WHEN 'confidence' THEN 2 WHEN 'focus' THEN 3 ELSE 5 END]", ",")} AS items
-    FROM (SELECT user_id, {d.cut('high_retry_items', "','")} AS items, CASE WHEN frustration = 'high' THEN 'confidence' WHEN trend = 'declining' THEN 'focus' ELSE 'mixed' END AS mode FROM ({judged(d, sessions)}))"""
+    WITH j AS (SELECT j.user_id, j.frustration, j.engagement, j.trend, j.rolling_accuracy, s.style,
+                      CASE WHEN j.frustration = 'high' THEN 'quick_win' WHEN j.rolling_accuracy < 0.5 OR j.trend = 'declining' THEN 'deep_focus' WHEN j.engagement = 'low' THEN 'confidence_boost' WHEN s.style = 'impulsive' THEN 'deep_focus' ELSE 'standard' END AS mode
+               FROM ({judged(d, sessions)}) j LEFT JOIN ({style_shadow.sql(d, sessions=sessions)}) s ON s.user_id = j.user_id),
+    recommended AS (SELECT user_id, item, priority_score, CASE WHEN priority IN ('high', 'medium') THEN 'struggle' ELSE 'easy' END AS kind FROM ({recommend_items.sql(d, sessions=sessions)}) WHERE priority <> 'strength'),
+    best AS (SELECT b.user_id, b.target_item AS item, b.avg_acc FROM ({best_worst_items.sql(d, sessions=sessions)}) b LEFT JOIN recommended r ON r.user_id = b.user_id AND r.item = b.target_item WHERE b.kind = 'best' AND r.item IS NULL),
+    lucky AS (SELECT user_id, item, 1000 + row_number() OVER (PARTITION BY user_id ORDER BY avg_acc DESC, item) AS r FROM best),
+    listed AS (SELECT user_id, item, kind, row_number() OVER (PARTITION BY user_id, kind ORDER BY r, item) AS n FROM (
+      SELECT user_id, item, kind, row_number() OVER (PARTITION BY user_id, kind ORDER BY priority_score DESC, item) AS r FROM recommended UNION ALL SELECT user_id, item, 'easy', r FROM lucky WHERE r <= 1002)),
+    chosen AS (SELECT l.user_id, l.item, CASE WHEN l.kind = 'easy' AND {pick(4)} THEN l.n ELSE CASE l.kind WHEN 'struggle' THEN 100 ELSE 200 END + l.n END AS place FROM listed l JOIN j ON j.user_id = l.user_id WHERE l.n <= CASE l.kind WHEN 'easy' THEN {pick(3)} ELSE {pick(2)} END)
+    SELECT j.user_id, mode, {pick(0)} AS seconds, coalesce(c.items, '') AS items,
+           coalesce(nullif(concat_ws('; ', CASE WHEN frustration = 'high' THEN 'Shorter session to reduce frustration' END, CASE WHEN trend = 'declining' THEN 'Extended focus on weak areas due to declining trend' END,
+             CASE style WHEN 'visual' THEN 'Visual learner — replay assistance recommended' WHEN 'impulsive' THEN 'Active learner — slow down between strokes' END, CASE WHEN rolling_accuracy >= 0.85 THEN 'Strong accuracy — consider advancing difficulty' END), ''), {pick(1)}) AS reasoning
+    FROM j LEFT JOIN (SELECT user_id, {d.listagg('item', ',', 'place')} AS items FROM chosen GROUP BY user_id) c ON c.user_id = j.user_id"""

@@ -69,12 +69,14 @@ def box_iou_pairs(d: Spark, boxes: str) -> str:
       SELECT a.page, a.idx AS i, b.idx AS j, {_IOU} AS shared, (a.x2 - a.x1) * (a.y2 - a.y1) AS ra, (b.x2 - b.x1) * (b.y2 - b.y1) AS rb FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND a.idx < b.idx) WHERE shared > 0"""
 
 
-@operator("boxes")
-def best_overlap_lookup(d: Spark, boxes: str) -> str:
-    """For each box the one it overlaps most, if that is surer of itself."""
+@operator("boxes", least=0.6)
+def best_overlap_lookup(d: Spark, boxes: str, least: float) -> str:
+    """For each box the other of greatest overlap (over what both cover), if that is ``least`` or more and surer of itself."""
     return f"""
-    SELECT page, i, j FROM (SELECT *, row_number() OVER (PARTITION BY page, i ORDER BY shared DESC, j) AS r FROM (
-      SELECT a.page, a.idx AS i, b.idx AS j, b.conf > a.conf AS surer, {_IOU} AS shared FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND a.idx <> b.idx) WHERE shared > 0) WHERE r = 1 AND surer"""
+    SELECT page, i, j, round(iou, 6) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY page, i ORDER BY iou DESC, j) AS r FROM (
+      SELECT page, i, j, surer, CAST(shared AS DOUBLE) / (ra + rb - shared) AS iou FROM (
+        SELECT a.page, a.idx AS i, b.idx AS j, b.conf > a.conf AS surer, {_IOU} AS shared, (a.x2 - a.x1) * (a.y2 - a.y1) AS ra, (b.x2 - b.x1) * (b.y2 - b.y1) AS rb
+        FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND a.idx <> b.idx) WHERE shared > 0)) WHERE r = 1 AND surer AND iou >= {least}"""
 
 
 @operator("boxes")
@@ -149,11 +151,17 @@ def column_gutters(d: Spark, boxes: str) -> str:
 
 @operator("boxes")
 def largest_gap_split(d: Spark, boxes: str) -> str:
-    """Where a page parts in two columns: its largest gap, if that is 1.5 median heights wide."""
+    """Where a page parts in two columns: its largest gap, if that is 1.5 median heights wide and the sides don't lie in common rows
+    (the median of the best overlap in height of each box with one across is under a half)."""
     return f"""
-    SELECT g.page, g.gap, g.at FROM (SELECT page, max(gap) AS gap, max_by(x1, gap * 10000 - x1) AS at FROM (
-      SELECT page, x1, x1 - max(x2) OVER (PARTITION BY page ORDER BY x1, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM {boxes}) WHERE gap > 0 GROUP BY page) g
-    JOIN (SELECT page, median(y2 - y1) AS h FROM {boxes} GROUP BY page) m ON g.page = m.page WHERE g.gap >= 1.5 * m.h"""
+    WITH g AS (SELECT page, max(gap) AS gap, max_by(x1, gap * 10000 - x1) AS at FROM (
+      SELECT page, x1, x1 - max(x2) OVER (PARTITION BY page ORDER BY x1, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM {boxes}) WHERE gap > 0 GROUP BY page),
+    m AS (SELECT page, median(y2 - y1) AS h FROM {boxes} GROUP BY page),
+    sides AS (SELECT b.page, b.idx, b.y1, b.y2, b.x1 >= g.at AS beyond FROM {boxes} b JOIN g ON b.page = g.page),
+    best AS (SELECT a.page, a.idx, max(greatest(CAST(0 AS DOUBLE), CAST(least(a.y2, b.y2) - greatest(a.y1, b.y1) AS DOUBLE) / greatest(1, greatest(a.y2, b.y2) - least(a.y1, b.y1)))) AS iou
+             FROM sides a JOIN sides b ON a.page = b.page AND NOT a.beyond AND b.beyond GROUP BY a.page, a.idx),
+    rows AS (SELECT page, median(iou) AS iou FROM best GROUP BY page)
+    SELECT g.page, g.gap, g.at FROM g JOIN m ON g.page = m.page LEFT JOIN rows r ON r.page = g.page WHERE g.gap >= 1.5 * m.h AND coalesce(r.iou, 0) < 0.5"""
 
 
 @operator("boxes")
@@ -162,11 +170,11 @@ def column_reading_order(d: Spark, boxes: str) -> str:
     return f"SELECT page, idx, CASE WHEN x1 + x2 < {WIDTH} THEN 0 ELSE 1 END AS col, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE WHEN x1 + x2 < {WIDTH} THEN 0 ELSE 1 END, floor(y1 / 40.0), x1, idx) AS INT) AS reading_order FROM {boxes}"
 
 
-@operator("boxes", head=0.12, foot=0.92)
-def layout_roles(d: Spark, boxes: str, head: float, foot: float) -> str:
-    """Headers, footers, signatures (after a label) and text."""
+@operator("boxes", head=0.12, foot=0.92, labels=("w7", "w8"))
+def layout_roles(d: Spark, boxes: str, head: float, foot: float, labels: tuple) -> str:
+    """Headers, footers, signatures (doubtful, after one of ``labels``) and text."""
     return f"""
-    SELECT page, idx, CASE WHEN y2 <= {HEIGHT} * {head} THEN 'header' WHEN y1 >= {HEIGHT} * {foot} THEN 'footer' WHEN prev IN ('w7', 'w8') AND conf < 50 THEN 'signature' ELSE 'text' END AS role
+    SELECT page, idx, CASE WHEN y2 <= {HEIGHT} * {head} THEN 'header' WHEN y1 >= {HEIGHT} * {foot} THEN 'footer' WHEN prev IN ({', '.join(repr(x) for x in labels)}) AND conf < 50 THEN 'signature' ELSE 'text' END AS role
     FROM (SELECT *, lag(word) OVER (PARTITION BY page ORDER BY y1, x1, idx) AS prev FROM {boxes})"""
 
 
@@ -303,12 +311,15 @@ def greedy_match(pairs: DataFrame, least: float, descending: bool = True) -> Dat
     return by_page(pairs, f, "page long, a int, b int, score double", "a", "b")
 
 
-def connected_lines(boxes: DataFrame, gap: float = 60.0, drift: float = 10.0) -> DataFrame:
-    """Boxes linked where the next begins within ``gap`` to the right and ``drift`` in height; the least idx names a line."""
+def connected_lines(boxes: DataFrame, gap: float = 60.0, drift: float = 10.0, turn: float = 20.0) -> DataFrame:
+    """Boxes linked where the next begins within ``gap`` along the first one's line, off it by ``drift`` at most, and their middles
+    lie under an angle of ``turn`` degrees; the least idx names a line."""
 
     def f(rows: Page) -> Page:
-        x1, x2, y1 = rows["x1"], rows["x2"], rows["y1"]
-        near = (np.abs(x1[None, :] - x2[:, None]) <= gap) & (np.abs(y1[None, :] - y1[:, None]) <= drift)
+        x1, x2, y1, y2 = (rows[c].astype(float) for c in ("x1", "x2", "y1", "y2"))
+        across, down = (x1 + x2)[None, :] - (x1 + x2)[:, None], (y1 + y2)[None, :] - (y1 + y2)[:, None]
+        angle = np.degrees(np.arctan2(np.abs(down), np.maximum(np.abs(across), 1e-9)))
+        near = (np.abs(x1[None, :] - x2[:, None]) <= gap) & (np.abs(y1[None, :] - y1[:, None]) <= drift) & (angle <= turn)
         near |= near.T
         np.fill_diagonal(near, True)
         label = rows["idx"].astype(np.int64)
@@ -321,13 +332,14 @@ def connected_lines(boxes: DataFrame, gap: float = 60.0, drift: float = 10.0) ->
     return by_page(boxes, f, "page long, idx int, line long", "y1", "x1", "idx")
 
 
-def table_rows(boxes: DataFrame, depth: int = 60, reach: int = 180) -> DataFrame:
-    """Rows under each header (a word of 'w1'), with a bound that each row taken moves down."""
+def table_rows(boxes: DataFrame, depth: int = 60, reach: int = 180, headers: tuple[str, ...] = ("w1",)) -> DataFrame:
+    """Rows under each header (a word of ``headers``), with a bound that each row taken moves down."""
+    names = headers
 
     def f(rows: Page) -> Page:
         headers, taken = [], []
         x1, x2, y1, y2 = (rows[c].tolist() for c in ("x1", "x2", "y1", "y2"))
-        for h in np.flatnonzero(rows["word"] == "w1").tolist():
+        for h in np.flatnonzero(np.isin(rows["word"].astype(str), names)).tolist():
             bound = y1[h] + depth
             for i in range(h + 1, len(x1)):
                 if y1[i] > bound:

@@ -321,14 +321,64 @@ def dashboard_summary(d: Spark, sessions: str) -> str:
     FROM ({judged(d, sessions)})"""
 
 
+#: Findings in order as code, severity, message and test. What stands in braces is filled in.
+INSIGHTS = (
+    ("strong_letters", "positive", "Excellent accuracy on letters {best}", "best <> ''"),
+    ("fast_recovery", "positive", "Improves by ~{gain}% on second attempt — fast learner", "recovers_quickly AND gain > 5"),
+    ("consistent_practice", "positive", "Practices consistently ({share}% of days active)", "consistency_score >= 0.7"),
+    ("good_consistency", "positive", "Good practice rhythm — keep it up", "consistency_score >= 0.5 AND consistency_score < 0.7"),
+    ("replay_beneficial", "positive", "Guided replay assistance is working well", "replay_rate > 0.15 AND recovers_quickly"),
+    ("weak_letters", "high", "Needs more practice on letters {worst}", "n_worst >= 3"),
+    ("weak_letters", "medium", "Needs more practice on letters {worst}", "n_worst BETWEEN 1 AND 2"),
+    ("curved_strokes", "medium", "Curved strokes need more attention (letters like S, G, C)", "struggles LIKE '%curve%'"),
+    ("diagonal_strokes", "medium", "Diagonal strokes need practice (letters like X, W, V)", "struggles LIKE '%down-%'"),
+    ("high_retry_rate", "medium", "Frequently retries {retried} — extra practice recommended", "retried <> '' AND retries > 1.8"),
+    ("declining_accuracy", "high", "Accuracy has been declining recently — review recent sessions", "trend = 'declining'"),
+    ("hesitation_curves", "medium", "Shows hesitation before strokes in {slow}", "pause > 2500 AND slow <> ''"),
+    ("general_hesitation", "low", "Takes time to plan strokes — deliberate approach", "pause > 1500 AND NOT (pause > 2500 AND slow <> '')"),
+    ("frustration_risk", "high", "Needs encouragement during complex letters — showing frustration signals", "frustration = 'high'"),
+    ("mild_frustration", "low", "Occasional difficulty — benefits from short breaks between sessions", "frustration = 'medium'"),
+    ("high_replay_dependence", "low", "Frequently uses guided replay — this is working, but encourage independent practice", "replay_rate > 0.3"),
+    ("replay_positive", "positive", "Confidence improves with guided replay assistance", "replay_rate > 0.15 AND replay_rate <= 0.3"),
+    ("weekday_pattern", "low", "Practices mainly on weekdays — weekend sessions would boost progress", "pattern = 'weekday_only'"),
+    ("weekend_pattern", "low", "Weekend-heavy practice — daily short sessions are more effective", "pattern = 'weekend_heavy'"),
+    ("irregular_practice", "medium", "Irregular practice schedule — consistent daily practice accelerates learning", "pattern = 'irregular' AND consistency_score < 0.35"),
+    ("low_engagement", "medium", "Engagement has dropped — try shorter, more frequent sessions", "engagement = 'low'"),
+)
+
+
+def signals(d: Spark, s: str) -> str:
+    """What is judged of a learner, with the letters that findings name."""
+    three = lambda x: d.joined(f"slice({x}, 1, 3)" if d.name == "spark" else f"{x}[1:3]", ", ")
+    letters = lambda kind, order: f"SELECT user_id, count(*) AS n, {d.listagg('target_item', ', ', order)} AS letters FROM ({best_worst_items.sql(d, sessions=s)}) WHERE kind = '{kind}' GROUP BY user_id"
+    return f"""
+    SELECT j.*, coalesce(b.letters, '') AS best, coalesce(w.letters, '') AS worst, coalesce(w.n, 0) AS n_worst, coalesce(CAST(round(100 * g.avg_improvement) AS BIGINT), 0) AS gain, CAST(round(100 * j.consistency_score) AS BIGINT) AS share,
+           coalesce(x.struggles, '') AS struggles, {three(d.cut('j.high_retry_items', "','"))} AS retried, {three(d.cut("coalesce(h.high_hesitation_items, '')", "','"))} AS slow, p.pattern
+    FROM ({judged(d, s)}) j LEFT JOIN ({letters('best', 'avg_acc DESC, target_item')}) b ON b.user_id = j.user_id LEFT JOIN ({letters('worst', 'avg_acc, target_item DESC')}) w ON w.user_id = j.user_id
+    LEFT JOIN ({retry_recovery.sql(d, sessions=s)}) g ON g.user_id = j.user_id LEFT JOIN ({direction_struggles.sql(d, sessions=s)}) x ON x.user_id = j.user_id
+    LEFT JOIN ({hesitation_profile.sql(d, sessions=s)}) h ON h.user_id = j.user_id LEFT JOIN ({practice_consistency.sql(d, sessions=s)}) p ON p.user_id = j.user_id"""
+
+
 @operator("sessions")
 def learning_insights(d: Spark, sessions: str) -> str:
-    """Findings as codes, worst first."""
-    rules = [
-        ("abandon_rate > 0.4", "high:abandons_often"), ("frustration = 'high'", "high:frustrated"), ("trend = 'declining'", "medium:accuracy_declining"), ("failsafe > 0.2", "medium:often_unlocked"),
-        ("consistency_score < 0.35", "medium:irregular_practice"), ("replay_rate > 0.3", "low:relies_on_replay"), ("trend = 'improving'", "info:accuracy_improving"), ("streak >= 3", "info:streak"), ("recovers_quickly", "info:recovers_quickly"),
-    ]
-    return f"SELECT user_id, concat_ws(',', {', '.join(f'CASE WHEN {test} THEN {code!r} END' for test, code in rules)}) AS insights FROM ({judged(d, sessions)})"
+    """A row for each finding on a learner: its place, code, severity and message."""
+    def message(text: str) -> str:
+        parts = [f"'{x}'" if i % 2 == 0 else d.text(x) for i, x in enumerate(text.replace("}", "{").split("{")) if x]
+        return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+    rows = ", ".join(f"({i}, '{code}', '{severity}')" for i, (code, severity, _, _) in enumerate(INSIGHTS))
+    texts = " ".join(f"WHEN {i} THEN CASE WHEN {test} THEN {message(text)} END" for i, (_, _, text, test) in enumerate(INSIGHTS))
+    return f"""
+    SELECT user_id, place, code, severity, message FROM (SELECT s.user_id, v.place, v.code, v.severity, CASE v.place {texts} END AS message
+      FROM ({signals(d, sessions)}) s CROSS JOIN (SELECT * FROM (VALUES {rows}) v(place, code, severity)) v) WHERE message IS NOT NULL"""
+
+
+@operator("sessions")
+def recommended_focus(d: Spark, sessions: str) -> str:
+    """One directive for each learner."""
+    return f"""
+    SELECT user_id, CASE WHEN trend = 'declining' OR rolling_accuracy < 0.45 THEN 'review_basics' WHEN promotion_readiness >= 0.85 THEN 'ready_to_advance' WHEN rolling_accuracy < 0.6 OR frustration = 'high' THEN 'needs_more_practice' ELSE 'maintain_consistency' END AS focus
+    FROM ({judged(d, sessions)})"""
 
 
 @operator("sessions")

@@ -96,7 +96,7 @@ def distinct_rows(d: Spark, customer: str) -> str:
 @operator("lines")
 def ordered_dedupe(d: Spark, lines: str) -> str:
     """The first of each document's lines that are equal but for case."""
-    return f"SELECT doc_id, line_number, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {d.lower('line')} ORDER BY line_number) AS r FROM {lines} WHERE lang = 'en') WHERE r = 1"
+    return f"SELECT doc_id, line_number, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {d.lower('line')} ORDER BY line_number) AS r FROM {lines}) WHERE r = 1"
 
 
 @operator("orders")
@@ -138,9 +138,14 @@ def multiset_difference(d: Spark, lineitem: str, orders: str) -> str:
 
 @operator("lineitem")
 def percentiles_by_group(d: Spark, lineitem: str) -> str:
-    """Exact percentiles with linear interpolation."""
-    p = ", ".join(f"round(percentile_cont({q}) WITHIN GROUP (ORDER BY CAST(l_extendedprice AS DOUBLE)), 3) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.99))
-    return f"SELECT l_returnflag, {p} FROM {lineitem} GROUP BY l_returnflag"
+    """Exact percentiles with linear interpolation, from counts by value: what a group holds in one place are its different prices."""
+    at = lambda q, f: f"CAST(min(CASE WHEN upto > {f}({q} * (total - 1)) THEN v END) AS DOUBLE)"
+    value = lambda q: f"{at(q, 'floor')} + ({at(q, 'ceil')} - {at(q, 'floor')}) * CAST({q} * (total - 1) - floor({q} * (total - 1)) AS DOUBLE)"
+    p = ", ".join(f"round(({value(q)}) / 100, 3) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.99))
+    return f"""
+    WITH c AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS v, count(*) AS n FROM {lineitem} GROUP BY 1, 2),
+    r AS (SELECT l_returnflag, v, sum(n) OVER (PARTITION BY l_returnflag ORDER BY v) AS upto, sum(n) OVER (PARTITION BY l_returnflag) AS total FROM c)
+    SELECT l_returnflag, {p} FROM r GROUP BY l_returnflag, total"""
 
 
 @operator("lineitem")
@@ -209,22 +214,31 @@ def running_mean(d: Spark, events: str) -> str:
 @operator("events", bins=10, least=15)
 def calibration_bins(d: Spark, events: str, bins: int, least: int) -> str:
     """Quantile bins of a confidence with the mean outcome of each, made monotone by a running maximum."""
-    edges = ", ".join(f"percentile_cont({i / bins}) WITHIN GROUP (ORDER BY conf) AS e{i}" for i in range(bins + 1))
+    at = lambda q, f: f"CAST(min(CASE WHEN upto > {f}({q} * (total - 1)) THEN conf END) AS DOUBLE)"
+    edge = lambda q: f"{at(q, 'floor')} + ({at(q, 'ceil')} - {at(q, 'floor')}) * CAST({q} * (total - 1) - floor({q} * (total - 1)) AS DOUBLE)"
+    edges = ", ".join(f"{edge(i / bins)} AS e{i}" for i in range(bins + 1))
     rows = " UNION ALL ".join(f"SELECT {i} AS bin, e{i} AS low, e{i + 1} AS high FROM edges" for i in range(bins))
+    # Counts by confidence come first: 10,001 rows at most, whatever the events.
     return f"""
-    WITH r AS (SELECT CAST(least(10000, CAST(round(value * 25) AS BIGINT)) AS DOUBLE) / 10000 AS conf, CASE WHEN (event_id * 7919) % 1000 < value * 2 THEN 1 ELSE 0 END AS hit FROM {events}),
-    edges AS (SELECT {edges} FROM r),
-    b AS (SELECT x.bin, count(*) AS n, CAST(sum(r.hit) AS DOUBLE) / count(*) AS m FROM ({rows}) x JOIN r ON r.conf >= x.low AND r.conf <= x.high GROUP BY x.bin HAVING count(*) >= {least})
+    WITH c AS (SELECT least(10000, CAST(round(value * 25) AS BIGINT)) AS conf, count(*) AS n, sum(CASE WHEN (event_id * 7919) % 1000 < value * 2 THEN 1 ELSE 0 END) AS hits FROM {events} GROUP BY 1),
+    r AS (SELECT conf, sum(n) OVER (ORDER BY conf) AS upto, sum(n) OVER () AS total FROM c),
+    edges AS (SELECT {edges} FROM r GROUP BY total),
+    b AS (SELECT x.bin, CAST(sum(c.n) AS BIGINT) AS n, CAST(sum(c.hits) AS DOUBLE) / CAST(sum(c.n) AS DOUBLE) AS m FROM ({rows}) x JOIN c ON c.conf >= x.low AND c.conf <= x.high GROUP BY x.bin HAVING sum(c.n) >= {least})
     SELECT bin, n, round(m, 6) AS mean_hit, round(max(m) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING), 6) AS calibrated FROM b"""
 
 
 @operator("events")
 def grid_search(d: Spark, events: str) -> str:
-    """All parameter pairs against all rows in one aggregate, and the cheapest pair, the smaller on ties."""
+    """630 settings of three parameters at seven thresholds each, and the cheapest of all, the smaller on ties.
+
+    A setting's cost needs only counts: events are counted by what the rule looks at, and settings meet those few rows.
+    """
+    series = lambda name, xs: f"(VALUES {', '.join(f'({x})' for x in xs)}) {name[0]}({name})"
     return f"""
-    WITH p AS (SELECT * FROM (VALUES (10), (20), (30), (40), (50)) a(threshold) CROSS JOIN (VALUES (1), (2), (3)) b(weight)),
-    c AS (SELECT threshold, weight, CAST(sum(CASE WHEN (value > threshold * 5) <> (event_id % 3 = 0) THEN weight ELSE 4 - weight END) AS BIGINT) AS cost FROM {events} CROSS JOIN p GROUP BY threshold, weight)
-    SELECT threshold, weight, cost, cost = min(cost) OVER () AS best FROM c"""
+    WITH p AS (SELECT * FROM {series('threshold', range(10, 80, 10))} CROSS JOIN {series('weight', range(1, 8))} CROSS JOIN {series('bias', range(-4, 5))} CROSS JOIN {series('scale', range(1, 11))}),
+    e AS (SELECT CAST(floor(value) AS BIGINT) AS v, event_id % 3 = 0 AS hit, count(*) AS n FROM {events} GROUP BY 1, 2),
+    c AS (SELECT threshold, weight, bias, scale, CAST(sum(n * CASE WHEN (v * scale > threshold * 5 * weight + bias * 10) <> hit THEN weight ELSE 8 - weight END) AS BIGINT) AS cost FROM e CROSS JOIN p GROUP BY threshold, weight, bias, scale)
+    SELECT threshold, weight, bias, scale, cost, cost = min(cost) OVER () AS best FROM c"""
 
 
 @operator("events")
@@ -245,12 +259,12 @@ def kendall_tau(d: Spark, events: str) -> str:
 
 @operator("events")
 def offset_repair_vote(d: Spark, events: str) -> str:
-    """Which neighbour's label fits a row best, by a vote over a sliding window of seven; isolated misreads don't move."""
+    """Which neighbour's label fits a row best, three rows back or ahead at most, by a vote over a sliding window of seven; isolated misreads don't move."""
     return f"""
-    WITH r AS (SELECT event_id AS i, user_id, event_id % 9 AS label, CASE WHEN event_id % 40 < 25 THEN (event_id + 2) % 9 ELSE event_id % 9 END AS read FROM {events}),
-    o AS (SELECT *, CASE WHEN read = lead(label, 1) OVER w THEN 1 WHEN read = lead(label, 2) OVER w THEN 2 WHEN read = label THEN 0 END AS off FROM r WINDOW w AS (PARTITION BY CAST(floor(i / 1000.0) AS BIGINT) ORDER BY i)),
-    v AS (SELECT i, off, {', '.join(f'count(CASE WHEN off = {k} THEN 1 END) OVER w AS v{k}' for k in range(3))} FROM o WINDOW w AS (PARTITION BY CAST(floor(i / 1000.0) AS BIGINT) ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
-    SELECT i, CASE WHEN v2 >= 4 THEN 2 WHEN v1 >= 4 THEN 1 ELSE 0 END AS repair FROM v"""
+    WITH r AS (SELECT event_id AS i, user_id, event_id % 9 AS label, CASE WHEN event_id % 40 < 15 THEN (event_id + 2) % 9 WHEN event_id % 40 < 28 THEN (event_id + 6) % 9 ELSE event_id % 9 END AS read FROM {events}),
+    o AS (SELECT *, CASE WHEN read = label THEN 0 {' '.join(f'WHEN read = {f}(label, {abs(k)}) OVER w THEN {k}' for k, f in ((1, 'lead'), (-1, 'lag'), (2, 'lead'), (-2, 'lag'), (3, 'lead'), (-3, 'lag')))} END AS off FROM r WINDOW w AS (PARTITION BY CAST(floor(i / 1000.0) AS BIGINT) ORDER BY i)),
+    v AS (SELECT i, off, {', '.join(f'count(CASE WHEN off = {k} THEN 1 END) OVER w AS v{k + 3}' for k in range(-3, 4))} FROM o WINDOW w AS (PARTITION BY CAST(floor(i / 1000.0) AS BIGINT) ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+    SELECT i, CASE {' '.join(f'WHEN v{k + 3} >= 4 THEN {k}' for k in (1, -1, 2, -2, 3, -3))} ELSE 0 END AS repair FROM v"""
 
 
 @operator("documents")
@@ -293,8 +307,13 @@ def named_maximum(d: Spark, sessions: str) -> str:
 
 @operator("sessions")
 def clamped_inputs(d: Spark, sessions: str) -> str:
-    """Values outside their bounds at them, and what isn't a number at a default."""
-    return f"SELECT id, greatest(0, least(100, k - 5)) AS clamped, coalesce(try_cast(CASE WHEN k % 4 = 0 THEN 'nan?' ELSE {d.text('k')} END AS INT), 50) AS parsed FROM {sessions}"
+    """Values outside their bounds at them; what isn't a number, not finite or missing at a default, in nested values as well."""
+    raw = f"CASE WHEN k % 4 = 0 THEN 'nan?' WHEN k % 7 = 0 THEN 'NaN' WHEN k % 11 = 0 THEN 'Infinity' ELSE {d.text('k')} END"
+    fine = lambda x: f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) > 1e300 THEN CAST(50 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), {x})) END"
+    inner = d.joined(d.each("parts", "x", d.text(f"CAST({fine('x')} AS INT)")), ",")
+    return f"""
+    SELECT id, greatest(0, least(100, k - 5)) AS clamped, {fine('v')} AS parsed, {inner} AS parts
+    FROM (SELECT id, k, try_cast({raw} AS DOUBLE) AS v, {d.array('CAST(k - 20 AS DOUBLE)', f'try_cast({raw} AS DOUBLE)', 'CAST(NULL AS DOUBLE)', 'CAST(k * 9 AS DOUBLE)')} AS parts FROM {sessions})"""
 
 
 @operator("events")

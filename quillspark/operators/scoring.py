@@ -45,16 +45,6 @@ def severity_ratio(d: Spark, sessions: str) -> str:
     FROM (SELECT id, CAST(floor(greatest(0, goal - acc) * 1000.0 / goal) AS BIGINT) AS r FROM (SELECT id, acc, CASE difficulty WHEN 'beginner' THEN 6000 WHEN 'intermediate' THEN 7500 ELSE 8500 END AS goal FROM {sessions}))"""
 
 
-@operator("points")
-def trace_guidance(d: Spark, points: str) -> str:
-    """Trace percent, whether the next stroke unlocks (or the failsafe after three tries), and the kind of feedback."""
-    combined = "0.35 * straightness + 0.4 * greatest(0.0, 1.0 - error / 50.0) + 0.25 * smoothness"
-    return f"""
-    SELECT stroke, percent, tries, percent >= 60 OR tries > 3 AS unlocked, tries > 3 AS failsafe,
-           CASE WHEN tries > 3 THEN 'correction' WHEN percent >= 90 THEN 'celebration' WHEN percent >= 75 THEN 'encouragement' WHEN percent >= 50 THEN 'correction' ELSE 'warning' END AS feedback
-    FROM (SELECT stroke, CAST(1 + stroke % 5 AS INT) AS tries, CAST(round(100 * ({combined})) AS INT) AS percent FROM ({metrics(d, points)}))"""
-
-
 #: Messages by tone.
 MESSAGES = {
     "early_learner": {"good": "Great job!", "again": "Try again, you've got this!"},
@@ -127,12 +117,13 @@ def best_similarity(d: Spark, notes: str) -> str:
 
 @operator("documents")
 def letters_only_lookup(d: Spark, documents: str) -> str:
-    """Tokens joined to a dictionary by their letters alone."""
-    tokens = f"SELECT doc_id, t FROM (SELECT doc_id, {d.cut('text', repr(' '))} AS ts FROM {documents} WHERE lang = 'en') x {d.rows('ts', 'y', 't')}"
-    key = d.replace("lower(t)", "[^a-z]", "")
+    """Tokens joined to a dictionary by their letters alone, counted by document before they meet it."""
+    tokens = f"SELECT doc_id, t FROM (SELECT doc_id, {d.cut('text', repr(' '))} AS ts FROM {documents}) x {d.rows('ts', 'y', 't')}"
+    key = d.replace("translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "[^a-z]", "")
     return f"""
-    WITH k AS (SELECT doc_id, {key} AS key FROM ({tokens})), dict AS (SELECT key, count(*) AS n FROM k WHERE length(key) > 2 GROUP BY key HAVING count(*) >= 20)
-    SELECT k.doc_id, count(*) AS known, CAST(sum(d.n) AS BIGINT) AS weight FROM k JOIN dict d ON d.key = k.key GROUP BY k.doc_id"""
+    WITH k AS (SELECT doc_id, key, count(*) AS n FROM (SELECT doc_id, {key} AS key FROM ({tokens})) WHERE length(key) > 2 GROUP BY doc_id, key),
+    dict AS (SELECT key, sum(n) AS n FROM k GROUP BY key HAVING sum(n) >= 20)
+    SELECT k.doc_id, CAST(sum(k.n) AS BIGINT) AS known, CAST(sum(k.n * d.n) AS BIGINT) AS weight FROM k JOIN dict d ON d.key = k.key GROUP BY k.doc_id"""
 
 
 @operator("notes")
@@ -145,34 +136,36 @@ def look_ahead_timing(d: Spark, notes: str) -> str:
     FROM (SELECT page, line_number, form, {own} AS f, lead({own}, 1, '') {w} AS f1, lead({own}, 2, '') {w} AS f2 FROM ({medicines(d, notes)})) WHERE form <> ''"""
 
 
-@operator("notes")
-def undone_corrections(d: Spark, notes: str) -> str:
-    """Lines whose last word and the next line's first make one known word: what broke it is no error."""
+@operator("notes", known=("nocough", "daysw1", "smokercough", "foodcough"))
+def undone_corrections(d: Spark, notes: str, known: tuple) -> str:
+    """Lines whose last word and the next line's first make one of the ``known`` words: what broke it is no error."""
     w = "OVER (PARTITION BY page ORDER BY line_number)"
     return f"""
     SELECT n.page, n.line_number, n.tail, n.head FROM (SELECT page, line_number, {d.extract('line', '([a-z]+)$', 1)} AS tail, {d.extract(f"coalesce(lead(line) {w}, '')", '^([a-z]+)', 1)} AS head FROM {notes}) n
-    JOIN (SELECT * FROM (VALUES ('nocough'), ('daysw1'), ('smokercough'), ('foodcough')) v(term)) l ON concat(n.tail, n.head) = l.term"""
+    JOIN (SELECT * FROM (VALUES {', '.join(f"('{t}')" for t in known)}) v(term)) l ON concat(n.tail, n.head) = l.term"""
 
 
-#: Field labels and the edits within which a garbled one is still meant.
-LABELS = {"Patient": 2, "Name": 1, "Age": 1, "Sex": 1, "Gender": 2, "Date": 1}
+#: Field labels, the edits within which a garbled one is still meant, and a shape of the value that allows one more.
+LABELS = {"Patient": (2, "(?!)"), "Name": (1, "(?!)"), "Age": (1, r"^\s*[0-9]{1,3}\b"), "Sex": (1, r"^\s*[MFmf]\b"), "Gender": (2, "(?!)"), "Date": (1, r"^\s*[0-9]")}
 
 
 @operator("notes")
 def repaired_field_labels(d: Spark, notes: str) -> str:
-    """Words before a colon that are nearly a field label, unless two labels are as near."""
-    rows = ", ".join(f"('{n}', {b})" for n, b in LABELS.items())
-    token = d.extract("line", "([A-Z][a-z]{2,7}):", 1)
+    """Words before a colon that are nearly a field label, unless two labels are as near; a value of the label's shape allows one more edit."""
+    shaped = lambda p: "false" if p == "(?!)" else d.matches("tail", p)
+    kinds = ", ".join(f"CASE WHEN {shaped(p)} THEN 1 ELSE 0 END AS s_{n.lower()}" for n, (_, p) in LABELS.items())
+    rows = " UNION ALL ".join(f"SELECT token, n, '{n}' AS label, {b} + s_{n.lower()} AS edits FROM t" for n, (b, _) in LABELS.items())
     return f"""
-    SELECT token, n, label FROM (SELECT token, n, label, dist, min(dist) OVER (PARTITION BY token) AS least, count(*) OVER (PARTITION BY token, dist) AS ties FROM (
-      SELECT t.token, t.n, l.label, l.edits, levenshtein(t.token, l.label) AS dist
-      FROM (SELECT token, count(*) AS n FROM (SELECT {d.replace(token, 'a', 'o')} AS token FROM {notes}) WHERE token <> '' GROUP BY token) t CROSS JOIN (SELECT * FROM (VALUES {rows}) v(label, edits)) l) WHERE dist <= edits) WHERE dist = least AND ties = 1"""
+    WITH t AS (SELECT token, count(*) AS n, {', '.join(f'max(s_{k.lower()}) AS s_{k.lower()}' for k in LABELS)} FROM (
+      SELECT {d.replace('token', 'a', 'o')} AS token, {kinds} FROM (SELECT {d.extract('line', '([A-Z][a-z]{2,7}):', 1)} AS token, {d.extract('line', '[A-Z][a-z]{2,7}:(.*)$', 1)} AS tail FROM {notes}) WHERE token <> '') GROUP BY token),
+    p AS (SELECT token, n, label, edits, levenshtein(token, label) AS dist FROM ({rows}))
+    SELECT token, n, label FROM (SELECT token, n, label, dist, min(dist) OVER (PARTITION BY token) AS least, count(*) OVER (PARTITION BY token, dist) AS ties FROM p WHERE dist <= edits) WHERE dist = least AND ties = 1"""
 
 
-@operator("notes")
-def template_sections(d: Spark, notes: str) -> str:
-    """Headings put to the sections of a template, the longest that fits first."""
-    rows = "('diagnosis', 'DIAGNOSIS', 1), ('complaints', 'cough', 2), ('plan', 'Review', 3), ('vitals', 'BP', 4)"
+@operator("notes", template=(("diagnosis", "DIAGNOSIS"), ("complaints", "cough"), ("plan", "Review"), ("plan", "Plan of care"), ("vitals", "BP"), ("vitals", "BP: ")))
+def template_sections(d: Spark, notes: str, template: tuple) -> str:
+    """Headings put to the sections of a ``template`` of (section, heading), the longest that fits first, then in its order."""
+    rows = ", ".join(f"('{section}', '{heading}', {i})" for i, (section, heading) in enumerate(template))
     return f"""
     SELECT page, line_number, section FROM (SELECT n.page, n.line_number, t.section, row_number() OVER (PARTITION BY n.page, n.line_number ORDER BY length(t.heading) DESC, t.ord) AS r
       FROM {notes} n JOIN (SELECT * FROM (VALUES {rows}) v(section, heading, ord)) t ON position(t.heading IN n.line) = 1) WHERE r = 1"""
@@ -188,7 +181,7 @@ def spelling_candidates(d: Spark, documents: str) -> str:
 
     Words are whole runs of three letters (a-z) or more, of any case and first letter.
     """
-    words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', RUN)} AS ws FROM {documents} WHERE lang = 'en') x {d.rows('ws', 'y', 'token')}) WHERE {d.matches('token', '^[a-zA-Z]{3,}$')} GROUP BY lower(token)"
+    words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', RUN)} AS ws FROM {documents}) x {d.rows('ws', 'y', 'token')}) WHERE {d.matches('token', '^[a-zA-Z]{3,}$')} GROUP BY lower(token)"
     return f"""
     WITH t AS ({words}),
     rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1', '2')}),

@@ -68,13 +68,6 @@ def trace_scores(d: Spark, points: str) -> str:
     return f"SELECT stroke, round(greatest(0.0, 100.0 - 1.2 * error), 2) AS score FROM ({metrics(d, points)})"
 
 
-@operator("points")
-def stroke_combined(d: Spark, points: str) -> str:
-    """The weighted score of a stroke, and whether it unlocks the next."""
-    combined = "0.3 * straightness + 0.35 * greatest(0.0, 1.0 - error / 50.0) + 0.2 * smoothness + 0.15 * (1.0 - least(1.0, error / 100.0))"
-    return f"SELECT stroke, round(CAST({combined} AS DOUBLE), 3) AS combined, {combined} >= 0.6 AS unlocks FROM ({metrics(d, points)})"
-
-
 @operator("points")
 def stroke_directions(d: Spark, points: str) -> str:
     """Ovals (closed), curves (turning one way) and else one of eight sectors; exactly half a turn is left."""
@@ -134,10 +127,12 @@ def writing_quality(d: Spark, points: str) -> str:
 
 @operator("points")
 def writing_progress(d: Spark, points: str) -> str:
-    """Trend of first half against second, growth, and fatigue of a stroke's later points."""
+    """Trend of first half against second, growth from first to last in percent, and fatigue of a stroke's later points."""
     return f"""
-    SELECT stroke, n, CASE WHEN n < 3 THEN 'stable' WHEN b - a > 5 THEN 'improving' WHEN b - a < -5 THEN 'declining' ELSE 'stable' END AS trend, n >= 4 AND a - b > 15 AS fatigue, best
-    FROM (SELECT stroke, max(c) AS n, avg(CASE WHEN 2 * i <= c THEN x END) AS a, avg(CASE WHEN 2 * i > c THEN x END) AS b, CAST(min(CASE WHEN x = mx THEN i END) AS INT) AS best FROM (SELECT *, count(*) OVER (PARTITION BY stroke) AS c, max(x) OVER (PARTITION BY stroke) AS mx FROM {points}) GROUP BY stroke)"""
+    SELECT stroke, n, CASE WHEN n < 3 THEN 'stable' WHEN b - a > 5 THEN 'improving' WHEN b - a < -5 THEN 'declining' ELSE 'stable' END AS trend,
+           CASE WHEN n >= 2 AND first > 0 THEN round((last - first) / first * 100, 1) ELSE CAST(0 AS DOUBLE) END AS growth, n >= 4 AND a - b > 15 AS fatigue, best
+    FROM (SELECT stroke, max(c) AS n, avg(CASE WHEN i <= floor(c / 2.0) THEN x END) AS a, avg(CASE WHEN i > floor(c / 2.0) THEN x END) AS b, max(CASE WHEN i = 1 THEN x END) AS first, max(CASE WHEN i = c THEN x END) AS last,
+                 CAST(min(CASE WHEN x = mx THEN i END) AS INT) AS best FROM (SELECT *, count(*) OVER (PARTITION BY stroke) AS c, max(x) OVER (PARTITION BY stroke) AS mx FROM {points}) GROUP BY stroke)"""
 
 
 @operator("points")

@@ -2,54 +2,95 @@
 
 from __future__ import annotations
 
+import re
+
 from quillspark.operators.base import Spark, operator
 
-#: Patterns of clinical text.
+#: Patterns of clinical text. What the original looks around for is matched beside the groups here.
 NUMBER = r"\d+(?:\.\d+)?"
-DOSAGE = rf"(?i)\b(?:{NUMBER}|\d+/\d+)\s*(?:mg|mcg|gm|g|ml|iu|puffs?|drops?|sachets?|tsp|tbsp)\b"
-FREQUENCY = r"(?i)\b(?:[012]\s*[-–—]\s*[012]\s*[-–—]\s*[012](?:\s*[-–—]\s*[012])?|BID|TID|TDS|QID|OD|SOS|PRN|STAT|HS|AC|PC|BD)\b"
-DURATION = rf"(?i)(?:\bx|\bfor)\s*({NUMBER})\s*(days?|weeks?|months?)\b"
-TIMING = r"(?i)\b(after (?:meals?|food|breakfast|lunch|dinner)|before (?:meals?|food|breakfast|lunch|dinner)|empty stomach|with (?:meals?|food|milk|water)|at bedtime)\b"
-STRENGTH = rf"(?i)\b({NUMBER})\s*(mg|mcg|g|gm|ml|iu|%)"
-FORM = r"^(Tab|Cap|Syp|Inj|Oint|Drops?)\.?\s+"
-LAB = rf"^([A-Za-z][A-Za-z0-9 ()/.,-]*?)\s+([<>]?\s*{NUMBER})\s*([a-zA-Z%/]+)?\s+({NUMBER})\s*[-–]\s*({NUMBER})\s*$"
+DOSAGE = r"(?i)\b(?:\d+(?:\.\d+)?|\d+/\d+)\s*(?:mg|mcg|g|gm|ml|iu|IU|puffs?|drops?|sachets?|tsp|tbsp)\b"
+SCHEDULE = r"(?i)\b(?:[012]\s*[-–—]\s*[012]\s*[-–—]\s*[012](?:\s*[-–—]\s*[012])?|BID|TID|TDS|QID|OD|SOS|PRN|STAT|HS|AC|PC|\d+\s*(?:tab|cap|tabs|caps)\s*[xX]\s*\d+)\b"
+FREQUENCY = r"(?i)\b(?:[012]\s*[-–—]\s*[012]\s*[-–—]\s*[012](?:\s*[-–—]\s*[012])?|OD|BD|BID|TDS|TID|QID|QDS|Q\d{1,2}H|QHS|HS|SOS|PRN|STAT|once daily|twice daily|thrice daily|at night|at bedtime)\b"
+DURATION = rf"(?i)(?:\bx|\bfor|×)\s*({NUMBER})\s*(days?|d|weeks?|wks?|w|months?|m)\b|\b({NUMBER})\s*(days?|weeks?|months?)\b"
+TIMING = r"(?i)\b(after (?:meals?|food|breakfast|lunch|dinner)|before (?:meals?|food|breakfast|lunch|dinner)|empty stomach|with (?:meals?|food|milk|water)|at bedtime|AC|PC)\b"
+STRENGTH = rf"(?i)\b({NUMBER})\s*(mg|mcg|g|gm|ml|iu|%)(?:[^a-z/]|$)"
+ROUTE = r"(?i)\b(oral(?:ly)?|topical(?:ly)?|IV|IM|SC|sublingual|inhal(?:ed|ation))\b"
+INSTRUCTION = r"(?i)\b(as directed|as needed(?: for [a-z]+)?|when required|if required|every \d+ (?:hours?|hrs?)|take (?:once|twice|thrice|three times) (?:a day|daily))\b"
+CONCENTRATION = r"(?i)\(\s*(\d+(?:\.\d+)?\s*(?:mg)?\s*/\s*\d+(?:\.\d+)?\s*(?:ml)?)\s*\)"
+FORM = r"(?i)^(?:(?:\(?\d{1,2}[.)]?|rx|r/)\s+)?(tab|cap|syp|inj|oint|gel|drops?|susp|cream|inh|sachet)[.:]?\s+"
+NAME = r"([A-Z][A-Za-z-]*(?:\s+(?:[A-Z][a-z][A-Za-z-]*|[A-Za-z]+-[A-Za-z0-9]+|[A-Z][0-9]+)){0,2})"
+LAB = rf"^([A-Za-z][A-Za-z0-9 ()/.,\x27-]{{1,40}}?)\s+([<>]?\s*{NUMBER})\s*([a-zA-Z%/µ^0-9.]+(?:/[a-zA-Z.]+)?)?\s+((?:[<>]\s*{NUMBER})|(?:{NUMBER}\s*[-–]\s*{NUMBER}))\s*$"
 KEY_VALUE = r"([A-Z][A-Za-z .]{1,30}?)\s*:\s*([^:\s][^: ]*(?: [^: ]+)?)"
 VITALS = {
-    "blood_pressure": r"(?i)\b(?:BP|BLOOD\s*PRESSURE)[:\s]*(\d{2,3}\s*/\s*\d{2,3})\b",
+    "mrn": r"(?i)\b(?:MRN|ID|PATIENT\s*ID)[:\s#]*([A-Z0-9\-]+)\b",
+    "dob": r"(?i)\b(?:DOB|BIRTH)[:\s]*(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})\b",
+    "blood_pressure": r"(?i)\b(?:BP|BLOOD\s*PRESSURE)[:\s]*(\d{2,3}\s*\/\s*\d{2,3})\b",
     "heart_rate": r"(?i)\b(?:HR|PULSE)[:\s]*(\d{2,3})\s*(?:bpm)?\b",
-    "oxygen_sat": r"(?i)\b(?:SPO2|SAT|O2\s*SAT)[:\s]*(\d{2,3}%?)",
+    "oxygen_sat": r"(?i)\b(?:SPO2|SAT|O2\s*SAT)[:\s]*(\d{2,3}%?)\b",
     "respiratory_rate": r"(?i)\b(?:RR|RESP)[:\s]*(\d{1,2})\b",
-    "temperature": r"(?i)\b(?:TEMP)[:\s]*(\d{2,3}(?:\.\d)?)",
-    "birth": r"(?i)\b(?:DOB|BIRTH)[:\s]*(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})\b",
-    "record": r"(?i)\b(?:MRN|PATIENT\s*ID)[:\s#]*([A-Z0-9-]+)\b",
+    "temperature": r"(?i)\b(?:TEMP)[:\s]*(\d{2,3}(?:\.\d)?)\s*(?:[FC°])?\b",
+    "dosage": r"(?i)\b(\d+(?:\.\d+)?\s*(?:mg|mcg|ml|g|units?|iu|meq))\b",
 }
+#: Units and abbreviations of clinical text.
+UNITS = (
+    "mg", "mcg", "g", "gm", "ml", "iu", "tab", "tabs", "tablet", "tablets", "cap", "caps", "capsule", "capsules", "drop", "drops", "puff", "puffs", "sachet", "sachets", "tsp", "tbsp",
+    "ampoule", "vial", "mmHg", "bpm", "F", "C", "mg/dL", "g/dL", "K/uL", "mEq/L", "U/L", "ng/mL", "pg/mL", "mmol/L", "mm/hr",
+)
+ABBREVIATIONS = (
+    "Rx", "Dx", "Hx", "Sx", "CC", "HPI", "PE", "O/E", "C/O", "K/C/O", "Adv", "Inv", "BP", "PR", "HR", "RR", "Temp", "SpO2", "SPO2", "CBC", "WBC", "RBC", "Hb", "PLT", "ESR", "CRP", "LFT", "SGOT", "SGPT",
+    "KFT", "RFT", "BUN", "Cr", "FBS", "PPBS", "HbA1c", "CXR", "ECG", "USG", "CT", "MRI", "ECHO", "OD", "BD", "BID", "TID", "TDS", "QID", "SOS", "PRN", "STAT", "HS", "AC", "PC", "NPO",
+)
+#: Medicines and words of the clinic that are known unless others are given.
+DRUGS = ("Paracetamol", "Amoxicillin", "Cetirizine", "Calcium D3", "Calpol", "Hexigel")
+CLINICAL = ("Diagnosis", "Patient", "Review", "Haemoglobin", "Advice")
 WORD = "[a-zA-Z]{2,}"
 
 
-@operator("notes")
-def entity_extract(d: Spark, notes: str) -> str:
-    """Dosages and frequencies of each line, each once, in order of their text."""
-    lists = ", ".join(f"{d.joined(d.distinct(d.each(d.extract_all('line', p), 'x', f'{f}(trim(x))')), ',')} AS {n}" for n, p, f in (("dosages", DOSAGE, "lower"), ("frequencies", FREQUENCY, "upper")))
-    return f"SELECT page, line_number, {lists} FROM {notes}"
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def named(d: Spark, line: str, terms: tuple[str, ...], fold: bool) -> str:
+    """Those of ``terms`` that stand in a line as whole words, in the order of the list."""
+    tests = []
+    for t in terms:
+        pattern = ("(?i)" if fold else "") + r"\b" + re.escape(t).replace("\\ ", " ").replace("\\/", "/") + r"\b"
+        tests.append(f"CASE WHEN position({quoted(t.lower() if fold else t)} IN {'lower(' + line + ')' if fold else line}) > 0 AND {d.matches(line, pattern)} THEN {quoted(t)} END")
+    return f"concat_ws(',', {', '.join(tests)})"
+
+
+@operator("notes", drugs=DRUGS, units=UNITS, abbreviations=ABBREVIATIONS)
+def entity_extract(d: Spark, notes: str, drugs: tuple, units: tuple, abbreviations: tuple) -> str:
+    """Drugs, units and abbreviations of each line in the order of their lists; dosages and frequencies, each once, in order of their text."""
+    lists = ", ".join(f"{d.joined(d.distinct(d.each(d.extract_all('line', p), 'x', f'{f}(trim(x))')), ',')} AS {n}" for n, p, f in (("dosages", DOSAGE, "lower"), ("frequencies", SCHEDULE, "upper")))
+    return f"SELECT page, line_number, {named(d, 'line', drugs, True)} AS drugs, {lists}, {named(d, 'line', units, True)} AS units, {named(d, 'line', abbreviations, False)} AS abbreviations FROM {notes}"
 
 
 @operator("notes")
 def vital_signs(d: Spark, notes: str) -> str:
-    """The first match of each clinical pattern."""
-    return f"SELECT page, line_number, {', '.join(f'{d.extract(chr(108) + chr(105) + chr(110) + chr(101), p, 1)} AS {n}' for n, p in VITALS.items())} FROM {notes}"
+    """All matches of each clinical pattern."""
+    return f"SELECT page, line_number, {', '.join(f'{d.joined(d.extract_all(chr(108) + chr(105) + chr(110) + chr(101), p, 1), chr(124))} AS {n}' for n, p in VITALS.items())} FROM {notes}"
 
 
 def medicines(d: Spark, notes: str) -> str:
+    """What each line says of a medicine. An advice line counts from behind its label."""
     e = lambda p, g=0: d.extract("line", p, g)
+    advice = r"(?i)^\s*(?:Adv|Advice|Apply|Local)\s*[:.\-]\s*(.+)$"
     return f"""
-    SELECT page, line_number, line, {e(FORM, 1)} AS form, {e(FORM + r'([A-Z][A-Za-z-]+)', 2)} AS drug, {e(STRENGTH, 1)} AS strength, lower({e(STRENGTH, 2)}) AS unit, upper({e(FREQUENCY)}) AS frequency,
-           {e(DURATION, 1)} AS duration, lower({e(DURATION, 2)}) AS duration_unit, lower({e(TIMING, 1)}) AS timing FROM {notes}"""
+    SELECT page, line_number, line, {e(FORM, 1)} AS form, {d.extract('line', '(?:' + FORM + ')' + '(?-i:' + NAME + ')', 2)} AS drug,
+           {d.extract(d.replace('line', CONCENTRATION, ' '), STRENGTH, 1)} AS strength, lower({d.extract(d.replace('line', CONCENTRATION, ' '), STRENGTH, 2)}) AS unit, upper({e(FREQUENCY)}) AS frequency,
+           concat({e(DURATION, 1)}, {e(DURATION, 3)}) AS duration, lower(concat({e(DURATION, 2)}, {e(DURATION, 4)})) AS duration_unit, lower({e(TIMING, 1)}) AS timing,
+           lower({e(ROUTE, 1)}) AS route, {d.replace(e(CONCENTRATION, 1), r'\s+', '')} AS concentration, lower({e(INSTRUCTION, 1)}) AS instructions,
+           trim({d.replace(d.replace(d.extract('line', '(?:' + FORM + ')' + '(?-i:' + NAME + r')(?-i:((?:\s+[a-z]+)+))', 3), r'\b(?:for|x|after|before|with|at|take|as|every|once|twice|thrice|when|if|empty|oral|orally|topical|topically|sublingual|inhaled|inhalation)\b.*', ''), r'^(\s*[a-z]+\s*[a-z]*\s*[a-z]*).*$', '$1')}) AS preparation
+    FROM (SELECT page, line_number, CASE WHEN {d.matches('line', advice)} THEN concat('Gel ', {d.extract('line', advice, 1)}) ELSE line END AS line FROM {notes})"""
 
 
 @operator("notes")
 def medication_lines(d: Spark, notes: str) -> str:
-    """Form, drug, strength, frequency, duration and timing of the lines that name a medicine."""
-    return f"SELECT page, line_number, form, drug, strength, unit, frequency, duration, duration_unit, timing FROM ({medicines(d, notes)}) WHERE form <> ''"
+    """Form, drug (up to three words), strength, frequency, duration, timing, route, concentration, preparation and instructions
+    of the lines that name a medicine."""
+    columns = "drug, strength, unit, frequency, duration, duration_unit, timing, route, concentration, preparation, instructions"
+    return f"SELECT page, line_number, form, {columns} FROM ({medicines(d, notes)}) WHERE form <> ''"
 
 
 @operator("notes")
@@ -64,11 +105,14 @@ def dose_attach(d: Spark, notes: str) -> str:
 
 @operator("notes")
 def lab_rows(d: Spark, notes: str) -> str:
-    """Test, value, unit and range of result rows, flagged when outside the range."""
+    """Test, value, unit and range of result rows, flagged when outside the range, which may have one end only."""
     e = lambda g: d.extract("line", LAB, g)
+    number = lambda x: f"try_cast({d.replace(x, '[<> ]', '')} AS DOUBLE)"
+    end = lambda k: f"try_cast({d.extract('span', rf'({NUMBER})\s*[-–]\s*({NUMBER})', k)} AS DOUBLE)"
     return f"""
     SELECT page, line_number, test, v AS value, unit, low, high, CASE WHEN v < low THEN 'L' WHEN v > high THEN 'H' ELSE '' END AS flag
-    FROM (SELECT page, line_number, {e(1)} AS test, try_cast({e(2)} AS DOUBLE) AS v, {e(3)} AS unit, try_cast({e(4)} AS DOUBLE) AS low, try_cast({e(5)} AS DOUBLE) AS high FROM {notes}) WHERE test <> ''"""
+    FROM (SELECT page, line_number, test, v, unit, CASE WHEN span LIKE '>%' THEN {number('span')} ELSE {end(1)} END AS low, CASE WHEN span LIKE '<%' THEN {number('span')} ELSE {end(2)} END AS high
+          FROM (SELECT page, line_number, {e(1)} AS test, {number(e(2))} AS v, {e(3)} AS unit, {e(4)} AS span FROM {notes}) WHERE test <> '')"""
 
 
 @operator("notes")
@@ -83,22 +127,34 @@ def checkbox_text(d: Spark, notes: str) -> str:
     return f"SELECT page, line_number, {d.extract('line', p, 1)} AS glyph, lower({d.extract('line', p, 1)}) LIKE '%x%' AS checked, {d.extract('line', p, 2)} AS label FROM {notes} WHERE {d.matches('line', p)}"
 
 
+#: What a title within the first four lines makes of a page, in order.
+TITLES = (
+    ("discharge summary", "discharge_summary"), ("consent", "consent_form"), ("referral", "referral_form"), ("admission", "admission_form"), ("progress note", "clinical_note"), ("clinical note", "clinical_note"),
+    ("biochemistry", "lab_report"), ("laboratory", "lab_report"), ("pathology", "lab_report"),
+)
+
+
 @operator("notes")
 def document_types(d: Spark, notes: str) -> str:
-    """What a page is, by the counts of its medicines, results and fields."""
+    """What a page is: by its title, else by its medicines, results and fields."""
+    titled = " ".join(f"WHEN position({quoted(k)} IN title) > 0 THEN {quoted(t)}" for k, t in TITLES)
     return f"""
-    SELECT page, CASE WHEN meds >= 2 THEN 'prescription' WHEN labs >= 2 THEN 'lab_report' WHEN meds >= 1 THEN 'clinical_note' WHEN fields >= 1 THEN 'form' ELSE 'note' END AS doc_type, meds, labs, fields
-    FROM (SELECT page, count_if({d.matches('line', FORM)}) AS meds, count_if({d.matches('line', LAB)}) AS labs, count_if({d.matches('line', KEY_VALUE)}) AS fields FROM {notes} GROUP BY page)"""
+    SELECT page, CASE {titled} WHEN meds > 0 AND (signs > 0 OR meds >= 2) THEN 'prescription' WHEN labs >= 2 THEN 'lab_report' WHEN fields >= 3 THEN 'form' ELSE '' END AS doc_type, meds, labs, fields
+    FROM (SELECT page, coalesce({d.listagg("CASE WHEN line_number <= 4 THEN lower(line) END", " ", "line_number")}, '') AS title, count_if({d.matches('line', FORM)}) AS meds, count_if({d.matches('line', r'\bR[x×]\b|\bTab\b|\bCap\b')}) AS signs,
+                 count_if({d.matches('line', LAB)}) AS labs, count_if({d.matches('line', KEY_VALUE)}) AS fields FROM {notes} GROUP BY page)"""
 
 
-@operator("notes")
-def validation_findings(d: Spark, notes: str) -> str:
-    """What is doubtful about a medicine."""
+@operator("notes", drugs=DRUGS)
+def validation_findings(d: Spark, notes: str, drugs: tuple) -> str:
+    """What is doubtful about a medicine; a drug that isn't known may be near one that is."""
+    known = ", ".join(f"({quoted(t)})" for t in drugs)
     return f"""
-    SELECT page, line_number, concat_ws(',', CASE WHEN form = 'Tab' AND unit = 'ml' THEN 'liquid_unit' END, CASE WHEN frequency LIKE '0-0-0%' THEN 'never_taken' END,
-           CASE WHEN try_cast(duration AS DOUBLE) * CASE WHEN duration_unit LIKE 'week%' THEN 7 WHEN duration_unit LIKE 'month%' THEN 30 ELSE 1 END > 365 THEN 'too_long' END, CASE WHEN try_cast(duration AS DOUBLE) = 0 THEN 'no_time' END,
-           CASE WHEN strength = '' THEN 'no_strength' END, CASE WHEN drug NOT IN ('Paracetamol', 'Amoxicillin', 'Cetirizine') THEN 'unknown_drug' END) AS findings
-    FROM ({medicines(d, notes)}) WHERE form <> ''"""
+    WITH m AS (SELECT * FROM ({medicines(d, notes)}) WHERE form <> ''),
+    near AS (SELECT drug, min(term) AS term FROM (SELECT drug, term, levenshtein(lower(drug), lower(term)) AS dist FROM (SELECT DISTINCT drug FROM m) CROSS JOIN (SELECT * FROM (VALUES {known}) v(term))) WHERE dist <= CASE WHEN length(term) <= 7 THEN 1 ELSE 2 END GROUP BY drug)
+    SELECT page, line_number, concat_ws(',', CASE WHEN lower(form) IN ('tab', 'cap', 'sachet') AND unit = 'ml' THEN 'liquid_unit' END, CASE WHEN frequency LIKE '0-0-0%' THEN 'never_taken' END,
+           CASE WHEN try_cast(duration AS DOUBLE) * CASE WHEN duration_unit LIKE 'w%' THEN 7 WHEN duration_unit LIKE 'm%' THEN 30 ELSE 1 END > 365 THEN 'too_long' END, CASE WHEN try_cast(duration AS DOUBLE) = 0 THEN 'no_time' END,
+           CASE WHEN strength = '' THEN 'no_strength' END, CASE WHEN n.term IS NULL THEN 'unknown_drug' WHEN lower(n.term) <> lower(m.drug) THEN 'near_drug' END) AS findings, coalesce(n.term, '') AS drug
+    FROM m LEFT JOIN near n ON n.drug = m.drug"""
 
 
 @operator("notes")
@@ -131,7 +187,7 @@ def table_cells(d: Spark, notes: str) -> str:
 @operator("notes")
 def agreeing_dose(d: Spark, notes: str) -> str:
     """A dose that two readings of a line agree on, the second with letters for digits."""
-    fixed = d.replace("line", r"([0-9])[oO]", "$10")
+    fixed = d.replace("line", r"([0-9])[oO]", "$1" + "0" if d.name == "duck" else "$1" + "0")
     return f"SELECT page, line_number, {d.extract('line', STRENGTH, 1)} AS dose FROM {notes} WHERE {d.extract('line', STRENGTH, 1)} <> '' AND {d.extract('line', STRENGTH, 1)} = {d.extract(fixed, STRENGTH, 1)}"
 
 
@@ -151,16 +207,25 @@ def normalised_labels(d: Spark, lines: str) -> str:
 
 @operator("lines")
 def file_names(d: Spark, lines: str) -> str:
-    """A line as a safe file name."""
-    return f"SELECT doc_id, line_number, left({d.replace('line', '[^A-Za-z0-9._-]+', '_')}, 80) AS name FROM {lines} WHERE line_number = 0"
+    """Each line as a safe file name."""
+    return f"SELECT doc_id, line_number, left({d.replace('line', '[^A-Za-z0-9._-]+', '_')}, 80) AS name FROM {lines}"
 
 
-@operator("lines")
-def hallucination_flags(d: Spark, lines: str) -> str:
-    """Alphabet loops, symbol bursts and lines too long for their box."""
+#: Phrases that a reader makes up.
+BLACKLIST = (
+    "what links here", "related changes", "upload file", "special pages", "permanent link", "page information", "cite this page", "wikidata item", "wikipedia", "wikimedia",
+    "in the united states in the united states", "of the united states of the united", "the first time of the first time", "management anniversary", "cosmopolitanism formal holidays",
+    "washington post", "new york times", "external links", "references categories",
+)
+
+
+@operator("lines", width="CAST(500 + line_number % 5 * 500 AS DOUBLE)")
+def hallucination_flags(d: Spark, lines: str, width: str) -> str:
+    """Made-up phrases, alphabet loops, lines too long for the ``width`` of their box (0: unknown) and symbol bursts."""
+    phrases = "|".join(BLACKLIST)
     return f"""
-    SELECT doc_id, line_number, CASE WHEN trim(line) = '' THEN 'empty' WHEN {d.matches('lower(line)', r'(?:[a-z] +){4,}[a-z]\b')} THEN 'alphabet_loop' WHEN length(line) > 60 * 40 THEN 'too_long'
-           WHEN {d.matches('line', r'[-.,_:;0-9()/]{5,}$')} THEN 'symbol_burst' ELSE 'passed' END AS verdict FROM {lines}"""
+    SELECT doc_id, line_number, CASE WHEN trim(line) = '' THEN 'empty' WHEN {d.matches('lower(line)', phrases)} THEN 'blacklisted' WHEN {d.matches('lower(line)', r'(?:[a-z]\s+){4,}[a-z]')} THEN 'alphabet_loop'
+           WHEN {width} > 0 AND length(trim(line)) > {width} / 4.2 + 12 THEN 'too_long' WHEN length(trim(line)) > 8 AND {d.matches('trim(line)', r'^[\s.\x27\x22,\-_:;0-9()/\\]{5,}$')} THEN 'symbol_burst' ELSE 'passed' END AS verdict FROM {lines}"""
 
 
 @operator("lines")
@@ -202,8 +267,11 @@ def _lexicon(d: Spark, documents: str, least: int) -> str:
 
 @operator("documents")
 def word_validity(d: Spark, documents: str) -> str:
-    """The share of a document's words that the lexicon knows."""
-    return f"SELECT t.doc_id, count(*) AS words, round(CAST(count(l.term) AS DOUBLE) / count(*), 6) AS validity FROM ({_tokens(d, documents, 'doc_id')}) t LEFT JOIN ({_lexicon(d, documents, 8)}) l ON lower(t.token) = l.term GROUP BY t.doc_id"
+    """The share of a document's words that the lexicon knows. Words are counted by document before they meet it."""
+    own = f"SELECT doc_id, lower(token) AS w, count(*) AS n FROM ({_tokens(d, documents, 'doc_id')}) GROUP BY doc_id, lower(token)"
+    return f"""
+    WITH c AS ({own}), l AS (SELECT w AS term FROM c GROUP BY w HAVING sum(n) >= 8)
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, round(CAST(sum(CASE WHEN term IS NULL THEN 0 ELSE n END) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS validity FROM c LEFT JOIN l ON c.w = l.term GROUP BY doc_id"""
 
 
 @operator("documents")
@@ -231,7 +299,7 @@ def without_letters(d: Spark, words: str, budget: str) -> str:
 def _nearest_terms(d: Spark, documents: str, same: str) -> str:
     budget = "CASE WHEN length(w) <= 6 THEN 1 WHEN length(w) <= 10 THEN 2 ELSE 3 END"
     return f"""
-    WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, f"(SELECT doc_id, text FROM {documents} WHERE lang = 'en')", 'doc_id')}) GROUP BY lower(token)),
+    WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, documents, 'doc_id')}) GROUP BY lower(token)),
     rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1 AND length(w) >= 4', budget)}),
     lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 5 AND length(w) >= 4', budget)}),
     pairs AS (SELECT DISTINCT r.w, l.w AS term FROM rare r JOIN lex l ON r.v = l.v{same}),
@@ -258,11 +326,15 @@ def fuzzy_lexicon_match_any_letter(d: Spark, documents: str) -> str:
 
 @operator("benchmark")
 def cer_pairs(d: Spark, benchmark: str) -> str:
-    """Character error rates of items against a copy with letters swapped, white space normalised."""
-    ref = f"trim({d.replace('text', r'\s+', ' ')})"
+    """Character error rates of items against a copy with letters swapped, in their own case and without, white space normalised, and whether they are equal.
+
+    Letters outside ASCII count as one letter each, and as equal to each other.
+    """
+    ref = f"trim({d.replace(d.replace('text', r'\s+', ' '), '[^ -~]', '?')})"
+    rate = lambda r, h: f"CASE WHEN length({r}) = 0 THEN CASE WHEN length({h}) = 0 THEN 0.0 ELSE 1.0 END ELSE round(least(1.0, CAST(levenshtein({h}, {r}) AS DOUBLE) / length({r})), 6) END"
     return f"""
-    SELECT item_id, CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(least(1.0, CAST(levenshtein(h, r) AS DOUBLE) / length(r)), 6) END AS cer
-    FROM (SELECT item_id, {ref} AS r, {d.replace(ref, 'th', 'ht')} AS h FROM {benchmark} WHERE NOT {d.matches('text', '[^ -~[:space:]]' if d.name == 'duck' else r'[^ -~\s]')})"""
+    SELECT item_id, {rate('r', 'h')} AS cer, {rate('lower(r)', 'lower(h)')} AS cer_folded, r = h AS exact
+    FROM (SELECT item_id, {ref} AS r, {d.replace(d.replace(ref, 'th', 'ht'), '^([a-z])', '#')} AS h FROM {benchmark})"""
 
 
 @operator("benchmark")
@@ -284,17 +356,22 @@ def fact_f1(d: Spark, notes: str) -> str:
     SELECT page, round(CAST(2 * sum(shared) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS f1 FROM (SELECT page, CASE WHEN count(*) = 2 THEN 1 ELSE 0 END AS shared, count(*) AS n FROM f GROUP BY page, drug, a, v) GROUP BY page"""
 
 
-@operator("boxes")
-def ensemble_choice(d: Spark, boxes: str) -> str:
-    """Which of two readings to keep: calibrated confidences (piecewise-linear, clamped) with a preference."""
+@operator("boxes", conf_weight=0.6, validity_weight=0.4, bias=0.05)
+def ensemble_choice(d: Spark, boxes: str, conf_weight: float, validity_weight: float, bias: float) -> str:
+    """Which of two readings to keep: calibrated confidence and the share of known letters, with a preference for the first;
+    an empty reading never, and never the second where it is the first behind a lone character."""
     def curve(c: str, xs: list[int], ys: list[int]) -> str:
         steps = [f"WHEN {c} <= {xs[0]} THEN CAST({ys[0]} AS DOUBLE)"]
         steps += [f"WHEN {c} <= {b} THEN {p} + ({c} - {a}) * {q - p} / CAST({b - a} AS DOUBLE)" for a, b, p, q in zip(xs, xs[1:], ys, ys[1:], strict=False)]
-        return f"CASE {' '.join(steps)} ELSE CAST({ys[-1]} AS DOUBLE) END"
+        return f"(CASE {' '.join(steps)} ELSE CAST({ys[-1]} AS DOUBLE) END) / 100"
 
+    validity = lambda t: f"CAST(length({d.replace(t, '[^a-zA-Z0-9 ]', '')}) AS DOUBLE) / greatest(length({t}), 1)"
+    score = lambda t, c: f"CASE WHEN trim({t}) = '' THEN CAST(-1 AS DOUBLE) ELSE {conf_weight} * ({c}) + {validity_weight} * ({validity(t)}) END"
     return f"""
-    SELECT page, idx, round(a, 6) AS score_1, round(b, 6) AS score_2, CASE WHEN a + 5 >= b THEN 'first' ELSE 'second' END AS choice
-    FROM (SELECT page, idx, {curve('conf', [10, 50, 90], [0, 40, 95])} AS a, {curve('((conf * 7) % 100)', [20, 60, 95], [5, 50, 99])} AS b FROM {boxes})"""
+    SELECT page, idx, round(a, 6) AS score_1, round(b, 6) AS score_2, lone, CASE WHEN lone OR a >= b THEN 'first' ELSE 'second' END AS choice
+    FROM (SELECT page, idx, {score('word', curve('conf', [10, 50, 90], [0, 40, 95]))} + CASE WHEN trim(word) = '' THEN 0 ELSE {bias} END AS a, {score('other', curve('((conf * 7) % 100)', [20, 60, 95], [5, 50, 99]))} AS b,
+                 word <> '' AND {d.matches('other', '^. ')} AND lower(substring(other, 3)) = lower(word) AS lone
+          FROM (SELECT *, CASE conf % 4 WHEN 0 THEN '' WHEN 1 THEN concat('4 ', upper(word)) WHEN 2 THEN concat(word, '?!') ELSE word END AS other FROM {boxes}))"""
 
 
 @operator("boxes")
@@ -303,13 +380,14 @@ def lines_from_words(d: Spark, boxes: str) -> str:
     return f"SELECT page, CAST(floor(y1 / 40.0) AS BIGINT) AS line, {d.listagg('word', ' ', 'x1, idx')} AS body, round(CAST(sum(conf) AS DOUBLE) / count(*), 4) AS confidence FROM {boxes} GROUP BY page, floor(y1 / 40.0)"
 
 
-@operator("notes")
-def number_accuracy(d: Spark, notes: str) -> str:
-    """The share of a line's numbers that the next line holds as well."""
+@operator("notes", terms=(*DRUGS, *CLINICAL, "fever", "cough", "smoker"))
+def number_accuracy(d: Spark, notes: str, terms: tuple) -> str:
+    """How many of a line's numbers, and of its medical terms, the next line holds as well."""
     nums = lambda c: d.extract_all(c, "[0-9]+")
+    words = d.extract_all("lower(line)", r"\b(" + "|".join(t.lower() for t in terms) + r")\b", 1)
     return f"""
-    SELECT page, line_number, {d.size('own')} AS numbers, {d.size(d.only('own', 'n', 'position(n IN below) > 0'))} AS found
-    FROM (SELECT page, line_number, {nums('line')} AS own, coalesce(lead(line) OVER (PARTITION BY page ORDER BY line_number), '') AS below FROM {notes})"""
+    SELECT page, line_number, {d.size('own')} AS numbers, {d.size(d.only('own', 'n', 'position(n IN below) > 0'))} AS found, {d.size('terms')} AS terms, {d.size(d.only('terms', 'n', 'position(n IN lower(below)) > 0'))} AS terms_found
+    FROM (SELECT page, line_number, {nums('line')} AS own, {words} AS terms, coalesce(lead(line) OVER (PARTITION BY page ORDER BY line_number), '') AS below FROM {notes})"""
 
 
 @operator("pages")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.strokes import stroke_heading, stroke_measures
 from quillspark.functions.text import ReviewWords, channel_cost, clean_text, word_error_rate, word_replacements
 from quillspark.operators import layout
+from quillspark.operators.text import CLINICAL, DRUGS
 from quillspark.registry import query
 from quillspark.sources.views import view
 
@@ -61,8 +62,8 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clean_clinical_text")
 def clean_clinical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes after the ordered rewrites, which stay in the JVM."""
-    return view(spark, sf_dir, "notes").select("page", "line_number", clean_text("line").alias("clean"))
+    """Notes after the ordered rewrites and with words near known terms as those, all in the JVM."""
+    return view(spark, sf_dir, "notes").select("page", "line_number", clean_text("line", (*DRUGS, *CLINICAL)).alias("clean"))
 
 
 @query("word_error_rates")
@@ -79,7 +80,7 @@ def channel_cost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = view(spark, sf_dir, "notes")
     word = F.regexp_extract("line", r"^(?:Tab|Syp)\. ([A-Z][a-z]+)", 1)
     words = notes.select(word.alias("word")).filter("word <> ''").groupBy("word").count()
-    drugs = spark.createDataFrame([("Paracetamol",), ("Amoxicillin",), ("Cetirizine",), ("Azithromycin",)], "drug string")
+    drugs = spark.createDataFrame([(t,) for t in DRUGS], "drug string")  # a list as short as this module's
     pairs = words.join(F.broadcast(drugs), F.substring("word", 1, 1) == F.substring("drug", 1, 1))
     costed = pairs.withColumn("cost", F.round(channel_cost("word", "drug"), 4))
     rank = F.row_number().over(Window.partitionBy("word").orderBy("cost", "drug"))
@@ -89,7 +90,7 @@ def channel_cost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("word_alignment")
 def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the rewrites exchanged one for one, and how often."""
-    notes = view(spark, sf_dir, "notes").select("line", clean_text("line").alias("clean")).filter("line <> clean")
+    notes = view(spark, sf_dir, "notes").select("line", clean_text("line", (*DRUGS, *CLINICAL)).alias("clean")).filter("line <> clean")
     pairs = notes.select(F.explode(word_replacements("line", "clean")).alias("p"))
     return pairs.groupBy("p.was", "p.now").count()
 
@@ -103,15 +104,41 @@ def word_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT page, line_number, r.word, r.first, r.last, r.kind FROM q_review_notes, LATERAL review_words(line, conf) r")
 
 
-@query("stroke_analysis")
-def stroke_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stroke against the one before it on its sheet: all measures, and the way it goes."""
+def _stroke_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stroke with the one before it on its sheet as its reference."""
     points = view(spark, sf_dir, "points")
     strokes = points.groupBy("stroke").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y", "t"))), lambda p: F.array(p["x"], p["y"], p["t"])).alias("points"))
     before = strokes.select((F.col("stroke") + 1).alias("stroke"), F.col("points").alias("reference"))
-    pairs = strokes.join(before, "stroke")
+    return strokes.join(before, "stroke")
+
+
+@query("stroke_analysis")
+def stroke_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stroke against its reference: all measures, and the way it goes."""
     m, h = stroke_measures("points", "reference"), stroke_heading("points")
-    return pairs.select("stroke", m.alias("m"), h.alias("h")).select("stroke", "m.*", F.col("h.direction").alias("heading"), "h.confidence")
+    return _stroke_pairs(spark, sf_dir).select("stroke", m.alias("m"), h.alias("h")).select("stroke", "m.*", F.col("h.direction").alias("heading"), "h.confidence")
+
+
+@query("stroke_combined")
+def stroke_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted score of a stroke against its reference, and whether it unlocks the next."""
+    m = stroke_measures("points", "reference").alias("m")
+    return _stroke_pairs(spark, sf_dir).select("stroke", m).select("stroke", "m.combined", (F.col("m.combined") >= 0.6).alias("unlocks"))
+
+
+@query("trace_guidance")
+def trace_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace percent, whether the next stroke unlocks (or the failsafe after three tries), and the kind of feedback."""
+    pairs = _stroke_pairs(spark, sf_dir).select("stroke", (1 + F.col("stroke") % 5).cast("int").alias("tries"), stroke_measures("points", "reference").alias("m"))
+    return guided(pairs.select("stroke", "tries", "m.*"))
+
+
+def guided(measured: DataFrame) -> DataFrame:
+    """(stroke, tries, percent, unlocked, failsafe, feedback) of measured strokes (see ``stroke_measures``)."""
+    percent = F.round((F.col("coverage") * 0.5 + F.col("direction") * 0.3 + F.col("smoothness") * 0.2) * 100, 1)
+    failsafe = F.col("tries") > 3
+    kind = F.when(failsafe, "correction").when(F.col("combined") >= 0.9, "celebration").when(F.col("combined") >= 0.75, "encouragement").when(F.col("combined") >= 0.5, "correction").otherwise("warning")
+    return measured.select("stroke", "tries", percent.alias("percent"), ((F.col("combined") >= 0.6) | failsafe).alias("unlocked"), failsafe.alias("failsafe"), kind.alias("feedback"))
 
 
 @query("boosted_regression")

@@ -63,10 +63,11 @@ VIEWS["points"] = View(("lineitem",), _POINTS, _POINTS)
 #: Lines of clinical notes: a page is an order, a line a line item; what it says follows from keys.
 _NOTES = """
 SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_number, CAST(l_partkey % 100 AS INT) AS conf,
-       CASE CAST((l_partkey + l_linenumber) % 10 AS INT)
+       CASE CAST((l_partkey + l_linenumber) % 16 AS INT)
          WHEN 0 THEN concat('Tab. ', drug, ' ', q, '0 mg 1-0-1 x ', n, ' days after food') WHEN 1 THEN concat('Syp. ', drug, ' 5 ml BD for ', n, ' weeks')
          WHEN 2 THEN concat('1-0-', n, ' x ', q, ' days') WHEN 3 THEN concat('Haemoglobin ', n, '.', q, ' g/dL 11.0 - 15.0') WHEN 4 THEN concat('Patient Name: Ann ', word, '  Age: ', q)
-         WHEN 5 THEN concat('[x] ', word, ' smoker') WHEN 6 THEN concat('BP: ', q, '5/80 HR ', q, ' SPO2: 9', n, '%') WHEN 7 THEN 'DIAGNOSIS:' WHEN 8 THEN concat(word, ' fever for ', n, ' days, and no') ELSE concat('cough. Review after ', n, ' days') END AS line
+         WHEN 5 THEN concat('[x] ', word, ' smoker') WHEN 6 THEN concat('BP: ', q, '5/80 HR ', q, ' SPO2: 9', n, '%') WHEN 7 THEN 'DIAGNOSIS:' WHEN 8 THEN concat(word, ' fever for ', n, ' days, and no') WHEN 9 THEN concat('Inj. Calcium D3 2 ml IV OD x ', n, ' wks') WHEN 10 THEN concat('Syp. Calpol (250/5) ', n, ' ml every 6 hours')
+         WHEN 11 THEN 'Adv: Hexigel gum paint topical twice daily' WHEN 12 THEN concat('CRP ', n, '.', q, ' mg/L < 5.0') WHEN 13 THEN concat('C/O pain, Dx ', word, ' Temp: 10', n, '.5 F') WHEN 14 THEN concat('Discharge Summary ', word) ELSE concat('cough. Review after ', n, ' days') END AS line
 FROM (SELECT *, {q} AS q, {n} AS n, concat('w', {w}) AS word, CASE l_suppkey % 3 WHEN 0 THEN 'Paracetamol' WHEN 1 THEN 'Amoxicilin' ELSE 'Cetirizne' END AS drug FROM {lineitem})
 """
 _cast = lambda kind: {"q": f"CAST(CAST(l_quantity AS INT) AS {kind})", "n": f"CAST(l_suppkey % 9 AS {kind})", "w": f"CAST(l_partkey % 50 AS {kind})"}

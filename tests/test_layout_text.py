@@ -96,7 +96,12 @@ def test_strokes_of_known_shape(spark):
         ("Ph 987IO33775", "Ph 9871033775"),
         ("seen 13/O6/2OO1", "seen 13/06/2001"),
         ("BP: l20/8O now", "BP: 120/80 now"),
+        ("bp l4O/9O", "BP: 140/90"),
+        ("Ph.: 98ll033775 ① ② x", "Ph.: 9811033775 1) 2) x"),
         ("spo2 98", "SPO2: 98%"),
+        ("1 tab X 2, l/O", "1 tab x2, 1-0"),
+        ("o.d at h.s C@p x", "OD at HS Cap. x"),
+        ("Z50 ng, S00ng", "Z50 mg, S00 mg".replace("Z50", "250").replace("S00", "500")),
         ("500mq l-0-l", "500 mg 1-0-1"),
         ("S00 mg b.i.d", "500 mg BID"),
         ("O.5 ml for S days", "0.5 ml for 5 days"),
@@ -110,11 +115,23 @@ def test_rewrites(spark, raw, clean):
     assert spark.createDataFrame([(raw,)], "t string").select(text.clean_text("t")).first()[0] == clean
 
 
+def test_words_near_known_terms_become_those(spark):
+    terms = ("Paracetamol", "Amoxicillin", "Calpol", "Diagnosis")
+    rows = [("Tab. paracetmol, (amoxicilin) calpoI", "Tab. Paracetamol, (Amoxicillin) Calpol"), ("diagnosis: calp colpal", "Diagnosis: calp colpal"), ("", ""), (None, "")]
+    df = spark.createDataFrame(rows, "raw string, want string")
+    assert all(r.want == r.got for r in df.select("want", text.clean_text("raw", terms).alias("got")).collect())
+
+
+def test_every_rewrite_names_its_input_once(spark):
+    plan = spark.createDataFrame([("a",)], "t string").select(text.clean_text("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 100
+
+
 def test_word_error_rate_and_channel_cost(spark):
     df = spark.createDataFrame([("a b c", "a x c"), ("", ""), ("", "z"), ("Eins ZWEI", "eins zwei"), (None, None), ("a", "b c d e")], "r string, h string")
     assert [round(r[0], 4) for r in df.select(text.word_error_rate("r", "h")).collect()] == [0.3333, 0.0, 1.0, 0.0, 0.0, 1.0]
-    df = spark.createDataFrame([("m", "rn"), ("l", "1"), ("ab", "b"), ("a", "z"), (None, "a")], "a string, b string")
-    assert [r[0] for r in df.select(text.channel_cost("a", "b")).collect()] == [0.4, 0.35, 0.8, 1.0, None]
+    df = spark.createDataFrame([("m", "rn"), ("l", "1"), ("ab", "b"), ("a", "z"), (None, "a"), ("TI", "u"), ("nn", "m"), ("R", "u"), ("f", "h")], "a string, b string")
+    assert [r[0] for r in df.select(text.channel_cost("a", "b")).collect()] == [0.4, 0.35, 0.8, 1.0, None, 0.4, 1.15, 0.35, 1.0]
 
 
 def test_replacements_pair_words_of_equal_blocks(spark):
@@ -138,6 +155,80 @@ def test_lines_of_a_prescription(spark):
     assert text_ops.document_types(notes=df).first().doc_type == "prescription"
 
 
+def notes_of(spark, *lines):
+    return spark.createDataFrame([(1, i + 1, 90, t) for i, t in enumerate(lines)], NOTE)
+
+
+def test_all_that_a_medicine_line_says(spark):
+    rows = text_ops.medication_lines(notes=notes_of(
+        spark, "1) Tab. Pan-D 40 mg OD before food x 2 wks", "Syp. Calpol (250/5) 5 ml every 6 hours", "Adv: Hexigel gum paint topically twice daily", "Inj. Calcium D3 2 ml IV STAT", "Patient: Tab", "Cap Iron Folic 1-0-1 for 3 m as directed",
+    )).collect()
+    got = {r.line_number: r for r in rows}
+    assert sorted(got) == [1, 2, 3, 4, 6]
+    assert [(r.drug, r.strength, r.unit) for _, r in sorted(got.items())] == [("Pan-D", "40", "mg"), ("Calpol", "5", "ml"), ("Hexigel", "", ""), ("Calcium D3", "2", "ml"), ("Iron Folic", "", "")]
+    assert (got[1].frequency, got[1].timing, got[1].duration, got[1].duration_unit) == ("OD", "before food", "2", "wks")
+    assert (got[2].concentration, got[2].instructions, got[2].frequency) == ("250/5", "every 6 hours", "")
+    assert (got[3].preparation, got[3].route, got[3].frequency) == ("gum paint", "topically", "TWICE DAILY")
+    assert (got[4].route, got[4].frequency, got[6].frequency, got[6].duration_unit, got[6].instructions) == ("iv", "STAT", "1-0-1", "m", "as directed")
+
+
+def test_entities_vitals_results_and_titles(spark):
+    df = notes_of(spark, "Rx Paracetamol 500 mg, calpol 5 ml BID; K/C/O asthma", "BP: 120/80 BP 130/90 MRN: A-12 DOB 1/2/1990 temp 101.5 F", "CRP 9.5 mg/L < 5.0", "Sodium 130 mmol/L > 135", "Discharge Summary")
+    e = text_ops.entity_extract(notes=df).orderBy("line_number").first()
+    assert (e.drugs, e.dosages, e.frequencies, e.units, e.abbreviations) == ("Paracetamol,Calpol", "5 ml,500 mg", "BID", "mg,ml,C", "Rx,C/O,K/C/O,BID")
+    v = text_ops.vital_signs(notes=df).filter("line_number = 2").first()
+    assert (v.blood_pressure, v.mrn, v.dob, v.temperature) == ("120/80|130/90", "A-12", "1/2/1990", "101.5")
+    labs = text_ops.lab_rows(notes=df).orderBy("line_number").collect()
+    assert [(r.test, r.value, r.unit, r.low, r.high, r.flag) for r in labs] == [("CRP", 9.5, "mg/L", None, 5.0, "H"), ("Sodium", 130.0, "mmol/L", 135.0, None, "L")]
+    assert text_ops.document_types(notes=df).first().doc_type == "lab_report"
+    assert text_ops.document_types(notes=notes_of(spark, "x", "Discharge Summary")).first().doc_type == "discharge_summary"
+
+
+def test_findings_on_medicines(spark):
+    df = notes_of(spark, "Tab. Paracetmol 5 ml 0-0-0 x 60 weeks", "Tab. Unheard 5 mg for 0 days", "Cap. Amoxicillin 250 mg BD")
+    assert [r.findings for r in text_ops.validation_findings(notes=df).orderBy("line_number").collect()] == ["liquid_unit,never_taken,too_long,near_drug", "no_time,unknown_drug", ""]
+
+
+def test_made_up_lines(spark):
+    lines = ["", "see Wikipedia here", "a b c d e f", "x" * 200, "...,,,---...", "plain words"]
+    df = spark.createDataFrame([(1, i, "en", "s", t) for i, t in enumerate(lines)], "doc_id long, line_number int, lang string, source string, line string")
+    got = [r.verdict for r in text_ops.hallucination_flags(lines=df, width="420.0").orderBy("line_number").collect()]
+    assert got == ["empty", "blacklisted", "alphabet_loop", "too_long", "symbol_burst", "passed"]
+    assert text_ops.hallucination_flags(lines=df, width="0").filter("verdict = 'too_long'").count() == 0
+
+
+def test_a_lone_character_before_the_first_reading_is_noise(spark):
+    df = spark.createDataFrame([(1, i, 0, 0, 9, 9, c, w) for i, (c, w) in enumerate([(89, "Denied"), (9, "ab"), (99, "zz"), (88, "kept")])], BOX)
+    rows = {r.idx: r for r in text_ops.ensemble_choice(boxes=df).collect()}
+    assert rows[0].lone and rows[0].choice == "first" and rows[3].score_2 == -1 and rows[3].choice == "first" and rows[1].lone
+
+
+def test_guidance_weighs_coverage_direction_and_smoothness(spark):
+    from quillspark.plans.grouped import guided
+
+    rows = [(1, 1, 1.0, 1.0, 1.0, 1.0), (2, 2, 0.5, 0.8, 0.4, 0.62), (3, 4, 0.0, 0.2, 0.1, 0.1), (4, 3, 0.1, 0.2, 0.3, 0.49)]
+    df = spark.createDataFrame(rows, "stroke long, tries int, direction double, coverage double, smoothness double, combined double")
+    got = [(r.percent, r.unlocked, r.failsafe, r.feedback) for r in guided(df).orderBy("stroke").collect()]
+    assert got == [(100.0, True, False, "celebration"), (63.0, True, False, "correction"), (12.0, True, True, "correction"), (19.0, False, False, "warning")]
+
+
+def test_columns_in_common_rows_are_no_columns(spark):
+    aligned = boxes([(10, 10, 300, 30), (600, 10, 900, 30), (10, 50, 300, 70), (600, 50, 900, 70)])
+    apart = boxes([(10, 10, 300, 30), (600, 100, 900, 120), (10, 50, 300, 70), (600, 150, 900, 170)])
+    assert layout.largest_gap_split(boxes=spark.createDataFrame(aligned, BOX)).count() == 0
+    assert [tuple(r) for r in layout.largest_gap_split(boxes=spark.createDataFrame(apart, BOX)).collect()] == [(1, 300, 600)]
+
+
+def test_best_overlap_needs_a_share_and_a_surer_box(spark):
+    rows = [(1, 0, 0, 0, 100, 20, 50, "a"), (1, 1, 5, 0, 100, 20, 90, "b"), (1, 2, 60, 0, 200, 20, 99, "c")]
+    assert [(r.i, r.j, r.iou) for r in layout.best_overlap_lookup(boxes=spark.createDataFrame(rows, BOX)).collect()] == [(0, 1, 0.95)]
+
+
+def test_lines_do_not_turn_upwards(spark):
+    df = spark.createDataFrame(boxes([(0, 0, 50, 20), (45, 9, 50, 29)]), BOX)
+    assert [len({r.line for r in layout.connected_lines(df, turn=t).collect()}) for t in (20.0, 90.0)] == [2, 1]
+
+
 def test_measures_of_a_stroke_drawn_well_backwards_across_and_not_at_all(spark):
     from quillspark.functions.strokes import stroke_heading, stroke_measures
 
@@ -202,6 +293,6 @@ def test_fuzzy_matches_of_all_lengths_and_first_letters_equal_comparing_every_pa
 def test_spelling_candidates_take_whole_words_of_any_length_case_and_first_letter(spark):
     words = ["cat", "window", "Electricity", "incomprehensibilities"] * 40
     rare = ["bat", "Xindow", "electricitty", "ncomprehensibilitie", "windoww1", "Zz"]
-    docs = spark.createDataFrame([(1, "en", " ".join(words + rare)), (2, "de", "windo"), (3, "en", None)], "doc_id long, lang string, text string")
+    docs = spark.createDataFrame([(1, "en", " ".join(words + rare)), (2, "de", "windo"), (3, None, None)], "doc_id long, lang string, text string")
     got = {r.word: r.correction for r in scoring.spelling_candidates(documents=docs).collect()}
-    assert got == {"bat": "cat", "xindow": "window", "electricitty": "electricity", "ncomprehensibilitie": "incomprehensibilities"}
+    assert got == {"bat": "cat", "windo": "window", "xindow": "window", "electricitty": "electricity", "ncomprehensibilitie": "incomprehensibilities"}
