@@ -347,9 +347,10 @@ def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR,
     linked = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "k")
     # Nulls come last: a class has a null class_id only if no document of it has an id.
     order = F.struct(F.col("least").isNull().alias("none"), "least", "k")
-    # Written, a row for each class: it is broadcast to its members or meets them in a join that Spark splits, not they it.
+    # Written, a row for each class and one for each member: a class of very many texts meets its row in a join that
+    # Spark splits, and no later step reads it by the task that made it.
     first = written(linked.join(classes.select("k", "least"), "k").groupBy("label").agg(F.min(order).alias("first")))
-    of = linked.join(first, "label").select("k", F.col("first.least").alias("class_id"), (F.col("k") == F.col("first.k")).alias("stays"))
+    of = written(linked.join(first, "label").select("k", F.col("first.least").alias("class_id"), (F.col("k") == F.col("first.k")).alias("stays")))
     classes = classes.select("k", "least", "n_copies").join(links, "k", "left").join(of, "k", "left")
     alone = F.col("stays").isNull()
     classes = classes.select(
