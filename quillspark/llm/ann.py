@@ -37,6 +37,8 @@ REPLICAS, REPLICA_RATIO = 4, 1.2
 #: The share of the sample's own neighbours that the probe ratio must reach, on so many of its rows.
 RECALL, TRIALS = 0.975, 400
 BLOCK = 2048
+#: Parts in which the blocks that a query read are merged before these are.
+MERGES = 64
 DEGREE, BEAM, EXPAND = 16, 32, 4
 
 
@@ -291,16 +293,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLO
             first, flat = own.offsets.to_numpy().astype(np.int64), own.values.to_numpy()
             for lo in range(0, n, 256):
                 scores, ids, ends = _top(x[lo : min(lo + 256, n)], x[n:], first, flat, k + 1)
-                who = np.repeat(ask[lo : lo + len(ends)], np.diff(ends, prepend=0))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (who, scores, ids)], ["ask", "score", "vec_id"])
+                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                lists_of = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (scores, ids)]
+                salt = np.full(len(ends), hash((group.column(0)[0].as_py(), group.column(1)[0].as_py())) % MERGES, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ask[lo : lo + len(ends)]), pa.array(salt), *lists_of], ["ask", "salt", "scores", "ids"])
 
     rows = left.unionByName(right).repartition("list", "vb", "qb").sortWithinPartitions("list", "vb", "qb", "side")
-    found = rows.mapInArrow(score, "ask long, score double, vec_id long")
-    # Each task keeps a query's best before they meet, and copies of an entry in several lists come with equal scores.
-    best = F.dense_rank().over(Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
-    found = found.withColumn("r", best).filter(F.col("r") <= k + 1).select("ask", "score", "vec_id").distinct()
-    # At most k + 1 of them for each query.
-    lists_of = found.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))).alias("best"))
+    found = rows.mapInArrow(score, "ask long, salt int, scores array<double>, ids array<long>")
+    # A query has a row for each block that it read. They are merged in two steps, so that none holds what all blocks gave.
+    pairs = F.arrays_zip(F.transform("scores", lambda v: -v).alias("s"), F.col("ids").alias("i"))
+
+    def merged(groups_of: DataFrame, *keys: str) -> DataFrame:
+        every = groups_of.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("all"))
+        # copies of an entry in several lists come side by side, with equal scores
+        return every.select(*keys, F.slice(F.expr("filter(all, (x, j) -> j = 0 or x != all[j - 1])"), 1, k + 1).alias("best"))
+
+    lists_of = merged(merged(found.select("ask", "salt", pairs.alias("best")), "ask", "salt"), "ask")
     best = lists_of.join(asking, "ask").select("embedding", "best")
     top = usable.join(best, "embedding").select("query_id", F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, k).alias("best"))
     return top.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
