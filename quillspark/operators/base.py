@@ -76,6 +76,28 @@ class Spark:
     def text(self, x: str) -> str:
         return f"cast({x} AS string)"
 
+    def telemetry(self, x: str) -> str:
+        """What a JSON text says of a session's strokes."""
+        return f"from_json({x}, 'time_before_first_stroke_ms BIGINT, hesitation_ms_per_stroke ARRAY<STRUCT<stroke_id: BIGINT, ms: BIGINT>>, stroke_attempt_counts MAP<STRING, BIGINT>')"
+
+    def gathered(self, x: str, *order: str) -> str:
+        """Values of a group as an array in the order of other columns."""
+        return f"transform(array_sort(collect_list(struct({', '.join(order)}, {x} AS kept))), o -> o.kept)"
+
+    def folded(self, x: str, so_far: str, var: str, body: str) -> str:
+        """A text made of an array of texts from left to right, from an empty one."""
+        return f"aggregate({x}, '', ({so_far}, {var}) -> {body})"
+
+    def both(self, x: str, y: str) -> str:
+        return f"concat({x}, {y})"
+
+    def letter(self, i: str) -> str:
+        """A letter of its own for a number from 1: code points from U+10001 on."""
+        return f"decode(unhex(lpad(hex(65536 + {i}), 8, '0')), 'UTF-32')"
+
+    def first(self, x: str, n: int) -> str:
+        return f"slice({x}, 1, {n})"
+
     def lower(self, x: str) -> str:
         return f"lower({x})"
 
@@ -139,6 +161,24 @@ class Duck(Spark):
     def text(self, x: str) -> str:
         return f"CAST({x} AS VARCHAR)"
 
+    def telemetry(self, x: str) -> str:
+        return f"""from_json({x}, '{{"time_before_first_stroke_ms":"BIGINT","hesitation_ms_per_stroke":[{{"stroke_id":"BIGINT","ms":"BIGINT"}}],"stroke_attempt_counts":"MAP(VARCHAR,BIGINT)"}}')"""
+
+    def gathered(self, x: str, *order: str) -> str:
+        return f"list({x} ORDER BY {', '.join(order)})"
+
+    def folded(self, x: str, so_far: str, var: str, body: str) -> str:
+        return f"list_reduce(list_prepend('', {x}), lambda {so_far}, {var}: {body})"
+
+    def both(self, x: str, y: str) -> str:
+        return f"list_concat({x}, {y})"
+
+    def letter(self, i: str) -> str:
+        return f"chr(CAST(32 + {i} AS INT))"  # this dialect's distances count bytes
+
+    def first(self, x: str, n: int) -> str:
+        return f"({x})[1:{n}]"
+
 
 SPARK, DUCK = Spark(), Duck()
 Text = Callable[..., str]

@@ -157,13 +157,21 @@ def difficulty_history(d: Spark, sessions: str, last: int, order: str) -> str:
     return f"SELECT user_id, module_type, id, day, difficulty, acc FROM (SELECT *, row_number() OVER (PARTITION BY user_id, module_type ORDER BY ts {order}, id {order}) AS r FROM {sessions} WHERE completed) WHERE r <= {last}"
 
 
-_PAUSES = "SELECT user_id, target_item, 1 AS first, first_ms AS ms FROM {s} WHERE completed UNION ALL SELECT user_id, target_item, 0, pause_1 FROM {s} WHERE completed UNION ALL SELECT user_id, target_item, 0, pause_2 FROM {s} WHERE completed"
+def _telemetry(d: Spark, s: str, last: int) -> str:
+    """(user_id, target_item, t): what the last completed sessions say of their strokes, out of their JSON."""
+    return f"SELECT user_id, target_item, {d.telemetry('scores')} AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS latest FROM {s} WHERE completed AND scores IS NOT NULL) WHERE latest <= {last}"
 
 
-@operator("sessions")
-def hesitation_profile(d: Spark, sessions: str) -> str:
-    """Mean pauses before the first stroke and between strokes, and the items slower than 1.4 times the latter."""
-    pauses = _PAUSES.format(s=sessions)
+def _pauses(d: Spark, s: str, last: int) -> str:
+    t = _telemetry(d, s, last)
+    entries = f"SELECT user_id, target_item, e FROM (SELECT user_id, target_item, t.hesitation_ms_per_stroke AS es FROM ({t})) x {d.rows('es', 'y', 'e')}"
+    return f"SELECT user_id, target_item, 1 AS first, t.time_before_first_stroke_ms AS ms FROM ({t}) UNION ALL SELECT user_id, target_item, 0, e.ms FROM ({entries})"
+
+
+@operator("sessions", last=20)
+def hesitation_profile(d: Spark, sessions: str, last: int) -> str:
+    """Mean pauses before the first stroke and between strokes of the last sessions, and the items slower than 1.4 times the latter."""
+    pauses = _pauses(d, sessions, last)
     return f"""
     WITH p AS (SELECT * FROM ({pauses}) WHERE ms > 0),
     u AS (SELECT user_id, coalesce(round(avg(CASE WHEN first = 1 THEN ms END), 1), 0) AS before_first, coalesce(round(avg(CASE WHEN first = 0 THEN ms END), 1), 0) AS between FROM p GROUP BY user_id),
@@ -176,25 +184,26 @@ def hesitation_profile(d: Spark, sessions: str) -> str:
                              {d.listagg("CASE WHEN NOT slow AND lo <= 5 THEN target_item END", ",", "target_item")} AS low_items FROM r GROUP BY user_id) x ON u.user_id = x.user_id"""
 
 
-def _tries(s: str) -> str:
-    return f"SELECT user_id, target_item, tries_1 AS n FROM {s} WHERE completed UNION ALL SELECT user_id, target_item, tries_2 FROM {s} WHERE completed"
+def _tries(d: Spark, s: str, last: int) -> str:
+    counts = f"SELECT user_id, target_item, map_values(t.stroke_attempt_counts) AS ns FROM ({_telemetry(d, s, last)})"
+    return f"SELECT user_id, target_item, n FROM ({counts}) x {d.rows('ns', 'y', 'n')}"
 
 
-@operator("sessions")
-def retry_pattern(d: Spark, sessions: str) -> str:
+@operator("sessions", last=20)
+def retry_pattern(d: Spark, sessions: str, last: int) -> str:
     """Mean tries of a stroke, the share unlocked after more than three, and the five items of most tries."""
     return f"""
-    WITH t AS ({_tries(sessions)}),
+    WITH t AS ({_tries(d, sessions, last)}),
     i AS (SELECT user_id, target_item, row_number() OVER (PARTITION BY user_id ORDER BY round(avg(n), 1) DESC, target_item) AS r FROM t GROUP BY user_id, target_item)
     SELECT t.user_id, round(avg(n), 1) AS avg_retries_per_stroke, round(CAST(count_if(n > 3) AS DOUBLE) / count(*), 4) AS failsafe_unlock_rate, count(*) AS total_strokes, max(x.items) AS high_retry_items
     FROM t JOIN (SELECT user_id, {d.listagg("target_item", ",", "r")} AS items FROM i WHERE r <= 5 GROUP BY user_id) x ON t.user_id = x.user_id GROUP BY t.user_id"""
 
 
-@operator("sessions")
-def replay_usage(d: Spark, sessions: str) -> str:
+@operator("sessions", last=20)
+def replay_usage(d: Spark, sessions: str, last: int) -> str:
     """The share of strokes tried more than twice, and the three items where that comes most."""
     return f"""
-    WITH t AS ({_tries(sessions)}),
+    WITH t AS ({_tries(d, sessions, last)}),
     i AS (SELECT user_id, target_item, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, target_item) AS r FROM t WHERE n > 2 GROUP BY user_id, target_item),
     u AS (SELECT user_id, round(CAST(count_if(n > 2) AS DOUBLE) / count(*), 4) AS replay_rate FROM t GROUP BY user_id)
     SELECT u.user_id, replay_rate, replay_rate > 0.15 AS replay_beneficial, coalesce(items, '') AS most_replayed
@@ -205,12 +214,12 @@ def replay_usage(d: Spark, sessions: str) -> str:
 CURVES, DIAGONALS = "SGCOQBD", "XWVYZK"
 
 
-@operator("sessions")
-def direction_struggles(d: Spark, sessions: str) -> str:
+@operator("sessions", last=20)
+def direction_struggles(d: Spark, sessions: str, last: int) -> str:
     """Stroke directions that the items of most tries share."""
     member = lambda s: ", ".join(f"'{c}'" for c in s)
     return f"""
-    WITH i AS (SELECT user_id, target_item, row_number() OVER (PARTITION BY user_id ORDER BY round(avg(n), 1) DESC, target_item) AS r FROM ({_tries(sessions)}) GROUP BY user_id, target_item)
+    WITH i AS (SELECT user_id, target_item, row_number() OVER (PARTITION BY user_id ORDER BY round(avg(n), 1) DESC, target_item) AS r FROM ({_tries(d, sessions, last)}) GROUP BY user_id, target_item)
     SELECT user_id, concat_ws(',', CASE WHEN count_if(target_item IN ({member(CURVES)})) > 0 THEN 'curve-left,curve-right' END, CASE WHEN count_if(target_item IN ({member(DIAGONALS)})) > 0 THEN 'down-right,down-left' END) AS struggles
     FROM i WHERE r <= 5 GROUP BY user_id"""
 
@@ -285,7 +294,7 @@ def features(d: Spark, s: str) -> str:
     users AS (SELECT user_id, {totals}, count(CASE WHEN recent = 1 THEN 1 END) AS active_days, CAST(sum(least({DAILY_XP}, xp)) AS BIGINT) AS total_xp FROM days GROUP BY user_id),
     runs AS (SELECT user_id, max(day) AS last_day, count(*) AS n FROM (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM days WHERE done > 0) GROUP BY user_id, island),
     streak AS (SELECT user_id, max(last_day) AS last_day, max_by(n, last_day) AS streak, max(n) AS longest FROM runs GROUP BY user_id),
-    items AS (SELECT user_id, {d.listagg("target_item", ",", "r")} AS items FROM (SELECT user_id, target_item, row_number() OVER (PARTITION BY user_id ORDER BY round(avg(n), 1) DESC, target_item) AS r FROM ({_tries(s)}) GROUP BY user_id, target_item) WHERE r <= 5 GROUP BY user_id)
+    items AS (SELECT user_id, {d.listagg("target_item", ",", "r")} AS items FROM (SELECT user_id, target_item, row_number() OVER (PARTITION BY user_id ORDER BY round(avg(n), 1) DESC, target_item) AS r FROM ({_tries(d, s, 20)}) GROUP BY user_id, target_item) WHERE r <= 5 GROUP BY user_id)
     SELECT f.*, CASE WHEN {busy} < 2 THEN 'stable' WHEN {last} - {first} > 0.05 THEN 'improving' WHEN {last} - {first} < -0.05 THEN 'declining' ELSE 'stable' END AS trend
     FROM (SELECT u.user_id, {', '.join(f'{week(3 - i)} AS week_{i + 1}' for i in weeks)}, CASE WHEN u.n_4w / 4.0 >= 3 THEN 'fast' WHEN u.n_4w / 4.0 < 1 THEN 'slow' ELSE 'steady' END AS velocity,
                  coalesce(r.rolling_average, 0) AS rolling_accuracy, coalesce(r.promotion_readiness, 0) AS promotion_readiness, round(u.active_days / CAST(14 AS DOUBLE), 4) AS consistency_score, u.active_days,

@@ -348,6 +348,13 @@ def distinct_sketch(d: Spark, events: str) -> str:
     return f"SELECT event_type, approx_count_distinct(user_id) AS users FROM {events} GROUP BY event_type"
 
 
+@operator("events", error=0.05)
+def distinct_sketch_error(d: Spark, events: str, error: float) -> str:
+    """Distinct users counted exactly, and whether a sketch of that relative deviation is within three of it."""
+    sketch = f"abs(approx_count_distinct(user_id, {error}) - count(DISTINCT user_id)) <= {3 * error} * count(DISTINCT user_id) + 1" if d.name == "spark" else "true"
+    return f"SELECT event_type, count(DISTINCT user_id) AS users, {sketch} AS within FROM {events} GROUP BY event_type"
+
+
 @operator("conversations")
 def latest_status(d: Spark, conversations: str) -> str:
     """The last turn of each conversation: who has the word."""

@@ -70,19 +70,21 @@ def json_with_fallback(d: Spark, events: str) -> str:
     return f"SELECT event_id, CAST(coalesce({get('score')}, {get('k')}, '0') AS INT) AS score FROM {events}"
 
 
-@operator("events", checked=False)
+@operator("events")
 def stroke_counts_map(d: Spark, events: str) -> str:
-    """Counts by key as a map per learner, as a session's state keeps them."""
-    return f"SELECT user_id, map_from_entries(array_sort(collect_list(struct(event_type, n)))) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM {events} GROUP BY user_id, event_type) GROUP BY user_id"
+    """Counts by key as a map per learner, stored as JSON with its keys in order."""
+    counted = f"SELECT user_id, coalesce(event_type, '') AS kind, count(*) AS n FROM {events} GROUP BY user_id, event_type"
+    stored = "to_json(map_from_entries(array_sort(collect_list(struct(kind, n)))))" if d.name == "spark" else """'{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}'"""
+    return f"SELECT user_id, {stored} AS counts FROM ({counted}) GROUP BY user_id"
 
 
-@operator("sessions", checked=False, word="CAT")
+@operator("sessions", word="CAT")
 def spelling_progress(d: Spark, sessions: str, word: str) -> str:
     """Letters of a word found in order by each learner's attempts, and the state that leaves them in."""
     return f"""
-    SELECT user_id, found, CASE WHEN found = {len(word)} THEN 'correct' WHEN size(letters) = 0 THEN 'idle' WHEN element_at(letters, -1) = substring('{word}', greatest(found, 1), 1) THEN 'partial_success' ELSE 'retrying' END AS state, round(found / {len(word)}.0, 4) AS accuracy
-    FROM (SELECT user_id, letters, aggregate(letters, 0, (p, l) -> CASE WHEN p < {len(word)} AND l = substring('{word}', p + 1, 1) THEN p + 1 ELSE p END) AS found
-          FROM (SELECT user_id, transform(array_sort(collect_list(struct(ts, id, target_item))), x -> x.target_item) AS letters FROM {sessions} WHERE completed GROUP BY user_id))"""
+    SELECT user_id, found, CASE WHEN found = {len(word)} THEN 'correct' WHEN last = substring('{word}', CAST(greatest(found, 1) AS INT), 1) THEN 'partial_success' ELSE 'retrying' END AS state, round(CAST(found AS DOUBLE) / {len(word)}, 4) AS accuracy
+    FROM (SELECT user_id, CAST(length({d.folded('letters', 'p', 'l', f"CASE WHEN length(p) < {len(word)} AND l = substring('{word}', CAST(length(p) + 1 AS INT), 1) THEN concat(p, l) ELSE p END")}) AS BIGINT) AS found, {d.at('letters', d.size('letters'))} AS last
+          FROM (SELECT user_id, {d.gathered('target_item', 'ts', 'id')} AS letters FROM {sessions} WHERE completed GROUP BY user_id))"""
 
 
 @operator("documents", "labels")

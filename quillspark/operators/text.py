@@ -337,6 +337,59 @@ def cer_pairs(d: Spark, benchmark: str) -> str:
     FROM (SELECT item_id, {ref} AS r, {d.replace(d.replace(ref, 'th', 'ht'), '^([a-z])', '#')} AS h FROM {benchmark})"""
 
 
+@operator("notes")
+def word_error_rates(d: Spark, notes: str) -> str:
+    """Edits over words, case aside, between a line and the one below it, by the line's words, at most 1.
+
+    Each word becomes a letter of its own, so that the distance of texts is that of words. A line without words gives 0
+    for one without any, else 1.
+    """
+    coded = lambda words: d.joined(d.each(words, "x", d.letter(f"{'array_position' if d.name == 'spark' else 'list_position'}(u, x)")), "")
+    return f"""
+    SELECT page, line_number, CASE WHEN {d.size('a')} = 0 THEN CASE WHEN {d.size('b')} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END ELSE round(least(CAST(1 AS DOUBLE), CAST(levenshtein({coded('a')}, {coded('b')}) AS DOUBLE) / {d.size('a')}), 6) END AS wer
+    FROM (SELECT page, line_number, a, b, {d.distinct(d.both('a', 'b'))} AS u
+          FROM (SELECT page, line_number, {d.extract_all('r', r'\S+')} AS a, {d.extract_all('h', r'\S+')} AS b
+                FROM (SELECT page, line_number, lower(coalesce(line, '')) AS r, lower(coalesce(lead(line) OVER (PARTITION BY page ORDER BY line_number), '')) AS h FROM {notes})))"""
+
+
+#: A word and what stands around it; what stands beside a medicine's name.
+CORE = r"^([^A-Za-z]*)([A-Za-z](?:[A-Za-z\x27-]*[A-Za-z])?)([^A-Za-z]*)$"
+DOSE_OR_FORM = r"(?i)^(?:\d[\d./-]*\w*|mg|mcg|ml|gm|g|iu|tab|tabs|cap|caps|syp|inj|oint|od|bd|bid|tid|tds|qid|hs|sos|prn|stat|ac|pc|x\d+\w*)\.?$"
+#: Words of notes that are known unless others are given.
+COMMON = ("after", "and", "Ann", "as", "cough", "daily", "days", "diagnosis", "discharge", "fever", "food", "for", "gum", "hours", "name", "no", "pain", "paint", "patient", "review", "smoker", "summary", "topical", "twice", "weeks", "age", "adv", "every", "tab", "syp", "inj")
+
+
+@operator("notes", known=COMMON, drugs=DRUGS, corrected=(("Smoker", "Smokr"),), other="replace(line, 'cough', 'pain')", sure=85, unsure=60, most=3)
+def word_review(d: Spark, notes: str, known: tuple, drugs: tuple, corrected: tuple, other: str, sure: int, unsure: int, most: int) -> str:
+    """Words to look at, with their places (code points, end exclusive), why, and up to ``most`` suggestions.
+
+    ``corrected``: a word that spelling made, with what was read. ``ambiguous``: known words that the ``other`` reading of the
+    line has in its place, where both have as many words. ``spelling``: three letters or more, not all capitals, neither ``known`` nor
+    a drug; the nearest drugs, and known words unless it stands beside a dose. Names and drugs beside doses pass on lines of
+    confidence ``sure`` or more, words with nothing near on those of ``unsure`` or more.
+    """
+    listed = lambda ts: d.array(*[quoted(t) for t in ts])
+    isin = lambda w: f"lower({w}) IN ({', '.join(quoted(t.lower()) for t in (*known, *drugs))})"
+    limit = "CASE WHEN length(word) <= 5 THEN 1 WHEN length(word) <= 9 THEN 2 ELSE 3 END"
+    dist = "levenshtein(lower(word), lower(m))"
+    near = lambda ts: d.each(d.distinct(d.each(d.only(listed(ts), "m", f"{dist} <= {limit} AND {dist} > 0"), "m", f"concat({dist}, m)")), "s", "substring(s, 2)")
+    beside = " OR ".join(f"coalesce({d.matches(f'trim({f}(token) OVER w)', DOSE_OR_FORM)}, false)" for f in ("lag", "lead"))
+    was = f"CASE word {' '.join(f'WHEN {quoted(now)} THEN {quoted(then)}' for now, then in corrected)} END"
+    tokens = lambda x: d.extract_all(x, r"\s*\S+")
+    return f"""
+    WITH t AS (SELECT page, line_number, conf, i, piece, {d.at('others', 'i + 1')} AS heard, {d.size('pieces')} = {d.size('others')} AS alike
+               FROM (SELECT page, line_number, conf, {tokens("coalesce(line, '')")} AS pieces, {tokens(f"coalesce({other}, '')")} AS others FROM {notes}) x {d.numbered('pieces', 'y', 'i', 'piece')}),
+    c AS (SELECT page, line_number, conf, i, alike, ltrim(piece) AS token, {d.extract('ltrim(piece)', CORE, 2)} AS word, {d.extract("coalesce(ltrim(heard), '')", CORE, 2)} AS heard,
+                 CAST(sum(length(piece)) OVER (PARTITION BY page, line_number ORDER BY i) - length(piece) + length({d.extract('piece', '^' + chr(92) + 's*', 0)}) + length({d.extract('ltrim(piece)', CORE, 1)}) AS BIGINT) AS place FROM t),
+    n AS (SELECT *, ({beside}) AS dosed FROM c WINDOW w AS (PARTITION BY page, line_number ORDER BY i)),
+    s AS (SELECT *, {was} AS was, alike AND length(word) >= 2 AND length(heard) >= 2 AND lower(heard) <> lower(word) AND {isin('heard')} AS differs,
+                 length(word) >= 3 AND word <> upper(word) AND NOT ({isin('word')}) AND NOT ((dosed OR (i > 0 AND {d.matches('word', '^[A-Z]')})) AND conf >= {sure}) AS strange FROM n WHERE word <> ''),
+    f AS (SELECT *, CASE WHEN was IS NULL AND NOT differs AND strange THEN {d.first(f"CASE WHEN dosed THEN {near(drugs)} ELSE {near((*known, *drugs))} END", most)} END AS close FROM s)
+    SELECT page, line_number, word, place AS first, place + length(word) AS last, CASE WHEN was IS NOT NULL THEN 'corrected' WHEN differs THEN 'ambiguous' ELSE 'spelling' END AS kind,
+           CASE WHEN was IS NOT NULL THEN was WHEN differs THEN heard ELSE {d.joined('close', '|')} END AS suggestions
+    FROM f WHERE was IS NOT NULL OR differs OR (strange AND ({d.size('close')} > 0 OR conf < {unsure}))"""
+
+
 @operator("benchmark")
 def bag_of_words_f1(d: Spark, benchmark: str) -> str:
     """F1 of word multisets of consecutive items: a full outer join of counts and the sum of the lesser."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.strokes import stroke_heading, stroke_measures
-from quillspark.functions.text import ReviewWords, channel_cost, clean_text, word_error_rate, word_replacements
+from quillspark.functions.text import channel_cost, clean_text, word_replacements
 from quillspark.operators import layout
 from quillspark.operators.text import CLINICAL, DRUGS
 from quillspark.registry import query
@@ -66,14 +66,6 @@ def clean_clinical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "notes").select("page", "line_number", clean_text("line", (*DRUGS, *CLINICAL)).alias("clean"))
 
 
-@query("word_error_rates")
-def word_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each note line against the line below it."""
-    w = Window.partitionBy("page").orderBy("line_number")
-    notes = view(spark, sf_dir, "notes").withColumn("below", F.lead("line").over(w))
-    return notes.select("page", "line_number", word_error_rate("line", "below").alias("wer"))
-
-
 @query("channel_cost_rank")
 def channel_cost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drug name that each medicine line's word was most likely meant to be."""
@@ -95,15 +87,6 @@ def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("p.was", "p.now").count()
 
 
-@query("word_review")
-def word_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the notes that need a look, with their places."""
-    spark.udtf.register("review_words", ReviewWords)
-    notes = view(spark, sf_dir, "notes")
-    notes.createOrReplaceTempView("q_review_notes")
-    return spark.sql("SELECT page, line_number, r.word, r.first, r.last, r.kind FROM q_review_notes, LATERAL review_words(line, conf) r")
-
-
 def _stroke_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stroke with the one before it on its sheet as its reference."""
     points = view(spark, sf_dir, "points")

@@ -30,7 +30,9 @@ SELECT event_id AS id, user_id, event_type AS module_type, k, chr(65 + k % 26) A
        CASE WHEN event_type = 'error' THEN 'abandoned' ELSE 'completed' END AS status,
        CAST(floor(value) AS BIGINT) AS seconds, ts, {day} AS day, {dow} AS dow, {age} AS age_seconds,
        CAST((k * 37) % 4000 AS BIGINT) AS first_ms, CAST((k * 53) % 3500 AS BIGINT) AS pause_1, CAST((k * 71) % 2500 AS BIGINT) AS pause_2,
-       k % 5 AS tries_1, (k * 7) % 6 AS tries_2
+       k % 5 AS tries_1, (k * 7) % 6 AS tries_2,
+       translate(concat('("time_before_first_stroke_ms":', (k * 37) % 4000, ',"hesitation_ms_per_stroke":[("stroke_id":1,"ms":', (k * 53) % 3500, '),("stroke_id":2,"ms":', (k * 71) % 2500,
+                        ')],"stroke_attempt_counts":("1":', k % 5, ',"2":', (k * 7) % 6, '))'), '()', concat(chr(123), chr(125))) AS scores
 FROM (SELECT *, {k} AS k FROM {events})
 """
 VIEWS = {

@@ -18,15 +18,18 @@ ANCHOR = "2 days"  # the report's weeks begin on a Wednesday; windows on a Thurs
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Events from files as they come."""
+    """Events from files as they come; ``at`` is their time in UTC, whatever the session's zone."""
     rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return rows.withColumn("at", F.col("ts").cast("timestamp"))
+    return rows.withColumn("at", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"))
+
+
+#: Accuracy in units of 1e-4, so that sums don't depend on the order of events.
+_ACCURACY = "least(10000, CAST(round(value * 100) AS BIGINT))"
 
 
 def weekly_accuracy(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Sessions and mean accuracy of each week and kind of event."""
-    acc = F.least(F.lit(1.0), F.col("value") / 100)
-    return events.withWatermark("at", late).groupBy(F.window("at", "7 days", "7 days", ANCHOR), "event_type").agg(F.count("*").alias("sessions"), F.avg(acc).alias("accuracy"))
+    return events.withWatermark("at", late).groupBy(F.window("at", "7 days", "7 days", ANCHOR), "event_type").agg(F.count("*").alias("sessions"), (F.sum(F.expr(_ACCURACY)) / F.count("*") / 10000).alias("accuracy"))
 
 
 def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -39,24 +42,43 @@ def practice_bursts(events: DataFrame, gap: str = "6 hours", late: str = "1 day"
     return events.withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("sessions"))
 
 
-def attempts(events: DataFrame) -> DataFrame:
-    """Per learner so far: sessions, completed ones, the running mean of accuracy, and the longest run of completed ones."""
+def stroke_guidance(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Tries of every stroke of a learner's day, and the pauses before them in order of time.
+
+    A day's state goes once the watermark has passed it, so what is kept is one day's pauses of a learner's stroke.
+    """
+    pauses = F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id", "ms"))), lambda p: p["ms"])
+    return events.withWatermark("at", late).groupBy(F.window("at", "1 day"), "user_id", "stroke").agg(F.count("*").alias("attempts"), pauses.alias("hesitations"))
+
+
+def attempts(events: DataFrame, late: str = "1 day", idle_days: int = 365) -> DataFrame:
+    """Per learner so far: sessions, completed ones, the running mean of accuracy, and the longest run of completed ones.
+
+    State is five numbers. A learner without events for ``idle_days`` is forgotten and starts anew. A call holds one learner's
+    events of one batch, which the files read a batch bound; events count in the order of time within it.
+    """
+    idle = idle_days * 86_400_000
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, done, total, run, best = state.get if state.exists else (0, 0, 0.0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, done, total, run, best = state.get if state.exists else (0, 0, 0, 0, 0)
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        for kind, value in zip(rows["event_type"], rows["value"], strict=True):
+        for kind, units in zip(rows["event_type"], rows["units"], strict=True):
             n += 1
             if kind == "error":
                 run = 0
             else:
-                done, total, run = done + 1, total + min(1.0, value / 100), run + 1
+                done, total, run = done + 1, total + int(units), run + 1
                 best = max(best, run)
         state.update((n, done, total, run, best))
-        yield pd.DataFrame({"user_id": [key[0]], "sessions": [n], "completed": [done], "accuracy": [total / done if done else None], "best_run": [best]})
+        latest = int(rows["at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle)
+        yield pd.DataFrame({"user_id": [key[0]], "sessions": [n], "completed": [done], "accuracy": [total / done / 10000 if done else None], "best_run": [best]})
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, sessions long, completed long, accuracy double, best_run long", "n long, done long, total double, run long, best long", "update", GroupStateTimeout.NoTimeout
+    return events.withColumn("units", F.expr(_ACCURACY)).withWatermark("at", late).groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, sessions long, completed long, accuracy double, best_run long", "n long, done long, total long, run long, best long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

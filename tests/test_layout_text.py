@@ -127,9 +127,33 @@ def test_every_rewrite_names_its_input_once(spark):
     assert plan.count("regexp_replace") < 100
 
 
-def test_word_error_rate_and_channel_cost(spark):
-    df = spark.createDataFrame([("a b c", "a x c"), ("", ""), ("", "z"), ("Eins ZWEI", "eins zwei"), (None, None), ("a", "b c d e")], "r string, h string")
-    assert [round(r[0], 4) for r in df.select(text.word_error_rate("r", "h")).collect()] == [0.3333, 0.0, 1.0, 0.0, 0.0, 1.0]
+def test_word_error_rates(spark):
+    pairs = [("a b c", "a x c"), ("", ""), ("", "z"), ("Eins ZWEI", "eins zwei"), (None, None), ("a", "b c d e"), ("a b a b", "b a b")]
+    df = spark.createDataFrame([(p, i, line) for p, pair in enumerate(pairs) for i, line in enumerate(pair)], "page int, line_number int, line string")
+    got = text_ops.word_error_rates(notes=df).filter("line_number = 0").orderBy("page").collect()
+    assert [round(r.wer, 4) for r in got] == [0.3333, 0.0, 1.0, 0.0, 0.0, 1.0, 0.25]
+    many = " ".join(f"w{i}" for i in range(3000))
+    df = spark.createDataFrame([(1, 0, many), (1, 1, many + " x"), (1, 2, "")], "page int, line_number int, line string")
+    assert [round(r.wer, 6) for r in text_ops.word_error_rates(notes=df).orderBy("line_number").collect()] == [0.000333, 1.0, 0.0]
+
+
+def test_words_to_review(spark):
+    def flags(line, conf=50, other=None):
+        df = spark.createDataFrame([(1, 0, conf, line, other)], "page int, line_number int, conf int, line string, reading string")
+        run = text_ops.word_review(notes=df, known=("tab", "the", "patient", "has", "pain", "rain", "fever"), drugs=("Calpol", "Crocin"), corrected=(("fever", "fevar"),), other="reading")
+        return [(r.word, r.first, r.last, r.kind, r.suggestions) for r in run.orderBy("first").collect()]
+
+    assert flags("the patient, has  fever") == [("fever", 18, 23, "corrected", "fevar")]
+    assert flags("patient has pain", other="patient has rain") == [("pain", 12, 16, "ambiguous", "rain")]
+    assert flags("patient has pain", other="patient has no rain") == []
+    assert flags("Tab Calpil 500") == [("Calpil", 4, 10, "spelling", "Calpol")]
+    assert flags("Tab Calpil 500", conf=90) == []
+    assert flags("(patiant) ICU") == [("patiant", 1, 8, "spelling", "patient")]
+    assert flags("qwertyuiop") == [("qwertyuiop", 0, 10, "spelling", "")] and flags("qwertyuiop", conf=70) == []
+    assert flags(None) == [] and flags("") == []
+
+
+def test_channel_cost(spark):
     df = spark.createDataFrame([("m", "rn"), ("l", "1"), ("ab", "b"), ("a", "z"), (None, "a"), ("TI", "u"), ("nn", "m"), ("R", "u"), ("f", "h")], "a string, b string")
     assert [r[0] for r in df.select(text.channel_cost("a", "b")).collect()] == [0.4, 0.35, 0.8, 1.0, None, 0.4, 1.15, 0.35, 1.0]
 

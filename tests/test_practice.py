@@ -1,11 +1,13 @@
 """Boundaries of the rules over hand-made sessions."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import curriculum, practice
 
-COLUMNS = "id int, user_id int, module_type string, k int, target_item string, difficulty string, difficulty_rank int, acc long, completed boolean, status string, seconds long, ts timestamp, day long, dow int, age_seconds long, first_ms long, pause_1 long, pause_2 long, tries_1 int, tries_2 int"
+COLUMNS = "id int, user_id int, module_type string, k int, target_item string, difficulty string, difficulty_rank int, acc long, completed boolean, status string, seconds long, ts timestamp, day long, dow int, age_seconds long, first_ms long, pause_1 long, pause_2 long, tries_1 int, tries_2 int, scores string"
 DAY = 86400
 
 
@@ -14,7 +16,7 @@ def session(i, acc, age_days, user=1, item="A", module="click", done=True, rank=
 
     at = datetime(2024, 1, 31) - timedelta(days=age_days)
     names = ["beginner", "intermediate", "advanced"]
-    return (i, user, module, 0, item, names[rank], rank, acc, done, "completed" if done else "abandoned", 30, at, 19753 - int(age_days), 3, int(age_days * DAY), *pauses, *tries)
+    return (i, user, module, 0, item, names[rank], rank, acc, done, "completed" if done else "abandoned", 30, at, 19753 - int(age_days), 3, int(age_days * DAY), *pauses, *tries, json.dumps({"time_before_first_stroke_ms": pauses[0], "hesitation_ms_per_stroke": [{"stroke_id": 1, "ms": pauses[1]}, {"stroke_id": 2, "ms": pauses[2]}], "stroke_attempt_counts": {"1": tries[0], "2": tries[1]}}))
 
 
 @pytest.fixture
@@ -105,3 +107,12 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], COLUMNS)
     for op in (practice.dashboard_summary, practice.weekly_accuracy_by_user, curriculum.recommend_items, curriculum.learning_journey):
         assert op(sessions=empty).count() == 0
+
+
+def test_telemetry_comes_out_of_nested_json(frame):
+    """Means over all entries of the latest sessions, values of no pause left out, items by their own means."""
+    rows = frame(session(1, 8000, 3, item="A", pauses=(1000, 500, 0), tries=(1, 5)), session(2, 8000, 2, item="B", pauses=(3000, 100, 300), tries=(3, 1)), session(3, 8000, 1, item="C", done=False, pauses=(9000, 9000, 9000), tries=(9, 9)))
+    assert one(practice.hesitation_profile(sessions=rows)) == {"user_id": 1, "avg_pause_before_first_ms": 2000.0, "avg_pause_between_ms": 300.0, "high_hesitation_items": "A,B", "low_hesitation_items": ""}
+    assert one(practice.retry_pattern(sessions=rows)) == {"user_id": 1, "avg_retries_per_stroke": 2.5, "failsafe_unlock_rate": 0.25, "total_strokes": 4, "high_retry_items": "A,B"}
+    assert one(practice.replay_usage(sessions=rows)) == {"user_id": 1, "replay_rate": 0.5, "replay_beneficial": True, "most_replayed": "A,B"}
+    assert one(practice.retry_pattern(sessions=rows, last=1))["total_strokes"] == 2
