@@ -117,12 +117,105 @@ def coverage_within(d: Spark, points: str, tolerance: int) -> str:
     FROM (SELECT stroke - 1 AS stroke, i, x, y FROM {points}) r LEFT JOIN {points} p ON p.stroke = r.stroke GROUP BY r.stroke"""
 
 
-@operator("points")
-def writing_quality(d: Spark, points: str) -> str:
-    """Motor and spatial composites of a sheet, with its band."""
+SHEET = "CAST(floor(stroke / 25.0) AS BIGINT)"
+#: Weights of a sheet's qualities in hundredths, and the least ten-thousandths of its bands.
+QUALITIES = {"smoothness": 30, "steadiness": 15, "confidence": 15, "baseline": 20, "spacing": 15, "canvas": 5}
+BANDS = {"exceptional": 8200, "strong": 6500, "building": 4200}
+
+
+def units(x: str) -> str:
+    """A share as whole ten-thousandths."""
+    return f"CAST(round(({x}) * 10000) AS BIGINT)"
+
+
+def evenness(x: str, n: int = 2) -> str:
+    """Ten-thousandths of one less the deviation over the range; all where there are under ``n`` values or they are equal."""
+    return f"CASE WHEN count({x}) < {n} OR max({x}) - min({x}) < 0.000000001 THEN 10000 ELSE {units(f'1 - least(CAST(1 AS DOUBLE), stddev_samp({x}) / (max({x}) - min({x})))')} END"
+
+
+def qualities(d: Spark, points: str, width: float, height: float) -> str:
+    """Per sheet of 25 strokes, in ten-thousandths: motor and spatial measures, and fatigue from the first to the last third."""
+    flat = f"(SELECT {SHEET} AS stroke, CAST(row_number() OVER (PARTITION BY {SHEET} ORDER BY stroke, i) AS INT) AS i, x, y, t + stroke % 25 * 3000 AS t FROM {points})"
+    mean = lambda test: f"CAST(sum(CASE WHEN n >= 3 AND {test} THEN {fixed('smoothness')} END) AS DOUBLE) / count(CASE WHEN n >= 3 AND {test} THEN 1 END) / 1000000"
+    return f"""
+    SELECT m.sheet, m.strokes, m.smoothness, 10000 - v.variance AS steadiness, v.variance, coalesce(h.hesitation, 0) AS hesitation, m.confidence, coalesce(b.baseline, 10000) AS baseline, coalesce(g.spacing, 10000) AS spacing, coalesce(b.canvas, 0) AS canvas, m.fatigue
+    FROM (SELECT sheet, max(c) AS strokes, coalesce({units(mean('true'))}, 10000) AS smoothness, {units(f"CAST(sum({fixed('sure')}) AS DOUBLE) / count(*) / 1000000")} AS confidence,
+                 CASE WHEN max(c) >= 6 THEN {units(f"least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), 2 * (coalesce({mean('r <= floor(c / 3.0)')}, 0.5) - coalesce({mean('r > c - floor(c / 3.0)')}, 0.5))))")} ELSE 0 END AS fatigue
+          FROM (SELECT s.sheet, s.stroke, s.n, s.smoothness, 1 - coalesce(CAST(j.reversals AS DOUBLE) / j.steps, 0) AS sure, row_number() OVER (PARTITION BY s.sheet ORDER BY s.stroke) AS r, count(*) OVER (PARTITION BY s.sheet) AS c
+                FROM (SELECT {SHEET} AS sheet, stroke, n, smoothness FROM ({metrics(d, points)})) s LEFT JOIN ({jitter.sql(d, points=points)}) j ON j.stroke = s.stroke) GROUP BY sheet) m
+    JOIN (SELECT stroke AS sheet, {units('velocity_variance')} AS variance FROM ({metrics(d, flat)})) v ON v.sheet = m.sheet
+    LEFT JOIN (SELECT sheet, {units('CAST(hesitations AS DOUBLE) / gaps')} AS hesitation FROM ({hesitation_gaps.sql(d, points=points)}) WHERE gaps > 0) h ON h.sheet = m.sheet
+    LEFT JOIN (SELECT sheet, {evenness('bottom')} AS baseline, {units(f'least(CAST(1 AS DOUBLE), sqrt((max(right_x) - min(left_x)) / {width} * (max(bottom) - min(top)) / {height}))')} AS canvas
+               FROM ({_bounds(points)}) GROUP BY sheet) b ON b.sheet = m.sheet
+    LEFT JOIN (SELECT sheet, {evenness('gap')} AS spacing FROM (
+      SELECT sheet, middle - lag(middle) OVER (PARTITION BY sheet ORDER BY cluster) AS gap FROM (
+        SELECT sheet, cluster, sum(left_x + right_x) / (2 * count(*)) AS middle FROM (
+          SELECT sheet, left_x, right_x, sum(CASE WHEN left_x - reach > {0.08 * width} THEN 1 ELSE 0 END) OVER (PARTITION BY sheet ORDER BY left_x, stroke) AS cluster FROM (
+            SELECT *, max(right_x) OVER (PARTITION BY sheet ORDER BY left_x, stroke ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_bounds(points)}))) GROUP BY sheet, cluster)) GROUP BY sheet) g ON g.sheet = m.sheet"""
+
+
+def _bounds(points: str) -> str:
+    return f"SELECT {SHEET} AS sheet, stroke, min(x) AS left_x, max(x) AS right_x, min(y) AS top, max(y) AS bottom FROM {points} GROUP BY stroke HAVING count(*) >= 3"
+
+
+def judged_sheets(d: Spark, points: str, width: float, height: float) -> str:
+    """The measures of a sheet with its quality and band, strongest and weakest side (the first and the last of four on ties)."""
+    total = " + ".join(f"{w} * {n}" for n, w in QUALITIES.items())
+    sides = ("smoothness", "confidence", "spacing", "baseline")
+    at = lambda f, names: " ".join(f"WHEN {n} = {f}({', '.join(sides)}) THEN '{n}'" for n in names)
+    return f"""
+    SELECT *, CASE {' '.join(f"WHEN quality >= {least} THEN '{band}'" for band, least in BANDS.items())} ELSE 'developing' END AS band, CASE {at('greatest', sides)} END AS strength, CASE {at('least', sides[::-1])} END AS weakness
+    FROM (SELECT *, least(10000, CAST(floor(({total} + 50) / 100.0) AS BIGINT)) AS quality FROM ({qualities(d, points, width, height)}))"""
+
+
+@operator("points", width=400.0, height=400.0)
+def writing_quality(d: Spark, points: str, width: float, height: float) -> str:
+    """A sheet's quality and band, its sides, and how its writer felt: frustration, confidence, fatigue and focus, from 0 to 1."""
+    share = lambda x: f"CAST({x} AS DOUBLE) / 10000"
+    tenths = lambda x: share(f"floor(({x} + 5) / 10.0)")
+    names = ("smoothness", "variance", "hesitation", "confidence", "baseline", "spacing", "canvas", "fatigue", "quality")
+    return f"""
+    SELECT sheet, strokes, {', '.join(f'{share(n)} AS {n}' for n in names)}, band, strength, weakness,
+           {tenths('6 * hesitation + 4 * variance')} AS frustration, {tenths('5 * confidence + 5 * smoothness')} AS certainty, {tenths('100000 - 5 * variance')} AS focus
+    FROM ({judged_sheets(d, points, width, height)})"""
+
+
+#: What is said of a sheet, to an early learner, a child and an adult.
+SAID = {
+    "developing": ("You're just getting started — and that's amazing! 🌱", "Every session builds your writing foundation 🌱", "Foundation-building session. Consistency is the goal."),
+    "building": ("You're building really good writing habits! 🔨", "You're building real writing strength 🔨", "Quality is building steadily. Keep the sessions consistent."),
+    "strong": ("Your writing is so strong today! ⭐", "Strong writing session today ⭐", "Strong session. Quality metrics above target."),
+    "exceptional": ("WOW! Your writing is amazing today! 🏆", "Exceptional writing today — you should be proud! 🏆", "Exceptional quality. All metrics are high."),
+    "smoothness_high": ("Your strokes are so smooth! ✨", "Your writing is flowing really nicely ✨", "Stroke smoothness is strong today."),
+    "smoothness_building": ("You're getting smoother! Keep going 🌊", "Your strokes are getting steadier — keep building ✍️", "Smoothness is improving. Maintain steady pen speed."),
+    "smoothness_low": ("Try moving your hand slowly like a snail 🐌", "Slow down a little — let your hand glide ✍️", "Reduce pen speed slightly for cleaner strokes."),
+    "spacing_high": ("Your letters have nice breathing room! 🌸", "Your spacing looks much more even today 🌱", "Spacing consistency is excellent."),
+    "spacing_building": ("Good spacing! You're getting better at it 👍", "Spacing is improving — keep that rhythm going", "Spacing regularity is building well."),
+    "spacing_low": ("Try leaving a little gap between your words 💭", "A little more breathing room between words would help 💭", "Work on consistent inter-word spacing."),
+    "confidence_high": ("You wrote with so much confidence! 💪", "You wrote with real confidence today 💪", "High stroke confidence detected — excellent session."),
+    "hesitation": ("Take your time! No rush at all 🐢", "Take a breath before each stroke — no rush 🍃", "Hesitation detected. Pause, breathe, then commit to the stroke."),
+    "baseline_high": ("Your writing stays on the line so well! 📏", "Your writing is staying nice and level 📏", "Baseline alignment is very consistent."),
+    "baseline_building": ("You're keeping your letters on the line — great! 📐", "Your baseline alignment is improving 📐", "Baseline consistency is developing well."),
+    "improving": ("You're getting better every time! 🚀", "You're improving! Keep building that habit 🔥", "Consistent improvement trend detected."),
+    "streak": ("Day {n} of writing — you're doing it! 🎉", "Day {n} in a row — your consistency is your superpower 🏆", "Session {n} this week — excellent consistency."),
+}
+
+
+@operator("points", width=400.0, height=400.0, tone="CAST(sheet % 3 AS INT)", improving="sheet % 2 = 0", streak="CAST(sheet % 5 AS INT)", most=4)
+def writing_feedback(d: Spark, points: str, width: float, height: float, tone: str, improving: str, streak: str, most: int) -> str:
+    """Up to ``most`` messages on a sheet in the ``tone`` of its writer (0 early learner, 1 child, 2 adult): its band, its strength at
+    0.7 or more, the weakest other side under 0.5, hesitation over 0.4, improvement, and a streak of over a day."""
+    text = lambda x: "'" + x.replace("'", "''" if d.name == "duck" else "\\'") + "'"
+    say = lambda k: f"CASE tone WHEN 0 THEN {text(SAID[k][0])} WHEN 1 THEN {text(SAID[k][1])} ELSE {text(SAID[k][2])} END"
+    band = " ".join(f"WHEN '{b}' THEN {say(b)}" for b in (*BANDS, "developing"))
+    strong = " ".join(f"WHEN strength = '{n}' AND {n} >= 7000 THEN {say(n + '_high')}" for n in ("smoothness", "confidence", "spacing", "baseline"))
+    weak = " ".join(f"WHEN weak = '{n}' THEN CASE WHEN {n} < 4000 THEN {say(n + '_' + low)} ELSE {say(n + '_building')} END" for n, low in (("smoothness", "low"), ("spacing", "low"), ("baseline", "building")))
+    rest = {n: f"CASE WHEN strength = '{n}' THEN 20000 ELSE {n} END" for n in ("smoothness", "spacing", "baseline")}
+    least = f"least({', '.join(rest.values())})"
+    messages = d.array(f"CASE band {band} END", f"CASE {strong} END", f"CASE WHEN low < 5000 THEN CASE {weak} END END", f"CASE WHEN hesitation > 4000 THEN {say('hesitation')} END", f"CASE WHEN improving THEN {say('improving')} END", f"CASE WHEN streak > 1 THEN replace({say('streak')}, '{{n}}', {d.text('streak')}) END")
     return f"""
-    SELECT sheet, strokes, quality, CASE WHEN quality >= 0.75 THEN 'excellent' WHEN quality >= 0.6 THEN 'good' WHEN quality >= 0.4 THEN 'developing' ELSE 'emerging' END AS band
-    FROM (SELECT CAST(floor(stroke / 25.0) AS BIGINT) AS sheet, count(*) AS strokes, round(CAST(sum({fixed('0.6 * smoothness + 0.4 * (1.0 - velocity_variance)')}) AS DOUBLE) / count(*) / 1000000, 3) AS quality FROM ({metrics(d, points)}) GROUP BY floor(stroke / 25.0))"""
+    SELECT sheet, {d.joined(d.first(d.only(messages, 'm', 'm IS NOT NULL'), most), '|')} AS messages
+    FROM (SELECT *, {least} AS low, CASE {' '.join(f"WHEN {x} = {least} THEN '{n}'" for n, x in rest.items())} END AS weak, {tone} AS tone, {improving} AS improving, {streak} AS streak FROM ({judged_sheets(d, points, width, height)}))"""
 
 
 @operator("points")

@@ -320,3 +320,19 @@ def test_spelling_candidates_take_whole_words_of_any_length_case_and_first_lette
     docs = spark.createDataFrame([(1, "en", " ".join(words + rare)), (2, "de", "windo"), (3, None, None)], "doc_id long, lang string, text string")
     got = {r.word: r.correction for r in scoring.spelling_candidates(documents=docs).collect()}
     assert got == {"bat": "cat", "windo": "window", "xindow": "window", "electricitty": "electricity", "ncomprehensibilitie": "incomprehensibilities"}
+
+
+def test_quality_of_a_sheet_and_what_is_said_of_it(spark):
+    """Level, evenly spaced, straight and steady strokes are the best there is; what remains is the canvas that they use."""
+    rows = [(k, i + 1, 40.0 * k + 2 * i, 100.0, 400.0 * i) for k in range(6) for i in range(4)]
+    df = spark.createDataFrame(rows, "stroke long, i int, x double, y double, t double")
+    got = strokes.writing_quality(points=df).first()
+    assert (got.strokes, got.smoothness, got.confidence, got.baseline, got.spacing, got.canvas, got.fatigue) == (6, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0)
+    assert (got.hesitation, got.strength, got.weakness) == (1.0, "smoothness", "baseline")  # pauses of 1.8 s
+    assert got.frustration == pytest.approx(0.6 + 0.4 * got.variance, abs=1e-4) and got.certainty == 1.0
+    assert got.quality == pytest.approx(0.3 + 0.15 * (1 - got.variance) + 0.15 + 0.2 + 0.15, abs=1e-4)
+    said = strokes.writing_feedback(points=df, tone="2", improving="true", streak="3").first().messages.split("|")
+    assert said[1:] == ["Stroke smoothness is strong today.", "Hesitation detected. Pause, breathe, then commit to the stroke.", "Consistent improvement trend detected."]
+    quiet = df.withColumn("t", F.col("t") / 4 - F.col("stroke") * 2700)
+    assert strokes.writing_quality(points=quiet).first().hesitation == 0.0
+    assert strokes.writing_feedback(points=quiet, tone="0", improving="false", streak="3").first().messages.split("|")[1:] == ["Your strokes are so smooth! ✨", "Day 3 of writing — you're doing it! 🎉"]
