@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quillspark.operators.base import Spark, operator
+from quillspark.operators.base import Operator, Spark, operator
 
 WIDTH, HEIGHT = 1000, 300
 
@@ -164,10 +164,18 @@ def largest_gap_split(d: Spark, boxes: str) -> str:
     SELECT g.page, g.gap, g.at FROM g JOIN m ON g.page = m.page LEFT JOIN rows r ON r.page = g.page WHERE g.gap >= 1.5 * m.h AND coalesce(r.iou, 0) < 0.5"""
 
 
+def in_columns(d: Spark, boxes: str) -> str:
+    """Boxes with their column: how many gutters lie left of their middle, from 0."""
+    return f"""
+    SELECT b.*, coalesce(g.col, 0) AS col FROM {boxes} b LEFT JOIN (
+      SELECT b.page, b.idx, CAST(count(*) AS INT) AS col FROM {boxes} b JOIN ({column_gutters.sql(d, boxes=boxes)}) g ON g.page = b.page AND b.x1 + b.x2 > g.gutter_start + g.gutter_end GROUP BY b.page, b.idx) g
+    ON g.page = b.page AND g.idx = b.idx"""
+
+
 @operator("boxes")
 def column_reading_order(d: Spark, boxes: str) -> str:
-    """Column by column, each in bands."""
-    return f"SELECT page, idx, CASE WHEN x1 + x2 < {WIDTH} THEN 0 ELSE 1 END AS col, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE WHEN x1 + x2 < {WIDTH} THEN 0 ELSE 1 END, floor(y1 / 40.0), x1, idx) AS INT) AS reading_order FROM {boxes}"
+    """Column by column between gutters, each in bands."""
+    return f"SELECT page, idx, col, CAST(row_number() OVER (PARTITION BY page ORDER BY col, floor(y1 / 40.0), x1, idx) AS INT) AS reading_order FROM ({in_columns(d, boxes)})"
 
 
 @operator("boxes", head=0.12, foot=0.92, labels=("w7", "w8"))
@@ -279,14 +287,36 @@ def merged_fragments(rows: Page, line: np.ndarray, low: float = -0.35, high: flo
     return out
 
 
+def numbered_lines(rows: Page, median_band: bool = False) -> np.ndarray:
+    """First-fit lines, numbered by their tops."""
+    found = first_fit_lines(rows, median_band=median_band)
+    top = np.full(found.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(top, found, rows["y1"])
+    return np.argsort(np.argsort(top, kind="stable"))[found]
+
+
+def column_lines(boxes: DataFrame) -> DataFrame:
+    """page, idx, column and line from 1, and place in reading order: column by column, each in lines of its own."""
+    whole = Operator("in_columns", ("boxes",), in_columns)(boxes=boxes)
+
+    def f(rows: Page) -> Page:
+        line = np.zeros(len(rows["col"]), np.int64)
+        for c in np.unique(rows["col"]):
+            own = np.flatnonzero(rows["col"] == c)
+            line[own] = numbered_lines({k: v[own] for k, v in rows.items()}) + 1
+        column = np.unique(rows["col"], return_inverse=True)[1] + 1
+        place = np.zeros(len(line), np.int64)
+        place[np.lexsort((rows["idx"], rows["x1"], line, column))] = np.arange(1, len(line) + 1)
+        return {"page": rows["page"], "idx": rows["idx"], "column": column, "line": line, "reading_order": place}
+
+    return by_page(whole, f, "page long, idx int, column long, line long, reading_order long", "y1", "x1", "idx")
+
+
 def line_clusters(boxes: DataFrame, median_band: bool = False) -> DataFrame:
     """page, idx, line, fragment and place in reading order; lines are numbered by their tops."""
 
     def f(rows: Page) -> Page:
-        found = first_fit_lines(rows, median_band=median_band)
-        top = np.full(found.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(top, found, rows["y1"])
-        line = np.argsort(np.argsort(top, kind="stable"))[found]
+        line = numbered_lines(rows, median_band)
         place = np.zeros(len(line), np.int64)
         place[np.lexsort((rows["idx"], rows["x1"], line))] = np.arange(1, len(line) + 1)
         return {"page": rows["page"], "idx": rows["idx"], "line": line, "fragment": merged_fragments(rows, line), "reading_order": place}

@@ -24,6 +24,12 @@ def line_clusters_median_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.line_clusters(view(spark, sf_dir, "boxes"), median_band=True)
 
 
+@query("column_lines")
+def column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns between gutters, lines within them, and the order in which they are read."""
+    return layout.column_lines(view(spark, sf_dir, "boxes"))
+
+
 def overlaps(boxes: DataFrame) -> DataFrame:
     """(page, a, b, score) of the boxes of even and odd number that overlap."""
     a, b = boxes.filter("idx % 2 = 0").alias("a"), boxes.filter("idx % 2 = 1").alias("b")

@@ -61,6 +61,10 @@ def test_two_columns_and_a_gutter(spark):
     r = layout.column_gutters(boxes=df).first()
     assert (r.gutter_start, r.gutter_end) == (350, 600)
     assert [r.idx for r in layout.column_reading_order(boxes=df).orderBy("reading_order").collect()] == [0, 1, 2]
+    df = spark.createDataFrame(boxes([(10, 10, 100, 30), (600, 5, 900, 25), (120, 12, 350, 32), (20, 50, 350, 70), (600, 55, 900, 75)]), BOX)
+    got = layout.column_lines(boxes=df).orderBy("reading_order").collect()
+    assert [(r.idx, r.column, r.line) for r in got] == [(0, 1, 1), (2, 1, 1), (3, 1, 2), (1, 2, 1), (4, 2, 2)]
+    assert [r.idx for r in layout.column_reading_order(boxes=df).orderBy("reading_order").collect()] == [0, 2, 3, 1, 4]
 
 
 def test_noise_filter_keeps_a_page_of_nothing_but_noise(spark):
