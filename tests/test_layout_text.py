@@ -11,6 +11,16 @@ from quillspark.functions import text
 from quillspark.operators import layout, scoring, strokes
 from quillspark.operators import text as text_ops
 
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for x in range(1, len(a) + 1):
+        above, row = row, [x]
+        for y in range(1, len(b) + 1):
+            row.append(min(above[y] + 1, row[-1] + 1, above[y - 1] + (a[x - 1] != b[y - 1])))
+    return row[-1]
+
+
 BOX = "page long, idx int, x1 int, y1 int, x2 int, y2 int, conf int, word string"
 
 
@@ -285,7 +295,7 @@ def test_fuzzy_matches_equal_comparing_every_pair(spark):
     got = {r.word: (r.term, r.distance) for r in text_ops.fuzzy_lexicon_match(documents=docs).collect()}
     want = {}
     for w in rare:
-        near = sorted((text._edits(list(w), list(c)), c) for c in common if c[0] == w[0])
+        near = sorted((edits(w, c), c) for c in common if c[0] == w[0])
         near = [x for x in near if x[0] <= (1 if len(w) <= 6 else 2)]
         if w not in common and near and (len(near) == 1 or near[1][0] > near[0][0]):
             want[w] = (near[0][1], near[0][0])
@@ -309,7 +319,7 @@ def test_fuzzy_matches_of_all_lengths_and_first_letters_equal_comparing_every_pa
     for op, same in ((text_ops.fuzzy_lexicon_match, True), (text_ops.fuzzy_lexicon_match_any_letter, False)):
         want = {}
         for w in (w for w in rare if len(w) >= 4):
-            near = sorted((text._edits(list(w), list(c)), c) for c in common if not same or c[0] == w[0])
+            near = sorted((edits(w, c), c) for c in common if not same or c[0] == w[0])
             near = [x for x in near if x[0] <= (1 if len(w) <= 6 else 2 if len(w) <= 10 else 3)]
             if near and (len(near) == 1 or near[1][0] > near[0][0]):
                 want[w] = (near[0][1], near[0][0])
