@@ -95,7 +95,7 @@ class LineRuns:
 
     def _merged(self, names: list[str]) -> DataFrame:
         """One row a key. Files are read without their buckets here: Spark takes a union of bucketed scans for co-located, but puts their partitions one after the other."""
-        rows = self.spark.read.parquet(*[f"{self.folder}/{n}" for n in names])
+        rows = self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*[f"{self.folder}/{n}" for n in names])
         return rows.groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def _write(self, rows: DataFrame) -> str:
