@@ -229,7 +229,8 @@ XP = {"signup": 10, "click": 5, "view": 8, "purchase": 15}
 DAILY_XP, LEVEL_XP = 250, 100
 
 
-def _xp(module: str, acc: str) -> str:
+def xp_of(module: str, acc: str) -> str:
+    """Points of a session by its module and accuracy, before any cap."""
     base = f"CASE {module} " + " ".join(f"WHEN '{m}' THEN {x}" for m, x in XP.items()) + " ELSE 5 END"
     return f"CASE WHEN {acc} >= 9000 THEN 2 * ({base}) WHEN {acc} >= 7000 THEN {base} WHEN {acc} >= 5000 THEN greatest(1, CAST(floor(({base}) / 2.0) AS INT)) ELSE 1 END"
 
@@ -239,7 +240,7 @@ def daily_xp_capped(d: Spark, sessions: str) -> str:
     """Points of each day under the daily cap, with what is left of it."""
     return f"""
     SELECT user_id, day, raw_xp, least({DAILY_XP}, raw_xp) AS xp_earned, greatest(0, {DAILY_XP} - raw_xp) AS daily_xp_remaining
-    FROM (SELECT user_id, day, CAST(sum({_xp('module_type', 'acc')}) AS BIGINT) AS raw_xp FROM {sessions} WHERE completed GROUP BY user_id, day)"""
+    FROM (SELECT user_id, day, CAST(sum({xp_of('module_type', 'acc')}) AS BIGINT) AS raw_xp FROM {sessions} WHERE completed GROUP BY user_id, day)"""
 
 
 @operator("sessions")
@@ -248,14 +249,14 @@ def session_awards(d: Spark, sessions: str) -> str:
     return f"""
     SELECT id, user_id, CAST(raw AS BIGINT) AS raw_xp, CAST(greatest(0, least(raw, {DAILY_XP} - before)) AS BIGINT) AS xp_earned
     FROM (SELECT id, user_id, raw, coalesce(CAST(sum(raw) OVER (PARTITION BY user_id, day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
-          FROM (SELECT *, {_xp('module_type', 'acc')} AS raw FROM {sessions} WHERE completed))"""
+          FROM (SELECT *, {xp_of('module_type', 'acc')} AS raw FROM {sessions} WHERE completed))"""
 
 
 @operator("sessions")
 def level_from_xp(d: Spark, sessions: str) -> str:
     return f"""
     SELECT user_id, total_xp, 1 + CAST(floor(total_xp / {LEVEL_XP}.0) AS BIGINT) AS level, {LEVEL_XP} - total_xp % {LEVEL_XP} AS xp_to_next
-    FROM (SELECT user_id, CAST(sum(xp) AS BIGINT) AS total_xp FROM (SELECT user_id, day, least({DAILY_XP}, sum({_xp('module_type', 'acc')})) AS xp FROM {sessions} WHERE completed GROUP BY user_id, day) GROUP BY user_id)"""
+    FROM (SELECT user_id, CAST(sum(xp) AS BIGINT) AS total_xp FROM (SELECT user_id, day, least({DAILY_XP}, sum({xp_of('module_type', 'acc')})) AS xp FROM {sessions} WHERE completed GROUP BY user_id, day) GROUP BY user_id)"""
 
 
 def features(d: Spark, s: str) -> str:
@@ -290,7 +291,7 @@ def features(d: Spark, s: str) -> str:
     busy = " + ".join(f"CASE WHEN {n} > 0 THEN 1 ELSE 0 END" for n in names)
     return f"""
     WITH days AS (SELECT user_id, day, {by_day}, max(CASE WHEN age_seconds <= {14 * 86400} THEN 1 ELSE 0 END) AS recent, max(day + CAST(floor(age_seconds / 86400) AS BIGINT)) AS today,
-                         CAST(sum(CASE WHEN completed THEN {_xp('module_type', 'acc')} ELSE 0 END) AS BIGINT) AS xp FROM {s} GROUP BY user_id, day),
+                         CAST(sum(CASE WHEN completed THEN {xp_of('module_type', 'acc')} ELSE 0 END) AS BIGINT) AS xp FROM {s} GROUP BY user_id, day),
     users AS (SELECT user_id, {totals}, count(CASE WHEN recent = 1 THEN 1 END) AS active_days, CAST(sum(least({DAILY_XP}, xp)) AS BIGINT) AS total_xp FROM days GROUP BY user_id),
     runs AS (SELECT user_id, max(day) AS last_day, count(*) AS n FROM (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS island FROM days WHERE done > 0) GROUP BY user_id, island),
     streak AS (SELECT user_id, max(last_day) AS last_day, max_by(n, last_day) AS streak, max(n) AS longest FROM runs GROUP BY user_id),

@@ -1,17 +1,15 @@
 """Live practice telemetry: windowed accuracy and per-learner state over a stream of events.
 
-Streams are read with a stated schema; late events are dropped behind a watermark, and everything that
-keeps state has a bound on it.
+Streams are read with a stated schema. Reports that must equal a batch lose no event, however late (``keyed.py``);
+``deduplicated`` and ``practice_bursts`` drop what comes after their watermark, as their names in Spark say.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quillspark.streaming import keyed
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 ANCHOR = "2 days"  # the report's weeks begin on a Wednesday; windows on a Thursday
@@ -27,9 +25,12 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
 _ACCURACY = "least(10000, CAST(round(value * 100) AS BIGINT))"
 
 
-def weekly_accuracy(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Sessions and mean accuracy of each week and kind of event."""
-    return events.withWatermark("at", late).groupBy(F.window("at", "7 days", "7 days", ANCHOR), "event_type").agg(F.count("*").alias("sessions"), (F.sum(F.expr(_ACCURACY)) / F.count("*") / 10000).alias("accuracy"))
+def weekly_accuracy(events: DataFrame) -> DataFrame:
+    """Sessions and mean accuracy of each week and kind of event.
+
+    Without a watermark no event is late. State is one row for each week and kind, some hundreds in ten years, so none need go.
+    """
+    return events.groupBy(F.window("at", "7 days", "7 days", ANCHOR), "event_type").agg(F.count("*").alias("sessions"), (F.sum(F.expr(_ACCURACY)) / F.count("*") / 10000).alias("accuracy"))
 
 
 def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -42,46 +43,37 @@ def practice_bursts(events: DataFrame, gap: str = "6 hours", late: str = "1 day"
     return events.withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("sessions"))
 
 
-def stroke_guidance(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Tries of every stroke of a learner's day, and the pauses before them in order of time.
+def stroke_guidance(events: DataFrame, late: str = "365 days") -> DataFrame:
+    """Tries of every stroke of a learner's day, and the pauses before them in order of time; ``events`` have a ``stroke`` and a ``pause``.
 
-    A day's state goes once the watermark has passed it, so what is kept is one day's pauses of a learner's stroke.
+    A day's state goes once the watermark has passed it; events that come later still are rows of their own, with ``late`` true.
     """
-    pauses = F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id", "ms"))), lambda p: p["ms"])
-    return events.withWatermark("at", late).groupBy(F.window("at", "1 day"), "user_id", "stroke").agg(F.count("*").alias("attempts"), pauses.alias("hesitations"))
+    days = keyed.untied(events, late).withColumn("day", F.expr("ms div 86400000"))
+    return days.groupBy("user_id", "day").transformWithState(keyed.Guidance(), keyed.Guidance.OUTPUT, "Update", "EventTime")
 
 
-def attempts(events: DataFrame, late: str = "1 day", idle_days: int = 365) -> DataFrame:
-    """Per learner so far: sessions, completed ones, the running mean of accuracy, and the longest run of completed ones.
+def attempts(events: DataFrame, late: str = "365 days") -> DataFrame:
+    """Per learner so far: sessions, completed ones, the running mean of accuracy, the longest run of completed ones in order of time, late events.
 
-    State is five numbers. A learner without events for ``idle_days`` is forgotten and starts anew. A call holds one learner's
-    events of one batch, which the files read a batch bound; events count in the order of time within it.
+    State is six numbers and, for the days that the watermark hasn't passed, their events. Late events count in all but the run.
     """
-    idle = idle_days * 86_400_000
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, done, total, run, best = state.get if state.exists else (0, 0, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        for kind, units in zip(rows["event_type"], rows["units"], strict=True):
-            n += 1
-            if kind == "error":
-                run = 0
-            else:
-                done, total, run = done + 1, total + int(units), run + 1
-                best = max(best, run)
-        state.update((n, done, total, run, best))
-        latest = int(rows["at"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle)
-        yield pd.DataFrame({"user_id": [key[0]], "sessions": [n], "completed": [done], "accuracy": [total / done / 10000 if done else None], "best_run": [best]})
-
-    return events.withColumn("units", F.expr(_ACCURACY)).withWatermark("at", late).groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, sessions long, completed long, accuracy double, best_run long", "n long, done long, total long, run long, best long", "update", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = keyed.untied(events.withColumn("units", F.expr(_ACCURACY)), late)
+    state = rows.groupBy("user_id").transformWithState(keyed.Attempts(), keyed.Attempts.OUTPUT, "Update", "EventTime")
+    return state.select("user_id", "sessions", "completed", F.expr("try_divide(units, completed) / 10000").alias("accuracy"), "best_run", "late")
+
+
+def day_points(events: DataFrame, xp: str, cap: int) -> DataFrame:
+    """Points of each learner's day as they grow: ``xp`` is what an event brings, ``cap`` what a day counts at most. Every change is a row. Events without a time belong to no day."""
+    rows = events.where("at IS NOT NULL").selectExpr("user_id", "unix_millis(at) div 86400000 AS day", f"coalesce(CAST({xp} AS long), 0) AS xp")
+    return rows.groupBy("user_id", "day").transformWithState(keyed.DayPoints(cap), keyed.DayPoints.OUTPUT, "Append", "None")
+
+
+def streaks(days: DataFrame) -> DataFrame:
+    """Points and runs of active days of each learner, kept on top of ``day_points``. Every change is a row."""
+    return days.groupBy("user_id").transformWithState(keyed.Streak(), keyed.Streak.OUTPUT, "Append", "None")
 
 
 def drained(df: DataFrame, sink, mode: str, checkpoint: str) -> None:
     """Run a stream over all there is, batch by batch, into ``sink(batch, number)``."""
-    df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with keyed.keyed_store(df.sparkSession):
+        df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

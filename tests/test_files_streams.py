@@ -1,12 +1,18 @@
 """File sources and sinks, and streams against batch results."""
 
 import json
+import os
+import random
+import shutil
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.plans import streams
+from quillspark.registry import REGISTRY
 from quillspark.sources import files
-from quillspark.streaming import telemetry
+from quillspark.streaming import keyed, telemetry
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,10 +85,22 @@ def test_lexicons_and_generators(spark):
     assert files.synthetic_sessions(spark, 50).collect() == files.synthetic_sessions(spark, 50).collect()
 
 
-@pytest.fixture
-def events(spark, tmp_path):
-    spark.read.parquet(f"{SF}/events.parquet").repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
-    return str(tmp_path / "in")
+def dealt(spark, folder, parts):
+    """Files of events, read in the order of ``parts``, whatever order they were written in."""
+    folder.mkdir()
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(folder / f"w{i}"))
+        file = next((folder / f"w{i}").glob("*.parquet"))
+        os.utime(file.rename(folder / f"{i}.parquet"), (1_700_000_000 + 60 * i,) * 2)
+        shutil.rmtree(folder / f"w{i}")
+    return str(folder)
+
+
+def in_order(spark, folder, order, n=4):
+    """The events table in files by time, read in some order of them."""
+    rows = spark.read.parquet(f"{SF}/events.parquet").withColumn("part", F.ntile(n).over(Window.orderBy("ts", "event_id"))).cache()
+    places = {"forward": range(n), "reversed": range(n)[::-1], "shuffled": random.Random(4).sample(range(n), n)}[order]
+    return dealt(spark, folder, [rows.where(F.col("part") == i + 1).drop("part") for i in places])
 
 
 def collected(stream, mode, path):
@@ -91,30 +109,64 @@ def collected(stream, mode, path):
     return seen
 
 
-def test_state_over_several_batches_equals_a_batch(spark, events, tmp_path):
-    seen = collected(telemetry.attempts(telemetry.read_events(spark, events)), "update", tmp_path / "c1")
-    last = {r.user_id: r for _, r in seen}
-    assert len({n for n, _ in seen}) > 1
-    want = spark.read.parquet(events).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("done")).collect()
-    assert {u: (r.sessions, r.completed) for u, r in last.items()} == {r.user_id: (r.n, r.done) for r in want}
-
-
-def test_windows_equal_a_batch(spark, events, tmp_path):
-    stream = telemetry.weekly_accuracy(telemetry.read_events(spark, events, 10), "60 days")
-    last = {(r.window.start, r.event_type): r.sessions for _, r in collected(stream, "update", tmp_path / "c2")}
+@pytest.mark.parametrize("name", ["stateful_attempts_stream", "weekly_window_stream", "stroke_guidance_stream", "daily_xp_stream", "streak_stream"])
+@pytest.mark.parametrize("order", ["reversed", "shuffled"])
+def test_streams_lose_nothing_in_any_order_of_files(spark, tmp_path, monkeypatch, name, order):
+    duckdb = pytest.importorskip("duckdb")
+    folder = in_order(spark, tmp_path / "in", order)
+    monkeypatch.setattr(streams, "_events", lambda spark, _: telemetry.read_events(spark, folder))
+    got = REGISTRY[name].run(spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+    cursor = con.execute(REGISTRY[name].sql)
+    columns = [c[0] for c in cursor.description]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(cursor.fetchall())
+
+
+def some_events(spark, rows):
+    df = spark.createDataFrame(rows, "event_id long, at string, event_type string, value double, user_id long")
+    return df.selectExpr("event_id", "cast(at as timestamp_ntz) AS ts", "user_id", "event_type", "value", "'{}' AS props")
+
+
+def test_late_events_are_counted_and_told(spark, tmp_path):
+    parts = [[(1, "2024-01-01 08:00:00", "click", 50.0, 1), (2, "2024-01-01 09:00:00", "view", 70.0, 1)], [(3, "2024-01-20 00:00:00", "click", 90.0, 1), (4, "2024-01-20 01:00:00", "error", 1.0, 2)], [(5, "2024-01-20 12:00:00", "click", 90.0, 1)], [(6, "2024-01-01 08:30:00", "error", 1.0, 1), (7, None, "click", 20.0, 3), (8, "2024-01-19 23:00:00", "error", 1.0, 1)]]
+    folder = dealt(spark, tmp_path / "late", [some_events(spark, p) for p in parts])
+    last = {r.user_id: r for _, r in collected(telemetry.attempts(telemetry.read_events(spark, folder), "1 day"), "update", tmp_path / "c1")}
+    # the closed day holds no error for the run, the open one does
+    assert (last[1].sessions, last[1].completed, last[1].accuracy, last[1].best_run, last[1].late) == (6, 4, 0.75, 2, 1)
+    assert (last[2].completed, last[2].accuracy, last[2].best_run, last[2].late) == (0, None, 0, 0) and (last[3].sessions, last[3].best_run, last[3].late) == (1, 0, 1)
+    strokes = telemetry.read_events(spark, folder).selectExpr("*", "0 AS stroke", "CAST(event_id AS int) AS pause")
+    seen = [r for _, r in collected(telemetry.stroke_guidance(strokes, "1 day"), "update", tmp_path / "c2")]
+    assert [(r.day, r.attempts, r.hesitations) for r in seen if r.late and r.user_id == 1] == [(19723, 1, [6])]
+    assert sum(r.attempts for r in seen if r.user_id == 1 and r.day == 19723) == 3
+
+
+def test_a_closed_day_leaves_a_summary(spark):
+    """Days folded one by one give the run of all of them."""
+    rnd = random.Random(1)
+    for _ in range(200):
+        days = [[rnd.random() < 0.8 for _ in range(rnd.randrange(1, 6))] for _ in range(rnd.randrange(6))]
+        joined = keyed.Runs.NONE
+        for day in days:
+            joined = keyed.Runs.joined(joined, keyed.Runs.of(day))
+        assert joined == keyed.Runs.of([x for day in days for x in day])
+
+
+def test_windows_equal_a_batch(spark, tmp_path):
+    folder = in_order(spark, tmp_path / "in", "forward", 3)
+    seen = collected(telemetry.weekly_accuracy(telemetry.read_events(spark, folder)), "update", tmp_path / "c2")
+    assert len({n for n, _ in seen}) == 3
+    last = {(r.window.start, r.event_type): r.sessions for _, r in seen}
     at = F.window(F.col("ts").cast("timestamp"), "7 days", "7 days", telemetry.ANCHOR)
-    want = spark.read.parquet(events).groupBy(at.alias("w"), "event_type").count().collect()
+    want = spark.read.parquet(f"{SF}/events.parquet").groupBy(at.alias("w"), "event_type").count().collect()
     assert last == {(r.w.start, r.event_type): r["count"] for r in want}
 
 
-def test_late_events_are_dropped_and_repeats_too(spark, tmp_path):
-    folder = tmp_path / "late"
-    rows = [[(1, "2024-01-20 00:00:00", 1)], [(2, "2024-01-30 00:00:00", 1)], [(3, "2024-01-01 00:00:00", 1), (2, "2024-01-30 00:00:00", 1)]]
-    for i, part in enumerate(rows):
-        df = spark.createDataFrame(part, "event_id long, at string, user_id long")
-        df.selectExpr("event_id", "cast(at as timestamp_ntz) AS ts", "user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props").coalesce(1).write.mode("append").parquet(f"{folder}/{i}")
-    read = spark.readStream.schema(telemetry.SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder)).withColumn("at", F.col("ts").cast("timestamp"))
-    seen = [r.event_id for _, r in collected(telemetry.deduplicated(read), "append", tmp_path / "c3")]
-    assert sorted(seen)[:2] == [1, 2] and seen.count(2) == 1
-    bursts = collected(telemetry.practice_bursts(read, "6 hours", "30 days"), "append", tmp_path / "c4")
-    assert isinstance(bursts, list)
+def test_repeats_go_and_bursts_end(spark, tmp_path):
+    parts = [[(1, "2024-01-20 00:00:00", "click", 1.0, 1)], [(2, "2024-01-30 00:00:00", "click", 1.0, 1), (4, "2024-01-30 05:00:00", "click", 1.0, 1)], [(3, "2024-01-01 00:00:00", "click", 1.0, 1), (2, "2024-01-30 00:00:00", "click", 1.0, 1)], [(5, "2024-02-20 00:00:00", "click", 1.0, 1)], [(6, "2024-02-21 00:00:00", "click", 1.0, 1)]]
+    folder = dealt(spark, tmp_path / "in", [some_events(spark, p) for p in parts])
+    seen = [r.event_id for _, r in collected(telemetry.deduplicated(telemetry.read_events(spark, folder)), "append", tmp_path / "c3")]
+    assert sorted(seen) == [1, 2, 4, 5, 6]  # 3 is behind the watermark of this operator
+    bursts = collected(telemetry.practice_bursts(telemetry.read_events(spark, folder).where("event_id > 1"), "6 hours", "1 day"), "append", tmp_path / "c4")
+    ends = sorted((str(r.session_window.start), str(r.session_window.end), r.sessions) for _, r in bursts)
+    assert ends[0] == ("2024-01-30 00:00:00", "2024-01-30 11:00:00", 3)
