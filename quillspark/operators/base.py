@@ -65,6 +65,26 @@ class Spark:
     def array(self, *x: str) -> str:
         return f"array({', '.join(x)})"
 
+    def letters(self, x: str) -> str:
+        """The letters of a string as 64 bits."""
+        return f"aggregate(split({x}, ''), 0L, (m, c) -> m | shiftleft(1L, ascii(c) % 64))"
+
+    def apart(self, x: str, y: str, most: str) -> str:
+        """Whether strings of these letters may be ``most`` edits apart: an edit changes two of the bits at most."""
+        return f"bit_count({x} ^ {y}) <= 2 * {most}"
+
+    def dealt(self, x: str) -> str:
+        """A hint that both sides of a join with ``x`` are dealt by key: few bytes, but much work that one task would do alone."""
+        return f"/*+ MERGE({x}) */"
+
+    def edits(self, a: str, b: str) -> str:
+        """The edit distance of two strings, in code points."""
+        return f"levenshtein({a}, {b})"
+
+    def within(self, a: str, b: str, most: str) -> str:
+        """The edit distance of two strings, null if it is over ``most``."""
+        return f"nullif(levenshtein({a}, {b}, CAST({most} AS INT)), -1)"
+
     def rows(self, x: str, alias: str, column: str) -> str:
         """A lateral clause with a row for each element."""
         return f"LATERAL VIEW explode({x}) {alias} AS {column}"
@@ -152,6 +172,23 @@ class Duck(Spark):
     def array(self, *x: str) -> str:
         return f"[{', '.join(x)}]"
 
+    def within(self, a: str, b: str, most: str) -> str:
+        return f"CASE WHEN {self.edits(a, b)} <= {most} THEN {self.edits(a, b)} END"
+
+    def letters(self, x: str) -> str:
+        return "0"  # the distance alone decides here
+
+    def apart(self, x: str, y: str, most: str) -> str:
+        return "true"
+
+    def dealt(self, x: str) -> str:
+        return ""
+
+    def edits(self, a: str, b: str) -> str:
+        """This engine's distance counts bytes: letters of the tables outside ASCII become unused control characters first."""
+        narrow = [f"translate({x}, 'äçèéêíñóöüßÄÇÈÉÊÍÑÓÖÜ', {' || '.join(f'chr({i})' for i in (*range(1, 9), *range(14, 27)))})" for x in (a, b)]
+        return f"levenshtein({', '.join(narrow)})"
+
     def rows(self, x: str, alias: str, column: str) -> str:
         return f", LATERAL (SELECT unnest({x}) AS {column}) {alias}"
 

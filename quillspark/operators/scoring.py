@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillspark.operators.base import Spark, operator
 from quillspark.operators.strokes import metrics
-from quillspark.operators.text import FREQUENCY, medicines, without_letters
+from quillspark.operators.text import FREQUENCY, medicines, near_pairs
 
 #: Expected ranges and weights of handwriting features.
 RANGES = {"spacing": (0.5, 0.3), "baseline": (5.0, 0.25), "stroke": (0.2, 0.2), "slant": (10.0, 0.25)}
@@ -186,8 +186,6 @@ def spelling_candidates(d: Spark, documents: str) -> str:
     words = f"SELECT lower(token) AS w, count(*) AS n FROM (SELECT token FROM (SELECT {d.extract_all('text', RUN)} AS ws FROM {documents}) x {d.rows('ws', 'y', 'token')}) WHERE {d.matches('token', '^[a-zA-Z]{3,}$')} GROUP BY lower(token)"
     return f"""
     WITH t AS ({words}),
-    rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1', '2')}),
-    lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 10', '2')}),
-    pairs AS (SELECT DISTINCT r.w, l.w AS c FROM rare r JOIN lex l ON r.v = l.v),
-    p AS (SELECT a.w, a.c, round(log10(CAST(b.n AS DOUBLE)) * 2 - 1.2 * levenshtein(a.w, a.c), 6) AS gain FROM pairs a JOIN t b ON a.c = b.w WHERE levenshtein(a.w, a.c) <= 2)
+    pairs AS ({near_pairs(d, 'SELECT w FROM t WHERE n = 1', 'SELECT w FROM t WHERE n >= 10', {2: '{n} >= 3'}, '2')}),
+    p AS (SELECT a.w, a.term AS c, round(log10(CAST(b.n AS DOUBLE)) * 2 - 1.2 * a.dist, 6) AS gain FROM pairs a JOIN t b ON a.term = b.w)
     SELECT w AS word, c AS correction, gain FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY gain DESC, c) AS r FROM p) WHERE r = 1 AND gain > 0.3"""

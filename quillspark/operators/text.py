@@ -43,7 +43,8 @@ ABBREVIATIONS = (
 #: Medicines and words of the clinic that are known unless others are given.
 DRUGS = ("Paracetamol", "Amoxicillin", "Cetirizine", "Calcium D3", "Calpol", "Hexigel")
 CLINICAL = ("Diagnosis", "Patient", "Review", "Haemoglobin", "Advice")
-WORD = "[a-zA-Z]{2,}"
+#: Two letters or more of any alphabet, hyphens between them.
+WORD = r"\p{L}[\p{L}-]+"
 
 
 def quoted(x: str) -> str:
@@ -280,61 +281,75 @@ def word_rarity(d: Spark, documents: str) -> str:
     return f"WITH l AS ({_lexicon(d, documents, 3)}) SELECT term, n, round(greatest(0, log10(CAST((SELECT max(n) FROM l) AS DOUBLE) / n) - 3), 6) AS rarity FROM l"
 
 
-def without_letters(d: Spark, words: str, budget: str) -> str:
-    """(w, v): every string that a word gives with up to ``budget`` (at most 3) letters left out.
+def near_pairs(d: Spark, words: str, terms: str, budgets: dict[int, str], budget: str) -> str:
+    """(w, term, dist): the words and terms within a word's budget of edits. ``words`` and ``terms`` are queries of one column w of different strings.
 
-    Words within that many edits share one. Letters go from left to right, ``p`` is the first that may go next;
-    a place behind the word's end stands for none.
+    A term is cut into one piece more than the edits allowed: one of them stands unchanged in any word within reach, at a place
+    that its number and the two lengths leave little choice of. So words and terms meet by an equi-join on (budget, length of
+    the term, number of the piece, piece), with some dozens of probes a word whatever its length; lengths that no term has aren't probed. The
+    letters of both rule most pairs out, and the distance, bounded as well, decides. ``budget`` is a word's, ``budgets`` says for each which lengths ``n`` of a term it can reach.
     """
-    out = f"SELECT w, w AS v, CAST(1 AS BIGINT) AS p, {budget} AS b FROM ({words})"
-    cut = "CASE WHEN i <= n THEN concat(substring(v, 1, CAST(i - 1 AS INT)), substring(v, CAST(i + 1 AS INT))) ELSE v END"
-    for step in (1, 2, 3) if budget != "2" else (1, 2):
-        last = "greatest(p, n + 1)"
-        places = d.span(f"CASE WHEN b >= {step} THEN p ELSE {last} END", last)
-        spans = f"SELECT w, v, b, n, {places} AS ps FROM (SELECT w, v, p, b, CAST(length(v) AS BIGINT) AS n FROM ({out}))"
-        out = f"SELECT w, {cut} AS v, CASE WHEN i <= n THEN i ELSE n + 2 END AS p, b FROM ({spans}) x {d.rows('ps', 'y', 'i')}"
-    return f"SELECT w, v FROM ({out})"
-
-
-def _nearest_terms(d: Spark, documents: str, same: str) -> str:
-    budget = "CASE WHEN length(w) <= 6 THEN 1 WHEN length(w) <= 10 THEN 2 ELSE 3 END"
+    start = lambda i: f"CAST(floor({i} * l / (b + 1)) AS BIGINT)"
+    table = lambda rows, names: f"(SELECT {', '.join(f'CAST({n} AS BIGINT) AS {n}' for n in names.split(', '))} FROM (VALUES {', '.join(str(r) for r in rows)}) v({names}))"
+    numbers = table([(b, i) for b in budgets for i in range(b + 1)], "b, i")
+    # a word ``more`` letters longer than a term holds piece i at most i edits from its place, counted from either end
+    shifts = table([(b, more, i, off) for b in budgets for more in range(-b, b + 1) for i in range(b + 1) for off in range(max(-i, more - b + i), min(i, more + b - i) + 1)], "b, more, i, shift")
+    options = d.array(*[f"CAST({b} AS BIGINT)" for b in budgets])
+    reach = " OR ".join(f"(b = {b} AND {lengths.format(n='l')})" for b, lengths in budgets.items())
     return f"""
-    WITH t AS (SELECT lower(token) AS w, count(*) AS n FROM ({_tokens(d, documents, 'doc_id')}) GROUP BY lower(token)),
-    rare AS ({without_letters(d, 'SELECT w FROM t WHERE n = 1 AND length(w) >= 4', budget)}),
-    lex AS ({without_letters(d, 'SELECT w FROM t WHERE n >= 5 AND length(w) >= 4', budget)}),
-    pairs AS (SELECT DISTINCT r.w, l.w AS term FROM rare r JOIN lex l ON r.v = l.v{same}),
-    near AS (SELECT w, term, levenshtein(w, term) AS dist FROM pairs),
-    best AS (SELECT w, term, dist, min(dist) OVER (PARTITION BY w) AS least FROM near WHERE dist <= {budget})
-    SELECT w AS word, min(term) AS term, CAST(min(dist) AS BIGINT) AS distance FROM best WHERE dist = least GROUP BY w HAVING count(*) = 1"""
+    WITH asked AS (SELECT w, CAST(length(w) AS BIGINT) AS n, CAST({budget} AS BIGINT) AS b, {d.letters('w')} AS bits FROM ({words})),
+    kinds AS (SELECT w, CAST(length(w) AS BIGINT) AS l, {d.letters('w')} AS bits FROM ({terms})),
+    pieces AS (SELECT w, bits, b, l, i, substring(w, CAST({start('i')} + 1 AS INT), CAST({start('(i + 1)')} - {start('i')} AS INT)) AS piece FROM (SELECT w, bits, l, k.b, v.i FROM (SELECT w, bits, l, b FROM (SELECT w, bits, l, {options} AS bs FROM kinds) x {d.rows('bs', 'y', 'b')} WHERE {reach}) k JOIN {numbers} v ON v.b = k.b)),
+    places AS (SELECT w, bits, n, b, l, i, {start('i')} + shift AS p, {start('(i + 1)')} - {start('i')} AS m FROM (SELECT w, bits, n, a.b, n - more AS l, i, shift FROM asked a JOIN {shifts} v ON v.b = a.b)),
+    probes AS (SELECT w, bits, b, l, i, substring(w, CAST(p + 1 AS INT), CAST(m AS INT)) AS piece FROM (SELECT s.* FROM places s JOIN (SELECT DISTINCT l FROM kinds) k ON k.l = s.l) WHERE p >= 0 AND p <= n - m)
+    SELECT DISTINCT w, term, dist FROM (SELECT {d.dealt('t')} a.w, t.w AS term, {d.within('a.w', 't.w', 'a.b')} AS dist FROM probes a JOIN pieces t ON a.b = t.b AND a.l = t.l AND a.i = t.i AND a.piece = t.piece WHERE {d.apart('a.bits', 't.bits', 'a.b')}) WHERE dist IS NOT NULL"""
 
 
-@operator("documents")
-def fuzzy_lexicon_match(d: Spark, documents: str) -> str:
+#: Edits by the length of a word, and the lengths of terms within its reach.
+BUDGET = "CASE WHEN length(w) <= 6 THEN 1 WHEN length(w) <= 10 THEN 2 ELSE 3 END"
+BUDGETS = {1: "{n} <= 7", 2: "{n} BETWEEN 5 AND 12", 3: "{n} >= 8"}
+
+
+def _nearest_terms(d: Spark, documents: str, ordinary: str, same: str) -> str:
+    words = f"SELECT lower(token) AS w, count(*) AS n, min(token) AS token FROM ({_tokens(d, documents, 'doc_id')}) GROUP BY lower(token)"
+    known = f"SELECT t.w, t.n, t.token FROM ({words}) t LEFT JOIN {ordinary} o ON o.term = t.w WHERE o.term IS NULL AND length(t.w) >= 4"
+    asked = f"SELECT w FROM ({known}) WHERE n = 1 AND token <> upper(token) AND position('-' IN w) = 0"
+    pairs = near_pairs(d, asked, f"SELECT w FROM ({known}) WHERE n >= 5", BUDGETS, BUDGET)
+    return f"""
+    SELECT w AS word, min(term) AS term, CAST(min(dist) AS BIGINT) AS distance
+    FROM (SELECT w, term, dist, min(dist) OVER (PARTITION BY w) AS least FROM ({pairs}){same}) WHERE dist = least GROUP BY w HAVING count(*) = 1"""
+
+
+@operator("documents", "ordinary")
+def fuzzy_lexicon_match(d: Spark, documents: str, ordinary: str) -> str:
     """Rare words and the one lexicon term of the same first letter nearest in edit distance, within a budget by length; ties match nothing.
 
-    Blocking is exact and linear: an equi-join on strings with up to three letters left out, then the distance. A term's
-    own budget is enough for its side: of a longer word more letters go, of a shorter one fewer.
+    Words and terms have four letters or more. Words all in capitals are acronyms, those with a hyphen compounds: neither is matched. Words of
+    ``ordinary`` (term) are neither matched nor terms.
     """
-    return _nearest_terms(d, documents, " AND left(r.w, 1) = left(l.w, 1)")
+    return _nearest_terms(d, documents, ordinary, " WHERE left(w, 1) = left(term, 1)")
 
 
-@operator("documents")
-def fuzzy_lexicon_match_any_letter(d: Spark, documents: str) -> str:
+@operator("documents", "ordinary")
+def fuzzy_lexicon_match_any_letter(d: Spark, documents: str, ordinary: str) -> str:
     """As ``fuzzy_lexicon_match``, among terms of any first letter: a first letter misread, missing or too many is an edit like others."""
-    return _nearest_terms(d, documents, "")
+    return _nearest_terms(d, documents, ordinary, "")
 
 
 @operator("benchmark")
 def cer_pairs(d: Spark, benchmark: str) -> str:
     """Character error rates of items against a copy with letters swapped, in their own case and without, white space normalised, and whether they are equal.
 
-    Letters outside ASCII count as one letter each, and as equal to each other.
+    Everything is counted in code points; the word error rate is over words between white space. An empty item is right only as nothing.
     """
-    ref = f"trim({d.replace(d.replace('text', r'\s+', ' '), '[^ -~]', '?')})"
-    rate = lambda r, h: f"CASE WHEN length({r}) = 0 THEN CASE WHEN length({h}) = 0 THEN 0.0 ELSE 1.0 END ELSE round(least(1.0, CAST(levenshtein({h}, {r}) AS DOUBLE) / length({r})), 6) END"
+    ref = f"trim({d.replace('text', r'\s+', ' ')})"
+    rate = lambda r, h: f"CASE WHEN length({r}) = 0 THEN CASE WHEN length({h}) = 0 THEN 0.0 ELSE 1.0 END ELSE round(least(1.0, CAST({d.edits(h, r)} AS DOUBLE) / length({r})), 6) END"
+    coded = lambda x: d.joined(d.each(x, "w", d.letter(f"{'array_position' if d.name == 'spark' else 'list_position'}(u, w)")), "")
+    wer = f"CASE WHEN {d.size('rs')} = 0 THEN CASE WHEN {d.size('hs')} = 0 THEN 0.0 ELSE 1.0 END ELSE round(least(1.0, CAST({d.edits(coded('hs'), coded('rs'))} AS DOUBLE) / {d.size('rs')}), 6) END"
     return f"""
-    SELECT item_id, {rate('r', 'h')} AS cer, {rate('lower(r)', 'lower(h)')} AS cer_folded, r = h AS exact
-    FROM (SELECT item_id, {ref} AS r, {d.replace(d.replace(ref, 'th', 'ht'), '^([a-z])', '#')} AS h FROM {benchmark})"""
+    SELECT item_id, {rate('r', 'h')} AS cer, {rate('lower(r)', 'lower(h)')} AS cer_folded, {wer} AS wer, r = h AS exact
+    FROM (SELECT *, {d.distinct(d.both('rs', 'hs'))} AS u FROM (SELECT *, {d.extract_all('r', r'[^ ]+')} AS rs, {d.extract_all('h', r'[^ ]+')} AS hs
+      FROM (SELECT item_id, r, {d.replace(d.replace('r', 'th', 'ht'), '^([a-z])', '#')} AS h FROM (SELECT item_id, {ref} AS r FROM {benchmark}))))"""
 
 
 @operator("notes")

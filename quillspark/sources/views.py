@@ -47,6 +47,12 @@ VIEWS = {
         "SELECT doc_id, lang, source, CAST(pos AS INT) AS line_number, line FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos)",
     ),
 }
+#: Ordinary words: those of benchmark items, in lower case.
+VIEWS["ordinary"] = View(
+    ("benchmark",),
+    r"SELECT DISTINCT lower(token) AS term FROM {benchmark} LATERAL VIEW explode(regexp_extract_all(text, r'\p{{L}}+', 0)) x AS token",
+    r"SELECT DISTINCT lower(token) AS term FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS token FROM {benchmark})",
+)
 #: A page is an order, a box a line item: places and sizes follow from keys.
 _BOXES = """
 SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS idx, x1, y1, x1 + 20 + CAST(l_quantity AS INT) * 3 AS x2, y1 + 12 + CAST(l_suppkey % 9 AS INT) AS y2,

@@ -292,7 +292,8 @@ def test_fuzzy_matches_equal_comparing_every_pair(spark):
     words = common * 6 + [w for w in rare if w not in common]
     rnd.shuffle(words)
     docs = spark.createDataFrame([(1, "en", " ".join(words)), (2, "de", "ignored words here"), (3, "en", None)], "doc_id long, lang string, text string")
-    got = {r.word: (r.term, r.distance) for r in text_ops.fuzzy_lexicon_match(documents=docs).collect()}
+    nothing = spark.createDataFrame([], "term string")
+    got = {r.word: (r.term, r.distance) for r in text_ops.fuzzy_lexicon_match(documents=docs, ordinary=nothing).collect()}
     want = {}
     for w in rare:
         near = sorted((edits(w, c), c) for c in common if c[0] == w[0])
@@ -316,6 +317,7 @@ def test_fuzzy_matches_of_all_lengths_and_first_letters_equal_comparing_every_pa
     rare = [*sorted({edited(w, n) for w in common for n in (1, 2, 3, 4)} - set(common)), "lamb"]
     common.append("lamp")
     docs = spark.createDataFrame([(1, "en", " ".join(common * 6 + rare))], "doc_id long, lang string, text string")
+    nothing = spark.createDataFrame([], "term string")
     for op, same in ((text_ops.fuzzy_lexicon_match, True), (text_ops.fuzzy_lexicon_match_any_letter, False)):
         want = {}
         for w in (w for w in rare if len(w) >= 4):
@@ -323,7 +325,7 @@ def test_fuzzy_matches_of_all_lengths_and_first_letters_equal_comparing_every_pa
             near = [x for x in near if x[0] <= (1 if len(w) <= 6 else 2 if len(w) <= 10 else 3)]
             if near and (len(near) == 1 or near[1][0] > near[0][0]):
                 want[w] = (near[0][1], near[0][0])
-        assert {r.word: (r.term, r.distance) for r in op(documents=docs).collect()} == want
+        assert {r.word: (r.term, r.distance) for r in op(documents=docs, ordinary=nothing).collect()} == want
         assert {len(w) > 12 for w in want} == {True, False} and any(x[1] == 3 for x in want.values()) and want["lamb"] == ("lamp", 1)
     assert any(w[0] != x[0][0] for w, x in want.items())
 
