@@ -17,4 +17,4 @@ for _op in OPERATORS.values():
     if _op.name not in REGISTRY:
         _register(_op)
 
-from quillspark.plans import grouped, streams  # noqa: E402, F401
+from quillspark.plans import grouped, lexicons, streams  # noqa: E402, F401

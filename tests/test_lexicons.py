@@ -1,11 +1,17 @@
 """Edit-distance joins, dictionary scans and the noisy channel against brute force."""
 
+import itertools
+import math
 import random
+import re
 import time
+from collections import Counter
 
 import pytest
 
-from quillspark.operators import text
+from quillspark.functions.text import _channel, channel_costs
+from quillspark.operators import channel, text
+from quillspark.operators.lexicons import dictionary_hits
 from quillspark.operators.base import SPARK
 
 
@@ -58,3 +64,85 @@ def test_rates_of_letters_outside_ascii(spark, least):
     h = "#" + r.replace("th", "ht")[1:]
     assert got[1] == (round(edits(r, h) / len(r), 6), round(sum(a != b for a, b in zip(r.split(), h.split(), strict=True)) / len(r.split()), 6), False)
     assert got[2] == (0.0, 0.0, True)
+
+
+def whole(term, text, fold):
+    """Occurrences of one term, by comparing it at each place."""
+    low = lambda x: "".join(c.lower() if "A" <= c <= "Z" and fold else c for c in x)
+    wordy = lambda c: c.isalnum() or c == "_"
+    at = lambda i: 0 <= i < len(text) and wordy(text[i])
+    n = len(term)
+    return [(term, i, i + n) for i in range(len(text) - n + 1) if low(text[i : i + n]) == low(term) and at(i - 1) != at(i) and at(i + n - 1) != at(i + n)]
+
+
+@pytest.mark.parametrize("fold", [True, False])
+@pytest.mark.parametrize("chunk", [10, 1 << 20])
+def test_dictionary_hits_equal_a_scan_term_by_term(spark, fold, chunk):
+    rnd = random.Random(6)
+    parts = ["Calpol", "calpol", "Pan-D", "D", "pan", "Vitamin D3", "d3", "é", "née", "naïve", "(x)", "x", "a b", "b a", "İ", "ẞ"]
+    texts = [(i, rnd.choice(["", " "]).join(rnd.choice([*parts, ",", "_", " ", "7"]) for _ in range(rnd.randrange(25)))) for i in range(80)]
+    texts += [(80, None), (81, ""), (81, "calpol calpol"), (81, "calpol calpol"), (82, "Vitamin D3, " * 5000)]
+    lexicon = spark.createDataFrame([(t,) for t in [*parts, *parts[:3], None, ""]], "term string")
+    got = dictionary_hits(spark.createDataFrame(texts, "id long, text string").repartition(3), lexicon, fold=fold, chunk_bytes=chunk).collect()
+    by_place = lambda h: (h[1], h[2], h[0])
+    want = [(i, t, sorted((h for term in dict.fromkeys(parts) for h in whole(term, t or "", fold)), key=by_place)) for i, t in texts]
+    assert sorted((r.id, str(r.text), [tuple(h) for h in r.hits]) for r in got) == sorted((i, str(t), h) for i, t, h in want)
+
+
+def test_fifty_thousand_terms_and_none(spark):
+    texts = spark.range(500).selectExpr("id", "concat_ws(' ', transform(sequence(1L, 30L), i -> concat('t', (id * 31 + i * 7) % 60000))) AS text")
+    lexicon = spark.range(50_000).selectExpr("concat('t', id) AS term")
+    want = sum((i * 31 + k * 7) % 60_000 < 50_000 for i in range(500) for k in range(1, 31))
+    assert sum(len(r.hits) for r in dictionary_hits(texts, lexicon).collect()) == want
+    assert all(r.hits == [] for r in dictionary_hits(texts, lexicon.limit(0)).collect()) and dictionary_hits(texts.limit(0), lexicon).count() == 0
+
+
+def brute_corrections(lines, least):
+    counts, pairs, firsts, odd = Counter(), Counter(), Counter(), []
+    for key, line in lines:
+        ws = (line or "").split()
+        bare = [re.sub(r"^[\W_]+|[\W_]+$", "", w).lower() or w.lower() for w in ws]
+        counts.update(bare)
+        for a, b in itertools.pairwise(["\x02", *bare, "\x03"] if ws else []):
+            pairs[a, b] += 1
+            firsts[a] += 1
+        for i, w in enumerate(ws):
+            m = re.match(channel._CORE, w)
+            beside = ws[max(0, i - 1) : i] + ws[i + 1 : i + 2]
+            if len(ws) >= 3 and m and len(m[1]) >= 3 and not m[1].isupper() and not (i and m[1][0].isupper()) and not any(re.match(text.DOSE_OR_FORM, b.strip(",;:")) for b in beside):
+                odd.append((key, i, m[1], bare[i - 1] if i else "\x02", bare[i + 1] if i + 1 < len(ws) else "\x03"))
+    known = [w for w, c in counts.items() if c >= least and re.fullmatch("[a-z]{3,}", w)]
+    total, most = sum(counts.values()), max(counts[w] for w in known)
+    score = lambda a, b: math.log(pairs[a, b] / firsts[a] if pairs[a, b] else 0.4 * (counts[b] + 0.5) / total)
+    out = []
+    for key, i, core, prev, after in odd:
+        w = core.lower()
+        if w in known:
+            continue
+        near = sorted((_channel(w, c), -counts[c], c) for c in known if edits(w, c) <= 2)[:8]
+        gains = [(round(score(prev, c) + score(c, after) - score(prev, w) - score(w, after) - 2 * cost - 0.3 * max(0, math.log10(most / counts[c]) - 3), 6), -r, c) for r, (cost, _, c) in enumerate(near)]
+        if gains and max(gains)[0] > 1.0:
+            out.append((key, i, core, max(gains)[2], max(gains)[0]))
+    return out
+
+
+def test_corrections_equal_scoring_every_candidate(spark):
+    rnd = random.Random(12)
+    phrases = [x.split() for x in ("the fever never went", "rough cough and pain daily", "clear gum paint the modern way", "rain never fell", "dear modem in daily use")]
+    said = [rnd.choice(phrases) + rnd.choice([[], rnd.choice(phrases)]) for _ in range(150)]
+    lines = [(i, " ".join(rnd.choice([w] * 12 + [mutated(rnd, w, 1), mutated(rnd, w, 2), w.upper(), w.title(), w + ",", "modeni", "5mg", "(" + w + ")"]) for w in ws)) for i, ws in enumerate(said)]
+    lines += [(500, None), (501, ""), (502, "  \t "), (503, lines[3][1]), (503, lines[3][1])]
+    df = spark.createDataFrame([(*r, "x") for r in lines], "id long, line string, w string").repartition(3)
+    got = sorted((r.id, r["at"], r.word, r.correction, r.gain) for r in channel.corrections(df, ["id"], least=6).collect())
+    want = sorted(brute_corrections(lines, 6))
+    assert [g[:4] for g in got] == [w[:4] for w in want] and len(want) > 20
+    assert all(abs(g[4] - w[4]) < 2e-6 for g, w in zip(got, want, strict=True))
+    assert channel.corrections(df.limit(0), ["id"]).count() == 0
+
+
+def test_costs_of_many_pairs_equal_those_of_each():
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice(["rn", "m", "cl", "d", "ii", "u", "ti", "vv", "w", "a", "o", "É", "é", "1", "l", "中"]) for _ in range(rnd.randrange(9)))
+    pairs = [(word(), word()) for _ in range(3000)] + [("", ""), ("x" * 60, "x" * 59 + "y"), ("A", "a")]
+    assert channel_costs(pairs).tolist() == [_channel(a, b) for a, b in pairs]
+    assert channel_costs([]).tolist() == []
