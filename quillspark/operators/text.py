@@ -20,7 +20,8 @@ CONCENTRATION = r"(?i)\(\s*(\d+(?:\.\d+)?\s*(?:mg)?\s*/\s*\d+(?:\.\d+)?\s*(?:ml)
 FORM = r"(?i)^(?:(?:\(?\d{1,2}[.)]?|rx|r/)\s+)?(tab|cap|syp|inj|oint|gel|drops?|susp|cream|inh|sachet)[.:]?\s+"
 NAME = r"([A-Z][A-Za-z-]*(?:\s+(?:[A-Z][a-z][A-Za-z-]*|[A-Za-z]+-[A-Za-z0-9]+|[A-Z][0-9]+)){0,2})"
 LAB = rf"^([A-Za-z][A-Za-z0-9 ()/.,\x27-]{{1,40}}?)\s+([<>]?\s*{NUMBER})\s*([a-zA-Z%/µ^0-9.]+(?:/[a-zA-Z.]+)?)?\s+((?:[<>]\s*{NUMBER})|(?:{NUMBER}\s*[-–]\s*{NUMBER}))\s*$"
-KEY_VALUE = r"([A-Z][A-Za-z .]{1,30}?)\s*:\s*([^:\s][^: ]*(?: [^: ]+)?)"
+KEY = r"[A-Z][A-Za-z .\x27/()-]{1,30}?"
+KEY_VALUE = rf"({KEY})\s*:\s*([^:]+?)\s*$"
 VITALS = {
     "mrn": r"(?i)\b(?:MRN|ID|PATIENT\s*ID)[:\s#]*([A-Z0-9\-]+)\b",
     "dob": r"(?i)\b(?:DOB|BIRTH)[:\s]*(\d{1,2}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4})\b",
@@ -118,7 +119,10 @@ def lab_rows(d: Spark, notes: str) -> str:
 
 @operator("notes")
 def key_values(d: Spark, notes: str) -> str:
-    return f"SELECT page, line_number, {d.joined(d.extract_all('line', KEY_VALUE, 1), '|')} AS keys, {d.joined(d.extract_all('line', KEY_VALUE, 2), '|')} AS vals FROM {notes} WHERE {d.matches('line', KEY_VALUE)}"
+    """Keys and their whole values: a value ends before wide space and the next key, or with the line, and holds no colon."""
+    parts = d.only(d.cut(d.replace("line", rf"\s{{2,}}({KEY}\s*:)", "\n$1"), "'\n'"), "p", d.matches("p", KEY_VALUE))
+    told = lambda i: d.joined(d.each("parts", "p", f"trim({d.extract('p', KEY_VALUE, i)})"), "|")
+    return f"SELECT page, line_number, {told(1)} AS keys, {told(2)} AS vals FROM (SELECT page, line_number, {parts} AS parts FROM {notes}) WHERE {d.size('parts')} > 0"
 
 
 @operator("notes")
@@ -180,8 +184,8 @@ def rendered_lines(d: Spark, notes: str) -> str:
 
 @operator("notes")
 def table_cells(d: Spark, notes: str) -> str:
-    """Cells of a row, parted by a bar or wide space; empty ones left out."""
-    parts = "split(line, r'\\||\\s{2,}')" if d.name == "spark" else r"regexp_split_to_array(line, '\||\s{2,}')"
+    """Cells of a row, parted by a bar or three spaces or more; empty ones left out."""
+    parts = "split(line, r'\\||\\s{3,}')" if d.name == "spark" else r"regexp_split_to_array(line, '\||\s{3,}')"
     return f"SELECT page, line_number, {d.joined(d.only(d.each(parts, 'c', 'trim(c)'), 'c', 'c <> ' + repr('')), '|')} AS cells FROM {notes}"
 
 

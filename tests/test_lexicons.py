@@ -146,3 +146,11 @@ def test_costs_of_many_pairs_equal_those_of_each():
     pairs = [(word(), word()) for _ in range(3000)] + [("", ""), ("x" * 60, "x" * 59 + "y"), ("A", "a")]
     assert channel_costs(pairs).tolist() == [_channel(a, b) for a, b in pairs]
     assert channel_costs([]).tolist() == []
+
+
+def test_whole_values_and_cells_three_spaces_apart(spark):
+    lines = ["Address: 12 Main Road Pune", "Patient Name: Ann Lee  Age/Sex: 42 / F   Ref. Dr(s): O'Neil-Roy", "Time: 10:30", "no key", "", None, "Dr's Note (new) : rest", "Hb | 12.1   g/dL  low", "A:", "a: b"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "page long, line_number int, line string")
+    got = {r.line_number: (r.keys, r.vals) for r in text.key_values(notes=df).collect()}
+    assert got == {0: ("Address", "12 Main Road Pune"), 1: ("Patient Name|Age/Sex|Ref. Dr(s)", "Ann Lee|42 / F|O'Neil-Roy"), 6: ("Dr's Note (new)", "rest")}
+    assert {r.line_number: r.cells for r in text.table_cells(notes=df).collect()}[7] == "Hb|12.1|g/dL  low"
