@@ -61,12 +61,28 @@ def uncovered_boxes(d: Spark, boxes: str) -> str:
 _IOU = "(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
 
 
+def touching(d: Spark, boxes: str, which: str) -> str:
+    """(page, i, j, conf_i, conf_j, shared, ra, rb) of two boxes of a page that share an area, where ``which`` holds of a.idx and b.idx.
+
+    Boxes are dealt to the cells they touch, and a pair is owned by the cell of its shared corner of least x and y, so that each comes once and no page is
+    one group. A cell is as wide as the page's boxes on average, and a page has about as many cells as boxes at most: n boxes make at most n^1.5 rows.
+    The checking dialect compares all pairs of a page.
+    """
+    found = f"a.page AS page, a.idx AS i, b.idx AS j, a.conf AS conf_i, b.conf AS conf_j, {_IOU} AS shared, (a.x2 - a.x1) * (a.y2 - a.y1) AS ra, (b.x2 - b.x1) * (b.y2 - b.y1) AS rb"
+    if d.name == "duck":
+        return f"SELECT * FROM (SELECT {found} FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND {which}) WHERE shared > 0"
+    width, height = (f"greatest(1, avg(CAST({c}2 - {c}1 AS DOUBLE)), (max({c}2) - min({c}1)) / sqrt(count(*)))" for c in "xy")
+    cell = lambda at, size: f"CAST(floor({at} / {size}) AS BIGINT)"
+    cells = f"""(SELECT * FROM (SELECT z.*, s.width, s.height, {d.span(cell('z.x1', 's.width'), cell('z.x2', 's.width'))} AS xs, {d.span(cell('z.y1', 's.height'), cell('z.y2', 's.height'))} AS ys
+        FROM {boxes} z JOIN (SELECT page, {width} AS width, {height} AS height FROM {boxes} GROUP BY page) s ON z.page = s.page WHERE z.x1 < z.x2 AND z.y1 < z.y2) {d.rows('xs', 'p', 'cx')} {d.rows('ys', 'q', 'cy')})"""
+    return f"""SELECT {found} FROM {cells} a JOIN {cells} b ON a.page = b.page AND a.cx = b.cx AND a.cy = b.cy AND {which} AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
+      AND a.cx = {cell('greatest(a.x1, b.x1)', 'a.width')} AND a.cy = {cell('greatest(a.y1, b.y1)', 'a.height')}"""
+
+
 @operator("boxes")
 def box_iou_pairs(d: Spark, boxes: str) -> str:
     """Overlap of the boxes of a page over what they cover together."""
-    return f"""
-    SELECT page, i, j, round(CAST(shared AS DOUBLE) / (ra + rb - shared), 6) AS iou FROM (
-      SELECT a.page, a.idx AS i, b.idx AS j, {_IOU} AS shared, (a.x2 - a.x1) * (a.y2 - a.y1) AS ra, (b.x2 - b.x1) * (b.y2 - b.y1) AS rb FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND a.idx < b.idx) WHERE shared > 0"""
+    return f"SELECT page, i, j, round(CAST(shared AS DOUBLE) / (ra + rb - shared), 6) AS iou FROM ({touching(d, boxes, 'a.idx < b.idx')})"
 
 
 @operator("boxes", least=0.6)
@@ -74,9 +90,13 @@ def best_overlap_lookup(d: Spark, boxes: str, least: float) -> str:
     """For each box the other of greatest overlap (over what both cover), if that is ``least`` or more and surer of itself."""
     return f"""
     SELECT page, i, j, round(iou, 6) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY page, i ORDER BY iou DESC, j) AS r FROM (
-      SELECT page, i, j, surer, CAST(shared AS DOUBLE) / (ra + rb - shared) AS iou FROM (
-        SELECT a.page, a.idx AS i, b.idx AS j, b.conf > a.conf AS surer, {_IOU} AS shared, (a.x2 - a.x1) * (a.y2 - a.y1) AS ra, (b.x2 - b.x1) * (b.y2 - b.y1) AS rb
-        FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND a.idx <> b.idx) WHERE shared > 0)) WHERE r = 1 AND surer AND iou >= {least}"""
+      SELECT page, i, j, conf_j > conf_i AS surer, CAST(shared AS DOUBLE) / (ra + rb - shared) AS iou FROM ({touching(d, boxes, 'a.idx <> b.idx')}))) WHERE r = 1 AND surer AND iou >= {least}"""
+
+
+@operator("boxes")
+def overlaps(d: Spark, boxes: str) -> str:
+    """(page, a, b, score) of the boxes of even and odd number that overlap."""
+    return f"SELECT page, i AS a, j AS b, CAST(shared AS DOUBLE) / (ra + rb - shared) AS score FROM ({touching(d, boxes, 'a.idx % 2 = 0 AND b.idx % 2 = 1')})"
 
 
 @operator("boxes")

@@ -249,14 +249,6 @@ def guarded_acceptance(d: Spark, events: str) -> str:
     FROM (SELECT t.threshold, e.event_type, count_if(e.value > 100) AS a, count_if(e.value > 100 + t.threshold) AS b FROM {events} e CROSS JOIN (VALUES (-20), (0), (20), (40)) t(threshold) GROUP BY t.threshold, e.event_type) GROUP BY threshold"""
 
 
-@operator("events")
-def kendall_tau(d: Spark, events: str) -> str:
-    """Rank agreement of the order in time and the order of values of each learner's events of a day."""
-    return f"""
-    WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i, value AS j FROM {events})
-    SELECT a.user_id, a.day, count(*) AS pairs, round(CAST(sum(CASE WHEN b.j > a.j THEN 1 WHEN b.j < a.j THEN -1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS tau FROM r a JOIN r b ON a.user_id = b.user_id AND a.day = b.day AND a.i < b.i GROUP BY a.user_id, a.day"""
-
-
 @operator("events")
 def offset_repair_vote(d: Spark, events: str) -> str:
     """Which neighbour's label fits a row best, three rows back or ahead at most, by a vote over a sliding window of seven; isolated misreads don't move."""

@@ -168,13 +168,37 @@ def section_carry_forward(d: Spark, notes: str) -> str:
     return f"SELECT page, line_number, coalesce({d.carried('CASE WHEN ' + d.matches('line', '^[A-Z ]+:$') + ' THEN line END', 'PARTITION BY page ORDER BY line_number ROWS UNBOUNDED PRECEDING')}, 'TOP') AS section FROM {notes}"
 
 
-@operator("notes")
-def reflowed_paragraphs(d: Spark, notes: str) -> str:
-    """Lines that the next one continues, joined: a paragraph ends at a stop, a heading or a field."""
+#: Items of lists, rows with a label, and what ends a sentence.
+LIST_ITEM = r"^(?:[-*•→>]|[0-9]{1,2}[.)]|[a-z][.)])\s+"
+LABEL_ROW = r"^[A-Za-z][\p{L}\p{N}_ /()\x27.&-]{0,30}\s*:\s*\S"
+TERMINAL = r"[.!?:;]$"
+
+
+@operator("notes", "ordinary")
+def reflowed_paragraphs(d: Spark, notes: str, ordinary: str) -> str:
+    """Wrapped lines joined into paragraphs, and whether a blank line parts a paragraph from the one above.
+
+    A line goes on from the one above if it begins in lower case, is no item of a list, no row with a label and holds no bar, and the one above
+    neither ends a sentence nor stands alone (items of lists may go on). A hyphen at the end goes; a word broken without one is
+    joined where its first part is no ``ordinary`` word and the whole is. Empty lines are left out. A line is judged as it was read, not with what
+    it was joined to. All pairs of parts meet the lexicon once.
+    """
+    w = "OVER (PARTITION BY page ORDER BY line_number)"
     return f"""
-    SELECT page, CAST(par AS BIGINT) AS paragraph, {d.listagg('line', ' ', 'line_number')} AS body, count(*) AS lines
-    FROM (SELECT page, line_number, line, sum(new) OVER (PARTITION BY page ORDER BY line_number) AS par
-          FROM (SELECT page, line_number, line, CASE WHEN {d.matches("lag(line) OVER (PARTITION BY page ORDER BY line_number)", '[a-z,]$')} AND {d.matches('line', '^[a-z]')} THEN 0 ELSE 1 END AS new FROM {notes})) GROUP BY page, par"""
+    WITH l AS (SELECT page, line_number, line FROM (SELECT page, line_number, {d.replace("coalesce(line, '')", r'^' + chr(92) + 's+|' + chr(92) + 's+$', '')} AS line FROM {notes}) WHERE line <> ''),
+    k AS (SELECT *, {d.matches('line', LIST_ITEM)} AS item, {d.matches('line', LABEL_ROW)} AS label, position(' | ' IN line) > 0 AS bar FROM l),
+    p AS (SELECT *, lag(line) {w} AS above, lag(item) {w} AS item_above, lag(label OR bar) {w} AS alone_above FROM k),
+    j AS (SELECT *, above IS NOT NULL AND NOT (item OR label OR bar) AND {d.matches('line', r'^' + chr(92) + 'p{Ll}')} AND NOT {d.matches("coalesce(above, '')", TERMINAL)} AND (item_above OR NOT alone_above) AS goes_on,
+                 {d.matches("coalesce(above, '')", '-$')} AND NOT {d.matches("coalesce(above, '')", ' -$')} AS hyphen,
+                 lower({d.extract("coalesce(above, '')", r'([^' + chr(92) + 's]+)$', 1)}) AS tail, lower({d.extract('line', r'^([^' + chr(92) + 's]+)', 1)}) AS head FROM p),
+    c AS (SELECT DISTINCT tail, head FROM j WHERE goes_on AND NOT hyphen AND {d.matches('tail', '^' + chr(92) + 'p{L}+$')} AND {d.matches('head', '^' + chr(92) + 'p{L}+$')}),
+    b AS (SELECT c.tail, c.head, true AS broken FROM c JOIN {ordinary} o ON o.term = concat(c.tail, c.head) WHERE NOT EXISTS (SELECT 1 FROM {ordinary} t WHERE t.term = c.tail)),
+    g AS (SELECT j.page, j.line_number, j.line, j.item, j.label, j.bar, j.goes_on, CASE WHEN NOT j.goes_on OR j.hyphen OR coalesce(b.broken, false) THEN '' ELSE ' ' END AS apart, j.goes_on AND j.hyphen AS cut
+          FROM j LEFT JOIN b ON j.goes_on AND b.tail = j.tail AND b.head = j.head),
+    n AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) {w} AS par, coalesce(lead(cut) {w}, false) AS cut_below FROM g),
+    q AS (SELECT page, par, {d.listagg("concat(apart, CASE WHEN cut_below THEN substring(line, 1, length(line) - 1) ELSE line END)", '', 'line_number')} AS body, count(*) AS lines,
+                 bool_or(NOT goes_on AND (item OR label OR bar)) AS alone, bool_or(NOT goes_on AND (item OR label)) AS marked FROM n GROUP BY page, par)
+    SELECT page, CAST(par AS BIGINT) AS paragraph, body, lines, coalesce(alone <> lag(marked) OVER (PARTITION BY page ORDER BY par), false) AS parted FROM q"""
 
 
 @operator("notes")
@@ -378,12 +402,12 @@ DOSE_OR_FORM = r"(?i)^(?:\d[\d./-]*\w*|mg|mcg|ml|gm|g|iu|tab|tabs|cap|caps|syp|i
 COMMON = ("after", "and", "Ann", "as", "cough", "daily", "days", "diagnosis", "discharge", "fever", "food", "for", "gum", "hours", "name", "no", "pain", "paint", "patient", "review", "smoker", "summary", "topical", "twice", "weeks", "age", "adv", "every", "tab", "syp", "inj")
 
 
-@operator("notes", known=COMMON, drugs=DRUGS, corrected=(("Smoker", "Smokr"),), other="replace(line, 'cough', 'pain')", sure=85, unsure=60, most=3)
-def word_review(d: Spark, notes: str, known: tuple, drugs: tuple, corrected: tuple, other: str, sure: int, unsure: int, most: int) -> str:
+@operator("notes", known=COMMON, drugs=DRUGS, corrected=(("Smoker", "Smokr"),), other="replace(line, 'cough', 'pain')", sure=85, unsure=60, most=3, aligned=False)
+def word_review(d: Spark, notes: str, known: tuple, drugs: tuple, corrected: tuple, other: str, sure: int, unsure: int, most: int, aligned: bool) -> str:
     """Words to look at, with their places (code points, end exclusive), why, and up to ``most`` suggestions.
 
     ``corrected``: a word that spelling made, with what was read. ``ambiguous``: known words that the ``other`` reading of the
-    line has in its place, where both have as many words. ``spelling``: three letters or more, not all capitals, neither ``known`` nor
+    line has in its place, where both have as many words; if ``aligned``, by the column ``reading`` (see ``heard_words``) at any number of words. ``spelling``: three letters or more, not all capitals, neither ``known`` nor
     a drug; the nearest drugs, and known words unless it stands beside a dose. Names and drugs beside doses pass on lines of
     confidence ``sure`` or more, words with nothing near on those of ``unsure`` or more.
     """
@@ -395,13 +419,15 @@ def word_review(d: Spark, notes: str, known: tuple, drugs: tuple, corrected: tup
     beside = " OR ".join(f"coalesce({d.matches(f'trim({f}(token) OVER w)', DOSE_OR_FORM)}, false)" for f in ("lag", "lead"))
     was = f"CASE word {' '.join(f'WHEN {quoted(now)} THEN {quoted(then)}' for now, then in corrected)} END"
     tokens = lambda x: d.extract_all(x, r"\s*\S+")
+    heard, alike, others = ("try_element_at(others, i)", "true", "reading") if aligned else (d.at("others", "i + 1"), f"{d.size('pieces')} = {d.size('others')}", tokens(f"coalesce({other}, '')"))
+    parts = d.only(d.extract_all("heard", "[A-Za-z]+"), "p", f"NOT ({isin('p')})")
     return f"""
-    WITH t AS (SELECT page, line_number, conf, i, piece, {d.at('others', 'i + 1')} AS heard, {d.size('pieces')} = {d.size('others')} AS alike
-               FROM (SELECT page, line_number, conf, {tokens("coalesce(line, '')")} AS pieces, {tokens(f"coalesce({other}, '')")} AS others FROM {notes}) x {d.numbered('pieces', 'y', 'i', 'piece')}),
-    c AS (SELECT page, line_number, conf, i, alike, ltrim(piece) AS token, {d.extract('ltrim(piece)', CORE, 2)} AS word, {d.extract("coalesce(ltrim(heard), '')", CORE, 2)} AS heard,
+    WITH t AS (SELECT page, line_number, conf, i, piece, {heard} AS heard, {alike} AS alike
+               FROM (SELECT page, line_number, conf, {tokens("coalesce(line, '')")} AS pieces, {others} AS others FROM {notes}) x {d.numbered('pieces', 'y', 'i', 'piece')}),
+    c AS (SELECT page, line_number, conf, i, alike, ltrim(piece) AS token, {d.extract('ltrim(piece)', CORE, 2)} AS word, coalesce(nullif({d.extract("coalesce(ltrim(heard), '')", CORE, 2)}, ''), ltrim(heard), '') AS heard,
                  CAST(sum(length(piece)) OVER (PARTITION BY page, line_number ORDER BY i) - length(piece) + length({d.extract('piece', '^' + chr(92) + 's*', 0)}) + length({d.extract('ltrim(piece)', CORE, 1)}) AS BIGINT) AS place FROM t),
     n AS (SELECT *, ({beside}) AS dosed FROM c WINDOW w AS (PARTITION BY page, line_number ORDER BY i)),
-    s AS (SELECT *, {was} AS was, alike AND length(word) >= 2 AND length(heard) >= 2 AND lower(heard) <> lower(word) AND {isin('heard')} AS differs,
+    s AS (SELECT *, {was} AS was, alike AND length(word) >= 2 AND {d.matches('heard', '[A-Za-z]{2}')} AND lower(heard) <> lower(word) AND {d.size(parts)} = 0 AS differs,
                  length(word) >= 3 AND word <> upper(word) AND NOT ({isin('word')}) AND NOT ((dosed OR (i > 0 AND {d.matches('word', '^[A-Z]')})) AND conf >= {sure}) AS strange FROM n WHERE word <> ''),
     f AS (SELECT *, CASE WHEN was IS NULL AND NOT differs AND strange THEN {d.first(f"CASE WHEN dosed THEN {near(drugs)} ELSE {near((*known, *drugs))} END", most)} END AS close FROM s)
     SELECT page, line_number, word, place AS first, place + length(word) AS last, CASE WHEN was IS NOT NULL THEN 'corrected' WHEN differs THEN 'ambiguous' ELSE 'spelling' END AS kind,

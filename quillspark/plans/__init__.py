@@ -13,6 +13,8 @@ def _register(op: Operator) -> None:
     query(op.name, sql)(lambda spark, sf_dir: op(**{i: view(spark, sf_dir, i) for i in op.inputs}))
 
 
+from quillspark.plans import readings  # noqa: E402, F401  before its operators are registered as they stand
+
 for _op in OPERATORS.values():
     if _op.name not in REGISTRY:
         _register(_op)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.strokes import stroke_heading, stroke_measures
-from quillspark.functions.text import channel_cost, clean_text, word_replacements
+from quillspark.functions.text import channel_cost, clean_text
 from quillspark.operators import layout
 from quillspark.operators.text import CLINICAL, DRUGS
 from quillspark.registry import query
@@ -30,20 +30,10 @@ def column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.column_lines(view(spark, sf_dir, "boxes"))
 
 
-def overlaps(boxes: DataFrame) -> DataFrame:
-    """(page, a, b, score) of the boxes of even and odd number that overlap."""
-    a, b = boxes.filter("idx % 2 = 0").alias("a"), boxes.filter("idx % 2 = 1").alias("b")
-    width = F.greatest(F.lit(0), F.least("a.x2", "b.x2") - F.greatest("a.x1", "b.x1"))
-    height = F.greatest(F.lit(0), F.least("a.y2", "b.y2") - F.greatest("a.y1", "b.y1"))
-    area = lambda t: (F.col(f"{t}.x2") - F.col(f"{t}.x1")) * (F.col(f"{t}.y2") - F.col(f"{t}.y1"))
-    shared = width * height
-    return a.join(b, F.col("a.page") == F.col("b.page")).select(F.col("a.page"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), (shared / (area("a") + area("b") - shared)).alias("score")).filter("score > 0")
-
-
 @query("greedy_iou_match")
 def greedy_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one matches of boxes by overlap, best first."""
-    return layout.greedy_match(overlaps(view(spark, sf_dir, "boxes")), 0.05)
+    return layout.greedy_match(layout.overlaps(boxes=view(spark, sf_dir, "boxes")), 0.05)
 
 
 @query("greedy_line_match")
@@ -85,14 +75,6 @@ def channel_cost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costed.withColumn("rank", rank).filter("rank = 1").select("word", "drug", "cost", "count")
 
 
-@query("word_alignment")
-def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the rewrites exchanged one for one, and how often."""
-    notes = view(spark, sf_dir, "notes").select("line", clean_text("line", (*DRUGS, *CLINICAL)).alias("clean")).filter("line <> clean")
-    pairs = notes.select(F.explode(word_replacements("line", "clean")).alias("p"))
-    return pairs.groupBy("p.was", "p.now").count()
-
-
 def _stroke_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stroke with the one before it on its sheet as its reference."""
     points = view(spark, sf_dir, "points")

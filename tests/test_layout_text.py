@@ -172,12 +172,6 @@ def test_channel_cost(spark):
     assert [r[0] for r in df.select(text.channel_cost("a", "b")).collect()] == [0.4, 0.35, 0.8, 1.0, None, 0.4, 1.15, 0.35, 1.0]
 
 
-def test_replacements_pair_words_of_equal_blocks(spark):
-    df = spark.createDataFrame([("tab calpol 500 mg", "tab crocin 650 mg"), ("a b", "a b c")], "a string, b string")
-    got = [[(p.was, p.now) for p in r[0]] for r in df.select(text.word_replacements("a", "b")).collect()]
-    assert got == [[("calpol", "crocin"), ("500", "650")], []]
-
-
 NOTE = "page long, line_number int, conf int, line string"
 
 
