@@ -158,6 +158,17 @@ def _bounds(points: str) -> str:
     return f"SELECT {SHEET} AS sheet, stroke, min(x) AS left_x, max(x) AS right_x, min(y) AS top, max(y) AS bottom FROM {points} GROUP BY stroke HAVING count(*) >= 3"
 
 
+def shapes(points: str, height: float) -> str:
+    """Per sheet: in ten-thousandths how even the slant of its strokes is (the angle from start to end; one drawn back to its start has
+    none) and how much of the height they take, and the mean length of strokes of two points or more, in whole hundredths."""
+    step = "CAST(round(sqrt((x - px) * (x - px) + (y - py) * (y - py)) * 1000000) AS BIGINT)"
+    return f"""
+    SELECT sheet, {evenness('angle')} AS slant, {units(f'least(CAST(1 AS DOUBLE), coalesce((max(low) - min(high)) / {height}, 0))')} AS compression, coalesce(CAST(round(CAST(sum(length) AS DOUBLE) / count(length) / 10000) AS BIGINT), 0) AS mean_length
+    FROM (SELECT {SHEET} AS sheet, CASE WHEN n >= 3 THEN bottom END AS low, CASE WHEN n >= 3 THEN top END AS high, length, CASE WHEN n >= 3 AND (abs(dx) >= 0.000000001 OR abs(dy) >= 0.000000001) THEN degrees(atan2(dy, dx)) END AS angle
+          FROM (SELECT stroke, count(*) AS n, min(y) AS top, max(y) AS bottom, sum({step}) AS length, max_by(x, i) - min_by(x, i) AS dx, max_by(y, i) - min_by(y, i) AS dy
+                FROM (SELECT *, lag(x) OVER (PARTITION BY stroke ORDER BY i) AS px, lag(y) OVER (PARTITION BY stroke ORDER BY i) AS py FROM {points}) GROUP BY stroke)) GROUP BY sheet"""
+
+
 def judged_sheets(d: Spark, points: str, width: float, height: float) -> str:
     """The measures of a sheet with its quality and band, strongest and weakest side (the first and the last of four on ties)."""
     total = " + ".join(f"{w} * {n}" for n, w in QUALITIES.items())
@@ -170,14 +181,14 @@ def judged_sheets(d: Spark, points: str, width: float, height: float) -> str:
 
 @operator("points", width=400.0, height=400.0)
 def writing_quality(d: Spark, points: str, width: float, height: float) -> str:
-    """A sheet's quality and band, its sides, and how its writer felt: frustration, confidence, fatigue and focus, from 0 to 1."""
+    """A sheet's quality and band, its sides, slant, height and mean length of strokes, and how its writer felt: frustration, confidence, fatigue and focus, from 0 to 1."""
     share = lambda x: f"CAST({x} AS DOUBLE) / 10000"
     tenths = lambda x: share(f"floor(({x} + 5) / 10.0)")
     names = ("smoothness", "variance", "hesitation", "confidence", "baseline", "spacing", "canvas", "fatigue", "quality")
     return f"""
-    SELECT sheet, strokes, {', '.join(f'{share(n)} AS {n}' for n in names)}, band, strength, weakness,
+    SELECT q.sheet, strokes, {', '.join(f'{share(n)} AS {n}' for n in names)}, {share('slant')} AS slant, {share('compression')} AS compression, CAST(mean_length AS DOUBLE) / 100 AS mean_length, band, strength, weakness,
            {tenths('6 * hesitation + 4 * variance')} AS frustration, {tenths('5 * confidence + 5 * smoothness')} AS certainty, {tenths('100000 - 5 * variance')} AS focus
-    FROM ({judged_sheets(d, points, width, height)})"""
+    FROM ({judged_sheets(d, points, width, height)}) q JOIN ({shapes(points, height)}) s ON s.sheet = q.sheet"""
 
 
 #: What is said of a sheet, to an early learner, a child and an adult.

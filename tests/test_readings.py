@@ -143,3 +143,14 @@ def test_paragraphs_join_wrapped_hyphened_and_broken_words(spark):
     assert body("Name: Ann", "of Leeds", "and more") == [("Name: Ann", 1, False), ("of Leeds and more", 2, True)]
     assert body("a | b", "goes on", "Next") == [("a | b", 1, False), ("goes on", 1, False), ("Next", 1, False)]
     assert body("the", "rest") == [("the rest", 2, False)] and body(None, "") == []
+
+
+def test_slant_height_and_length_of_a_sheet(spark):
+    from quillspark.operators import strokes
+
+    drawn = {0: [(0, 0), (10, 10), (20, 20)], 1: [(0, 0), (30, 0), (60, 0)], 2: [(0, 5), (3, 9), (0, 5)], 3: [(0, 400), (6, 408)], 30: [(5, 5)]}
+    rows = [(k, i, float(x), float(y), 100.0 * i) for k, points in drawn.items() for i, (x, y) in enumerate(points, 1)]
+    got = {r.sheet: r for r in strokes.writing_quality(points=spark.createDataFrame(rows, "stroke long, i int, x double, y double, t double")).collect()}
+    assert got[0].slant == round(1 - 45 * math.sqrt(0.5) / 45, 4)  # angles of 45 and 0 degrees; the third ends where it began
+    assert got[0].compression == 20 / 400 and got[0].mean_length == round((math.hypot(20, 20) + 60 + 10 + 10) / 4, 2)
+    assert (got[1].slant, got[1].compression, got[1].mean_length) == (1.0, 0.0, 0.0)
