@@ -1,9 +1,11 @@
 """Quality classifier, decontamination, nearest neighbours, tool calls and the pipeline."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import ann, decontaminate, quality, toolcalls
@@ -219,6 +221,44 @@ def test_columns_of_the_decontamination_query(spark, leaked, tmp_path):
     assert rows == {(d, i): brute_alignment(bench[i].lower().split(), texts[d].lower().split()) / (2 * len(bench[i].split())) for d, i in truth}
 
 
+def test_items_that_share_common_words_take_bounded_memory():
+    """The peak of a search follows neither the items nor how many of them hold a pair of words; what is found stays."""
+    rnd = np.random.default_rng(5)
+    odds = 1 / np.arange(1, 20_001)
+    text = lambda n: [f"w{x}" for x in rnd.choice(20_000, n, p=odds / odds.sum())]
+    items = [text(30) for _ in range(8_000)]
+    texts = [text(1_000) for _ in range(100)]
+    for k in range(0, 100, 4):
+        texts[k][500:500] = [x if j % 6 else "edited" for j, x in enumerate(items[k * 70])]
+    column = pa.array([" ".join(t) for t in texts])
+    block = decontaminate.items_of([(i, " ".join(w)) for i, w in enumerate(items)])
+    search = decontaminate.Search(block.seeds(np.zeros(len(block.gram), np.int64), 0.5), 0.5)
+    tracemalloc.start()
+    row, item, score, _, end = search.found(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert {(k, k * 70) for k in range(0, 100, 4)} <= set(zip(row.tolist(), item.tolist(), strict=True))
+    for r, i, s, e in zip(row.tolist(), item.tolist(), score.tolist(), end.tolist(), strict=True):
+        assert s == brute_alignment(items[i], texts[r][max(e - 80, 0) : e]) / 60
+
+
+def test_windows_cut_anywhere_find_the_same(monkeypatch):
+    rnd = random.Random(3)
+    word = lambda: f"w{int(rnd.paretovariate(0.7))}"
+    items = [(i, [word() for _ in range(rnd.randrange(1, 40))]) for i in range(30)]
+    texts = [[word() for _ in range(rnd.randrange(0, 90))] + items[k][1][: rnd.randrange(40)] + ["x"] * (k % 5) for k in range(30)]
+    want = {(r, i, s) for r, t in enumerate(texts) for i, w in items if (s := brute_alignment(w, t) / (2 * len(w))) >= (0.5 if len(w) > 2 else 1)}
+    block = decontaminate.items_of([(i, " ".join(w)) for i, w in items])
+    column = pa.array([" ".join(t) for t in texts] + [None, ""], pa.string())
+    for hits, grams in ((500_000, 100_000), (50, 100_000), (300, 40), (1, 1)):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        monkeypatch.setattr(decontaminate, "PART_GRAMS", grams)
+        for often in (np.zeros(len(block.gram), np.int64), np.arange(len(block.gram)) % 7):
+            row, item, score, *_ = decontaminate.Search(block.seeds(often, 0.5), 0.5).found(column)
+            assert set(zip(row.tolist(), item.tolist(), score.tolist(), strict=True)) == want and want
+
+
 def test_empty_benchmark_and_documents(spark):
     d, b = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(d, b).count() == 0 and decontaminate.decontaminated(d, b).count() == 1
