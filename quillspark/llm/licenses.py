@@ -12,6 +12,8 @@ their names, are carried along, but those with the names of results (n_words, ba
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,7 +79,7 @@ FAMILIES = (
     ("cc-by-nc-nd-4.0", "cc by nc nd 4 0", "cc{g}by|creative commons", "creative commons attribution noncommercial noderivatives|cc by nc nd", "4{g}0"),
 )
 
-#: Form, context keywords, pattern ({n} name, {s} SPDX words, {v} version, {d} its first digit, {g} gap), priority,
+#: Form, context keywords, pattern ({n} name, {s} SPDX words, {i} SPDX identifier, {a} abbreviation, {v} version, {d} its first digit, {g} gap), priority,
 #: confidence. Every match of a pattern holds one of its context keywords and one of its family's. Higher priorities outrank lower ones.
 FORMS = (
     ("spdx", "spdx", "spdx{g}license{g}identifier{g}{s}(?:{g}(?:only|or{g}later))?", 6, 1.0),
@@ -87,8 +89,14 @@ FORMS = (
     ("released", "released under|distributed under|available under|published under", "(?:released|distributed|available|published){g}under{g}(?:the{g})?(?:terms{g}of{g}(?:the{g})?)?(?:{n})(?:{g}licen[sc]e)?", 4, 0.9),
     ("name-version", "version {d}|v{d}", "(?:{n})(?:{g}licen[sc]e)?{g}(?:version{g}|v){v}", 3, 0.85),
     ("name", "licen", "(?:{n}){g}licen[sc]e", 2, 0.7),
+    ("tag", "licen", "licen[sc]e[\\x20\"']*[:=]{1,2}>?[\\x20\"']*{s}(?:{g}(?:only|or{g}later))?", 5, 0.98),
+    ("identifier", "{s}", "{i}(?:-only|-or-later)?", 4, 0.9),
+    ("short-version", "{a}v{d}", "(?:gnu{g})?{a}v{v}(?:{g}(?:only|or{g}later))?", 4, 0.9),
 )
 
+#: Families whose version is often written right after their letters, as GPLv3.
+SHORT = ("gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "eupl")
+
 #: Rules of one form only: label, keyword, pattern, priority, confidence.
 SINGLE = (
     ("public-domain", "public domain", "(?:dedicated{g}to|released{g}into|in){g}the{g}public{g}domain", 3, 0.8),
@@ -229,6 +237,15 @@ def _words(phrase: str) -> str:
     return "|".join(rf"{GAP}+".join(x.split()) for x in phrase.split("|"))
 
 
+def _gates(phrases: Iterable[str]) -> str:
+    """Alternatives of keywords, the longest first at any place, by first letter. Between two words of one there may also
+    be any one character that isn't a letter or digit of ASCII, as ``\\W`` in a rule lets through."""
+    groups: dict[str, list[str]] = {}
+    for phrase in sorted(set(phrases), key=lambda k: (-len(k), k)):
+        groups.setdefault(phrase[0], []).append(rf"(?:{GAP}+|\W)".join(phrase.split())[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
 def _bounded(body: str) -> str:
     return rf"(?i)(?<!{WORD})(?:{body})(?!{WORD})"
 
@@ -244,11 +261,15 @@ def rules() -> list[Rule]:
                 continue
             if form in ("licensed", "released", "name") and version:
                 label = label.rsplit("-", 1)[0]  # no version said
-            body = pattern.replace("{n}", _words(names)).replace("{s}", _words(spdx)).replace("{v}", version or "(?!)").replace("{g}", gap)
+            short = label.split("-")[0]
+            if (form == "identifier" and not ("-" in label and re.search("[0-9]", label))) or (form == "short-version" and short not in SHORT):
+                continue  # a word of the language, perhaps
+            body = pattern.replace("{n}", _words(names)).replace("{s}", _words(spdx)).replace("{i}", re.escape(label)).replace("{a}", short)
+            body = body.replace("{v}", version or "(?!)").replace("{g}", gap)
             if (label, body) in seen:  # versions of one family that aren't told apart here
                 continue
             seen.add((label, body))
-            out.append(Rule(len(out), label, context.replace("{d}", version[:1]), family.replace("{g}", " "), _bounded(body), priority, confidence))
+            out.append(Rule(len(out), label, context.replace("{d}", version[:1]).replace("{s}", spdx).replace("{a}", short), family.replace("{g}", " "), _bounded(body), priority, confidence))
     for label, keyword, pattern, priority, confidence in SINGLE:
         out.append(Rule(len(out), label, keyword, keyword, _bounded(pattern.replace("{g}", gap)), priority, confidence))
     for label, keyword, sentence, priority, confidence in SENTENCES:
@@ -256,8 +277,8 @@ def rules() -> list[Rule]:
     return out
 
 
-def _keywords(table: list[Rule]) -> list[str]:
-    return sorted({k for r in table for k in [*r.context.split("|"), *r.family.split("|")]}, key=lambda k: (-len(k), k))
+def _keywords(table: list[Rule]) -> set[str]:
+    return {k for r in table for k in [*r.context.split("|"), *r.family.split("|")]}
 
 
 def _rule_table(table: list[Rule]) -> str:
@@ -284,14 +305,14 @@ def detect_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | Non
     df = df.withColumn("n_words", F.expr(f"cast(regexp_count({t}, {sql_text(WORD + '+')}) as bigint)"))
 
     # Context words open the scan; without one, and without a base phrase, no rule can match. All begin where a word does.
-    gate = f"(?i)(?<!{WORD})(?:" + "|".join(_words(k) for k in sorted({k for r in table for k in r.context.split("|")} | {phrase for phrase, _ in BASE})) + ")"
+    gate = f"(?i)(?<!{WORD})(?:" + _gates({k for r in table for k in r.context.split("|")} | {phrase for phrase, _ in BASE}) + ")"
     df = df.withColumn(g, F.expr(f"{t} rlike {sql_text(gate)}"))
 
     base = ", ".join(f"transform({spans(t, sql_text(_bounded(_words(phrase))))}, x -> named_struct('s', x.s, 'e', x.e, 'label', {sql_text(label)}))" for phrase, label in BASE)
     df = df.withColumn("base", F.expr(f"case when {g} then array_sort(concat({base})) else cast(array() as array<struct<s:int,e:int,label:string>>) end"))
 
-    found = "|".join(_words(k) for k in _keywords(table))
-    lower = "lower(regexp_replace(x, {}, ' '))".format(sql_text(GAP + "+"))
+    found = _gates(_keywords(table))
+    lower = "lower(regexp_replace(x, '[^A-Za-z0-9]+', ' '))"
     df = df.withColumn(ks, F.expr(f"case when {g} then array_distinct(transform(regexp_extract_all({t}, {sql_text(f'(?i)(?<!{WORD})(?=({found}))')}, 1), x -> {lower})) end"))
     # lookahead hits give the longest keyword at a place; shorter ones inside it count as well
     has = "exists(" + ks + ", k -> contains(k, {}))"

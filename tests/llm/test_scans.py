@@ -81,9 +81,10 @@ PATTERNS = [(r, re.compile(r.pattern.replace("(?i)", "", 1), re.I | re.A)) for r
 def test_gates_lose_no_match_of_any_rule(spark):
     texts = ["GNU GPL version 3", "Apache version 2.0", "MPL v2.0", "CC BY version 4.0", "the Expat License", "released under Expat", "cc-by 4.0"]
     tails = {r: t for r, t in zip(("public-domain", "all-rights-reserved", "copyright-notice", "permission-notice"), ("in the public domain", "All rights reserved", "Copyright (c) 2020", "Permission is hereby granted, free of charge"), strict=True)}
-    for _, spdx, _, names, version in licenses.FAMILIES:
+    texts += [f"for non{dash}commercial use only" for dash in "\u2010\u2011\u2013\u2014- é"] + ["non\u2011commercial purposes only, license", "LICENSE\u2011MIT", "GPL\u20113.0"]
+    for label, spdx, _, names, version in licenses.FAMILIES:
         v = version.replace("(?:{g}0)?", "").replace("{g}", ".")
-        texts.append(f"SPDX-License-Identifier: {spdx.replace(' ', '-')}")
+        texts += [f"SPDX-License-Identifier: {spdx.replace(' ', '-')}", f"{label.upper()}-only", f'"license": "{label}"', f"under {label.split('-')[0]}v{v}+"]
         for n in names.split("|"):
             texts += [f"Licensed under the {n}", f"published under {n}", f"{n} license", f"{n.title()} Licence"]
             texts += [f"licensed under {n} {v}", f"available under the {n}, version {v}", f"{n} v{v}", f"{n}, Version {v}"] if v else []
@@ -97,6 +98,26 @@ def test_gates_lose_no_match_of_any_rule(spark):
     assert {r.text: [(d.s, d.e, d.label, d.prio, d.ord) for d in r.detections] for r in got} == {t: ungated(t) for t in texts}
 
 
+def test_identifiers_tags_and_short_versions(spark):
+    want = {
+        "License: Apache-2.0": {"apache-2.0"},
+        "License: MIT": {"mit"},
+        'license = "MIT"': {"mit"},
+        "This project is GPLv3.": {"gpl-3.0"},
+        "released under GPLv2": {"gpl-2.0"},
+        "LGPLv2.1 license": {"lgpl-2.1"},
+        "License: CC-BY-SA-4.0": {"cc-by-sa-4.0"},
+        "dual Apache-2.0 OR MPL-2.0": {"apache-2.0", "mpl-2.0"},
+        "BSD-3-Clause": {"bsd-3-clause"},
+        "for non\u2011commercial use only": {"non-commercial"},
+        "for non\u2013commercial use only": {"non-commercial"},
+        "we submit: mit students, gpl 30 and version 3": set(),
+        "a license mit students hold": set(),
+    }
+    rows = licenses.detect_licenses(spark.createDataFrame([(t,) for t in want], "text string")).collect()
+    assert {r.text: {d.label for d in r.detections} for r in rows} == want
+
+
 def test_no_version_is_said_that_the_text_does_not_say(spark):
     forms = ("Released under the {} License.", "Distributed under the {}", "available under the {} license", "Licensed under {}", "published under the terms of the {}")
     texts, want = [], {}
