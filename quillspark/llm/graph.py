@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, stored: bool = False) -> DataFrame:
     """(node, label) for every node of ``edges(a, b)``; the label is the least node of its component.
 
     Each round takes the least label among neighbours and then jumps to that label's own label, so
     that rounds grow with the logarithm of a path's length. Loops and repeated edges do no harm.
+    ``stored``: the edges are a written table, so they need not be written again.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = edges.select("a", "b")
+    edges = edges if stored else written(edges.distinct())
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))

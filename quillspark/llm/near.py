@@ -48,9 +48,20 @@ TARGET, SAMPLE, MORE, MOST = 0.9999, 2048, 6, 60
 FAN = 256
 #: Texts of a block of exact comparisons, and of one in components of more than so many.
 BLOCK, WIDE_BLOCK, WIDE = 128, 1024, 1 << 14
+#: Bytes of a batch to Python, where Spark's own limit is 64 MB (a longer text is a batch of its own), and tokens sorted at once.
+BATCH_BYTES, TOKENS = 4 << 20, 1 << 19
 _A = mixed(np.arange(1, 2 * COORDINATES + 3, dtype=np.uint64) * MULTIPLIER)
 
 
+def _prepare(spark: SparkSession) -> None:
+    """Besides what all operators set: batches bounded by bytes. Long texts and their tokens make batches of 2,000 rows
+    too large to hold in the JVM, on their way and in the worker, by each task at once."""
+    prepare(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864", "67108864b", "64MB"):  # its default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     h, _, _, row = words(data, offsets)
     return shingles(h, row, len(offsets) - 1, n)[:2]
@@ -59,7 +70,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.n
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     """Written table of (k, doc_id, n, sig): the text's digest, how many different runs it has, and its minhash
     with one coordinate more than paths pick from (null without words)."""
-    prepare(docs.sparkSession)
+    _prepare(docs.sparkSession)
     first, second = _A[: COORDINATES + 1], _A[COORDINATES + 1 :] | np.uint64(1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,21 +199,25 @@ def _tree(rows: DataFrame, most: int, fan: int = FAN) -> DataFrame:
 
 def candidate_edges(sets: DataFrame, runs: range = range(RUNS), levels: int = LEVELS, limit: int = LIMIT) -> DataFrame:
     """Edges whose components hold every pair found by ``runs``. sets: written table of (k, sig), one row per distinct text."""
-    prepare(sets.sparkSession)
-    parts = []
+    _prepare(sets.sparkSession)
+    # Nodes of all levels are met at once: they are hashes of whole paths, so no two levels share one.
+    lives, smalls, trees = [], [], []
     live = written(_split(sets.select("k", "sig"), runs))
     for level in range(1, levels + 1):
         sizes = written(live.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
         small, large = sizes.filter(F.col("n") <= limit), sizes.filter(F.col("n") > limit)
-        parts.append(_bucket_edges(live.join(small.select("node"), "node").join(sets, "k")))
+        lives.append(live)
+        smalls.append(small.select("node"))
         most = large.agg(F.max("n")).first()[0]
         if not most:
             break
         if level == levels:
-            parts.append(_tree(live.join(large.select("node"), "node"), most))
+            trees.append(_tree(live.join(large.select("node"), "node"), most))
         else:
             live = written(_split(live.join(large.select("node"), "node").join(sets, "k").select("k", "sig", "node")))
-    return functools.reduce(DataFrame.unionByName, parts).filter("a != b").distinct()
+    union = functools.partial(functools.reduce, DataFrame.unionByName)
+    buckets = _bucket_edges(union(lives).join(union(smalls), "node").join(sets, "k"))
+    return union([buckets, *trees]).filter("a != b").distinct()
 
 
 def sampled_pairs(sets: DataFrame, sample: int = SAMPLE, similar: float = SIMILAR) -> list[tuple[bytes, bytes]]:
@@ -236,7 +251,7 @@ def candidate_components(sets: DataFrame, runs: int = RUNS, more: int = MORE, mo
     edges = candidate_edges(sets, range(runs), **options)
     while True:
         edges = written(edges)
-        candidates = components(edges).withColumnRenamed("node", "k")
+        candidates = components(edges, stored=True).withColumnRenamed("node", "k")
         recall = recall_of(candidates, pairs)
         if recall >= target or runs >= most:
             return candidates, runs, recall
@@ -244,10 +259,24 @@ def candidate_components(sets: DataFrame, runs: int = RUNS, more: int = MORE, mo
         runs += more
 
 
-def _linked(tokens: list[np.ndarray], similar: float) -> np.ndarray:
-    """Which pairs of sets have a Jaccard similarity of at least ``similar``."""
+def _linked(tokens: list[np.ndarray], similar: float, most: int = TOKENS) -> np.ndarray:
+    """Which pairs of sets have a Jaccard similarity of at least ``similar``. tokens: hashes in order; ranges of
+    about ``most`` of them are counted one after the other."""
     size = np.array([len(t) for t in tokens], np.float64)
-    row = np.repeat(np.arange(len(tokens)), size.astype(np.int64))
+    common = np.zeros((len(tokens), len(tokens)), np.float64)
+    ranges = max(1, math.ceil(size.sum() / most))
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    ends = [[0, *np.searchsorted(t, bounds).tolist(), len(t)] for t in tokens]
+    for r in range(ranges):
+        _count_common([t[e[r] : e[r + 1]] for t, e in zip(tokens, ends, strict=True)], common)
+    near = common >= similar * (size[:, None] + size[None, :] - common) - 1e-9
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _count_common(tokens: list[np.ndarray], common: np.ndarray) -> None:
+    """Add to ``common`` how many tokens each two sets share."""
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     value, column, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     shared = count > 1
     number = np.cumsum(shared) - 1
@@ -255,16 +284,12 @@ def _linked(tokens: list[np.ndarray], similar: float) -> np.ndarray:
     row, column = row[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(tokens), len(tokens)), np.float64)
     width = 4096  # columns of a dense part
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         i, j = np.searchsorted(column, [lo, lo + width])
         part = np.zeros((len(tokens), width), np.float32)
         part[row[i:j], column[i:j] - lo] = 1
         common += part @ part.T
-    near = common >= similar * (size[:, None] + size[None, :] - common) - 1e-9
-    np.fill_diagonal(near, False)
-    return near
 
 
 def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK, wide_block: int = WIDE_BLOCK) -> DataFrame:
@@ -274,7 +299,7 @@ def verified(texts: DataFrame, similar: float = SIMILAR, block: int = BLOCK, wid
     A class of more than ``block`` texts is dealt into blocks by hash, and each pair of blocks of one class or of two
     next to each other is a group of its own; within one, rows are sets, not pairs.
     """
-    prepare(texts.sparkSession)
+    _prepare(texts.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,6 +356,18 @@ def sized(candidates: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -
     return classed.join(sizes, "label")
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(k, label, size, sizes, t) of the documents that ``wanted`` (k, least, label, size, sizes) names.
+
+    Members of components are a share of all texts at every size, so both sides are shuffled. They are a small share
+    of it, without text: a partition's share of them is hashed, and texts pass it unsorted.
+    """
+    wanted = wanted.select(F.col("k").alias("wk"), "label", "size", "sizes", F.col("least").alias("wl")).hint("shuffle_hash")
+    keyed = docs.select(F.unhex(F.md5(text_of(text))).alias("k"), F.col("doc_id").alias("least"), text_of(text).alias("t"))
+    texts = keyed.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & F.col("least").eqNullSafe(F.col("wl")))
+    return texts.select("k", "label", "size", "sizes", "t")
+
+
 def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR, **options) -> tuple[DataFrame, DataFrame]:
     """(table, classes): the sketches' (k, doc_id), and for each distinct text k, least (doc_id), n_copies,
     n_links, class_id and stays (whether its least document is the one of its class that stays)."""
@@ -338,13 +375,9 @@ def near_classes(docs: DataFrame, text: str = "text", similar: float = SIMILAR,
     classes = written(table.groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     candidates, _, _ = candidate_components(classes.filter("sig is not null").select("k", "sig"), **options)
     wanted = sized(candidates.join(classes.select("k", "least", "n"), "k"), similar)
-    # Members of components are a share of all texts at every size: both sides are shuffled.
-    wanted = wanted.select(F.col("k").alias("wk"), "label", "size", "sizes", F.col("least").alias("wl")).hint("merge")
-    keyed = docs.select(F.unhex(F.md5(text_of(text))).alias("k"), F.col("doc_id").alias("least"), text_of(text).alias("t"))
-    texts = keyed.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & F.col("least").eqNullSafe(F.col("wl")))
-    found = written(verified(texts.select("k", "label", "size", "sizes", "t"), similar))
+    found = written(verified(_texts_of(docs, wanted, text), similar))
     links = found.groupBy("k").agg(F.sum("links").alias("n_links"))
-    linked = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "k")
+    linked = components(found.select(F.col("k").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "k")
     # Nulls come last: a class has a null class_id only if no document of it has an id.
     order = F.struct(F.col("least").isNull().alias("none"), "least", "k")
     # Written, a row for each class and one for each member: a class of very many texts meets its row in a join that

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -128,6 +129,45 @@ def test_near_copies_of_over_a_megabyte(spark):
     assert len(rows[0][1]) > 1_000_000 and got == {d: (c, n) for d, c, n, _ in brute_near(rows)} and got[1] == (1, 1)
 
 
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"])
+
+    docs = spark.range(400, numPartitions=1).selectExpr("id doc_id", "repeat('some words ', 4000) || id text")
+    near._prepare(spark)
+    assert docs.mapInArrow(sizes, "b long").agg({"b": "max"}).first()[0] < near.BATCH_BYTES + 100_000
+
+
+def test_large_sets_are_compared_in_bounded_memory():
+    rnd = np.random.default_rng(7)
+    base = rnd.integers(0, 1 << 64, 20_000, np.uint64, endpoint=False)
+    sets = [np.unique(np.concatenate([base[i * 40 :], rnd.integers(0, 1 << 64, i * 40, np.uint64)])) for i in range(160)]
+    tracemalloc.start()
+    got = near._linked(sets, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    shared = lambda i, j: len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    for i, j in [(0, 1), (0, 55), (0, 56), (0, 100), (3, 159), (120, 159), (90, 140)]:
+        n = shared(i, j)
+        assert got[i, j] == got[j, i] == (n >= 0.8 * (len(sets[i]) + len(sets[j]) - n))
+    assert (got == near._linked(sets, 0.8, most=10**9)).all() and got.any() and not got.all()
+    assert peak < 100 << 20
+
+
+def test_texts_are_not_sorted_and_levels_share_one_comparison(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    wanted = docs.selectExpr("unhex(md5(text)) k", "doc_id least", "unhex(md5(text)) label", "0 size", "map(0, 2L) sizes")
+    plan = near._texts_of(docs, wanted, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    rows = one_group()
+    sets = near.written(near.sketches(spark.createDataFrame(rows, "doc_id long, text string")).select("k", "sig").dropDuplicates(["k"]))
+    plan = near.candidate_edges(sets, levels=3, limit=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "zz")], "doc_id long, text string")
     assert sorted((r.class_id is None, r.n_copies) for r in near.near_duplicates(docs).collect()) == [(True, 1), (True, 2), (True, 2)]
