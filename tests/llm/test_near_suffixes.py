@@ -137,8 +137,8 @@ def test_batches_of_long_texts_are_bounded_by_bytes(spark):
             yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"])
 
     docs = spark.range(400, numPartitions=1).selectExpr("id doc_id", "repeat('some words ', 4000) || id text")
-    near._prepare(spark)
-    assert docs.mapInArrow(sizes, "b long").agg({"b": "max"}).first()[0] < near.BATCH_BYTES + 100_000
+    near.sketches(docs.limit(1))
+    assert docs.mapInArrow(sizes, "b long").agg({"b": "max"}).first()[0] < (4 << 20) + 100_000
 
 
 def test_large_sets_are_compared_in_bounded_memory():
@@ -149,19 +149,22 @@ def test_large_sets_are_compared_in_bounded_memory():
     got = near._linked(sets, 0.8)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
+    assert peak < 100 << 20
     shared = lambda i, j: len(np.intersect1d(sets[i], sets[j], assume_unique=True))
     for i, j in [(0, 1), (0, 55), (0, 56), (0, 100), (3, 159), (120, 159), (90, 140)]:
         n = shared(i, j)
         assert got[i, j] == got[j, i] == (n >= 0.8 * (len(sets[i]) + len(sets[j]) - n))
     assert (got == near._linked(sets, 0.8, most=10**9)).all() and got.any() and not got.all()
-    assert peak < 100 << 20
 
 
-def test_texts_are_not_sorted_and_levels_share_one_comparison(spark):
+def test_texts_pass_their_join_unsorted(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     wanted = docs.selectExpr("unhex(md5(text)) k", "doc_id least", "unhex(md5(text)) label", "0 size", "map(0, 2L) sizes")
     plan = near._texts_of(docs, wanted, "text")._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_levels_share_one_comparison(spark):
     rows = one_group()
     sets = near.written(near.sketches(spark.createDataFrame(rows, "doc_id long, text string")).select("k", "sig").dropDuplicates(["k"]))
     plan = near.candidate_edges(sets, levels=3, limit=8)._jdf.queryExecution().executedPlan().toString()
