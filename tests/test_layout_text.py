@@ -361,7 +361,7 @@ def test_strokes_of_a_batch_are_measured_together():
     a, b = (pa.array(x, pa.list_(pa.list_(pa.float64()))) for x in (strokes, strokes[::-1]))
     began = time.process_time()
     together, ways = stroke_measures.func(a, b), stroke_heading.func(a)
-    assert time.process_time() - began < 4  # one by one 12 s and more
+    assert time.process_time() - began < 4  # one by one 8.5 s for 20,300 strokes
     some = [0, 1, *range(2, 30_002, 1500), 30_001]
     assert [together[i].as_py() for i in some] == [stroke_measures.func(a.slice(i, 1), b.slice(i, 1))[0].as_py() for i in some]
     assert [ways[i].as_py() for i in some] == [stroke_heading.func(a.slice(i, 1))[0].as_py() for i in some]
