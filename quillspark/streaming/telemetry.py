@@ -46,10 +46,10 @@ def practice_bursts(events: DataFrame, gap: str = "6 hours", late: str = "1 day"
 def stroke_guidance(events: DataFrame, late: str = "365 days") -> DataFrame:
     """Tries of every stroke of a learner's day, and the pauses before them in order of time; ``events`` have a ``stroke`` and a ``pause``.
 
-    A day's state goes once the watermark has passed it; events that come later still are rows of their own, with ``late`` true.
+    A day's state goes once the watermark has passed the last of the ``keyed.SPAN`` days that are kept together; events that come later still are rows of their own, with ``late`` true.
     """
-    days = keyed.untied(events, late).withColumn("day", F.expr("ms div 86400000"))
-    return days.groupBy("user_id", "day").transformWithState(keyed.Guidance(), keyed.Guidance.OUTPUT, "Update", "EventTime")
+    days = keyed.untied(events, late).withColumn("day", F.expr("ms div 86400000")).withColumn("span", F.expr(f"CAST(floor(day / {keyed.SPAN}) AS BIGINT)"))
+    return days.groupBy("user_id", "span").transformWithState(keyed.Guidance(), keyed.Guidance.OUTPUT, "Update", "EventTime")
 
 
 def attempts(events: DataFrame, late: str = "365 days") -> DataFrame:

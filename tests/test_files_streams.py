@@ -170,3 +170,29 @@ def test_repeats_go_and_bursts_end(spark, tmp_path):
     bursts = collected(telemetry.practice_bursts(telemetry.read_events(spark, folder).where("event_id NOT IN (1, 3)"), "6 hours", "1 day"), "append", tmp_path / "c4")
     ends = sorted((str(r.session_window.start), str(r.session_window.end), r.sessions) for _, r in bursts)
     assert ends[0] == ("2024-01-30 00:00:00", "2024-01-30 11:00:00", 3)
+
+
+def test_guidance_reads_and_writes_state_once_for_many_days():
+    from types import SimpleNamespace as Some
+
+    class Value:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    held, timers = Value(), []
+    g = keyed.Guidance()
+    g.init(Some(getValueState=lambda *_: held, registerTimer=timers.append))
+    row = lambda day, stroke, at, pause: Some(day=day, stroke=stroke, us=at, event_id=at, pause=pause)
+    now = Some(getCurrentWatermarkInMs=lambda: 33 * keyed.DAY_MS)
+    first = list(g.handleInputRows((7, 1), iter([row(d, d % 2, 10 - k, k) for d in range(33, 64) for k in range(3)]), now))
+    assert held.calls == 2 and timers == [64 * keyed.DAY_MS] and len(first) == 31 and all(r.hesitations == [2, 1, 0] for r in first)
+    more = list(g.handleInputRows((7, 1), iter([row(40, 0, 9, 5), row(32, 0, 1, 8), row(32, 1, 1, None)]), now))
+    assert held.calls == 4 and len(timers) == 1
+    assert [(r.day, r.stroke, r.attempts, r.hesitations, r.late) for r in more] == [(40, 0, 4, [2, 1, 5, 0], False), (32, 0, 1, [8], True), (32, 1, 1, [None], True)]
