@@ -232,7 +232,15 @@ def id_remap(d: Spark, boxes: str) -> str:
 
 @operator("boxes")
 def projection_segments(d: Spark, boxes: str) -> str:
-    """Runs of inked rows of a page's profile, parted by gaps of more than three rows."""
+    """Runs of inked rows of a page's profile, parted by gaps of more than three rows.
+
+    In Spark a box stays one row: it begins a run where it lies that far below all boxes that begin above it.
+    """
+    if d.name == "spark":
+        w = "PARTITION BY page ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND"
+        return f"""
+    SELECT page, CAST(min(y1) AS INT) AS top, CAST(max(y2) AS INT) AS bottom FROM (SELECT page, y1, y2, sum(new) OVER ({w} CURRENT ROW) AS seg FROM (
+      SELECT page, y1, y2, CASE WHEN y1 - max(y2) OVER ({w} 1 PRECEDING) <= 4 THEN 0 ELSE 1 END AS new FROM {boxes} WHERE y2 >= y1)) GROUP BY page, seg"""
     rows = f"SELECT DISTINCT page, y FROM (SELECT page, {d.span('y1', 'y2')} AS ys FROM {boxes}) x {d.rows('ys', 'r', 'y')}"
     return f"""
     SELECT page, CAST(min(y) AS INT) AS top, CAST(max(y) AS INT) AS bottom FROM (SELECT page, y, sum(new) OVER (PARTITION BY page ORDER BY y) AS seg FROM (

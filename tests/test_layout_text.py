@@ -365,3 +365,10 @@ def test_strokes_of_a_batch_are_measured_together():
     some = [0, 1, *range(2, 30_002, 1500), 30_001]
     assert [together[i].as_py() for i in some] == [stroke_measures.func(a.slice(i, 1), b.slice(i, 1))[0].as_py() for i in some]
     assert [ways[i].as_py() for i in some] == [stroke_heading.func(a.slice(i, 1))[0].as_py() for i in some]
+
+
+def test_projection_segments_keep_a_row_a_box(spark):
+    boxes = [(1, 0, 1_000_000_000), (1, 5, 9), (1, 1_000_000_004, 1_000_000_006), (1, 1_000_000_011, 1_000_000_012), (2, 30, 20), (2, 3, 3), (2, None, 4), (None, 1, 2)]
+    df = spark.createDataFrame(boxes, "page long, y1 int, y2 int")
+    got = sorted(map(tuple, layout.projection_segments(boxes=df).collect()), key=str)
+    assert got == sorted([(1, 0, 1_000_000_006), (1, 1_000_000_011, 1_000_000_012), (2, 3, 3), (None, 1, 2)], key=str)
