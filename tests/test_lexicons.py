@@ -154,3 +154,21 @@ def test_whole_values_and_cells_three_spaces_apart(spark):
     got = {r.line_number: (r.keys, r.vals) for r in text.key_values(notes=df).collect()}
     assert got == {0: ("Address", "12 Main Road Pune"), 1: ("Patient Name|Age/Sex|Ref. Dr(s)", "Ann Lee|42 / F|O'Neil-Roy"), 6: ("Dr's Note (new)", "rest")}
     assert {r.line_number: r.cells for r in text.table_cells(notes=df).collect()}[7] == "Hb|12.1|g/dL  low"
+
+
+def test_words_are_counted_once_for_the_fuzzy_match(spark):
+    docs = spark.createDataFrame([(1, "kelimar kelimat")] + [(i, "kelimat") for i in range(2, 8)], "doc_id long, text string")
+    found = text.fuzzy_lexicon_match(documents=docs, ordinary=spark.createDataFrame([], "term string"))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("kelimar", "kelimat", 1)]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_near_pairs_of_a_first_letter_and_of_short_words(spark, same):
+    rnd = random.Random(9)
+    terms = sorted({"".join(rnd.choices("abñé", k=rnd.randrange(1, 18))) for _ in range(120)})
+    words = sorted({w for t in terms for w in (mutated(rnd, t, rnd.randrange(4)) for _ in range(3)) if w})
+    spark.createDataFrame([(w,) for w in words], "w string").createOrReplaceTempView("near_words")
+    spark.createDataFrame([(t,) for t in terms], "w string").createOrReplaceTempView("near_terms")
+    got = spark.sql(text.near_pairs(SPARK, "SELECT w FROM near_words", "SELECT w FROM near_terms", {2: "{n} >= 1"}, "2", same)).collect()
+    assert sorted(map(tuple, got)) == sorted((w, t, d) for w in words for t in terms if (not same or w[0] == t[0]) and (d := edits(w, t)) <= 2)
