@@ -172,3 +172,16 @@ def test_near_pairs_of_a_first_letter_and_of_short_words(spark, same):
     spark.createDataFrame([(t,) for t in terms], "w string").createOrReplaceTempView("near_terms")
     got = spark.sql(text.near_pairs(SPARK, "SELECT w FROM near_words", "SELECT w FROM near_terms", {2: "{n} >= 1"}, "2", same)).collect()
     assert sorted(map(tuple, got)) == sorted((w, t, d) for w in words for t in terms if (not same or w[0] == t[0]) and (d := edits(w, t)) <= 2)
+
+
+def test_texts_are_scanned_in_parts_of_bounded_size():
+    import pyarrow as pa
+
+    from quillspark.operators.lexicons import parts
+
+    texts = ["é" * 30, None, "", "x" * 500, "a" * 40, "b" * 40, "c" * 41, None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": texts})
+    got = list(parts(batch, 1, 100))
+    assert [x.to_pydict()["id"] for x in got] == [[0, 1, 2], [3], [4, 5], [6, 7]]
+    assert pa.Table.from_batches(got).combine_chunks().to_pydict() == batch.to_pydict()
+    assert list(parts(batch.slice(0, 0), 1)) == []
