@@ -145,10 +145,11 @@ def level_summary(d: Spark, sessions: str) -> str:
 
 @operator("sessions")
 def level_changes(d: Spark, sessions: str) -> str:
-    """Promotions and demotions from one completed session to the next."""
+    """Promotions and demotions from one completed session to the next, those without a time last."""
+    order = "ts NULLS LAST, id NULLS LAST" if d.name == "spark" else "ts, id"  # the other dialect puts nulls last by itself
     return f"""
     SELECT user_id, module_type, count_if(step > 0) AS promotions_count, count_if(step < 0) AS demotions_count
-    FROM (SELECT user_id, module_type, difficulty_rank - lag(difficulty_rank) OVER (PARTITION BY user_id, module_type ORDER BY ts, id) AS step FROM {sessions} WHERE completed) GROUP BY user_id, module_type"""
+    FROM (SELECT user_id, module_type, difficulty_rank - lag(difficulty_rank) OVER (PARTITION BY user_id, module_type ORDER BY {order}) AS step FROM {sessions} WHERE completed) GROUP BY user_id, module_type"""
 
 
 @operator("sessions", last=20, order="ASC")

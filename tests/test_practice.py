@@ -116,3 +116,10 @@ def test_telemetry_comes_out_of_nested_json(frame):
     assert one(practice.retry_pattern(sessions=rows)) == {"user_id": 1, "avg_retries_per_stroke": 2.5, "failsafe_unlock_rate": 0.25, "total_strokes": 4, "high_retry_items": "A,B"}
     assert one(practice.replay_usage(sessions=rows)) == {"user_id": 1, "replay_rate": 0.5, "replay_beneficial": True, "most_replayed": "A,B"}
     assert one(practice.retry_pattern(sessions=rows, last=1))["total_strokes"] == 2
+
+
+def test_sessions_without_a_time_change_levels_last(spark):
+    rows = [(1, "a", 0, "2024-01-01 00:00:00", 1), (1, "a", 2, None, 2), (1, "a", 1, "2024-01-02 00:00:00", None)]
+    df = spark.createDataFrame(rows, "user_id long, module_type string, difficulty_rank int, ts string, id long").selectExpr("*", "true AS completed")
+    r = practice.level_changes(sessions=df).first()
+    assert (r.promotions_count, r.demotions_count) == (2, 0)
